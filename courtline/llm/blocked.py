@@ -70,6 +70,16 @@ def asks(blk: int, bucket: np.ndarray, payload) -> pa.Table:
     return pa.table({"blk": pa.array(np.full(len(at), blk, np.int64)), "bucket": pa.array(bucket[at] if len(at) else at, pa.int64()), "payload": pa.array([payload(a, b) for a, b in zip(at, ends, strict=True)], pa.binary())})
 
 
+def distinct(bucket: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First index of each distinct (bucket, h) in that order, and each entry's place among them."""
+    order = np.lexsort((h, bucket))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (bucket[order][1:] != bucket[order][:-1])
+    inverse = np.empty(len(h), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return order[new], inverse
+
+
 def answers(table: pa.Table, n: int) -> np.ndarray:
     """The bits of a block's answers, in the order in which it asked n entries."""
     if not n:

@@ -107,8 +107,7 @@ def _candidates(block, bits: np.ndarray, span: int, n_buckets: int):
     h = np.concatenate([x[2] for x in found]) if found else np.zeros(0, np.uint64)
     other = np.concatenate([x[3] for x in found]) if found else h
     doc = ids[np.concatenate([x[1] for x in found])] if found else np.zeros(0, np.int64)
-    sort = (B.bucket_of(h, n_buckets).astype(np.uint64) << np.uint64(40)) ^ (h & np.uint64((1 << 40) - 1))
-    _, first_at, inverse = np.unique(sort, return_index=True, return_inverse=True)
+    first_at, inverse = B.distinct(B.bucket_of(h, n_buckets), h)
     return found, h[first_at], other[first_at].astype(np.uint32), doc[first_at], doc, inverse
 
 

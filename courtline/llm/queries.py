@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .substrings import remove_repeated_strings
 from .passages import remove_repeated_passages
 
 
@@ -17,6 +18,11 @@ def op8_anchor_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op8_anchor_substring_dedup": op8_anchor_substring_dedup}
+def op9_grouped_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeated_strings(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op9_grouped_suffix_dedup": op9_grouped_suffix_dedup, "op8_anchor_substring_dedup": op8_anchor_substring_dedup}
 
 ORACLE_SQL: dict[str, str] = {}

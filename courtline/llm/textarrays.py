@@ -107,8 +107,12 @@ def window_hashes(codes: np.ndarray, k: int) -> np.ndarray:
     n = len(codes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    at = np.arange(n, dtype=np.int64)
-    return segment_hashes(codes, at, at + k)
+    up, down = powers(_BASE, len(codes) + 1), powers(_BASE_INV, n)
+    total = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * up[: len(codes)], out=total[1:])
+    h = total[k:] - total[:n]
+    h *= down
+    return mix(h + np.uint64(k))
 
 
 def words(data: np.ndarray, offs: np.ndarray, in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
