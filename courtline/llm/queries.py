@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .substrings import remove_repeated_strings
+from .decontaminate import benchmark_matches
 from .passages import remove_repeated_passages
 
 
@@ -23,6 +24,12 @@ def op9_grouped_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op9_grouped_suffix_dedup": op9_grouped_suffix_dedup, "op8_anchor_substring_dedup": op8_anchor_substring_dedup}
+def op2_shard_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = benchmark_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest, (F.col("n_hit") > 0).alias("contaminated"))
+
+
+QUERIES = {"op2_shard_suffix_decontamination": op2_shard_suffix_decontamination, "op9_grouped_suffix_dedup": op9_grouped_suffix_dedup, "op8_anchor_substring_dedup": op8_anchor_substring_dedup}
 
 ORACLE_SQL: dict[str, str] = {}
