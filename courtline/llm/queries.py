@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .substrings import remove_repeated_strings
 from .decontaminate import benchmark_matches
+from .nearjoin import near_duplicates
 from .passages import remove_repeated_passages
 
 
@@ -30,6 +31,10 @@ def op2_shard_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest, (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {"op2_shard_suffix_decontamination": op2_shard_suffix_decontamination, "op9_grouped_suffix_dedup": op9_grouped_suffix_dedup, "op8_anchor_substring_dedup": op8_anchor_substring_dedup}
+def op7_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op7_chosen_path_join": op7_chosen_path_join, "op2_shard_suffix_decontamination": op2_shard_suffix_decontamination, "op9_grouped_suffix_dedup": op9_grouped_suffix_dedup, "op8_anchor_substring_dedup": op8_anchor_substring_dedup}
 
 ORACLE_SQL: dict[str, str] = {}
