@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .substrings import remove_repeated_strings
 from .decontaminate import benchmark_matches
 from .nearjoin import near_duplicates
+from .quality import classify_quality
 from .passages import remove_repeated_passages
 
 
@@ -35,6 +36,10 @@ def op7_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_chosen_path_join": op7_chosen_path_join, "op2_shard_suffix_decontamination": op2_shard_suffix_decontamination, "op9_grouped_suffix_dedup": op9_grouped_suffix_dedup, "op8_anchor_substring_dedup": op8_anchor_substring_dedup}
+def op4_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op4_subword_quality": op4_subword_quality, "op7_chosen_path_join": op7_chosen_path_join, "op2_shard_suffix_decontamination": op2_shard_suffix_decontamination, "op9_grouped_suffix_dedup": op9_grouped_suffix_dedup, "op8_anchor_substring_dedup": op8_anchor_substring_dedup}
 
 ORACLE_SQL: dict[str, str] = {}
