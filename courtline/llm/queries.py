@@ -9,6 +9,8 @@ from .substrings import remove_repeated_strings
 from .decontaminate import benchmark_matches
 from .nearjoin import near_duplicates
 from .quality import classify_quality
+from .fixity import archive, audit
+from .wordpieces import token_counts
 from .passages import remove_repeated_passages
 
 
@@ -40,6 +42,35 @@ def op4_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op4_subword_quality": op4_subword_quality, "op7_chosen_path_join": op7_chosen_path_join, "op2_shard_suffix_decontamination": op2_shard_suffix_decontamination, "op9_grouped_suffix_dedup": op9_grouped_suffix_dedup, "op8_anchor_substring_dedup": op8_anchor_substring_dedup}
-
-ORACLE_SQL: dict[str, str] = {}
+def op6_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as an archive against a replica with damaged, lost and added records."""
+    left = archive(_table(spark, sf_dir, "pages"))
+    of = F.coalesce("record_id", F.lit(0))
+    kept = left.where(of % 193 != 7).withColumn("digest", F.when(of % 97 == 13, F.col("damaged")).otherwise(F.col("digest")))
+    added = left.where(of % 211 == 3).withColumn("start", F.col("start") + 1)
+    out = audit(left, kept.unionByName(added))
+    return out.select(F.col("record_id").alias("page_id"), F.col("file").cast("long").alias("file"), F.col("start").alias("warc_offset"), "length", "kind")
+
+
+def op1_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_wordpiece_counts": op1_wordpiece_counts, "op6_merkle_fixity": op6_merkle_fixity, "op4_subword_quality": op4_subword_quality, "op7_chosen_path_join": op7_chosen_path_join, "op2_shard_suffix_decontamination": op2_shard_suffix_decontamination, "op9_grouped_suffix_dedup": op9_grouped_suffix_dedup, "op8_anchor_substring_dedup": op8_anchor_substring_dedup}
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_merkle_fixity": r"""
+WITH r AS (
+  SELECT page_id, CAST(floor(page_id / 256.0) AS BIGINT) AS file,
+         CAST(strlen('WARC/1.0') + 2 + strlen('WARC-Type: response') + 2 + strlen('WARC-Record-ID: <urn:page:') + strlen(CAST(page_id AS VARCHAR)) + strlen('>') + 2
+           + strlen('WARC-Target-URI: ') + strlen(coalesce(url, '')) + 2 + strlen('Content-Length: ') + strlen(CAST(strlen(coalesce(html, '')) AS VARCHAR)) + 4 + strlen(coalesce(html, '')) + 4 AS BIGINT) AS length
+  FROM pages),
+a AS (
+  SELECT page_id, file, length,
+         CAST(coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS warc_offset
+  FROM r)
+SELECT page_id, file, warc_offset, length, 'missing' AS kind FROM a WHERE page_id % 193 = 7
+UNION ALL SELECT page_id, file, warc_offset, length, 'corrupt' FROM a WHERE page_id % 97 = 13 AND page_id % 193 <> 7
+UNION ALL SELECT page_id, file, warc_offset + 1, length, 'extra' FROM a WHERE page_id % 211 = 3
+""",
+}
