@@ -11,6 +11,9 @@ from .nearjoin import near_duplicates
 from .quality import classify_quality
 from .fixity import archive, audit
 from .wordpieces import token_counts
+from .phrases import fingerprint_edits
+from .packing import pack_documents
+from .urlmodel import filter_urls
 from .passages import remove_repeated_passages
 
 
@@ -56,7 +59,19 @@ def op1_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_wordpiece_counts": op1_wordpiece_counts, "op6_merkle_fixity": op6_merkle_fixity, "op4_subword_quality": op4_subword_quality, "op7_chosen_path_join": op7_chosen_path_join, "op2_shard_suffix_decontamination": op2_shard_suffix_decontamination, "op9_grouped_suffix_dedup": op9_grouped_suffix_dedup, "op8_anchor_substring_dedup": op8_anchor_substring_dedup}
+def op10_locally_consistent_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
+def op3_conflict_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op5_url_markov_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op5_url_markov_ratio": op5_url_markov_ratio, "op3_conflict_best_fit": op3_conflict_best_fit, "op10_locally_consistent_parsing": op10_locally_consistent_parsing, "op1_wordpiece_counts": op1_wordpiece_counts, "op6_merkle_fixity": op6_merkle_fixity, "op4_subword_quality": op4_subword_quality, "op7_chosen_path_join": op7_chosen_path_join, "op2_shard_suffix_decontamination": op2_shard_suffix_decontamination, "op9_grouped_suffix_dedup": op9_grouped_suffix_dedup, "op8_anchor_substring_dedup": op8_anchor_substring_dedup}
 
 ORACLE_SQL: dict[str, str] = {
     "op6_merkle_fixity": r"""
