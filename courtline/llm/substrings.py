@@ -15,6 +15,8 @@ the least hash. Equal strings have equal anchors wherever they stand, so
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,42 +36,47 @@ ANCHORS_PER_BUCKET, ROWS_PER_ARRAY = 1 << 20, 4096
 _ENTRY = WIDTH + 4
 
 
-def _anchors(codes: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of all strings, their anchors' starts, and the anchors' hashes (58 bits)."""
+def _anchors(codes: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of string starts with one anchor (first start, end), the anchors' starts and hashes.
+
+    Of equal least hashes in a string the leftmost counts, so the text of a string alone decides.
+    """
     h = X.window_hashes(codes, GRAM)
     n = len(h) - REACH
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h &= ~np.uint64(63)
-    h |= (np.arange(len(h)) & 63).astype(np.uint64)
-    least, size = h, 1
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+    least, size = (h & ~np.uint64(0xFFFFFFFF)) | np.arange(len(h), dtype=np.uint64), 1
     while size * 2 <= STARTS:
         least, size = np.minimum(least[:-size], least[size:]), size * 2
     least = np.minimum(least[:n], least[STARTS - size : STARTS - size + n])
     inside = np.ones(n, bool)
-    for end in offs[1:]:
+    for end in offs[1:].tolist():
         inside[max(0, end - SPAN + 1) : end] = False
-    start = np.flatnonzero(inside)
-    least = least[start]
-    return start, start + ((least.astype(np.int64) - start) & 63), least >> np.uint64(6)
+    change = inside.copy()
+    change[1:] &= (least[1:] != least[:-1]) | ~inside[:-1]
+    begin, stop = np.flatnonzero(change), np.r_[np.flatnonzero(change | ~inside), n]
+    end = stop[np.searchsorted(stop, begin, side="right")]
+    at = (least[begin] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return begin, end, at, h[at]
 
 
 def _block(table: pa.Table, n_buckets: int):
+    """Of a block: rows by id, per part its runs, distinct anchor keys, which are in several documents."""
     table, ids, has = B.ordered(table)
     table_codes, parts, keys, docs = X.byte_codes(5), [], [], []
     for a, b, data, offs in X.blocks(table.column("text")):
-        start, at, h = _anchors(table_codes[data], offs)
-        row = a + np.searchsorted(offs, start, side="right") - 1
-        ok = has[row]
-        start, at, h = start[ok], at[ok], h[ok]
-        own, where = np.unique(at, return_index=True)
-        key = (B.bucket_of(h[where], n_buckets).astype(np.uint64) << np.uint64(32)) | (h[where] & np.uint64(0xFFFFFFFF))
-        parts.append((a, b, data, offs, start, at, own, key))
+        begin, end, at, h = _anchors(table_codes[data], offs)
+        row = np.searchsorted(offs, begin, side="right") - 1
+        if not has[a:b].all():
+            ok = has[a + row]
+            begin, end, at, h, row = begin[ok], end[ok], at[ok], h[ok], row[ok]
+        key = (B.bucket_of(h, n_buckets).astype(np.uint64) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
+        parts.append((a, b, data, offs, begin, end, at, row, key))
         keys.append(key)
-        docs.append(ids[a + np.searchsorted(offs, own, side="right") - 1])
+        docs.append(ids[a + row])
     keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
     docs = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys, kind="stable")  # rows are in id order, so the ids of a key ascend
     keys, docs = keys[order], docs[order]
     new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
     last = np.r_[new[1:], len(keys)] - 1 if len(new) else new
@@ -89,15 +96,15 @@ def _surroundings(block, bits: np.ndarray, n_buckets: int):
     """Per part its shared anchors; for the block the distinct surroundings, their buckets and first documents."""
     table, ids, has, parts, uniq, _ = block
     found, rows, buckets, docs = [], [np.zeros((0, WIDTH), np.uint8)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for a, b, data, offs, start, at, own, key in parts:
-        shared = bits[np.searchsorted(uniq, key)]
-        own, key = own[shared], key[shared]
-        row = np.searchsorted(offs, own, side="right") - 1
-        place = own[:, None] + np.arange(-REACH, SPAN)[None, :]
-        outside = (place < offs[row][:, None]) | (place >= offs[row + 1][:, None])
-        around = data[np.clip(place, 0, len(data) - 1)] if len(data) else np.zeros((0, WIDTH), np.uint8)
-        around[outside] = NONE
-        found.append((start, at, own))
+    for a, b, data, offs, begin, end, at, row, key in parts:
+        shared = np.flatnonzero(bits[np.searchsorted(uniq, key)])
+        begin, end, at, row, key = begin[shared], end[shared], at[shared], row[shared], key[shared]
+        edge = np.full(REACH, NONE, np.uint8)
+        around = np.lib.stride_tricks.sliding_window_view(np.concatenate([edge, data, edge]), WIDTH)[at] if len(at) else rows[0].copy()
+        for k in np.flatnonzero((at - REACH < offs[row]) | (at + SPAN > offs[row + 1])).tolist():
+            around[k, : max(0, REACH - int(at[k] - offs[row[k]]))] = NONE
+            around[k, REACH + int(offs[row[k] + 1] - at[k]) :] = NONE
+        found.append((begin, end, at))
         rows.append(around)
         buckets.append(((key >> np.uint64(32)).astype(np.int64) * 2654435761 + (key & np.uint64(0xFFFFFFFF)).astype(np.int64)) % n_buckets)
         docs.append(ids[a + row])
@@ -121,26 +128,40 @@ def _ask_strings(n_anchor: int, n_text: int):
     return ask
 
 
-def _trim(rows: np.ndarray) -> np.ndarray:
-    """Surroundings of one anchor without the bytes that no other of them agrees in."""
-    for side in (slice(0, REACH), slice(SPAN, WIDTH)):
-        part = rows[:, side][:, ::-1] if side.start == 0 else rows[:, side]
-        order = np.argsort(np.ascontiguousarray(part).view(f"S{REACH}").reshape(-1), kind="stable")
-        same = np.cumprod(part[order][1:] == part[order][:-1], axis=1).sum(axis=1) if len(rows) > 1 else np.zeros(0, np.int64)
+def _trim(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Surroundings without the bytes that no other one of their group (anchor) agrees in.
+
+    A string that two surroundings share lies inside what is left of both.
+    """
+    rows, name = rows.copy(), np.ascontiguousarray(group.astype(">u4")).view(np.uint8).reshape(-1, 4)
+    for left in (True, False):
+        part = rows[:, REACH - 1 :: -1] if left else rows[:, SPAN:]
+        part = np.ascontiguousarray(np.concatenate([name, part], axis=1))
+        order = np.argsort(part.view(f"S{REACH + 4}").reshape(-1), kind="stable")
+        part = part[order]
+        same = np.cumprod(part[1:] == part[:-1], axis=1, dtype=np.int8).sum(axis=1) - 4
         most = np.zeros(len(rows), np.int64)
-        most[order] = np.maximum(np.r_[same, 0], np.r_[0, same])
+        most[order] = np.maximum(0, np.maximum(np.r_[same, 0], np.r_[0, same]))
         gone = np.arange(REACH)[None, :] >= most[:, None]
-        rows[:, side][gone[:, ::-1] if side.start == 0 else gone] = NONE
+        if left:
+            rows[:, :REACH][gone[:, ::-1]] = NONE
+        else:
+            rows[:, SPAN:][gone] = NONE
     return rows
 
 
+def _whole(rows: np.ndarray) -> np.ndarray:
+    """(rows, STARTS): does a whole string start there?"""
+    gaps = np.cumsum(np.concatenate([np.zeros((len(rows), 1), np.uint8), rows == NONE], axis=1), axis=1, dtype=np.uint8)
+    return gaps[:, SPAN:] == gaps[:, :STARTS]
+
+
 def _first_of_strings(rows: np.ndarray, order: np.ndarray) -> np.ndarray:
     """(rows, STARTS): the least order of any row that holds the string that starts there (by suffix array)."""
     out = np.full((len(rows), STARTS), np.iinfo(np.int64).max)
     sa = suffix_array(rows)
     row, col = sa // WIDTH, sa % WIDTH
-    whole = np.lib.stride_tricks.sliding_window_view(rows == NONE, SPAN, axis=1).any(axis=2)
-    ok = (col < STARTS) & ~whole[row, np.minimum(col, REACH)]
+    ok = (col < STARTS) & _whole(rows)[row, np.minimum(col, REACH)]
     row, col = row[ok], col[ok]
     if not len(row):
         return out
@@ -170,32 +191,34 @@ def answer_strings(table: pa.Table) -> pa.Table:
     own = rows[at]
     first = np.repeat(least[:, None], STARTS, axis=1)
     mid = np.unique(np.ascontiguousarray(own[:, REACH:SPAN]).view(f"S{GRAM}").reshape(-1), return_inverse=True)[1]
-    by, count = np.argsort(mid, kind="stable"), np.bincount(mid)
-    by = by[count[mid[by]] > 1]
-    edges = np.flatnonzero(np.r_[True, mid[by][1:] != mid[by][:-1], True]) if len(by) else np.zeros(1, np.int64)
-    a = 0
-    while a < len(edges) - 1:  # whole anchors, up to about ROWS_PER_ARRAY rows
-        b = max(a + 1, int(np.searchsorted(edges, edges[a] + ROWS_PER_ARRAY, side="right")) - 1)
-        group = by[edges[a] : edges[b]]
-        text, back, least_of = own[group], None, least[group]
-        if len(group) > 2 * ROWS_PER_ARRAY:  # one anchor with very many surroundings
-            text, pick, back = np.unique(_trim(text.copy()).view(f"S{WIDTH}").reshape(-1), return_index=True, return_inverse=True)
-            text = np.frombuffer(text.tobytes(), np.uint8).reshape(len(pick), WIDTH)
-            least_of = np.full(len(pick), np.iinfo(np.int64).max)
-            np.minimum.at(least_of, back, least[group])
-        found = _first_of_strings(text, least_of)
-        first[group] = np.minimum(first[group], found if back is None else found[back])
-        a = b
+    group = np.flatnonzero(np.bincount(mid)[mid] > 1)
+    if len(group):
+        text, pick, back = np.unique(_trim(own[group], mid[group]).view(f"V{WIDTH}").reshape(-1).view(f"S{WIDTH}"), return_index=True, return_inverse=True)
+        text = np.frombuffer(text.tobytes(), np.uint8).reshape(len(pick), WIDTH)
+        least_of = np.full(len(pick), np.iinfo(np.int64).max)
+        np.minimum.at(least_of, back, least[group])
+        found = np.full((len(pick), STARTS), np.iinfo(np.int64).max)
+        anchor = mid[group][pick]
+        by = np.argsort(anchor, kind="stable")
+        by = by[_whole(text[by]).any(axis=1)]
+        edges = np.flatnonzero(np.r_[True, anchor[by][1:] != anchor[by][:-1], True]) if len(by) else np.zeros(1, np.int64)
+        a = 0
+        while a < len(edges) - 1:  # whole anchors, up to about ROWS_PER_ARRAY rows
+            b = max(a + 1, int(np.searchsorted(edges, edges[a] + ROWS_PER_ARRAY, side="right")) - 1)
+            part = by[edges[a] : edges[b]]
+            found[part] = _first_of_strings(text[part], least_of[part])
+            a = b
+        first[group] = np.minimum(first[group], found[back])
     bits = (first[which] < order[:, None]).astype(np.uint32)
     bits = (bits << np.arange(STARTS, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
     ends = np.cumsum(sizes)
     return table.set_column(table.schema.get_field_index("payload"), "payload", pa.array([bits[e - n : e].tobytes() for n, e in zip(sizes, ends, strict=True)], pa.binary()))
 
 
-OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept {kept}, crc long"
 
 
-def _remove(n_anchor: int, n_text: int):
+def _remove(n_anchor: int, n_text: int, as_text: bool):
     def remove(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         rounds = right.column("round").to_numpy()
         block = _block(left, n_anchor)
@@ -206,37 +229,39 @@ def _remove(n_anchor: int, n_text: int):
         if len(bits) != len(least):
             raise ValueError(f"{len(least)} surroundings were asked and {len(bits)} answered")
         table, ids, has, parts = block[:4]
-        size, removed, spans, kept, done = [], [], [], [], 0
-        for (a, b, data, offs, *_), (start, at, own) in zip(parts, found, strict=True):
-            entry = inverse[done : done + len(own)]
-            doc = docs[done : done + len(own)]
-            done += len(own)
+        size, removed, spans, kept, crc, done = [], [], [], [], [], 0
+        for (a, b, data, offs, *_), (begin, end, at) in zip(parts, found, strict=True):
+            entry, doc = inverse[done : done + len(at)], docs[done : done + len(at)]
+            done += len(at)
             cut = np.zeros(len(data), bool)
-            if len(own):
-                k = np.minimum(np.searchsorted(own, at), len(own) - 1)
-                hit = own[k] == at
-                k, from_ = k[hit], start[hit]
-                bit = (bits[entry[k]] >> (from_ - own[k] + REACH).astype(np.uint32)) & np.uint32(1)
-                cut = X.cover(from_[(bit == 1) | (doc[k] > least[entry[k]])], SPAN, len(data))
+            if len(at):
+                size_of = end - begin
+                start = np.arange(size_of.sum()) - np.repeat(np.cumsum(size_of) - size_of, size_of) + np.repeat(begin, size_of)
+                shift = (start - np.repeat(at, size_of) + REACH).astype(np.uint32)
+                gone = ((np.repeat(bits[entry], size_of) >> shift) & np.uint32(1)).astype(bool) | np.repeat(doc > least[entry], size_of)
+                cut = X.cover(start[gone], SPAN, len(data))
             total = np.r_[0, np.cumsum(cut)]
-            run = np.r_[0, np.cumsum(np.isin(np.arange(len(data)), X.runs(cut, offs)[0], assume_unique=True))] if cut.any() else np.zeros(len(data) + 1, np.int64)
+            run = X.runs(cut, offs)[0] if cut.any() else np.zeros(0, np.int64)
             size.append(np.diff(offs))
             removed.append(np.diff(total[offs]))
-            spans.append(np.diff(run[offs]))
+            spans.append(np.diff(np.searchsorted(run, offs)))
             raw, to = data[~cut].tobytes(), offs - total[offs]
             kept += [raw[i:j] for i, j in zip(to[:-1], to[1:], strict=True)]
+            whole = data.tobytes()
+            crc += [zlib.crc32(whole[i:j]) for i, j in zip(offs[:-1], offs[1:], strict=True)]
         number = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0), pa.int64())
-        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=~has), "n_bytes": number(size), "n_removed": number(removed), "n_spans": number(spans), "kept": pa.array(kept, pa.binary())})
+        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=~has), "n_bytes": number(size), "n_removed": number(removed), "n_spans": number(spans), "kept": pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), "crc": pa.array(crc, pa.int64())})
 
     return remove
 
 
-def remove_repeated_strings(docs: DataFrame) -> DataFrame:
+def remove_repeated_strings(docs: DataFrame, as_text: bool = False) -> DataFrame:
     """Remove every byte that a repeated 50-byte string covers; one row per row of ``docs``.
 
     Texts are UTF-8 bytes; a string is repeated if it also starts in a document with a
-    smaller doc_id. Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and
-    kept (the bytes that stay).
+    smaller doc_id. Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the
+    bytes that stay; with ``as_text`` a string without the characters that a cut went through)
+    and crc (CRC-32 of the text that came in).
 
     Null and empty texts have no bytes. Rows that repeat a doc_id are judged alike and never
     remove each other; rows without doc_id are kept whole and remove nothing. Texts under 50
@@ -249,4 +274,4 @@ def remove_repeated_strings(docs: DataFrame) -> DataFrame:
     shared = by.applyInArrow(_ask_anchors(n_anchor), B.ASK).groupBy("bucket").applyInArrow(answer_shared, B.ASK)
     strings = by.cogroup(shared.groupBy("blk")).applyInArrow(_ask_strings(n_anchor, n_text), B.ASK).groupBy("bucket").applyInArrow(answer_strings, B.ASK)
     both = shared.withColumn("round", F.lit(1)).unionByName(strings.withColumn("round", F.lit(2)))
-    return by.cogroup(both.groupBy("blk")).applyInArrow(_remove(n_anchor, n_text), OUT)
+    return by.cogroup(both.groupBy("blk")).applyInArrow(_remove(n_anchor, n_text, as_text), OUT.format(kept="string" if as_text else "binary"))

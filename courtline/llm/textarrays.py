@@ -144,7 +144,5 @@ def window_rows(first: np.ndarray, k: int) -> np.ndarray:
 
 def cover(starts: np.ndarray, k: int, n: int) -> np.ndarray:
     """True for each of n tokens inside some window [s, s+k)."""
-    edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + k, n), -1)
+    edge = np.bincount(starts, minlength=n + 1)[: n + 1] - np.bincount(np.minimum(starts + k, n), minlength=n + 1)
     return np.cumsum(edge[:n]) > 0
