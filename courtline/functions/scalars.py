@@ -80,7 +80,7 @@ def hms_to_seconds(text: Column) -> Column:
 def seconds_to_hms(seconds: Column) -> Column:
     """'HH:MM:SS.mmm'; less than zero is zero."""
     s = F.greatest(seconds, F.lit(0.0))
-    return F.format_string("%02d:%02d:%06.3f", F.floor(s / 3600).cast("int"), F.floor((s % 3600) / 60).cast("int"), s % 60)
+    return F.when(seconds.isNotNull(), F.format_string("%02d:%02d:%06.3f", F.floor(s / 3600).cast("int"), F.floor((s % 3600) / 60).cast("int"), s % 60))
 
 
 def clip_name(video: Column, number: Column) -> Column:
