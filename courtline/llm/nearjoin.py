@@ -3,11 +3,13 @@
 A document is its set of five-word shingles; documents with equal sets are one class from
 the start. Each set has a sketch of ``SKETCH`` minimum hashes. In every run a set chooses
 about ``CHOSEN`` of its sketch's tokens by a hash that all sets share, and joins the bucket
-of each; buckets over ``SMALL`` sets are split again on tokens chosen along the path, and
-small buckets are compared by brute force. A pair at the threshold meets in one run with
+of each; buckets over ``SMALL`` sets are split again and again on tokens chosen along the path,
+and small buckets are compared by brute force. A large bucket that a further token hardly makes
+smaller is dense: dense buckets that overlap are one group, which is compared by brute force in
+tiles. A pair at the threshold meets in one run with
 probability 0.8, so ``RUNS`` runs miss fewer than one in 100,000. What buckets find are only
 candidates: connected ones meet once more with their whole sets, where every pair is decided
-exactly. Large buckets and groups are cut into tiles, and a tile returns link counts and one
+exactly. Large groups are cut into tiles, and a tile returns link counts and one
 edge per set, never its pairs.
 """
 
@@ -24,13 +26,13 @@ from . import textarrays as X
 from .saved import components, saved
 
 SHINGLE, THRESHOLD = 5, 0.8
-SKETCH, CHOSEN, RUNS, SMALL, TILE = 64, 2.0, 8, 256, 256
+SKETCH, CHOSEN, CHOSEN_BELOW, RUNS, SMALL, TILE, DENSE = 64, 2.0, 2.0, 8, 256, 256, 0.25
 #: Fixed value: a pair at the threshold falls under it by five standard deviations.
 CANDIDATE = int(SKETCH * (THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / SKETCH) ** 0.5))
 COLUMNS = 4096
 
 _SEEDS = X.mix(np.arange(1, SKETCH + 1, dtype=np.uint64), 77) | np.uint64(1)
-_LIMIT = np.uint64(int(CHOSEN / SKETCH * (1 << 64)))
+_LIMIT, _LIMIT_BELOW = (np.uint64(int(c / SKETCH * (1 << 64))) for c in (CHOSEN, CHOSEN_BELOW))
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,15 +90,15 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _next_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, rep, sketch) of large buckets to the buckets one level down the path."""
+    """(key, rep, sketch, many) of large buckets to the buckets one level down the path."""
     for batch in batches:
         key = batch.column(0).to_numpy().astype(np.uint64)
         if not len(key):
             continue
         token = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(len(key), SKETCH).astype(np.uint64)
         token = X.mix(token ^ _SEEDS[None, :])
-        i, k = np.nonzero(X.mix(token ^ key[:, None], 300) < _LIMIT)
-        yield pa.RecordBatch.from_arrays([pa.array(X.mix(token[i, k] ^ key[i], 301).astype(np.int64)), batch.column(1).take(pa.array(i))], names=["key", "rep"])
+        i, k = np.nonzero(X.mix(token ^ key[:, None], 300) < _LIMIT_BELOW)
+        yield pa.RecordBatch.from_arrays([pa.array(X.mix(token[i, k] ^ key[i], 301).astype(np.int64)), *(batch.column(c).take(pa.array(i)) for c in (1, 3))], names=["key", "rep", "above"])
 
 
 def _roots(near: np.ndarray) -> np.ndarray:
@@ -223,17 +225,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = one.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     reps = saved(reps, "classes")
 
-    level = reps.select(F.explode("keys").alias("key"), "rep")
-    counts = level.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
-    met = saved(level.join(counts, "key"), "buckets")
-    large = met.where(F.col("many") > SMALL).select("key", "rep")
-    down = large.join(reps.select("rep", "sketch"), "rep").select("key", "rep", "sketch").mapInArrow(_next_keys, "key long, rep long")
-    down = down.join(down.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"), "key")
-    found = met.where(F.col("many") <= SMALL).unionByName(down)
+    sketches = reps.select("rep", "sketch")
+    level = reps.select(F.explode("keys").alias("key"), "rep", F.lit(None).cast("long").alias("above"))
+    found, dense_edges = None, None
+    while True:
+        counts = level.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
+        met = saved(level.join(counts, "key"), "buckets")
+        small, large = met.where(F.col("many") <= SMALL), met.where(F.col("many") > SMALL)
+        dense = F.coalesce(F.col("many") >= DENSE * F.col("above"), F.lit(False))
+        stars = large.where(dense)
+        stars = stars.join(stars.groupBy("key").agg(F.min("rep").alias("b")), "key").select(F.col("rep").alias("a"), "b")
+        found = small.select("key", "rep") if found is None else found.unionByName(small.select("key", "rep"))
+        sizes = met.where(F.col("many") > SMALL).agg(F.count(F.when(dense, 1)), F.count(F.when(~dense, 1))).first()
+        if sizes[0]:
+            dense_edges = stars if dense_edges is None else dense_edges.unionByName(stars)
+        if not sizes[1]:
+            break
+        large = large.where(~dense)
+        level = saved(large.join(sketches, "rep").select("key", "rep", "sketch", "many").mapInArrow(_next_keys, "key long, rep long, above long"), "level")
     n_bundles = max(16, reps.count() // 4000)
-    full = _tiled(found, "key", "many", "rep").join(reps.select("rep", "sketch"), "rep")
-    bundle = F.pmod(F.when(F.col("many") > TILE, F.xxhash64("key", "part")).otherwise(F.xxhash64("key")), F.lit(n_bundles))
-    edges = full.select(bundle.alias("bundle"), "key", "part", "rep", "sketch").groupBy("bundle").applyInArrow(_compare_buckets, "a long, b long")
+    compared = found.select("key", F.lit(0).cast("long").alias("part"), "rep", F.xxhash64("key").alias("bundle"))
+    if dense_edges is not None:
+        groups = components(dense_edges).toDF("rep", "key")
+        groups = groups.join(groups.groupBy("key").agg(F.count("*").alias("many")), "key")
+        tiles = _tiled(groups, "key", "many", "rep").select("key", "part", "rep", F.when(F.col("many") > TILE, F.xxhash64("key", "part")).otherwise(F.xxhash64("key")).alias("bundle"))
+        compared = compared.unionByName(tiles)
+    compared = compared.join(sketches, "rep").withColumn("bundle", F.pmod("bundle", F.lit(n_bundles)))
+    edges = compared.groupBy("bundle").applyInArrow(_compare_buckets, "a long, b long")
     grouped = components(edges)
     size = grouped.groupBy("component").agg(F.count("*").alias("size"))
     wanted = grouped.join(size, "component").join(reps.select(F.col("rep").alias("node"), "copies", "k1"), "node")
