@@ -110,7 +110,7 @@ def model_pipeline(names: Sequence[str], model: str = "logistic"):
 
     filled = [f"{n}__in" for n in names]
     kinds = {
-        "logistic": lambda: LogisticRegression(featuresCol="features", labelCol="label_id", weightCol="weight", maxIter=50, regParam=0.01),
+        "logistic": lambda: LogisticRegression(featuresCol="features", labelCol="label_id", weightCol="weight", maxIter=20, regParam=0.01),
         "forest": lambda: RandomForestClassifier(featuresCol="features", labelCol="label_id", weightCol="weight", numTrees=50, seed=7),
         "tree": lambda: DecisionTreeClassifier(featuresCol="features", labelCol="label_id", weightCol="weight", seed=7),
     }

@@ -88,7 +88,7 @@ def resolve_classes(classes: DataFrame, person: int | None = None, ball: int | N
 def smoothed(value: Column, keep: float, w, first_whole: bool = True, taps: int = 130) -> Column:
     """Exponential moving average over the rows of a window, as a weighted sum of its last ``taps`` values.
 
-    The first value counts in full, or from zero without ``first_whole``.
+    The window's rows must all have a value. The first value counts in full, or from zero without ``first_whole``.
     """
     past = F.collect_list(value).over(w.rowsBetween(-taps, 0))
     place = F.count(value).over(w.rowsBetween(W.unboundedPreceding, 0))
@@ -98,6 +98,16 @@ def smoothed(value: Column, keep: float, w, first_whole: bool = True, taps: int
     return F.aggregate(F.transform(past, lambda v, i: v * weight(i) * whole(i)), F.lit(0.0), lambda s, v: s + v)
 
 
+def smoothed_hits(rows: DataFrame, value: str, keep: float, keys: Sequence[str], order: str = "frame_id") -> DataFrame:
+    """Adds ema: the average of the values so far, unchanged where ``value`` is missing and null before the first."""
+    hit = F.col(value).isNotNull()
+    own = W.partitionBy(*keys, "__hit").orderBy(order)
+    rows = rows.withColumn("__hit", hit)
+    rows = rows.withColumn("__ema", F.when(F.col("__hit"), smoothed(F.col(value), keep, own)))
+    last = F.last("__ema", ignorenulls=True).over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("ema", last).drop("__hit", "__ema")
+
+
 def onset(state: Column, w) -> Column:
     """True where a state holds and did not in the row before."""
     return state & ~F.lag(state, 1, False).over(w)

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import fixtures as X
-from ..operators import measures, rules, scores
+from ..operators import measures, pose, rules, scores
 from .base import CLIP_FRAME, POS, Query, R, descriptors, moves, positions, rounded
 from .scoring import SQL, predictions
 
@@ -35,12 +35,11 @@ _add("prj3_augment", lambda s, d: measures.augment(positions(s, d)).groupBy("mat
 _add("flt7_class_filter", lambda s, d: measures.class_filter(predictions(s, d).select("clip", F.col("y_true").alias("label")), ("Coordinated Attack", "Defense"), {"Coordinated Defense": "Defense"}), f"WITH {SQL} SELECT clip, CASE WHEN y_true = 'Coordinated Defense' THEN 'Defense' ELSE y_true END AS label FROM p WHERE y_true IN ('Coordinated Attack', 'Coordinated Defense')")
 _CLS = "SELECT c_custkey % 40 AS model, c_custkey AS id, CASE c_custkey % 7 WHEN 0 THEN 'Player' WHEN 1 THEN 'volleyball' WHEN 2 THEN 'person ' ELSE 'net' END AS name FROM {customer}"
 _add("scl7_class_id_resolve", lambda s, d: measures.resolve_classes(s.sql(_CLS, **X.tables(s, d, "customer"))), f"WITH c AS ({_CLS.replace('{', '').replace('}', '')}) SELECT model, min(CASE WHEN name IN ('Player', 'person ') THEN id END) AS person_id, min(CASE WHEN name = 'volleyball' THEN id END) AS ball_id FROM c GROUP BY 1")
-_w = lambda: W.partitionBy("match_id", "sequence").orderBy("frame_id")
 
 
 def _ema(s, d):
     b = positions(s, d).groupBy(*CLIP_FRAME).agg(F.max("ball_x").alias("v"))
-    return rounded(b.withColumn("ema", F.when(F.count("v").over(_w().rowsBetween(W.unboundedPreceding, 0)) > 0, measures.smoothed(F.col("v"), 0.75, _w()))).select(*CLIP_FRAME, "ema"))
+    return rounded(measures.smoothed_hits(b, "v", 0.75, ("match_id", "sequence")).select(*CLIP_FRAME, "ema"))
 
 
 _add("stf8_quad_ema", _ema, f"WITH {POS}, b AS (SELECT match_id, sequence, frame_id, max(ball_x) AS v FROM pos GROUP BY 1, 2, 3), c AS (SELECT *, count(v) OVER (PARTITION BY match_id, sequence ORDER BY frame_id) AS k FROM b), h AS (SELECT * FROM c WHERE v IS NOT NULL), e AS (SELECT a.match_id, a.sequence, a.k, sum(z.v * power(0.75, a.k - z.k) * CASE WHEN z.k = 1 THEN 1 ELSE 0.25 END) AS ema FROM h a JOIN h z ON z.match_id = a.match_id AND z.sequence = a.sequence AND z.k <= a.k GROUP BY 1, 2, 3) SELECT c.match_id, c.sequence, c.frame_id, {R('ema')} AS ema FROM c LEFT JOIN e ON e.match_id = c.match_id AND e.sequence = c.sequence AND e.k = c.k")
@@ -59,3 +58,21 @@ def _checks(s, d):
 
 
 _add("ana18_expectation_checks", _checks)
+
+
+def _keypoints(s, d):
+    """Skeletons around the boxes: hips, shoulders and wrists that move with frame and slot."""
+    det = X.detections(s, d).where("kind = 'person'").withColumn("track_id", F.col("det_id").cast("long"))
+    t, cx = F.col("frame") + F.col("det_id"), (F.col("x1") + F.col("x2")) / 2
+    point = lambda x, y, c: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), (c / 10).alias("conf"))
+    blank = point(F.lit(0.0), F.lit(0.0), F.lit(0.0))
+    hip = point(cx, F.col("y2") - 30 - 6 * (t % 3), t % 10)
+    shoulder, wrist = point(cx, F.col("y1") + 10, t % 10 + 3), point(cx + 20 * (t % 4 - 1.5), F.col("y1") + 10 + 15 * (t % 5 - 2), t % 10 + 2)
+    kp = F.array(*[blank] * 5, shoulder, shoulder, blank, blank, wrist, wrist, hip, hip, *[blank] * 4)
+    return det.select("video_id", "frame", "track_id", F.struct("x1", "y1", "x2", "y2").alias("box"), kp.alias("kp"))
+
+
+_add("ana25_pose_biomech", lambda s, d: rounded(pose.pose_events(pose.pose_motion(_keypoints(s, d)))))
+_add("stf6_pose_ema", lambda s, d: rounded(pose.pose_motion(_keypoints(s, d))))
+_add("agg29_pose_frame_summary", lambda s, d: rounded(pose.pose_frames(pose.pose_motion(_keypoints(s, d)))))
+_add("win16_lagged_angle_speed", lambda s, d: rounded(pose.pose_motion(_keypoints(s, d)).select("video_id", "frame", "track_id", "arm_omega_rad_s")))

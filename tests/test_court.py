@@ -201,3 +201,26 @@ def test_knn_and_thinning(spark):
         assert [got[q, k + 1] for k in range(3)] == np.argsort(d)[:3].tolist()
     line = spark.createDataFrame([(0, t, [0.1 * t]) for t in range(10)], "k long, t long, s array<double>")
     assert [r.t for r in learning.diverse_thin(line, "k", "t", "s", 0.25).orderBy("t").collect()] == [0, 3, 6, 9]
+
+
+def test_pose(spark):
+    from courtline.operators import pose
+
+    def body(t, hip_y, angle, conf=0.9):
+        kp = [(0.0, 0.0, 0.0)] * 17
+        kp[5] = kp[6] = (100.0, 100.0, conf)
+        kp[9] = kp[10] = (100 + 50 * math.cos(angle), 100 + 50 * math.sin(angle), conf)
+        kp[11] = kp[12] = (100.0, hip_y, conf)
+        return (1, t, 3, (0.0, 0.0, 50.0, 185.0), kp)
+
+    heights, angles = [100.0, 100.0, 80.0, 60.0, 60.0, 60.0], [0.0, 0.0, 3.0, -3.0, -3.0, -3.0]
+    rows = [body(t, h, a) for t, (h, a) in enumerate(zip(heights, angles, strict=True))] + [body(6, 0.0, 0.0, 0.1)]
+    df = spark.createDataFrame(rows, "video_id long, frame long, track_id long, box struct<x1:double,y1:double,x2:double,y2:double>, kp array<struct<x:double,y:double,conf:double>>")
+    got = {r.frame: r for r in pose.pose_motion(df).collect()}
+    ema, want = 0.0, [0.0]
+    for a, b in zip(heights, heights[1:], strict=False):
+        ema = 0.5 * -(b - a) * (1.85 / 185) * 30 + 0.5 * ema
+        want.append(ema)
+    assert [got[t].vy_ms for t in range(6)] == pytest.approx(want) and got[6].vy_ms == 0
+    assert got[3].arm_omega_rad_s == pytest.approx((2 * math.pi - 6) * 30) and got[2].impact and not got[4].impact
+    assert [t for t in got if got[t].takeoff] == [2]
