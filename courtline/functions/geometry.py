@@ -58,24 +58,20 @@ def hull_area(points: Column) -> Column:
 
 def quad_signed_distance(px: Column, py: Column, corners: Column) -> Column:
     """Distance of a point to the nearest edge of a quad (array of four points); positive inside."""
+    edges = F.transform(corners, lambda p, i: F.struct(p["x"].alias("ax"), p["y"].alias("ay"), F.element_at(corners, (i + 1) % 4 + 1)["x"].alias("bx"), F.element_at(corners, (i + 1) % 4 + 1)["y"].alias("by")))
 
-    def corner(k: int) -> Column:
-        return corners[k % 4]
-
-    def to_edge(k: int) -> Column:
-        a, b = corner(k), corner(k + 1)
-        ex, ey = b["x"] - a["x"], b["y"] - a["y"]
+    def along(e: Column) -> Column:
+        ex, ey = e["bx"] - e["ax"], e["by"] - e["ay"]
         size = ex * ex + ey * ey
-        t = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - a["x"]) * ex + (py - a["y"]) * ey) / size))).otherwise(0.0)
-        return distance(px, py, a["x"] + t * ex, a["y"] + t * ey)
+        t = F.when(size > 0, ((px - e["ax"]) * ex + (py - e["ay"]) * ey) / size).otherwise(0.0)
+        return F.struct(e["ax"].alias("ax"), e["ay"].alias("ay"), ex.alias("ex"), ey.alias("ey"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)).alias("t"))
 
-    def crosses(k: int) -> Column:
-        a, b = corner(k), corner(k + 1)
-        spans = (a["y"] > py) != (b["y"] > py)
-        return F.when(spans & (px < (b["x"] - a["x"]) * (py - a["y"]) / F.when(spans, b["y"] - a["y"]).otherwise(1.0) + a["x"]), 1).otherwise(0)
+    def crosses(e: Column) -> Column:
+        spans = (e["ay"] > py) != (e["by"] > py)
+        return spans & ((px - e["ax"]) * F.abs(e["by"] - e["ay"]) < (e["bx"] - e["ax"]) * (py - e["ay"]) * F.signum(e["by"] - e["ay"]))
 
-    inside = (sum((crosses(k) for k in range(1, 4)), crosses(0)) % 2) == 1
-    least = F.least(*(to_edge(k) for k in range(4)))
+    least = F.array_min(F.transform(F.transform(edges, along), lambda e: distance(px, py, e["ax"] + e["t"] * e["ex"], e["ay"] + e["t"] * e["ey"])))
+    inside = F.size(F.filter(edges, crosses)) % 2 == 1
     return F.when(inside, least).otherwise(-least)
 
 

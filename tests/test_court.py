@@ -224,3 +224,27 @@ def test_pose(spark):
     assert [got[t].vy_ms for t in range(6)] == pytest.approx(want) and got[6].vy_ms == 0
     assert got[3].arm_omega_rad_s == pytest.approx((2 * math.pi - 6) * 30) and got[2].impact and not got[4].impact
     assert [t for t in got if got[t].takeoff] == [2]
+
+
+def test_court_mask_and_homography(spark):
+    from courtline.operators import court
+
+    point = lambda x, y: F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"))
+    quad = F.array(point(100, 100), point(1180, 100), point(1180, 620), point(100, 620))
+    at = lambda x, y: spark.range(1).select(G.quad_signed_distance(F.lit(float(x)), F.lit(float(y)), quad)).first()[0]
+    assert at(530, 500) == pytest.approx(120) and at(35, 90) == pytest.approx(-math.hypot(65, 10)) and at(100, 300) == pytest.approx(0)
+    cal = spark.range(1).select(F.lit(1).alias("video_id"), F.reverse(quad).alias("corners"), F.lit(False).alias("half"))
+    h = court.homography_fit(cal)
+    for (x, y), want in (((100, 100), (0, 0)), ((1180, 620), (1800, 900)), ((640, 360), (900, 450))):
+        got = h.select(G.apply_homography(F.col("h"), F.lit(float(x)), F.lit(float(y))).alias("p")).first().p
+        assert (got.x, got.y) == pytest.approx(want)
+    feet = spark.createDataFrame([(1, 1, 1, 510.0, 400.0, 550.0, 500.0), (1, 1, 2, 15.0, 40.0, 55.0, 90.0), (2, 1, 3, 15.0, 40.0, 55.0, 90.0)], "video_id int, frame long, det_id int, x1 double, y1 double, x2 double, y2 double")
+    assert {r.det_id for r in court.court_mask(feet, cal).collect()} == {1, 3}
+
+
+def test_padding(spark):
+    from courtline.operators import clips
+
+    short = spark.createDataFrame([(1, 0, t, 5.0) for t in range(10, 27)], "match_id long, sequence long, frame_id long, v double")
+    got = clips.pad_windows(short).orderBy("t").collect()
+    assert len(got) == 29 and [r.v for r in got] == [5.0] * 17 + [0.0] * 12
