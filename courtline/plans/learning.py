@@ -56,5 +56,5 @@ def _clips(s, d):
     return m.join(lab, ["match_id", "sequence"]).withColumn("clip", clip).withColumn("video", F.col("match_id") % 3)
 
 
-_add("ml5_lovo_predict", lambda s, d: learning.grouped_predictions(_clips(s, d), _METRICS, "video").select("clip", "video", "y_true", "y_pred"))
-_add("ml4_kfold_predict", lambda s, d: scores.classification_scores(learning.grouped_predictions(scores.kfold(_clips(s, d), 3), _METRICS, "fold")))
+_add("ml5_lovo_predict", lambda s, d: learning.grouped_predictions(_clips(s, d), _METRICS, "video", "tree").select("clip", "video", "y_true", "y_pred"))
+_add("ml4_kfold_predict", lambda s, d: scores.classification_scores(learning.grouped_predictions(scores.kfold(_clips(s, d), 3), _METRICS, "fold", "tree")))
