@@ -54,7 +54,7 @@ def _at() -> Column:
 
 
 def merkle_levels(records: DataFrame, range_levels: int, file_levels: int) -> list[DataFrame]:
-    """(file, at, hash) of each level from the leaves up; the last level is one root, file is '' above files.
+    """(file, at, hash) of each level from the leaves up, each a written table; the last level is one root, file is '' above files.
 
     records: file, start, length, digest. Repeated rows are one record with a multiplicity, so a
     leaf holds at most what fits in its range.
@@ -62,11 +62,12 @@ def merkle_levels(records: DataFrame, range_levels: int, file_levels: int) -> li
     one = records.groupBy("file", "start", "length", "digest").agg(F.count("*").alias("copies"))
     item = F.struct("start", F.concat_ws(":", F.col("start").cast("string"), F.col("length").cast("string"), F.col("copies").cast("string"), "digest").alias("hash"))
     ordered = F.transform(F.array_sort(F.collect_list(item)), lambda x: x["hash"])
-    levels = [one.groupBy("file", _at().alias("at")).agg(F.sha2(F.array_join(ordered, "\n"), 256).alias("hash"))]
+    levels = [saved(one.groupBy("file", _at().alias("at")).agg(F.sha2(F.array_join(ordered, "\n"), 256).alias("hash")), "level")]
     for k in range(range_levels + 1 + file_levels):
         file, at = _parent(k, range_levels, file_levels)
         child = F.transform(F.array_sort(F.collect_list(F.struct("at", "of", "hash"))), lambda x: F.concat_ws(":", x["at"].cast("string"), x["of"], x["hash"]))
-        levels.append(levels[-1].select(file.alias("up_file"), at.alias("up"), "at", F.col("file").alias("of"), "hash").groupBy("up_file", "up").agg(F.sha2(F.array_join(child, "\n"), 256).alias("hash")).toDF("file", "at", "hash"))
+        above = levels[-1].select(file.alias("up_file"), at.alias("up"), "at", F.col("file").alias("of"), "hash").groupBy("up_file", "up").agg(F.sha2(F.array_join(child, "\n"), 256).alias("hash"))
+        levels.append(saved(above.toDF("file", "at", "hash"), "level"))
     return levels
 
 
@@ -100,8 +101,7 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
     a, b = (merkle_levels(x, range_levels, file_levels) for x in sides)
     differ = _differing(a[-1], b[-1], None)
     for k in range(len(a) - 2, -1, -1):
-        differ = _differing(a[k], b[k], differ, *_parent(k, range_levels, file_levels))
-    differ = saved(differ, "differing")
+        differ = saved(_differing(a[k], b[k], differ, *_parent(k, range_levels, file_levels)), "differing")
     found = []
     for x in sides:
         near = x.withColumn("at", _at()).join(differ, ["file", "at"], "left_semi")
