@@ -3,14 +3,17 @@
 A string of ``SPAN`` bytes is found through its anchor: the ``GRAM``-byte piece in it with
 the least hash. Equal strings have equal anchors wherever they stand, so
 
-1. anchors that two documents share are found by their hashes (one entry per block),
+1. anchors that two documents share are found by their hashes (one entry per block); one
+   that stands at more than about ``HOT`` places is hot,
 2. the surroundings of shared anchors (the anchor and ``REACH`` bytes on either side, which
    holds every string with that anchor) go to the anchor's bucket, each distinct one once
    per block with its first document,
 3. a bucket merges equal surroundings; those that differ around one anchor are put into a
    generalised suffix array by the grouping construction, neighbours in it that agree in
    ``SPAN`` bytes are the same string, and the first document of each string is known,
-4. blocks mark what those strings cover.
+4. around a hot anchor each string goes to the string's own bucket, once per block, so that
+   what differs around the borders of a common passage is dealt over all buckets,
+5. blocks mark what those strings cover.
 """
 
 from __future__ import annotations
@@ -24,7 +27,6 @@ from pyspark.sql import functions as F
 
 from . import blocked as B
 from . import textarrays as X
-from .passages import answer_shared
 from .suffixes import suffix_array
 
 #: Length of a string, of an anchor, and of what surrounds one.
@@ -33,6 +35,8 @@ REACH = SPAN - GRAM
 WIDTH, STARTS = SPAN + REACH, REACH + 1
 NONE = 0xFF  # stands for what is outside a document; it is no byte of UTF-8
 ANCHORS_PER_BUCKET, ROWS_PER_ARRAY = 1 << 20, 4096
+#: Places of an anchor, at most, whose surroundings are sorted in one task.
+HOT = 1 << 13
 _ENTRY = WIDTH + 4
 
 
@@ -61,7 +65,7 @@ def _anchors(codes: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _block(table: pa.Table, n_buckets: int):
-    """Of a block: rows by id, per part its runs, distinct anchor keys, which are in several documents."""
+    """Of a block: rows by id, per part its runs, distinct anchor keys, which are in several documents, how many places each has."""
     table, ids, has = B.ordered(table)
     table_codes, parts, keys, docs = X.byte_codes(5), [], [], []
     for a, b, data, offs in X.blocks(table.column("text")):
@@ -80,24 +84,43 @@ def _block(table: pa.Table, n_buckets: int):
     keys, docs = keys[order], docs[order]
     new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
     last = np.r_[new[1:], len(keys)] - 1 if len(new) else new
-    return table, ids, has, parts, keys[new], docs[new] != docs[last]
+    return table, ids, has, parts, keys[new], docs[new] != docs[last], last - new + 1
 
 
 def _ask_anchors(n_buckets: int):
     def ask(key: tuple, table: pa.Table) -> pa.Table:
-        *_, uniq, several = _block(table, n_buckets)
+        *_, uniq, several, places = _block(table, n_buckets)
         low = uniq.astype(np.uint32)
-        return B.asks(B.key_of(key), (uniq >> np.uint64(32)).astype(np.int64), lambda a, b: low[a:b].tobytes() + several[a:b].tobytes())
+        level = np.ceil(np.log2(places)).astype(np.uint8) | several.astype(np.uint8) << 7
+        return B.asks(B.key_of(key), (uniq >> np.uint64(32)).astype(np.int64), lambda a, b: low[a:b].tobytes() + level[a:b].tobytes())
 
     return ask
 
 
+def _answer_anchors(hot: int):
+    """For each asked anchor two bits: is it in two documents, and is it at more than ``hot`` places (rounded up to powers of two in a block)?"""
+
+    def answer(table: pa.Table) -> pa.Table:
+        raw = [np.frombuffer(x, np.uint8) for x in table.column("payload").to_pylist()]
+        sizes = [len(x) // 5 for x in raw]
+        low = np.concatenate([x[: 4 * n].view(np.uint32) for x, n in zip(raw, sizes, strict=True)])
+        level = np.concatenate([x[4 * n :] for x, n in zip(raw, sizes, strict=True)])
+        _, inverse, counts = np.unique(low, return_inverse=True, return_counts=True)
+        shared = counts > 1
+        shared[inverse[level >= 128]] = True
+        many = np.bincount(inverse, weights=np.exp2(level & 127), minlength=len(counts)) > hot
+        bits, ends = np.stack([shared, shared & many], axis=1)[inverse], np.cumsum(sizes)
+        return table.set_column(table.schema.get_field_index("payload"), "payload", pa.array([B.packed(bits[e - n : e]) for n, e in zip(sizes, ends, strict=True)], pa.binary()))
+
+    return answer
+
+
 def _surroundings(block, bits: np.ndarray, n_buckets: int):
-    """Per part its shared anchors; for the block the distinct surroundings, their buckets and first documents."""
-    table, ids, has, parts, uniq, _ = block
+    """Per part its shared anchors that are not hot; for the block the distinct surroundings, their buckets and first documents."""
+    table, ids, has, parts, uniq, *_ = block
     found, rows, buckets, docs = [], [np.zeros((0, WIDTH), np.uint8)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for a, b, data, offs, begin, end, at, row, key in parts:
-        shared = np.flatnonzero(bits[np.searchsorted(uniq, key)])
+        shared = np.flatnonzero((bits[:, 0] & ~bits[:, 1])[np.searchsorted(uniq, key)])
         begin, end, at, row, key = begin[shared], end[shared], at[shared], row[shared], key[shared]
         edge = np.full(REACH, NONE, np.uint8)
         around = np.lib.stride_tricks.sliding_window_view(np.concatenate([edge, data, edge]), WIDTH)[at] if len(at) else rows[0].copy()
@@ -117,13 +140,52 @@ def _surroundings(block, bits: np.ndarray, n_buckets: int):
     return found, rows[first], buckets[first], docs[first], docs, inverse
 
 
-def _ask_strings(n_anchor: int, n_text: int):
+def _steps(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges [begin, end), one range after the other."""
+    size = end - begin
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+
+
+def _hot_strings(block, bits: np.ndarray, n_hot: int):
+    """Per part the starts of strings with a hot anchor; for the block the distinct ones' part, start, bucket and first row, and all rows."""
+    _, _, _, parts, uniq, *_ = block
+    found, hashes, rows, of = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    codes = X.byte_codes(7)
+    for k, (a, b, data, offs, begin, end, at, row, key) in enumerate(parts):
+        hot = np.flatnonzero(bits[:, 1][np.searchsorted(uniq, key)])
+        start = _steps(begin[hot], end[hot]).astype(np.int32)
+        found.append(start)
+        if len(start):
+            hashes.append(X.window_hashes(codes[data], SPAN)[start])
+            rows.append((a + np.repeat(row[hot], end[hot] - begin[hot])).astype(np.int32))
+            of.append(np.full(len(start), k, np.int32))
+    h, rows, of = np.concatenate(hashes), np.concatenate(rows), np.concatenate(of)
+    start = np.concatenate([np.zeros(0, np.int32), *found])
+    bucket = B.bucket_of(h, n_hot)
+    first, inverse = B.distinct(bucket, h)
+    return found, of[first], start[first], bucket[first], rows[first], rows, inverse
+
+
+def _ask_strings(n_anchor: int, n_text: int, n_hot: int):
+    """Asks about surroundings (buckets up to ``n_text``) and about the strings around hot anchors (buckets after those)."""
+
     def ask(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         block = _block(left, n_anchor)
-        bits = B.answers(right, len(block[4]))
+        bits = B.answers(right, 2 * len(block[4])).reshape(-1, 2)
         _, rows, bucket, docs, *_ = _surroundings(block, bits, n_text)
         rank = np.unique(docs, return_inverse=True)[1].astype(np.int32)
-        return B.asks(B.key_of(key), bucket, lambda a, b: np.int32(b - a).tobytes() + pa.compress(rows[a:b].tobytes() + rank[a:b].tobytes(), codec="zstd", asbytes=True))
+        cold = B.asks(B.key_of(key), bucket, lambda a, b: np.int32(b - a).tobytes() + pa.compress(rows[a:b].tobytes() + rank[a:b].tobytes(), codec="zstd", asbytes=True))
+        del rows, docs, rank
+        _, of, start, bucket, *_ = _hot_strings(block, bits, n_hot)
+
+        def payload(a: int, b: int) -> bytes:
+            text = np.zeros((b - a, SPAN), np.uint8)
+            for k in np.unique(of[a:b]).tolist():
+                here = of[a:b] == k
+                text[here] = np.lib.stride_tricks.sliding_window_view(block[3][k][2], SPAN)[start[a:b][here]]
+            return np.int32(b - a).tobytes() + pa.compress(text.tobytes(), codec="zstd", asbytes=True)
+
+        return pa.concat_tables([cold, B.asks(B.key_of(key), n_text + bucket, payload)])
 
     return ask
 
@@ -215,31 +277,59 @@ def answer_strings(table: pa.Table) -> pa.Table:
     return table.set_column(table.schema.get_field_index("payload"), "payload", pa.array([bits[e - n : e].tobytes() for n, e in zip(sizes, ends, strict=True)], pa.binary()))
 
 
+def answer_hot(table: pa.Table) -> pa.Table:
+    """For each asked string of a bucket: does an earlier block ask about it, too?"""
+    sizes, text = [], []
+    for x in table.column("payload").to_pylist():
+        sizes.append(int(np.frombuffer(x, np.int32, 1)[0]))
+        text.append(np.frombuffer(pa.decompress(x[4:], sizes[-1] * SPAN, codec="zstd", asbytes=True), f"S{SPAN}"))
+    blk = np.repeat(table.column("blk").to_numpy(), sizes)
+    _, at, which = np.unique(np.concatenate(text), return_index=True, return_inverse=True)
+    least = np.full(len(at), np.iinfo(np.int64).max)
+    np.minimum.at(least, which, blk)
+    bits, ends = least[which] < blk, np.cumsum(sizes)
+    return table.set_column(table.schema.get_field_index("payload"), "payload", pa.array([B.packed(bits[e - n : e]) for n, e in zip(sizes, ends, strict=True)], pa.binary()))
+
+
+def _answer(n_text: int):
+    def answer(key: tuple, table: pa.Table) -> pa.Table:
+        return answer_strings(table) if B.key_of(key) < n_text else answer_hot(table)
+
+    return answer
+
+
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept {kept}, crc long"
 
 
-def _remove(n_anchor: int, n_text: int, as_text: bool):
+def _remove(n_anchor: int, n_text: int, n_hot: int, as_text: bool):
     def remove(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         rounds = right.column("round").to_numpy()
         block = _block(left, n_anchor)
-        shared = B.answers(right.filter(pa.array(rounds == 1)), len(block[4]))
+        shared = B.answers(right.filter(pa.array(rounds == 1)), 2 * len(block[4])).reshape(-1, 2)
         found, _, _, least, docs, inverse = _surroundings(block, shared, n_text)
-        second = right.filter(pa.array(rounds == 2)).sort_by([("bucket", "ascending")])
+        hot, _, _, _, first_row, row_of, place = _hot_strings(block, shared, n_hot)
+        is_hot = right.column("bucket").to_numpy() >= n_text
+        earlier = B.answers(right.filter(pa.array((rounds == 2) & is_hot)), len(first_row))
+        gone_hot = earlier[place] | (block[1][row_of] > block[1][first_row][place])
+        second = right.filter(pa.array((rounds == 2) & ~is_hot)).sort_by([("bucket", "ascending")])
         bits = np.frombuffer(b"".join(second.column("payload").to_pylist()), np.uint32)
         if len(bits) != len(least):
             raise ValueError(f"{len(least)} surroundings were asked and {len(bits)} answered")
         table, ids, has, parts = block[:4]
-        size, removed, spans, kept, crc, done = [], [], [], [], [], 0
-        for (a, b, data, offs, *_), (begin, end, at) in zip(parts, found, strict=True):
+        size, removed, spans, kept, crc, done, done_hot = [], [], [], [], [], 0, 0
+        for (a, b, data, offs, *_), (begin, end, at), hot_start in zip(parts, found, hot, strict=True):
             entry, doc = inverse[done : done + len(at)], docs[done : done + len(at)]
             done += len(at)
             cut = np.zeros(len(data), bool)
             if len(at):
                 size_of = end - begin
-                start = np.arange(size_of.sum()) - np.repeat(np.cumsum(size_of) - size_of, size_of) + np.repeat(begin, size_of)
+                start = _steps(begin, end)
                 shift = (start - np.repeat(at, size_of) + REACH).astype(np.uint32)
                 gone = ((np.repeat(bits[entry], size_of) >> shift) & np.uint32(1)).astype(bool) | np.repeat(doc > least[entry], size_of)
                 cut = X.cover(start[gone], SPAN, len(data))
+            if len(hot_start):
+                cut |= X.cover(hot_start[gone_hot[done_hot : done_hot + len(hot_start)]], SPAN, len(data))
+                done_hot += len(hot_start)
             total = np.r_[0, np.cumsum(cut)]
             run = X.runs(cut, offs)[0] if cut.any() else np.zeros(0, np.int64)
             size.append(np.diff(offs))
@@ -255,7 +345,7 @@ def _remove(n_anchor: int, n_text: int, as_text: bool):
     return remove
 
 
-def remove_repeated_strings(docs: DataFrame, as_text: bool = False) -> DataFrame:
+def remove_repeated_strings(docs: DataFrame, as_text: bool = False, hot: int = HOT) -> DataFrame:
     """Remove every byte that a repeated 50-byte string covers; one row per row of ``docs``.
 
     Texts are UTF-8 bytes; a string is repeated if it also starts in a document with a
@@ -266,12 +356,13 @@ def remove_repeated_strings(docs: DataFrame, as_text: bool = False) -> DataFrame
     Null and empty texts have no bytes. Rows that repeat a doc_id are judged alike and never
     remove each other; rows without doc_id are kept whole and remove nothing. Texts under 50
     bytes lose nothing. An empty table gives an empty table. Other columns are not looked at.
+    ``hot`` bounds the places of an anchor that one task sorts; it doesn't change the result.
     """
     rows, _, size = B.deal(docs)
     n_anchor = max(16, size // 13 // ANCHORS_PER_BUCKET * 2)
-    n_text = max(16, size // (24 << 20))
+    n_text, n_hot = max(16, size // (24 << 20)), max(16, size // (8 << 20))
     by = rows.groupBy("blk")
-    shared = by.applyInArrow(_ask_anchors(n_anchor), B.ASK).groupBy("bucket").applyInArrow(answer_shared, B.ASK)
-    strings = by.cogroup(shared.groupBy("blk")).applyInArrow(_ask_strings(n_anchor, n_text), B.ASK).groupBy("bucket").applyInArrow(answer_strings, B.ASK)
+    shared = by.applyInArrow(_ask_anchors(n_anchor), B.ASK).groupBy("bucket").applyInArrow(_answer_anchors(hot), B.ASK)
+    strings = by.cogroup(shared.groupBy("blk")).applyInArrow(_ask_strings(n_anchor, n_text, n_hot), B.ASK).groupBy("bucket").applyInArrow(_answer(n_text), B.ASK)
     both = shared.withColumn("round", F.lit(1)).unionByName(strings.withColumn("round", F.lit(2)))
-    return by.cogroup(both.groupBy("blk")).applyInArrow(_remove(n_anchor, n_text, as_text), OUT.format(kept="string" if as_text else "binary"))
+    return by.cogroup(both.groupBy("blk")).applyInArrow(_remove(n_anchor, n_text, n_hot, as_text), OUT.format(kept="string" if as_text else "binary"))

@@ -1,8 +1,11 @@
 """Passage and string dedup against brute force, over one block and over many."""
 
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from courtline.llm import blocked, passages, substrings, suffixes
@@ -81,6 +84,40 @@ def test_many_surroundings_of_one_anchor(spark, monkeypatch):
     assert got == {i: sum(_cut(t.encode(), first, i, 50)) for i, t in enumerate(texts)}
 
 
+@pytest.mark.parametrize("hot", [0, 8])
+def test_strings_around_hot_anchors(spark, block_size, hot):
+    rows = documents(3)
+    rows += [(5000 + i, f"{i:03d} {i * i}" * 3 + "a common line that stands in very many of all the documents here" + f"{i * 7} {i:04d}" * 4, *rows[0][2:]) for i in range(60)]
+    units = lambda t: (t or "").encode()
+    first = _first(rows, units, 50)
+    want = [(r[0], sum(_cut(units(r[1]), first, r[0], 50))) for r in rows]
+    got = [(r.doc_id, r.n_removed) for r in substrings.remove_repeated_strings(frame(spark, rows), hot=hot).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_surroundings_of_a_hot_anchor_are_dealt_over_buckets():
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    line = "this very common line stands in all documents, with other words around it every time"
+    tables = [pa.table({"doc_id": range(1000 * b, 1000 * b + 1000), "text": [noise(40) + line + noise(40) for _ in range(1000)]}) for b in range(4)]
+    n_anchor, n_text, n_hot = 16, 16, 16
+    asked = pa.concat_tables([substrings._ask_anchors(n_anchor)((pa.scalar(b),), t) for b, t in enumerate(tables)])
+    answer = substrings._answer_anchors(500)
+    shared = pa.concat_tables([answer(asked.filter(pc.equal(asked["bucket"], k))) for k in pc.unique(asked["bucket"]).to_pylist()])
+    asked = pa.concat_tables([substrings._ask_strings(n_anchor, n_text, n_hot)((pa.scalar(b),), t, shared.filter(pc.equal(shared["blk"], b))) for b, t in enumerate(tables)])
+    cold, hot = Counter(), Counter()
+    for bucket, payload in zip(asked["bucket"].to_pylist(), asked["payload"].to_pylist(), strict=True):
+        n = int(np.frombuffer(payload, np.int32, 1)[0])
+        if bucket < n_text:
+            around = pa.decompress(payload[4:], n * substrings._ENTRY, codec="zstd", asbytes=True)
+            width, reach = substrings.WIDTH, substrings.REACH
+            cold.update(around[k * width + reach : k * width + substrings.SPAN] for k in range(n))
+        else:
+            hot[bucket] += n
+    assert max(cold.values()) <= 500  # all of an anchor's rows are in one bucket; before, those of a border were 4,000
+    assert sum(hot.values()) > 4000 and max(hot.values()) < 1.5 * sum(hot.values()) / n_hot
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_suffix_array(seed):
     rng = np.random.default_rng(seed)
