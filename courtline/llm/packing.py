@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as X
+from .nearjoin import near_duplicates
 
 #: Words in a bin, and documents that are packed together.
 CAPACITY, SHARD = 1024, 4000
@@ -63,12 +64,12 @@ def best_fit(lengths: list[int], sources: list[int], clusters: list[int], capaci
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, source, text) to (doc_id, source, n_words, cluster): cluster names the lower-cased words in order."""
+    """(doc_id, source, text, key) to (doc_id, source, n_words, words, key): words names the lower-cased words in order."""
     for batch in batches:
         for a, b, data, offs in X.blocks(batch.column(2)):
             starts, ends, first = X.words(data, offs, X.NOT_SPACE)
             codes = X.segment_hashes(X.byte_codes(14)[X.LOWER[data]], starts, ends)
-            yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:2]), pa.array(np.diff(first), pa.int64()), pa.array(X.segment_hashes(codes, first[:-1], first[1:]).astype(np.int64))], names=["doc_id", "source", "n_words", "cluster"])
+            yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:2]), pa.array(np.diff(first), pa.int64()), pa.array(X.segment_hashes(codes, first[:-1], first[1:]).astype(np.int64)), batch.column(3).slice(a, b - a)], names=["doc_id", "source", "n_words", "words", "key"])
 
 
 OUT = "doc_id long, part int, start_word long, n_words long, bin_id long, bin_offset long"
@@ -77,7 +78,7 @@ OUT = "doc_id long, part int, start_word long, n_words long, bin_id long, bin_of
 def _pack(capacity: int):
     def pack(key: tuple, table: pa.Table) -> pa.Table:
         shard = int(key[0].as_py())
-        table = table.combine_chunks().sort_by([("doc_id", "ascending"), ("cluster", "ascending"), ("source", "ascending")])
+        table = table.combine_chunks().sort_by([("doc_id", "ascending"), ("words", "ascending"), ("source", "ascending")])
         length = table.column("n_words").to_numpy()
         source = np.unique(np.array([x or "" for x in table.column("source").to_pylist()], object), return_inverse=True)[1] if len(length) else length
         _, cluster, copies = np.unique(table.column("cluster").to_numpy(), return_inverse=True, return_counts=True)
@@ -108,16 +109,21 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     Words are runs of bytes other than ASCII white space. A document longer than a bin fills
     whole bins, and what is left of it is a piece to be packed; nothing is cut off. No bin has
-    two pieces of one source, or of one duplicate cluster (equal words but for A-Z and a-z).
+    two pieces of one source, or of one duplicate cluster: texts that ``near_duplicates`` connects
+    by links (Jaccard similarity of 0.8 or more), or whose words are equal but for A-Z and a-z.
     Returns doc_id, part, start_word, n_words, bin_id and bin_offset.
 
     Null, empty and blank texts take no room: one row with no words and no bin. Null sources are
-    the source ''. Rows that repeat a doc_id are packed each on their own (equal ones are one
-    cluster); rows without doc_id are dealt by their text. No rows give no rows. Other columns
-    are not looked at.
+    the source ''. Rows that repeat a doc_id are packed each on their own, and each has the cluster
+    of its own text; rows without doc_id are dealt by their text and have clusters, too. No rows
+    give no rows. Other columns are not looked at.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     n_shards = max(1, ceil(rows.count() / SHARD))
-    items = rows.mapInArrow(_described, "doc_id long, source string, n_words long, cluster long")
-    shard = F.pmod(F.coalesce(F.xxhash64("doc_id"), F.lit(0)) + F.when(F.col("doc_id").isNull(), F.col("cluster")).otherwise(F.lit(0)), F.lit(n_shards))
+    keyed = rows.withColumn("key", F.xxhash64("doc_id", "text"))  # one for each text of a doc_id
+    named = keyed.where("doc_id is not null").unionByName(keyed.where("doc_id is null").dropDuplicates(["key"]))
+    classes = near_duplicates(named.select(F.col("key").alias("doc_id"), "text")).where("n_links > 0").select(F.col("doc_id").alias("key"), "class_id")
+    items = keyed.select("doc_id", "source", "text", "key").mapInArrow(_described, "doc_id long, source string, n_words long, words long, key long")
+    items = items.join(classes, "key", "left").select("doc_id", "source", "n_words", "words", F.coalesce("class_id", "words").alias("cluster"))
+    shard = F.pmod(F.coalesce(F.xxhash64("doc_id"), F.lit(0)) + F.when(F.col("doc_id").isNull(), F.col("words")).otherwise(F.lit(0)), F.lit(n_shards))
     return items.withColumn("shard", shard.cast("long")).groupBy("shard").applyInArrow(_pack(capacity), OUT)

@@ -122,6 +122,21 @@ def test_packing(spark):
     assert packing.pack_documents(frame(spark).where("false")).count() == 0
 
 
+def test_packing_keeps_near_copies_apart(spark):
+    text = " ".join(f"word{k}" for k in range(90))
+    near = [text, text.replace("word89", "changed"), text.replace("word0 ", "first "), text + " more"]
+    other = [" ".join(f"{name}{k}" for k in range(90)) for name in "abcd"]
+    ids = [1, 2, None, 4, 5, 5, None, 8]  # 5 has two different texts, one of them a near copy
+    texts = [near[0], near[1], near[2], other[0], other[1], near[3], other[2], other[3]]
+    rows = [(d, t, "en", f"src{i}", len(t), "clash", 1, "p", "r") for i, (d, t) in enumerate(zip(ids, texts, strict=True))]
+    got = packing.pack_documents(frame(spark, rows), 1024).collect()
+    bins = Counter(r.bin_id for r in got)
+    assert len(got) == 8 and len(bins) == 4  # the four near copies each in another bin
+    pieces = sorted((r.doc_id or 0, r.n_words, r.bin_id) for r in got)
+    ones = [b for d, n, b in pieces if (d, n) in {(1, 90), (2, 90), (5, 91)}]
+    assert len(ones) == 3 == len(set(ones))
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     # 10 opens bin 0 (room 6), 9 bin 1 (room 7); 6 of the same source as bin 0 must go to bin 1
     assert packing.best_fit([10, 9, 6], [1, 2, 1], [0, 0, 0], 16) == [0, 1, 1]
