@@ -6,7 +6,9 @@ the depth of a window). Every suffix of every benchmark item is then found in it
 binary searches, which give all places of its longest match up to a window; matches that
 go on along an item are joined into the longest verbatim match with its locations. A shard
 is searched where it is read, so documents are never shuffled. The benchmark is sent out in
-blocks of at most ``ITEM_BYTES`` of text; each block is searched in every shard.
+blocks of about ``ITEM_BYTES`` of text; each block is searched in every shard. Where there is
+more than one block, each has a scan of its own, so that a task holds one block whatever the
+size of the benchmark, and the matches of a document are put together by its key.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,51 +119,93 @@ def search_shard(codes: np.ndarray, first: np.ndarray, block: dict) -> tuple[np.
     return hit, items, matches
 
 
-def benchmark_matches(docs: DataFrame, benchmark: DataFrame, span: int = 10) -> DataFrame:
-    """Find every benchmark window in every document; one row per row of ``docs``.
+_KIND = pa.struct([("item_id", pa.string()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64())])
 
-    A-Z are lower-cased; a word is a run of digits, a-z and characters past ASCII. A window is
-    ``span`` consecutive words of an item (all words of a shorter one). Returns doc_id, n_words,
-    n_hit (words inside an occurrence of a window), items (ids of items with occurring windows,
-    as strings, each once) and matches (longest verbatim matches: item_id, doc_word, item_word,
-    n_words).
 
-    Null and empty texts have no words and no hits; null or empty items have no windows. Items
-    with one item_id are one item; items without item_id are named ''. Rows that repeat a doc_id
-    are judged each on their own. An empty benchmark hits nothing. Other columns are not read.
-    """
-    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, ceil(size / ITEM_BYTES))
-    sent = []
-    for k in range(n_blocks):
-        got = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()
-        sent.append(docs.sparkSession.sparkContext.broadcast(item_windows([r[0] for r in got], [r[1] for r in got], span)))
+def _matches(rows: list[list[tuple]]) -> pa.Array:
+    return pa.array([[dict(zip(("item_id", "doc_word", "item_word", "n_words"), m, strict=True)) for m in x] for x in rows], pa.list_(_KIND))
+
+
+def _search(sent: Broadcast):
+    """(doc_id, text) to all columns of the result, for a benchmark of one block."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offs in X.blocks(batch.column(1)):
                 codes, first = _codes(data, offs)
-                hit, items, matches = np.zeros(len(codes), bool), [[] for _ in range(b - a)], [[] for _ in range(b - a)]
-                for block in sent:
-                    more, names, spans = search_shard(codes, first, block.value)
-                    hit |= more
-                    items = [x + y for x, y in zip(items, names, strict=True)]
-                    matches = [x + y for x, y in zip(matches, spans, strict=True)]
+                hit, items, matches = search_shard(codes, first, sent.value)
                 total = np.r_[0, np.cumsum(hit)]
-                kind = pa.struct([("item_id", pa.string()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64())])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
                         pa.array(np.diff(first), pa.int64()),
                         pa.array(np.diff(total[first]), pa.int64()),
                         pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())),
-                        pa.array([[dict(zip(("item_id", "doc_word", "item_word", "n_words"), m, strict=True)) for m in x] for x in matches], pa.list_(kind)),
+                        _matches(matches),
                     ],
                     names=["doc_id", "n_words", "n_hit", "items", "matches"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(search, OUT)
+    return search
+
+
+def _search_block(sent: Broadcast):
+    """(key, key2, text) to the keys and matches of the rows that one of several blocks hits."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offs in X.blocks(batch.column(2)):
+                *_, matches = search_shard(*_codes(data, offs), sent.value)
+                some = pa.array([k for k, m in enumerate(matches) if m], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a).take(some) for c in batch.columns[:2]), _matches([m for m in matches if m])], names=["key", "key2", "matches"])
+
+    return search
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, key, key2, text) to (doc_id, key, key2, n_words)."""
+    for batch in batches:
+        for a, b, data, offs in X.blocks(batch.column(3)):
+            yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:3]), pa.array(np.diff(_codes(data, offs)[1]), pa.int64())], names=["doc_id", "key", "key2", "n_words"])
+
+
+def benchmark_matches(docs: DataFrame, benchmark: DataFrame, span: int = 10) -> DataFrame:
+    """Find every benchmark window in every document; one row per row of ``docs``.
+
+    A-Z are lower-cased; a word is a run of digits, a-z and characters past ASCII. A window is
+    ``span`` consecutive words of an item (all words of a shorter one). Returns doc_id, n_words,
+    n_hit (words inside an occurrence of a window), items (ids of items with occurring windows,
+    as strings, each once) and matches (longest verbatim matches: item_id, doc_word, item_word,
+    n_words).
+
+    Null and empty texts have no words and no hits; null or empty items have no windows. Items
+    with one item_id are one item; items without item_id are named ''. Rows that repeat a doc_id
+    are judged each on their own. An empty benchmark hits nothing. Other columns are not read.
+    """
+    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_blocks = max(1, ceil(size / ITEM_BYTES))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def block(k: int) -> Broadcast:
+        got = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()
+        return docs.sparkSession.sparkContext.broadcast(item_windows([r[0] for r in got], [r[1] for r in got], span))
+
+    if n_blocks == 1:
+        return rows.mapInArrow(_search(block(0)), OUT)
+    key = [F.xxhash64("doc_id", "text").alias("key"), F.xxhash64(F.lit(1), "doc_id", "text").alias("key2")]
+    found = None
+    for k in range(n_blocks):
+        part = rows.select(*key, "text").mapInArrow(_search_block(block(k)), f"key long, key2 long, matches array<{MATCH}>")
+        found = part if found is None else found.unionByName(part)
+    found = found.groupBy("key", "key2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("matches")))).alias("matches"))
+    words = rows.select("doc_id", *key, "text").mapInArrow(_counted, "doc_id long, key long, key2 long, n_words long")
+    both = words.join(found, ["key", "key2"], "left").select("doc_id", "n_words", F.coalesce("matches", F.array().cast(f"array<{MATCH}>")).alias("matches"))
+    # the words that matches cover: those past the furthest end so far, in the order of their starts
+    runs = F.array_sort(F.transform("matches", lambda m: F.struct(m["doc_word"].alias("a"), (m["doc_word"] + m["n_words"]).alias("b"))))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
+    n_hit = F.aggregate(runs, start, lambda s, r: F.struct((s["n"] + F.greatest(F.lit(0).cast("long"), r["b"] - F.greatest(r["a"], s["end"]))).alias("n"), F.greatest(s["end"], r["b"]).alias("end")), lambda s: s["n"])
+    return both.select("doc_id", "n_words", n_hit.alias("n_hit"), F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"]))).alias("items"), "matches")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 10) -> DataFrame:

@@ -69,6 +69,15 @@ def test_benchmark_matches(spark, monkeypatch, item_bytes):
     assert decontaminate.benchmark_matches(frame(spark, rows), bench.where("false")).where("n_hit > 0").count() == 0
 
 
+def test_a_task_holds_one_block_of_the_benchmark(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 100)
+    bench = spark.createDataFrame([(i, f"item {i} of the benchmark") for i in range(20)], "item_id long, text string")
+    docs = frame(spark, [(1, "an item 3 of the benchmark and item 4 of the benchmark", *documents()[0][2:])] * 2)
+    found = decontaminate.benchmark_matches(docs, bench)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow search") == 5  # one scan a block; before, one scan held all
+    assert [(r.n_words, r.n_hit, r["items"]) for r in found.collect()] == [(12, 10, ["3", "4"])] * 2
+
+
 def test_longest_match_is_joined(spark):
     text = " ".join(f"w{i}" for i in range(50))
     docs = frame(spark, [(1, "q " + text + " q", *documents()[0][2:])])
