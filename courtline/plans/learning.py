@@ -53,8 +53,12 @@ def _clips(s, d):
     m = frames.window_metrics(descriptors(s, d), frames.kinematics(moves(s, d)))
     lab = rules.label_clips(X.raw_positions(s, d)).select("match_id", "sequence", "label")
     clip = F.concat_ws("_", F.col("match_id").cast("string"), F.col("sequence").cast("string"))
-    return m.join(lab, ["match_id", "sequence"]).withColumn("clip", clip).withColumn("video", F.col("match_id") % 3)
+    return m.join(lab, ["match_id", "sequence"]).withColumn("clip", clip).withColumn("video", F.col("match_id"))
 
 
-_add("ml5_lovo_predict", lambda s, d: learning.grouped_predictions(_clips(s, d), _METRICS, "video", "tree").select("clip", "video", "y_true", "y_pred"))
-_add("ml4_kfold_predict", lambda s, d: scores.classification_scores(learning.grouped_predictions(scores.kfold(_clips(s, d), 3), _METRICS, "fold", "tree")))
+_OUT = ("y_true", "y_pred")
+_folds = lambda s, d, model: learning.grouped_predictions(scores.kfold(_clips(s, d)), _METRICS, "fold", model)
+for _model, _end in (("tree", ""), ("logistic", "_logistic"), ("forest", "_forest")):
+    _add(f"ml5_lovo_predict{_end}", lambda s, d, m=_model: learning.grouped_predictions(_clips(s, d), _METRICS, "video", m).select("clip", "video", *_OUT))
+    _add(f"ml4_kfold_predict{_end}", lambda s, d, m=_model: _folds(s, d, m).select("clip", "fold", *_OUT))
+_add("ml4_kfold_report", lambda s, d: scores.classification_scores(_folds(s, d, "tree")))
