@@ -3,11 +3,11 @@
 A document is its set of five-word shingles; documents with equal sets are one class from
 the start. Each set has a sketch of ``SKETCH`` minimum hashes. In every run a set chooses
 about ``CHOSEN`` of its sketch's tokens by a hash that all sets share, and joins the bucket
-of each; buckets over ``SMALL`` sets are split again and again on tokens chosen along the path,
-and small buckets are compared by brute force. A large bucket that a further token hardly makes
+of each; buckets over ``SMALL`` sets are split again and again on tokens chosen along the path
+(never one that is on the path already), and small buckets are compared by brute force. A large bucket that a further token hardly makes
 smaller is dense: dense buckets that overlap are one group, which is compared by brute force in
-tiles. A pair at the threshold meets in one run with
-probability 0.8, so ``RUNS`` runs miss fewer than one in 100,000. What buckets find are only
+tiles. Runs are repeated
+until a pair at the threshold meets in one of them with probability ``RECALL``. What buckets find are only
 candidates: connected ones meet once more with their whole sets, where every pair is decided
 exactly. Large groups are cut into tiles, and a tile returns link counts and one
 edge per set, never its pairs.
@@ -16,6 +16,7 @@ edge per set, never its pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +24,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as X
-from .saved import components, saved
+from .saved import attach, components, saved
 
 SHINGLE, THRESHOLD = 5, 0.8
-SKETCH, CHOSEN, CHOSEN_BELOW, RUNS, SMALL, TILE, DENSE = 64, 2.0, 2.0, 8, 256, 256, 0.25
+SKETCH, CHOSEN, SMALL, TILE, DENSE, RECALL = 64, 2.0, 256, 256, 0.25, 0.99999
+#: Sets of a component with more bytes than this a member are dealt to more tiles; rows and bytes of a task's bundle.
+MEMBER_BYTES, BUNDLE_ROWS, BUNDLE_BYTES = 1 << 16, 16_000, 32 << 20
 #: Fixed value: a pair at the threshold falls under it by five standard deviations.
 CANDIDATE = int(SKETCH * (THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / SKETCH) ** 0.5))
 COLUMNS = 4096
 
+
+def runs_for(recall: float) -> int:
+    """Runs after which a pair at the threshold has chosen a common token with this probability."""
+    return ceil(log(1 - recall) / (SKETCH * THRESHOLD * log(1 - CHOSEN / SKETCH)))
+
+
+RUNS = runs_for(RECALL)
 _SEEDS = X.mix(np.arange(1, SKETCH + 1, dtype=np.uint64), 77) | np.uint64(1)
-_LIMIT, _LIMIT_BELOW = (np.uint64(int(c / SKETCH * (1 << 64))) for c in (CHOSEN, CHOSEN_BELOW))
+_LIMIT = np.uint64(int(CHOSEN / SKETCH * (1 << 64)))
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,21 +78,23 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     v ^= v >> np.uint64(32)
                     sketch[:, k] = np.minimum.reduceat(v, begin)
             token = X.mix(sketch ^ _SEEDS[None, :])
-            keys, whose = [], []
+            keys, whose, slots = [], [], []
             for r in range(RUNS):
                 drawn = X.mix(token, 100 + r)
                 i, k = np.nonzero(drawn < _LIMIT)
                 keys.append(X.mix(token[i, k], 200 + r))
                 whose.append(i)
-            keys, whose = np.concatenate(keys), np.concatenate(whose)
-            keys = keys[np.argsort(whose, kind="stable")].astype(np.int64)
+                slots.append(k)
+            keys, whose, slots = (np.concatenate(x) for x in (keys, whose, slots))
+            order = np.argsort(whose, kind="stable")
+            chosen = pa.StructArray.from_arrays([pa.array(keys[order].astype(np.int64)), pa.array(np.int64(1) << slots[order].astype(np.int64))], names=["key", "used"])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(a, b - a).take(pa.array(full)),
                     pa.array(name[0].astype(np.int64)),
                     pa.array(name[1].astype(np.int64)),
                     pa.array(size[full], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(whose, minlength=len(full)))], pa.int32()), pa.array(keys, pa.int64())),
+                    pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(whose, minlength=len(full)))], pa.int32()), chosen),
                     pa.array([x.tobytes() for x in (token & np.uint64(0xFFFF)).astype(np.uint16)], pa.binary()),
                 ],
                 names=["doc_id", "k1", "k2", "n", "keys", "sketch"],
@@ -90,15 +102,16 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _next_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, rep, sketch, many) of large buckets to the buckets one level down the path."""
+    """(key, rep, sketch, many, used) of large buckets to the buckets one level down the path; used: bits of the path's tokens."""
     for batch in batches:
         key = batch.column(0).to_numpy().astype(np.uint64)
         if not len(key):
             continue
         token = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(len(key), SKETCH).astype(np.uint64)
         token = X.mix(token ^ _SEEDS[None, :])
-        i, k = np.nonzero(X.mix(token ^ key[:, None], 300) < _LIMIT_BELOW)
-        yield pa.RecordBatch.from_arrays([pa.array(X.mix(token[i, k] ^ key[i], 301).astype(np.int64)), *(batch.column(c).take(pa.array(i)) for c in (1, 3))], names=["key", "rep", "above"])
+        used, bit = batch.column(4).to_numpy(), np.int64(1) << np.arange(SKETCH, dtype=np.int64)
+        i, k = np.nonzero((X.mix(token ^ key[:, None], 300) < _LIMIT) & ((used[:, None] & bit) == 0))
+        yield pa.RecordBatch.from_arrays([pa.array(X.mix(token[i, k] ^ key[i], 301).astype(np.int64)), *(batch.column(c).take(pa.array(i)) for c in (1, 3)), pa.array(used[i] | bit[k])], names=["key", "rep", "above", "used"])
 
 
 def _roots(near: np.ndarray) -> np.ndarray:
@@ -219,45 +232,48 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     not looked at.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    signed = rows.mapInArrow(_signatures, "doc_id long, k1 long, k2 long, n long, keys array<long>, sketch binary")
+    signed = rows.mapInArrow(_signatures, "doc_id long, k1 long, k2 long, n long, keys array<struct<key: long, used: long>>, sketch binary")
     one = signed.groupBy("doc_id").agg(F.min(F.struct("k1", "k2", "n", "keys", "sketch")).alias("s")).select("doc_id", "s.*")
     one = saved(one, "signatures")
     reps = one.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     reps = saved(reps, "classes")
 
     sketches = reps.select("rep", "sketch")
-    level = reps.select(F.explode("keys").alias("key"), "rep", F.lit(None).cast("long").alias("above"))
-    found, dense_edges = None, None
+    level = reps.select(F.inline("keys"), "rep", F.lit(None).cast("long").alias("above"))
+    found, dense_edges, n_rows = None, None, 0
     while True:
-        counts = level.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
-        met = saved(level.join(counts, "key"), "buckets")
+        counts = saved(level.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"), "counts")
+        met = saved(attach(level, counts, "key", "many", level.count()), "buckets")
         small, large = met.where(F.col("many") <= SMALL), met.where(F.col("many") > SMALL)
         dense = F.coalesce(F.col("many") >= DENSE * F.col("above"), F.lit(False))
-        stars = large.where(dense)
-        stars = stars.join(stars.groupBy("key").agg(F.min("rep").alias("b")), "key").select(F.col("rep").alias("a"), "b")
         found = small.select("key", "rep") if found is None else found.unionByName(small.select("key", "rep"))
-        sizes = met.where(F.col("many") > SMALL).agg(F.count(F.when(dense, 1)), F.count(F.when(~dense, 1))).first()
-        if sizes[0]:
+        n_small, n_dense, n_large = met.agg(F.count_if(F.col("many") <= SMALL), F.count_if((F.col("many") > SMALL) & dense), F.count_if((F.col("many") > SMALL) & ~dense)).first()
+        n_rows += n_small
+        if n_dense:
+            groups = large.where(dense)
+            least = groups.groupBy("key").agg(F.min("rep").alias("b"), F.first("many").alias("many"))
+            stars = attach(groups.select("key", "rep"), least, "key", "many", n_dense).select(F.col("rep").alias("a"), "b")
             dense_edges = stars if dense_edges is None else dense_edges.unionByName(stars)
-        if not sizes[1]:
+        if not n_large:
             break
-        large = large.where(~dense)
-        level = saved(large.join(sketches, "rep").select("key", "rep", "sketch", "many").mapInArrow(_next_keys, "key long, rep long, above long"), "level")
-    n_bundles = max(16, reps.count() // 4000)
+        level = saved(large.where(~dense).join(sketches, "rep").select("key", "rep", "sketch", "many", "used").mapInArrow(_next_keys, "key long, rep long, above long, used long"), "level")
     compared = found.select("key", F.lit(0).cast("long").alias("part"), "rep", F.xxhash64("key").alias("bundle"))
     if dense_edges is not None:
         groups = components(dense_edges).toDF("rep", "key")
-        groups = groups.join(groups.groupBy("key").agg(F.count("*").alias("many")), "key")
+        groups = attach(groups, groups.groupBy("key").agg(F.count("*").alias("many")), "key", "many", groups.count())
+        n_rows += groups.agg(F.sum(F.ceil(F.col("many") / TILE))).first()[0] or 0
         tiles = _tiled(groups, "key", "many", "rep").select("key", "part", "rep", F.when(F.col("many") > TILE, F.xxhash64("key", "part")).otherwise(F.xxhash64("key")).alias("bundle"))
         compared = compared.unionByName(tiles)
-    compared = compared.join(sketches, "rep").withColumn("bundle", F.pmod("bundle", F.lit(n_bundles)))
+    compared = compared.join(sketches, "rep").withColumn("bundle", F.pmod("bundle", F.lit(max(16, n_rows // BUNDLE_ROWS))))
     edges = compared.groupBy("bundle").applyInArrow(_compare_buckets, "a long, b long")
-    grouped = components(edges)
-    size = grouped.groupBy("component").agg(F.count("*").alias("size"))
-    wanted = grouped.join(size, "component").join(reps.select(F.col("rep").alias("node"), "copies", "k1"), "node")
+    grouped = components(edges).join(reps.select(F.col("rep").alias("node"), "copies", "k1", "n"), "node")
+    sizes = grouped.groupBy("component").agg(F.count("*").alias("many"), F.sum(F.col("n") * 8).alias("bytes"))
+    sizes = sizes.withColumn("size", F.greatest("many", F.ceil(F.col("bytes") / MEMBER_BYTES)))
+    wanted = saved(attach(grouped, sizes, "component", "many", grouped.count()), "wanted")
+    n_bytes = wanted.agg(F.sum(F.col("n") * 8 * F.ceil(F.col("size") / TILE))).first()[0] or 0
     sets = rows.join(wanted, rows["doc_id"] == wanted["node"]).select("component", "size", F.col("node").alias("rep"), "copies", "k1", "text").mapInArrow(_sets, "component long, size long, rep long, copies long, hashes binary")
     tiles = _tiled(sets, "component", "size", "rep")
-    bundle = F.pmod(F.when(F.col("size") > TILE, F.xxhash64("component", "part")).otherwise(F.xxhash64("component")), F.lit(n_bundles))
+    bundle = F.pmod(F.when(F.col("size") > TILE, F.xxhash64("component", "part")).otherwise(F.xxhash64("component")), F.lit(max(16, n_bytes // BUNDLE_BYTES)))
     decided = saved(tiles.withColumn("bundle", bundle).groupBy("bundle").applyInArrow(_exact, "rep long, links long, root long"), "links")
     links = decided.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = components(decided.select(F.col("rep").alias("a"), F.col("root").alias("b"))).toDF("rep", "class_id")

@@ -1,4 +1,4 @@
-"""Tables written to the folder that all executors share, and connected components over them."""
+"""Tables written to the folder that all executors share, joins that spread hot keys, connected components."""
 
 from __future__ import annotations
 
@@ -8,11 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A key with more than one in ``SHARES`` of all rows is hot, so at most ``SHARES`` keys are.
+SHARES, FEW = 1000, 1000
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where it is unset (tests, one machine)."""
+    """spark.checkpoint.dir of the session; a temporary folder only where it is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -25,20 +31,34 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def attach(rows: DataFrame, facts: DataFrame, key: str, many: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``facts`` (one row per key; ``many``: rows with that key, of ``total``).
+
+    The facts of keys with more than a thousandth of all rows, a thousand keys at most, are sent to
+    where their rows are; other keys are joined by a shuffle, so no task gets the rows of a hot key.
+    """
+    limit = max(FEW, total // SHARES)
+    hot = F.broadcast(facts.where(F.col(many) > limit))
+    cold = rows.join(F.broadcast(facts.where(F.col(many) > limit).select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(cold.join(facts.where(F.col(many) <= limit), key))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (a, b); a component is named by its least node.
 
     Alternates large-star and small-star steps until the edges are stars around the least
-    nodes; each round is written and reread, and only whether it is the last reaches the
-    driver. Self-loops and repeated edges don't matter. No edges: no rows.
+    nodes; each round is written and reread, and only counts and whether it is the last reach the
+    driver. A node with many edges is no hot key: see ``attach``. Self-loops and repeated edges
+    don't matter. No edges: no rows.
     """
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:
+        total = 2 * now.count()
         both = now.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.inline(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n")).where("n > 0")
+        large = attach(both.where("b > a"), least, "a", "n", total).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = attach(large, least, "a", "n", total).select(F.inline(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))))
         now = saved(small.where("a <> b").distinct(), "edges")
         ends = now.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))))
         own = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
