@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key with more than one in ``SHARES`` of all rows is hot, so at most ``SHARES`` keys are.
-SHARES, FEW = 1000, 1000
+#: A key with more than one in ``SHARES`` of all rows (and than ``FEW``) is hot; its rows go to ``SALTS`` places.
+SHARES, FEW, SALTS = 1000, 1000, 64
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,16 +31,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def attach(rows: DataFrame, facts: DataFrame, key: str, many: str, total: int) -> DataFrame:
-    """Inner join of ``rows`` with ``facts`` (one row per key; ``many``: rows with that key, of ``total``).
+def attach(rows: DataFrame, facts: DataFrame, key: list[str], many: DataFrame, total: int, how: str = "inner") -> DataFrame:
+    """Join of ``rows`` with ``facts`` (one row per key) in which no task gets all rows of a hot key.
 
-    The facts of keys with more than a thousandth of all rows, a thousand keys at most, are sent to
-    where their rows are; other keys are joined by a shuffle, so no task gets the rows of a hot key.
+    many: (key, n), the rows per key, of ``total``. Keys with more than a thousandth of all rows,
+    a thousand at most, are hot: their rows are dealt to ``SALTS`` places, and their facts to each.
     """
-    limit = max(FEW, total // SHARES)
-    hot = F.broadcast(facts.where(F.col(many) > limit))
-    cold = rows.join(F.broadcast(facts.where(F.col(many) > limit).select(key)), key, "left_anti")
-    return rows.join(hot, key).unionByName(cold.join(facts.where(F.col(many) <= limit), key))
+    hot = F.broadcast(many.where(F.col("n") > max(FEW, total // SHARES)).select(*key, F.lit(True).alias("__hot")))
+    left = rows.join(hot, key, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(0).cast("int")).drop("__hot")
+    right = facts.join(hot, key, "left").withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
+    return left.join(right, [*key, "__salt"], how).drop("__salt")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -51,16 +51,17 @@ def components(edges: DataFrame) -> DataFrame:
     driver. A node with many edges is no hot key: see ``attach``. Self-loops and repeated edges
     don't matter. No edges: no rows.
     """
-    now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    down = lambda a, b: (F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
+    now = saved(edges.where("a <> b").select(*down("a", "b")).distinct(), "edges")
     while True:
-        total = 2 * now.count()
-        both = now.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n")).where("n > 0")
-        large = attach(both.where("b > a"), least, "a", "n", total).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # a node's larger neighbours go to the least of its smaller ones, or to itself
+        least = now.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "b")
+        large = attach(now, least, ["b"], now.groupBy("b").agg(F.count("*").alias("n")), now.count(), "left").select("a", F.coalesce("m", "b").alias("b"))
+        large = saved(large.distinct(), "edges")
+        # and its smaller neighbours, like itself, to the least of them
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = attach(large, least, "a", "n", total).select(F.inline(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))))
-        now = saved(small.where("a <> b").distinct(), "edges")
-        ends = now.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))))
-        own = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-        if own.where("up > 1 or (up = 1 and down = 1)").isEmpty():  # stars around least nodes
-            return own.where("up = 0").select("node", F.col("node").alias("component")).unionByName(now.toDF("node", "component"))
+        small = attach(large, least.select("a", "m"), ["a"], least, large.count()).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = saved(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        ends = now.groupBy("a").agg(F.count("*").alias("n"))
+        if ends.where("n > 1").isEmpty() and now.select("b").distinct().join(ends.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():  # stars around least nodes
+            return now.toDF("node", "component").unionByName(now.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component")))
