@@ -221,9 +221,12 @@ def _whole(rows: np.ndarray) -> np.ndarray:
 def _first_of_strings(rows: np.ndarray, order: np.ndarray) -> np.ndarray:
     """(rows, STARTS): the least order of any row that holds the string that starts there (by suffix array)."""
     out = np.full((len(rows), STARTS), np.iinfo(np.int64).max)
-    sa = suffix_array(rows)
-    row, col = sa // WIDTH, sa % WIDTH
-    ok = (col < STARTS) & _whole(rows)[row, np.minimum(col, REACH)]
+    text = np.concatenate([np.zeros((len(rows), 1), np.int64), rows.astype(np.int64) + 1], axis=1)
+    place = np.flatnonzero(text <= NONE)  # each row's own bytes behind a zero
+    sa = suffix_array(np.r_[text.reshape(-1)[place], 0])[0]
+    row, col = np.divmod(place[sa[sa < len(place)]], WIDTH + 1)
+    col -= 1
+    ok = (col >= 0) & (col < STARTS) & _whole(rows)[row, np.clip(col, 0, REACH)]
     row, col = row[ok], col[ok]
     if not len(row):
         return out

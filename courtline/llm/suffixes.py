@@ -1,11 +1,13 @@
-"""Suffix arrays by the grouping construction, for many short rows at once.
+"""Suffix arrays by the grouping construction.
 
-The Lyndon prefix of a suffix ends where the next smaller suffix begins. Suffixes with
-the same Lyndon prefix form a group, and groups ordered by their prefix are in suffix
-order. Within a group, suffixes are ordered like the suffixes that follow their prefixes,
-which are smaller and so already in place: one ascending scan emits the whole order, and
-no ranks are renamed. Rows are equally long, so the first phase sweeps all rows in
-lockstep, one column after the other from the right, over numpy vectors.
+First phase: suffixes begin in groups by their first byte. Groups are taken in descending
+order; from each of its suffixes a pointer goes to the previous position of a smaller group
+(over positions that were taken before, whose pointers are known). A position that is pointed
+at has the group's prefix behind its own, once for each pointer, so it moves behind the rest of
+its group, the more pointers the further. When all groups were taken, suffixes are grouped by
+their Lyndon prefixes and groups are in suffix order. Second phase: in ascending order, each
+suffix emits those before it that it is the next smaller one of, along the same pointers, to the
+next free place of their group. Every step moves or takes a suffix once; no ranks are renamed.
 """
 
 from __future__ import annotations
@@ -13,88 +15,66 @@ from __future__ import annotations
 import numpy as np
 
 
-def next_smaller(rows: np.ndarray) -> np.ndarray:
-    """For each position of each row the start of the next smaller suffix (row length if none)."""
-    n, width = rows.shape
-    nss = np.full((n, width), width, np.int16)
-    for c in range(width - 2, -1, -1):
-        to = np.full(n, c + 1, np.int16)
-        live = np.arange(n)
-        while live.size:
-            live = live[_word_less(rows, nss, live, c, to[live].astype(np.int64))]
-            to[live] = nss[live, to[live]]
-            live = live[to[live] < width]
-        nss[:, c] = to
-    return nss
+def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All suffixes of ``text`` in order, and the first place of each suffix's Lyndon group.
 
-
-def _word_less(rows: np.ndarray, nss: np.ndarray, row: np.ndarray, c: int, at: np.ndarray) -> np.ndarray:
-    """Is row[c:at] less than the Lyndon prefix that starts at ``at``?"""
-    left, right = at - c, nss[row, at] - at
-    out = left < right  # if one is a prefix of the other
-    most, open_ = np.minimum(left, right), np.arange(len(row))
-    d = 0
-    while open_.size:
-        a, b = rows[row[open_], c + d], rows[row[open_], at[open_] + d]
-        out[open_[a != b]] = (a < b)[a != b]
-        d += 1
-        open_ = open_[(a == b) & (most[open_] > d)]
-    return out
-
-
-def _group_starts(rows: np.ndarray, nss: np.ndarray) -> np.ndarray:
-    """For each suffix where its group begins in the order; groups are ordered by Lyndon prefix."""
-    n, width = rows.shape
-    length = (nss - np.arange(width)).reshape(-1).astype(np.int64)
-    padded = np.zeros((n, width + 8 * (width // 8 + 2)), np.uint8)
-    padded[:, :width] = rows
-    flat, wide = padded.reshape(-1), padded.shape[1]
-    eight = np.ndarray((flat.size - 7,), ">u8", flat, strides=(1,))
-    mask = np.array([(~np.uint64(0)) << np.uint64(64 - 8 * k) if k else 0 for k in range(9)], np.uint64)
-    begin = np.zeros(n * width, np.int64)
-    idx, k = np.arange(n * width), 0
-    while idx.size:
-        rest = np.minimum(length[idx] - 8 * k, 9)
-        key = eight[idx // width * wide + idx % width + 8 * k].astype(np.uint64) & mask[np.minimum(rest, 8)]
-        order = np.lexsort((rest, key, begin[idx])) if k else np.lexsort((rest, key))
-        idx, key, rest, old = idx[order], key[order], rest[order], begin[idx[order]]
-        new = np.ones(idx.size, bool)
-        new[1:] = (key[1:] != key[:-1]) | (rest[1:] != rest[:-1]) | (old[1:] != old[:-1])
-        fresh = np.flatnonzero(np.r_[True, old[1:] != old[:-1]])
-        here, base = np.flatnonzero(new), fresh[np.searchsorted(fresh, np.flatnonzero(new), side="right") - 1]
-        size = np.diff(np.r_[here, idx.size])
-        begin[idx] = old + np.repeat(here - base, size)
-        idx, k = idx[(rest > 8) & (np.repeat(size, size) > 1)], k + 1
-    return begin
-
-
-def suffix_array(rows: np.ndarray) -> np.ndarray:
-    """All suffixes of all rows (row * width + column) in order.
-
-    A suffix that is a prefix of another comes first; equal suffixes of several rows keep
-    the order of their rows. Rows are an (n, width) array of bytes. No rows: an empty array.
+    text: numbers from 0; 0 ends a row and must stand first, too. Zeros are smaller than all else
+    and ordered by position, so equal suffixes of several rows keep the order of their rows, and a
+    suffix that is a prefix of another comes first. No numbers: two empty arrays.
     """
-    n, width = rows.shape
-    if not n or not width:
-        return np.zeros(0, np.int64)
-    nss = next_smaller(rows)
-    group = _group_starts(rows, nss)
-    after = (np.arange(n)[:, None] * (width + 1) + nss).reshape(-1)  # width + 1: with each row's end
-    kids = np.argsort(after, kind="stable").tolist()
-    first = np.r_[0, np.cumsum(np.bincount(after, minlength=n * (width + 1) + 1))].tolist()
-    group, slot, out = group.tolist(), list(range(n * width)), [0] * (n * width)
-    for r in range(n):
-        end = r * (width + 1) + width
-        for p in kids[first[end] : first[end + 1]]:
-            g = group[p]
-            out[slot[g]] = p
-            slot[g] += 1
+    n = len(text)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    count = np.bincount(text)
+    start = np.cumsum(count) - count
+    group = start[text].tolist()
+    by = np.argsort(text, kind="stable")
+    members, size, below = {}, {}, {}
+    for c in np.flatnonzero(count).tolist():
+        g = int(start[c])
+        size[g], below[g + int(count[c])] = int(count[c]), g
+        members[g] = by[g : g + size[g]].tolist()
+    n_rows, pointer, end = int(count[0]), [0] * n, n
+    while end > n_rows:
+        g = end = below[end]
+        before, old, times, many = [], -1, [], 1
+        for i in members.pop(g):
+            if group[i] != g:
+                continue
+            p = i - 1
+            while group[p] >= g:
+                p = pointer[p]
+            pointer[i] = p
+            if group[p] < n_rows:  # the end of a row stays where it is
+                continue
+            if p == old:  # pointers of a group ascend, so equal ones are neighbours
+                times[-1] += 1
+                many = max(many, times[-1])
+            else:
+                before.append(p)
+                times.append(1)
+                old = p
+        moves: list[dict[int, list[int]]] = [{} for _ in range(many)]
+        for p, k in zip(before, times, strict=True):
+            moves[k - 1].setdefault(group[p], []).append(p)
+        for move in reversed(moves):
+            for h, who in move.items():
+                rest = size[h] - len(who)
+                if rest:
+                    new = h + rest
+                    below[h + size[h]], below[new] = new, h
+                    size[h], size[new], members[new] = rest, len(who), who
+                    for p in who:
+                        group[p] = new
+    free, out, placed = list(range(n)), [0] * n, bytearray(n)
+    for k, i in enumerate(by[:n_rows].tolist()):
+        out[k], placed[i] = i, 1
     for i in out:  # places ahead are filled while it runs
-        i += i // width
-        a, b = first[i], first[i + 1]
-        if a < b:
-            for p in kids[a:b]:
-                g = group[p]
-                out[slot[g]] = p
-                slot[g] += 1
-    return np.array(out, np.int64)
+        p = i - 1
+        while p >= 0 and not placed[p]:
+            placed[p] = 1
+            g = group[p]
+            out[free[g]] = p
+            free[g] += 1
+            p = pointer[p]
+    return np.array(out, np.int64), np.array(group, np.int64)

@@ -119,12 +119,30 @@ def test_surroundings_of_a_hot_anchor_are_dealt_over_buckets():
 
 
 @pytest.mark.parametrize("seed", range(6))
-def test_suffix_array(seed):
+def test_suffix_array_and_lyndon_groups(seed):
     rng = np.random.default_rng(seed)
-    for _ in range(12):
-        n, width, letters = rng.integers(1, 9), rng.integers(1, 40), rng.integers(1, 5)
-        rows = rng.integers(0, letters, (n, width)).astype(np.uint8)
-        got = suffixes.suffix_array(rows)
-        assert sorted(got.tolist()) == list(range(n * width))
-        names = [bytes(rows[i // width, i % width :]) for i in got]
-        assert names == sorted(names)
+    for _ in range(40):
+        rows = [rng.integers(1, rng.integers(2, 6), rng.integers(0, 40)).tolist() for _ in range(rng.integers(1, 9))]
+        text = [0] + [c for r in rows for c in (*r, 0)]
+        order, group = suffixes.suffix_array(np.array(text))
+        end = [text.index(0, i) for i in range(len(text))]
+        assert order.tolist() == sorted(range(len(text)), key=lambda i: (text[i : end[i]], end[i]))
+        lyndon = {}
+        for i in range(len(text)):
+            if text[i]:  # the longest prefix that is less than all its own suffixes ends before the next smaller suffix
+                below = [j for j in range(i + 1, end[i]) if text[j : end[j]] < text[i : end[i]]]
+                lyndon[i] = tuple(text[i : below[0] if below else end[i]])
+        by_group = {}
+        for i, word in lyndon.items():
+            by_group.setdefault(int(group[i]), set()).add(word)
+        assert all(len(words) == 1 for words in by_group.values())
+        assert [min(by_group[g]) for g in sorted(by_group)] == sorted(set(lyndon.values()))
+
+
+def test_suffix_array_of_long_rows():
+    rng = np.random.default_rng(9)
+    for row in (np.tile([1, 2, 1], 400), np.ones(1500, int), rng.integers(1, 3, 1500)):
+        order, _ = suffixes.suffix_array(np.r_[0, row, 0])
+        raw = bytes(row.astype(np.uint8).tolist())
+        assert (order[2:] - 1).tolist() == sorted(range(len(row)), key=lambda i: raw[i:])
+    assert len(suffixes.suffix_array(np.zeros(0, int))[0]) == 0
