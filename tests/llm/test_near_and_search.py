@@ -3,6 +3,7 @@
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from courtline.llm import decontaminate, nearjoin, packing, wordpieces
@@ -69,6 +70,46 @@ def test_benchmark_matches(spark, monkeypatch, item_bytes):
     assert decontaminate.benchmark_matches(frame(spark, rows), bench.where("false")).where("n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_every_item_suffix_finds_its_longest_match_and_all_its_places(seed):
+    rng = np.random.default_rng(seed)
+    words = lambda n, k: [f"w{x}" for x in rng.integers(0, k, n)]
+    k = int(rng.integers(2, 30))
+    docs = [words(int(rng.integers(0, 60)), k) for _ in range(12)]
+    docs += [docs[0], docs[1] + docs[0], ["w0"] * 70]
+    items = [words(int(rng.integers(0, 30)), k) for _ in range(6)] + [docs[2][:25], ["w0"] * 12, ["no", "w0"]]
+    span = 4
+    block = decontaminate.item_block([str(i) for i in range(len(items))], [" ".join(x) for x in items], span)
+    codes, first = decontaminate._word_codes(pa.array([" ".join(d) for d in docs]))
+    known = np.searchsorted(block["vocabulary"], codes)
+    known[known == len(block["vocabulary"])] = 0
+    number = np.where(block["vocabulary"][known] == codes, known + 1, 0)
+    row = np.searchsorted(first, np.arange(len(codes)), side="right") - 1
+    end = np.array([next((j for j in range(i, first[row[i] + 1]) if number[j] == 0), first[row[i] + 1]) for i in range(len(codes))])
+    order = decontaminate.suffix_order(number, end)
+    names = [number[i : end[i]].tolist() for i in order]
+    assert sorted(order.tolist()) == np.flatnonzero(number).tolist() and names == sorted(names)
+    length, low, high, *_ = decontaminate.search_suffixes(number, end, order, block)
+    j = 0
+    for item in items:
+        for a in range(len(item)):
+            common = [next((d for d in range(len(item) - a) if p + d >= end[p] or codes[p + d] != block["vocabulary"][block["number"][j + d] - 1]), len(item) - a) for p in range(len(codes))]
+            most = max(common)
+            assert length[j] == most
+            if most:
+                assert sorted(order[low[j] : high[j]].tolist()) == [p for p, c in enumerate(common) if c == most]
+            j += 1
+    _, found = decontaminate.search_shard(codes, first, block)
+    got = {(int(r), int(i)): int(m) for r, i, m in zip(found["row"], found["item"], found["n"], strict=True)}
+    want = {}
+    for r, d in enumerate(docs):
+        for i, item in enumerate(items):
+            runs = [next((e for e in range(min(len(d) - x, len(item) - y)) if d[x + e] != item[y + e]), min(len(d) - x, len(item) - y)) for x in range(len(d)) for y in range(len(item))]
+            if max(runs, default=0) >= min(span, max(1, len(item))):
+                want[r, i] = max(runs)
+    assert got == want
+
+
 def test_a_task_holds_one_block_of_the_benchmark(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "ITEM_BYTES", 100)
     bench = spark.createDataFrame([(i, f"item {i} of the benchmark") for i in range(20)], "item_id long, text string")
