@@ -4,7 +4,8 @@ The vocabulary is a trie of pieces that begin a word and a trie of pieces that c
 Each node has a failure link to the node where matching goes on after the longest pieces
 inside it were taken, and the number of pieces taken on that way. A word is then read once,
 byte by byte, and its greedy longest-match pieces are counted without being built. Distinct
-words of a block are read in lockstep, one byte of each at a time.
+words of a block are read in lockstep, one byte of each at a time; words of more than ``LONG``
+bytes each on its own, so that a long unbroken run costs time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from . import textarrays as X
 
 BEGIN, CONTINUE, NOWHERE = 0, 1, -1
+LONG = 1024
 
 
 def sentencepiece_vocabulary(path: str | None = None) -> tuple[list[bytes], list[bytes]]:
@@ -77,8 +79,38 @@ def automaton(begin: Iterable[bytes], go_on: Iterable[bytes]) -> dict[str, np.nd
     return {"keys": keys, "to": to, "fail": np.array(fail, np.int32), "popped": np.array(popped, np.int32)}
 
 
+def _long_word(word: bytes, machine: dict) -> int:
+    """Pieces of one word, read with plain numbers."""
+    if "step" not in machine:  # once per worker
+        machine |= {"step": dict(zip(machine["keys"].tolist(), machine["to"].tolist(), strict=True)), "links": machine["fail"].tolist(), "pops": machine["popped"].tolist()}
+    step, fail, popped = machine["step"], machine["links"], machine["pops"]
+    at, count = BEGIN, 0
+    for c in word:
+        to = step.get(at << 8 | c)
+        while to is None:
+            if fail[at] == NOWHERE:
+                return 0
+            count += popped[at]
+            at = fail[at]
+            to = step.get(at << 8 | c)
+        at = to
+    while at != CONTINUE:
+        if fail[at] == NOWHERE:
+            return 0
+        count += popped[at]
+        at = fail[at]
+    return count
+
+
 def piece_counts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, machine: dict[str, np.ndarray]) -> np.ndarray:
     """Pieces of each word data[start:end]; 0 for a word that has no pieces."""
+    far = np.flatnonzero(ends - starts > LONG)
+    if len(far):
+        count = np.zeros(len(starts), np.int64)
+        near = np.setdiff1d(np.arange(len(starts)), far, assume_unique=True)
+        count[near] = piece_counts(data, starts[near], ends[near], machine)
+        count[far] = [_long_word(data[starts[i] : ends[i]].tobytes(), machine) for i in far.tolist()]
+        return count
     keys, to, fail, popped = (machine[k] for k in ("keys", "to", "fail", "popped"))
     n, length = len(starts), ends - starts
     at, count, lost = np.full(n, BEGIN, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
