@@ -21,34 +21,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ASK = "blk long, bucket long, payload binary"
-MIN_BLOCK, MAX_BLOCK, QUANTILES = 2 << 20, 64 << 20, 128
+MIN_BLOCK, MAX_BLOCK, CELLS, PIECE = 2 << 20, 64 << 20, 128, 1024
+
+
+def _quantiles(many: int) -> Column:
+    """Aggregate over one row per piece of text: ids that cut the bytes in ``many`` equal parts."""
+    return F.percentile_approx("doc_id", [i / many for i in range(1, many)], max(10_000, 8 * many)) if many > 1 else F.array().cast("array<long>")
 
 
 def deal(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int, int]:
-    """(doc_id, text, blk), number of blocks, bytes of text.
+    """(doc_id, text, blk) of the rows with an id, number of blocks, bytes of text.
 
-    Only ids and text lengths are looked at, in one aggregate; its result has at most
-    ``QUANTILES`` numbers. Between two quantiles blocks have equal id widths. Rows
-    without an id go to blocks by their text.
+    Blocks are cut where the bytes of text in the order of ids reach equal shares, so clustered
+    ids and long texts fill no block more than others: first ``CELLS`` cuts, then, if there are more
+    blocks, cuts inside each cell. Only ids and lengths are looked at; what reaches the driver is one
+    id per block. All rows of one doc_id are in one block.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    share = [i / QUANTILES for i in range(1, QUANTILES)]
-    got = rows.agg(F.sum(F.octet_length("text")).alias("size"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.percentile_approx("doc_id", share, 10_000).alias("cuts")).first()
-    size, low, high = int(got["size"] or 0), got["low"], got["high"]
-    block = min(MAX_BLOCK, max(MIN_BLOCK, size // 2000))
-    n = max(1, ceil(size / block))
-    if low is None:
-        return rows.withColumn("blk", F.lit(0).cast("long")), 1, size
-    many = min(n, QUANTILES)
-    cuts = sorted({got["cuts"][ceil(i * QUANTILES / many) - 1] for i in range(1, many)} - {low}) if n > 1 else []
-    edges, each = [low, *cuts, high + 1], ceil(n / (len(cuts) + 1))
-    blk: Column = F.lit(0).cast("long")
-    for i in range(len(edges) - 2, -1, -1):  # a short chain of comparisons, outermost first
-        here = F.lit(i * each) + F.floor((F.col("doc_id").cast("double") - edges[i]) / float(max(1, edges[i + 1] - edges[i])) * each)
-        here = F.least(here, F.lit(i * each + each - 1)).cast("long")
-        blk = here if i == len(edges) - 2 else F.when(F.col("doc_id") < edges[i + 1], here).otherwise(blk)
-    spare = F.pmod(F.xxhash64("text"), F.lit((len(cuts) + 1) * each))
-    return rows.withColumn("blk", F.when(F.col("doc_id").isNull(), spare).otherwise(blk)), (len(cuts) + 1) * each, size
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
+    size_of = F.coalesce(F.octet_length("text"), F.lit(0))
+    pieces = rows.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.floor(size_of / PIECE).cast("int")), lambda k: F.least(F.lit(PIECE), size_of - k * PIECE))).alias("bytes"))
+    size, cells = pieces.agg(F.sum("bytes"), _quantiles(CELLS)).first()
+    size = int(size or 0)
+    n = max(1, ceil(size / min(MAX_BLOCK, max(MIN_BLOCK, size // 2000))))
+    cells = sorted(set(cells or []))
+    if n <= CELLS:
+        cuts = sorted({cells[ceil(i * len(cells) / n) - 1] for i in range(1, n)}) if cells else []
+    else:
+        each = ceil(n / (len(cells) + 1))
+        inner = pieces.groupBy(_place(cells).alias("cell")).agg(_quantiles(each).alias("cuts")).collect()
+        cuts = sorted({*cells, *(c for r in inner for c in r["cuts"] or [])})
+    return rows.withColumn("blk", _place(cuts)), len(cuts) + 1, size
+
+
+def _place(cuts: list[int]) -> Column:
+    """Number of cuts below doc_id, by binary search."""
+    if not cuts:
+        return F.lit(0).cast("long")
+    table, steps = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<long>"), [1 << k for k in range(len(cuts).bit_length() - 1, -1, -1)]
+    further = lambda at, step: F.when((at + step <= len(cuts)) & (F.get(table, at + step - 1) < F.col("doc_id")), at + step).otherwise(at)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), further).cast("long")
 
 
 def ordered(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:

@@ -10,6 +10,8 @@ compared by 96-bit hashes over all documents.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -164,6 +166,15 @@ def _remove(span: int, n_anchor: int, n_window: int):
     return remove
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without id, of which nothing is removed."""
+    for batch in batches:
+        for a, b, data, offs in X.blocks(batch.column(0)):
+            starts, ends, first = X.words(data, offs, X.NOT_SPACE)
+            kept = pa.array(joined(data, starts, ends, first, np.ones(len(starts), bool)), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.nulls(b - a, pa.int64()), pa.array(np.diff(first), pa.int64()), pa.array(np.zeros(b - a, np.int64)), kept], names=["doc_id", "n_words", "n_removed", "kept"])
+
+
 def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, keep: np.ndarray) -> list[bytes]:
     """For each row its kept words, joined by one space."""
     length = np.where(keep, ends - starts + 1, 0)
@@ -201,4 +212,5 @@ def remove_repeated_passages(docs: DataFrame, span: int = 13) -> DataFrame:
     shared = by.applyInArrow(_ask_anchors(span, n_anchor), B.ASK).groupBy("bucket").applyInArrow(answer_shared, B.ASK)
     earlier = by.cogroup(shared.groupBy("blk")).applyInArrow(_ask_windows(span, n_anchor, n_window), B.ASK).groupBy("bucket").applyInArrow(answer_earlier, B.ASK)
     both = shared.withColumn("round", F.lit(1)).unionByName(earlier.withColumn("round", F.lit(2)))
-    return by.cogroup(both.groupBy("blk")).applyInArrow(_remove(span, n_anchor, n_window), OUT)
+    out = by.cogroup(both.groupBy("blk")).applyInArrow(_remove(span, n_anchor, n_window), OUT)
+    return out.unionByName(docs.where("doc_id is null").select(F.col("text").cast("string")).mapInArrow(_whole, OUT))

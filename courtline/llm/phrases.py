@@ -11,6 +11,7 @@ of the names of the levels ``KEPT``, the least in each of ``BINS`` hash ranges.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -138,6 +139,12 @@ def _edited_block(table: pa.Table) -> pa.Table:
     return pa.table([ids, pa.array(n_chars[:own], pa.int64()), pa.array(sums, pa.string()), pa.array(_hex(mine), pa.string()), pa.array(_hex(edited), pa.string()), pa.array(likeness(mine, edited)), pa.array(likeness(mine, after))], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
 
+def _without_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            yield from _edited_block(pa.Table.from_batches([batch])).combine_chunks().to_batches()
+
+
 def document_fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint) of every row of ``docs``: 256 hex digits; equal texts have equal ones.
 
@@ -174,4 +181,5 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     follow = F.broadcast(follow) if n_blocks <= BROADCAST_BLOCKS else follow
     extra = rows.join(follow, rows["doc_id"] == follow["id"]).groupBy("to", "doc_id").agg(F.min("text").alias("text")).select("doc_id", "text", F.col("to").alias("blk"), F.lit(1).alias("next"))
     both = rows.select("doc_id", "text", "blk", F.lit(0).alias("next")).unionByName(extra)
-    return both.groupBy("blk").applyInArrow(_edited_block, _OUT)
+    alone = docs.where("doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.lit(0).alias("next"))
+    return both.groupBy("blk").applyInArrow(_edited_block, _OUT).unionByName(alone.mapInArrow(_without_id, _OUT))

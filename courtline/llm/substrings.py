@@ -368,4 +368,7 @@ def remove_repeated_strings(docs: DataFrame, as_text: bool = False, hot: int = H
     shared = by.applyInArrow(_ask_anchors(n_anchor), B.ASK).groupBy("bucket").applyInArrow(_answer_anchors(hot), B.ASK)
     strings = by.cogroup(shared.groupBy("blk")).applyInArrow(_ask_strings(n_anchor, n_text, n_hot), B.ASK).groupBy("bucket").applyInArrow(_answer(n_text), B.ASK)
     both = shared.withColumn("round", F.lit(1)).unionByName(strings.withColumn("round", F.lit(2)))
-    return by.cogroup(both.groupBy("blk")).applyInArrow(_remove(n_anchor, n_text, n_hot, as_text), OUT.format(kept="string" if as_text else "binary"))
+    out = by.cogroup(both.groupBy("blk")).applyInArrow(_remove(n_anchor, n_text, n_hot, as_text), OUT.format(kept="string" if as_text else "binary"))
+    whole = docs.where("doc_id is null").select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("kept"))
+    n_bytes, none = F.octet_length("kept").cast("long"), F.lit(0).cast("long")
+    return out.unionByName(whole.select(none.alias("doc_id"), n_bytes.alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.col("kept").cast("string" if as_text else "binary"), F.crc32(F.col("kept").cast("binary")).alias("crc")).withColumn("doc_id", F.lit(None).cast("long")))
