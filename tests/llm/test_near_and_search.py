@@ -1,5 +1,6 @@
 """Near-duplicate join, benchmark search, word pieces and packing against brute force."""
 
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -149,6 +150,21 @@ def test_word_pieces(spark):
     assert Counter((r.doc_id, r.n_words, r.n_tokens, r.n_unknown) for r in rows) == Counter((d, len(c), sum(max(1, x) for x in c), sum(x == 0 for x in c)) for d, c in [(r[0], counts[(r[0], r[1])]) for r in documents()])
 
 
+def test_long_words_cost_time_in_proportion(spark, monkeypatch):
+    begin, go_on = [b"a", b"ab", b"abc", b"t"], [b"b", b"bcd", b"c", b"cd", b"d", b"a"]
+    rng = np.random.default_rng(1)
+    words = [rng.choice(list(b"abcd"), rng.integers(1, 60)).astype(np.uint8).tobytes() for _ in range(500)]
+    ends = np.cumsum([len(w) for w in words])
+    args = np.frombuffer(b"".join(words), np.uint8), ends - [len(w) for w in words], ends
+    want = wordpieces.piece_counts(*args, wordpieces.automaton(begin, go_on))
+    monkeypatch.setattr(wordpieces, "LONG", 5)
+    assert wordpieces.piece_counts(*args, wordpieces.automaton(begin, go_on)).tolist() == want.tolist()
+    monkeypatch.undo()
+    begun = time.monotonic()
+    got = wordpieces.token_counts(frame(spark, [(1, "a" * 5_000_000, *documents()[0][2:])], 1), (begin, go_on)).first()
+    assert (got.n_words, got.n_tokens) == (1, 5_000_000) and time.monotonic() - begun < 60
+
+
 def test_packing(spark):
     rows = documents(9)
     got = packing.pack_documents(frame(spark, rows), 64).collect()
@@ -192,3 +208,41 @@ def test_best_fit_takes_the_tightest_compatible_bin():
     assert packing.best_fit([10, 9, 6], [1, 2, 1], [0, 0, 0], 16) == [0, 1, 1]
     assert packing.best_fit([10, 9, 6], [1, 2, 4], [0, 0, 0], 16) == [0, 1, 0]
     assert packing.best_fit([10, 9, 6], [1, 2, 4], [1, 0, 1], 16) == [0, 1, 1]
+
+
+def test_each_piece_goes_to_the_tightest_compatible_bin_that_a_plain_search_finds():
+    rng = np.random.default_rng(4)
+    for capacity, n, n_sources, n_clusters in ((16, 300, 40, 60), (50, 300, 8, 9), (7, 200, 200, 3)):
+        lengths = sorted(rng.integers(1, capacity + 1, n).tolist(), reverse=True)
+        sources, clusters = rng.integers(0, n_sources, n).tolist(), rng.integers(-n_clusters, n_clusters, n).tolist()
+        got = packing.best_fit(lengths, [1 << s for s in sources], [1 << c if c >= 0 else 0 for c in clusters], capacity)
+        room, held = {}, {}
+        for size, source, cluster, where in zip(lengths, sources, clusters, got, strict=True):
+            fits = [r for b, r in room.items() if r >= size and source not in held[b][0] and (cluster < 0 or cluster not in held[b][1])]
+            if where in room:
+                assert room[where] in fits and room[where] == min(fits)
+            else:
+                assert not fits and where == len(room)
+                room[where], held[where] = capacity, (set(), set())
+            room[where] -= size
+            held[where][0].add(source)
+            held[where][1].add(cluster)
+
+
+def test_recall_with_split_buckets(spark, monkeypatch):
+    """Near copies whose buckets are large and are split on further tokens: every link of a brute-force comparison is found."""
+    monkeypatch.setattr(nearjoin, "SMALL", 8)
+    rng = np.random.default_rng(6)
+    texts = []
+    for _ in range(12):  # groups about the threshold that share a frequent passage
+        own = [f"v{x}" for x in rng.integers(0, 10**6, 120)]
+        for _ in range(12):
+            words = list(own)
+            for k in rng.choice(120, int(rng.integers(0, 4)), replace=False):
+                words[k] = f"u{rng.integers(0, 10**6)}"
+            texts.append(" ".join(["the same five words begin every text here"] * 1 + words))
+    sets = [_shingles(t) for t in texts]
+    links = [sum(j != i and len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    got = {r.doc_id: r.n_links for r in nearjoin.near_duplicates(frame(spark, [(i, t, *documents()[0][2:]) for i, t in enumerate(texts)])).collect()}
+    assert sum(links) > 500 and sum(got.values()) == sum(links)
+    assert nearjoin.RUNS == nearjoin.runs_for(nearjoin.RECALL) >= 8

@@ -146,3 +146,33 @@ def test_suffix_array_of_long_rows():
         raw = bytes(row.astype(np.uint8).tolist())
         assert (order[2:] - 1).tolist() == sorted(range(len(row)), key=lambda i: raw[i:])
     assert len(suffixes.suffix_array(np.zeros(0, int))[0]) == 0
+
+
+def test_blocks_hold_equal_shares_of_bytes(spark, monkeypatch):
+    monkeypatch.setattr(blocked, "MIN_BLOCK", 4000)
+    rng = random.Random(3)
+    ids = [10**12 + i for i in range(600)] + [5 * 10**15 + 7 * i for i in range(600)] + list(range(0, 10**9, 10**7))  # clustered
+    rows = [(i, "x" * (3000 if k % 50 == 0 else rng.randint(0, 200)), *documents()[0][2:]) for k, i in enumerate(ids)]
+    for cells in (128, 8):  # with and without cuts inside cells
+        monkeypatch.setattr(blocked, "CELLS", cells)
+        dealt, n, size = blocked.deal(frame(spark, rows))
+        got = dealt.collect()
+        assert size == sum(len(r[1]) for r in rows) and {r.blk for r in got} <= set(range(n)) and len(got) == len(rows)
+        by = {}
+        for r in got:
+            by.setdefault(r.blk, []).append(r)
+        assert n >= size / 4000 and max(sum(len(r.text) for r in b) for b in by.values()) <= 3 * 4000
+        assert all(max(r.doc_id for r in by[a]) < min(r.doc_id for r in by[b]) for a, b in zip(sorted(by), sorted(by)[1:]))
+    dealt, n, size = blocked.deal(frame(spark, [(7, "x" * 300, *rows[0][2:])] * 40))
+    assert {r.blk for r in dealt.collect()} == {0}
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(8)
+    long = " ".join(str(rng.randint(0, 10**6)) for _ in range(400_000))  # over one block of bytes
+    tail = long[-3000:]
+    rows = [(1, long, *documents()[0][2:]), (2, "before " + tail, *documents()[0][2:]), (3, "q" * 3_000_000, *documents()[0][2:])]
+    got = {r.doc_id: r for r in passages.remove_repeated_passages(frame(spark, rows)).collect()}
+    assert (got[1].n_removed, got[1].n_words, got[3].n_words) == (0, 400_000, 1) and got[2].n_removed >= len(tail.split()) - 1
+    got = {r.doc_id: r for r in substrings.remove_repeated_strings(frame(spark, rows)).collect()}
+    assert (got[1].n_removed, got[2].n_removed, got[3].n_removed) == (0, 3000, 0) and bytes(got[2].kept).rstrip() == b"before"

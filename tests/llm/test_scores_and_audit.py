@@ -175,6 +175,169 @@ def test_equal_substrings_are_cut_alike():
         assert phrases.likeness(a, b)[0] > 0.75
 
 
+def _plain_parse(names):
+    """One level of parsing with plain loops: the phrases' names."""
+    import numpy as np
+
+    from courtline.llm import textarrays as X
+
+    u = lambda v: np.array([v], np.uint64)
+    symbols = []
+    k = 0
+    while k < len(names):
+        n = next((j for j in range(k, len(names)) if names[j] != names[k]), len(names)) - k
+        symbols.append(int(X.mix(u((names[k] + n * 0x9E3779B97F4A7C15) % 2**64))[0]))
+        k += n
+    low = lambda a, b: next(i for i in range(64) if (a ^ b) >> i & 1)
+    label = [symbols[0] & 127] + [2 * low(a, b) + (b >> low(a, b) & 1) for a, b in zip(symbols, symbols[1:])]
+    for _ in range(2):
+        label = [label[0] & 7] + [2 * low(a, b) + (b >> low(a, b) & 1) if a != b else b & 1 for a, b in zip(label, label[1:])]
+    begin = [0] + [i for i in range(1, len(label) - 1) if label[i] > label[i - 1] and label[i] >= label[i + 1]]
+    ends = [*begin[1:], len(symbols)]
+    return [int(X.segment_hashes(np.array(symbols[a:b], np.uint64), np.array([0]), np.array([b - a]))[0]) for a, b in zip(begin, ends)]
+
+
+def test_fingerprints_against_a_plain_parser():
+    import numpy as np
+    import pyarrow as pa
+
+    from courtline.llm import textarrays as X
+
+    texts = [r[1] or "" for r in documents(21)]
+    got = phrases.fingerprint_columns(pa.array(texts))
+    code = [int(c) for c in X.byte_codes(21)]
+    kept = []
+    for t in texts:
+        names, least = [code[b] for b in t.encode()], {}
+        for level in (1, 2, 3):
+            names = _plain_parse(names) if names else []
+            for h in X.mix(np.array(names, np.uint64), level).tolist() if names else []:
+                least[h >> 58] = min(h, least.get(h >> 58, h))
+        kept.append([max(1, least[k] >> 8 & 0xFFFF) if k in least else 0 for k in range(64)])
+    assert got.tolist() == kept
+    for i in range(0, len(texts), 3):
+        for j in range(0, len(texts), 5):
+            either = [(a, b) for a, b in zip(kept[i], kept[j]) if a or b]
+            want = sum(a == b for a, b in either) / len(either) if either else 1
+            assert phrases.likeness(got[i : i + 1], got[j : j + 1])[0] == pytest.approx(want)
+
+
+def test_training_against_plain_gradient_descent(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(quality, "SLOTS", 20)
+    rng = np.random.default_rng(3)
+    samples = []
+    for label in [0, 1] * 10:
+        slots = np.sort(rng.choice(21, 6, replace=False)).astype(np.int32)
+        samples.append((slots, rng.integers(1, 5, 6).astype(np.int32), label))
+    weights, bias = quality.train(samples)
+    rng = np.random.default_rng(quality.SEED)
+    vectors = rng.uniform(-1 / quality.DIM, 1 / quality.DIM, (21, quality.DIM)).astype(np.float32).astype(float).tolist()
+    layer, offset, done, dims = [[0.0, 0.0] for _ in range(quality.DIM)], [0.0, 0.0], 0, range(quality.DIM)
+    for _ in range(quality.EPOCHS):
+        for i in rng.permutation(len(samples)):
+            slots, counts, label = samples[i]
+            share = [c / sum(counts) for c in counts]
+            hidden = [sum(w * vectors[s][d] for w, s in zip(share, slots)) for d in dims]
+            z = [sum(hidden[d] * layer[d][k] for d in dims) + offset[k] for k in (0, 1)]
+            p = [math.exp(v - max(z)) for v in z]
+            error = [v / sum(p) - (k == label) for k, v in enumerate(p)]
+            rate = quality.RATE * (1 - done / (quality.EPOCHS * len(samples)))
+            back = [sum(layer[d][k] * error[k] for k in (0, 1)) for d in dims]
+            for d in dims:
+                for k in (0, 1):
+                    layer[d][k] -= rate * hidden[d] * error[k]
+                for w, s in zip(share, slots):
+                    vectors[s][d] -= rate * w * len(slots) ** 0.5 * back[d]
+            offset = [offset[k] - rate * 0.1 * error[k] for k in (0, 1)]
+            done += 1
+    want = [sum(v[d] * (layer[d][1] - layer[d][0]) for d in dims) for v in vectors]
+    assert weights.tolist() == pytest.approx(want, abs=1e-3) and bias == pytest.approx(offset[1] - offset[0], abs=1e-3)
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    import corpus_pipeline as P
+
+    from .common import alnum, spaced
+
+    rows = [r[:5] for r in documents(31)] + [(None, documents(31)[0][1], "en", "src0", None), (None, "no id at all", "en", None, None)]
+    rng = random.Random(9)
+    rows += [(3000 + i, " ".join(w + "$$$" for w in prose(rng, 40).split(" ")), "en", "bad", 1) for i in range(30)]
+    quality_of = {r[0]: int((r[0] or 0) < 3000) for r in rows if r[0] is not None}
+    passage = " ".join((rows[8][1] or "").split(" ")[:14])
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, q, 0) for i, q in quality_of.items()], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, passage), (2, "edited"), (3, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    steps = [docs]
+    for name, stage in P.STAGES:
+        steps.append(P.saved(stage(spark, steps[-1], str(tmp_path)), "step"))
+    held = lambda df: Counter(map(tuple, df.select(*P.COLUMNS).collect()))
+    # quality: what the classifier rejects goes
+    scored = quality.classify_quality(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()
+    bad = {r.doc_id for r in scored if r.predicted == 0 and r.doc_id is not None}
+    kept = [r for r in rows if r[0] not in bad]
+    assert held(steps[1]) == Counter(kept) and len(bad) >= 20
+    # near duplicates: one document of each connected group
+    sets = {r[0]: frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := alnum(r[1])) else frozenset() for r in kept if r[0] is not None}
+    gone = set()
+    for a in sorted(sets):
+        todo = [a] if a not in gone else []
+        while todo:
+            x = todo.pop()
+            new = {b for b in sets if b != a and b not in gone and sets[x] and len(sets[x] & sets[b]) >= 0.8 * len(sets[x] | sets[b])}
+            gone |= new
+            todo += new
+    kept = [r for r in kept if r[0] not in gone]
+    assert held(steps[2]) == Counter(kept) and len(gone) > 5
+    # strings of 50 bytes that a smaller doc_id has
+    first, cut_rows, removed = {}, [], 0
+    for r in sorted((r for r in kept if r[0] is not None), key=lambda r: r[0]):
+        u = (r[1] or "").encode()
+        for k in range(len(u) - 49):
+            first.setdefault(u[k : k + 50], r[0])
+    for r in kept:
+        u = (r[1] or "").encode()
+        cut = [False] * len(u)
+        for k in range(len(u) - 49 if r[0] is not None else 0):
+            if first[u[k : k + 50]] < r[0]:
+                cut[k : k + 50] = [True] * 50
+        removed += sum(cut)
+        if any(cut):
+            text = bytes(b for b, c in zip(u, cut) if not c).decode("utf-8", "ignore")
+            if text:
+                cut_rows.append((r[0], text, r[2], r[3], len(text)))
+        else:
+            cut_rows.append(r)
+    assert held(steps[3]) == Counter(cut_rows) and removed > 500
+    # benchmark windows
+    hit = set()
+    for r in cut_rows:
+        w = alnum(r[1])
+        for item in (alnum(passage), alnum("edited")):
+            n = min(10, len(item))
+            windows = {tuple(item[k : k + n]) for k in range(len(item) - n + 1)}
+            if any(tuple(w[k : k + n]) in windows for k in range(len(w) - n + 1)) and r[0] is not None:
+                hit.add(r[0])
+    left = [r for r in cut_rows if r[0] not in hit]
+    assert held(steps[4]) == Counter(left) and hit
+    # packing: every word of every row, no bin over its capacity or with a source twice
+    packed = steps[5].collect()
+    words, sources, bins = Counter(), {r[0]: r[3] or "" for r in left if r[0] is not None}, defaultdict(list)
+    for r in packed:
+        words[r.doc_id] += r.n_words
+        if r.n_words:
+            bins[r.bin_id].append(r)
+    want = Counter()
+    for r in left:
+        want[r[0]] += len(spaced(r[1]))
+    assert words == want
+    for own in bins.values():
+        named = [sources[r.doc_id] for r in own if r.doc_id is not None]
+        assert sum(r.n_words for r in own) <= 1024 and len(set(named)) == len(named)
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as P
 
