@@ -23,14 +23,23 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject; rows without doc_id stay."""
+    """Documents that the classifier doesn't reject.
+
+    Rows without doc_id stay; of rows that repeat a doc_id all go if one is rejected. Null and empty
+    texts get the score of the bias alone. Without labels of both classes nothing is learned to reject
+    but by the one class. No rows give no rows. Only the columns of documents are kept.
+    """
     scored = classify_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rejected = scored.where("predicted = 0 and doc_id is not null").select("doc_id").distinct()
     return _documents(docs.join(rejected, "doc_id", "left_anti"))
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least doc_id. Rows without doc_id stay."""
+    """One document of each group of near duplicates: the one with the least doc_id.
+
+    Rows without doc_id stay, and rows that repeat a doc_id are one document: they stay or go
+    together. Null and empty texts are like no other text. No rows give no rows.
+    """
     gone = near_duplicates(docs).where("class_id <> doc_id").select("doc_id")
     return _documents(docs.join(gone, "doc_id", "left_anti"))
 
@@ -39,7 +48,8 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Documents without the 50-byte strings that a document with a smaller doc_id has, too.
 
     Where a cut goes through a character, what is left of the character goes, too. A document of
-    which nothing is left is dropped; null and empty texts stay as they are.
+    which nothing is left is dropped; null and empty texts and rows without doc_id stay as they
+    are. Rows that repeat a doc_id are cut alike and stay. No rows give no rows.
     """
     rows = _documents(docs).withColumn("crc", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
     cut = remove_repeated_strings(docs, as_text=True).where("n_removed > 0").groupBy("doc_id", "crc").agg(F.min("kept").alias("kept"))
@@ -48,18 +58,26 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark window occurs."""
+    """Documents in which no benchmark window occurs.
+
+    Rows without doc_id, null and empty texts stay; of rows that repeat a doc_id all go if one has a
+    hit. An empty benchmark removes nothing. No rows give no rows.
+    """
     return _documents(decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents that are left, packed into bins."""
+    """Pieces of the documents that are left, packed into bins.
+
+    Rows that repeat a doc_id or have none are packed each on their own; null, empty and blank texts
+    have a row without a bin. No rows give no rows.
+    """
     return pack_documents(docs)
 
 
 STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicate), ("suffix-array dedup", repeated_strings), ("benchmark decontamination", benchmark_free), ("best-fit packing", packed)]
 
-#: The stages learn, iterate and search; SQL can't express them. Tests compare them with brute force.
+#: The stages learn, iterate and search; SQL can't express them. A test compares each with plain Python.
 ORACLE_SQL = None
 
 
