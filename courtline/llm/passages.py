@@ -64,6 +64,11 @@ def _block(table: pa.Table, span: int, n_buckets: int):
     keys, docs = keys[order], docs[order]
     new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
     last = np.r_[new[1:], len(keys)] - 1 if len(new) else new
+    place, done = np.empty(len(keys), np.int64), 0
+    place[order] = np.repeat(np.arange(len(new)), last - new + 1)
+    for k, part in enumerate(parts):  # each anchor with its key's place among the distinct ones
+        parts[k] = (*part[:-1], place[done : done + len(part[-1])])
+        done += len(part[-1])
     return table, ids, has, parts, keys[new], docs[new] != docs[last]
 
 
@@ -91,12 +96,12 @@ def answer_shared(table: pa.Table) -> pa.Table:
 
 def _candidates(block, bits: np.ndarray, span: int, n_buckets: int):
     """Per part the starts of windows that hold a shared anchor, with both hashes; then the block's distinct windows."""
-    table, ids, has, parts, uniq, _ = block
+    table, ids, has, parts, *_ = block
     k, second, found = span - PERIOD + 1, X.byte_codes(9), []
-    for a, b, data, offs, starts, ends, first, codes, at, key in parts:
+    for a, b, data, offs, starts, ends, first, codes, at, place in parts:
         n = len(starts)
         hot = np.zeros(n + 1, np.int32)
-        hit = at[bits[np.searchsorted(uniq, key)]]
+        hit = at[bits[place]]
         hot[hit + 1] = 1
         total = np.cumsum(hot)
         start = np.flatnonzero(X.window_rows(first, span))

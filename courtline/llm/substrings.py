@@ -84,6 +84,11 @@ def _block(table: pa.Table, n_buckets: int):
     keys, docs = keys[order], docs[order]
     new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
     last = np.r_[new[1:], len(keys)] - 1 if len(new) else new
+    place, done = np.empty(len(keys), np.int64), 0
+    place[order] = np.repeat(np.arange(len(new)), last - new + 1)
+    for k, part in enumerate(parts):  # each run with its key's place among the distinct ones
+        parts[k] = (*part, place[done : done + len(part[-1])])
+        done += len(part[-1])
     return table, ids, has, parts, keys[new], docs[new] != docs[last], last - new + 1
 
 
@@ -117,10 +122,10 @@ def _answer_anchors(hot: int):
 
 def _surroundings(block, bits: np.ndarray, n_buckets: int):
     """Per part its shared anchors that are not hot; for the block the distinct surroundings, their buckets and first documents."""
-    table, ids, has, parts, uniq, *_ = block
+    table, ids, has, parts, *_ = block
     found, rows, buckets, docs = [], [np.zeros((0, WIDTH), np.uint8)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for a, b, data, offs, begin, end, at, row, key in parts:
-        shared = np.flatnonzero((bits[:, 0] & ~bits[:, 1])[np.searchsorted(uniq, key)])
+    for a, b, data, offs, begin, end, at, row, key, place in parts:
+        shared = np.flatnonzero((bits[:, 0] & ~bits[:, 1])[place])
         begin, end, at, row, key = begin[shared], end[shared], at[shared], row[shared], key[shared]
         edge = np.full(REACH, NONE, np.uint8)
         around = np.lib.stride_tricks.sliding_window_view(np.concatenate([edge, data, edge]), WIDTH)[at] if len(at) else rows[0].copy()
@@ -148,15 +153,15 @@ def _steps(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 def _hot_strings(block, bits: np.ndarray, n_hot: int):
     """Per part the starts of strings with a hot anchor; for the block the distinct ones' part, start, bucket and first row, and all rows."""
-    _, _, _, parts, uniq, *_ = block
+    parts = block[3]
     found, hashes, rows, of = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
     codes = X.byte_codes(7)
-    for k, (a, b, data, offs, begin, end, at, row, key) in enumerate(parts):
-        hot = np.flatnonzero(bits[:, 1][np.searchsorted(uniq, key)])
+    for k, (a, b, data, offs, begin, end, at, row, _, place) in enumerate(parts):
+        hot = np.flatnonzero(bits[:, 1][place])
         start = _steps(begin[hot], end[hot]).astype(np.int32)
         found.append(start)
         if len(start):
-            hashes.append(X.window_hashes(codes[data], SPAN)[start])
+            hashes.append(X.segment_hashes(codes[data], start, start + SPAN))
             rows.append((a + np.repeat(row[hot], end[hot] - begin[hot])).astype(np.int32))
             of.append(np.full(len(start), k, np.int32))
     h, rows, of = np.concatenate(hashes), np.concatenate(rows), np.concatenate(of)
@@ -265,7 +270,11 @@ def answer_strings(table: pa.Table) -> pa.Table:
         found = np.full((len(pick), STARTS), np.iinfo(np.int64).max)
         anchor = mid[group][pick]
         by = np.argsort(anchor, kind="stable")
-        by = by[_whole(text[by]).any(axis=1)]
+        whole = _whole(text)
+        by = by[whole[by].any(axis=1)]
+        alone = by[np.bincount(anchor[by], minlength=len(mid))[anchor[by]] == 1]  # all that its anchor's rows share is one text
+        found[alone] = np.where(whole[alone], least_of[alone, None], found[alone])
+        by = by[np.bincount(anchor[by], minlength=len(mid))[anchor[by]] > 1]
         edges = np.flatnonzero(np.r_[True, anchor[by][1:] != anchor[by][:-1], True]) if len(by) else np.zeros(1, np.int64)
         a = 0
         while a < len(edges) - 1:  # whole anchors, up to about ROWS_PER_ARRAY rows

@@ -29,7 +29,8 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start = np.cumsum(count) - count
     group = start[text].tolist()
     by = np.argsort(text, kind="stable")
-    members, size, below = {}, {}, {}
+    members: list = [()] * n
+    size, below = [0] * n, [0] * (n + 1)
     for c in np.flatnonzero(count).tolist():
         g = int(start[c])
         size[g], below[g + int(count[c])] = int(count[c]), g
@@ -37,28 +38,29 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n_rows, pointer, end = int(count[0]), [0] * n, n
     while end > n_rows:
         g = end = below[end]
-        before, old, times, many = [], -1, [], 1
-        for i in members.pop(g):
-            if group[i] != g:
-                continue
-            p = i - 1
-            while group[p] >= g:
-                p = pointer[p]
-            pointer[i] = p
-            if group[p] < n_rows:  # the end of a row stays where it is
-                continue
-            if p == old:  # pointers of a group ascend, so equal ones are neighbours
-                times[-1] += 1
-                many = max(many, times[-1])
-            else:
-                before.append(p)
-                times.append(1)
-                old = p
-        moves: list[dict[int, list[int]]] = [{} for _ in range(many)]
-        for p, k in zip(before, times, strict=True):
-            moves[k - 1].setdefault(group[p], []).append(p)
-        for move in reversed(moves):
-            for h, who in move.items():
+        before, times, old, many = [], [], -1, 1
+        for i in members[g]:
+            if group[i] == g:
+                p = i - 1
+                while group[p] >= g:
+                    p = pointer[p]
+                pointer[i] = p
+                if p != old:  # pointers of a group ascend, so equal ones are neighbours
+                    old = p
+                    before.append(p)
+                    times.append(1)
+                else:
+                    times[-1] += 1
+                    many = max(many, times[-1])
+        for k in range(many, 0, -1):
+            moves: dict[int, list[int]] = {}
+            for p in before if many == 1 else [p for p, t in zip(before, times, strict=True) if t == k]:
+                h = group[p]
+                if h in moves:
+                    moves[h].append(p)
+                elif h >= n_rows:  # the ends of rows stay where they are
+                    moves[h] = [p]
+            for h, who in moves.items():
                 rest = size[h] - len(who)
                 if rest:
                     new = h + rest
