@@ -1,168 +1,218 @@
 """Identity over time: slots of unordered players, slots of track ids, and the ball through gaps.
 
-These are ordered folds over the frames of one clip or video. Spark deals the clips, and each
-is folded in one grouped task over its own rows; ties are broken by slot and detection, so the
-result does not depend on how rows are dealt.
+Players of clips are linked for many clips at once, one frame after the other. Track ids hold slots
+over stretches of frames, and only the frames where a stretch begins or waits are decided on.
+The ball's velocity is a linear recurrence over its sightings; what lies between is a straight line.
+Ties are broken by slot and id, so no result depends on how rows are dealt.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import permutations
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from ..constants import N_SLOTS
 
+_ORDERS = np.array(list(permutations(range(N_SLOTS))))
+_FAR, _CLIPS = 1e7, 256
+
+
+def least_links(cost: np.ndarray) -> np.ndarray:
+    """(clips, slots, slots) costs, infinite where there is no pair, to each slot's partner: as many pairs as there can be, of least total cost."""
+    padded = np.where(np.isfinite(cost), cost, _FAR)
+    total = sum(padded[:, r, _ORDERS[:, r]] for r in range(N_SLOTS))
+    return _ORDERS[total.argmin(axis=1)]
+
+
+def link_clips(grid: np.ndarray, gate: float) -> np.ndarray:
+    """(clips, frames, slots, 2) positions in arbitrary slots to slots that follow a player; NaN is missing. No point is dropped."""
+    out = grid.copy()
+    slot = np.arange(N_SLOTS)
+    for t in range(1, grid.shape[1]):
+        before, now = out[:, t - 1], grid[:, t]
+        cost = np.sqrt(((before[:, :, None] - now[:, None]) ** 2).sum(axis=3))
+        partner = least_links(np.where(np.isnan(cost), np.inf, cost))
+        linked = np.take_along_axis(cost, partner[:, :, None], axis=2)[:, :, 0] <= gate
+        placed = np.where(linked[:, :, None], np.take_along_axis(now, partner[:, :, None], axis=1), np.nan)
+        left = ~np.isnan(now).any(axis=2)
+        clip, own = np.nonzero(linked)
+        left[clip, partner[clip, own]] = False
+        # the k-th point that is left takes the k-th slot that is free
+        points, free = np.argsort(~left, axis=1, kind="stable"), np.argsort(linked, axis=1, kind="stable")
+        clip, k = np.nonzero(slot < left.sum(axis=1)[:, None])
+        placed[clip, free[clip, k]] = now[clip, points[clip, k]]
+        out[:, t] = placed
+    return out
+
 
-def assign(cost: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs (row, column) of a complete matching of the smaller side with the least total cost."""
-    p, c = cost.shape
-    if p > c:
-        return [(b, a) for a, b in assign(cost.T)]
-    state: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
-    for r in range(p):  # over sets of taken columns
-        step: dict[int, tuple[float, tuple[int, ...]]] = {}
-        for mask, (total, taken) in state.items():
-            for k in range(c):
-                if not mask >> k & 1:
-                    new = (total + cost[r, k], (*taken, k))
-                    if mask | 1 << k not in step or new < step[mask | 1 << k]:
-                        step[mask | 1 << k] = new
-        state = step
-    return list(enumerate(min(state.values())[1]))
-
-
-def link_slots(frames: np.ndarray, gate: float) -> np.ndarray:
-    """(T, K, 2) positions in arbitrary slots to identity-consistent slots; NaN is missing. No point is dropped."""
-    out = np.full_like(frames, np.nan)
-    out[0] = frames[0]
-    for t in range(1, len(frames)):
-        before, now = out[t - 1], frames[t]
-        had, has = (np.flatnonzero(~np.isnan(f).any(axis=1)) for f in (before, now))
-        left = list(has)
-        if len(had) and len(has):
-            cost = np.sqrt(((before[had][:, None] - now[has][None]) ** 2).sum(axis=2))
-            for r, c in assign(cost):
-                if cost[r, c] <= gate:
-                    out[t, had[r]] = now[has[c]]
-                    left.remove(has[c])
-        free = [s for s in range(frames.shape[1]) if np.isnan(out[t, s]).any()]
-        for slot, c in zip(free, left, strict=False):
-            out[t, slot] = now[c]
+def _clip_starts(table: pa.Table, n_keys: int) -> np.ndarray:
+    """Is a row the first of its clip?"""
+    out = np.zeros(table.num_rows, bool)
+    out[:1] = True
+    for c in range(n_keys):
+        code = pc.fill_null(table.column(c).combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+        out[1:] |= code[1:] != code[:-1]
     return out
 
 
+def _linked(table: pa.Table, n_keys: int, gate: float) -> pa.Table:
+    """Whole clips, sorted by clip, frame and slot, to all their slots."""
+    keys = [table.column(c).combine_chunks() for c in range(n_keys)]
+    frame, slot = (table.column(n_keys + c).to_numpy() for c in (0, 1))
+    xy = np.stack([table.column(n_keys + c).to_numpy(zero_copy_only=False).astype(float) for c in (2, 3)], axis=1)
+    clip_starts = _clip_starts(table, n_keys)
+    frame_starts = clip_starts | np.r_[True, frame[1:] != frame[:-1]]
+    clip, at = np.cumsum(clip_starts) - 1, np.flatnonzero(frame_starts)
+    t = np.cumsum(frame_starts) - 1
+    t = t - t[np.flatnonzero(clip_starts)][clip]
+    out = np.empty((len(at), N_SLOTS, 2))
+    for a in range(0, int(clip[-1]) + 1, _CLIPS):
+        lo, hi = np.searchsorted(clip, [a, a + _CLIPS])
+        grid = np.full((clip[hi - 1] - a + 1, t[lo:hi].max() + 1, N_SLOTS, 2), np.nan)
+        grid[clip[lo:hi] - a, t[lo:hi], slot[lo:hi] - 1] = xy[lo:hi]
+        here = slice(*np.searchsorted(at, [lo, hi]))
+        out[here] = link_clips(grid, gate)[clip[at[here]] - a, t[at[here]]]
+    rows = pa.array(np.repeat(at, N_SLOTS))
+    return pa.table([*(k.take(rows) for k in keys), table.column(n_keys).take(rows), pa.array(np.tile(np.arange(1, N_SLOTS + 1, dtype=np.int32), len(at))), *(pa.array(out[:, :, a].reshape(-1), from_pandas=True) for a in (0, 1))], names=table.column_names)
+
+
 def recover_identity(positions: DataFrame, gate: float = 250.0, keys: tuple[str, ...] = ("match_id", "sequence")) -> DataFrame:
     """Positions of each clip (keys, frame_id, slot, x, y) in slots that follow a player from frame to frame.
 
     A link is the assignment of least total distance to the slots of the frame before; links over
-    ``gate`` cm are not kept, and what is left takes the lowest free slots.
+    ``gate`` cm are not kept, and what is left takes the lowest free slots. Clips are sorted inside
+    their partitions and read batch by batch; a task holds one batch and the clip that it cuts.
     """
-    names = [*keys, "frame_id", "slot", "x", "y"]
     kinds = dict(positions.dtypes)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame_id", "slot"])
-        frame, t = np.unique(pdf["frame_id"].to_numpy(), return_inverse=True)
-        grid = np.full((len(frame), N_SLOTS, 2), np.nan)
-        grid[t, pdf["slot"].to_numpy() - 1] = pdf[["x", "y"]].to_numpy(float)
-        out = link_slots(grid, gate).reshape(-1, 2)
-        made = {k: [pdf[k].iloc[0]] * len(out) for k in keys}
-        return pd.DataFrame(made | {"frame_id": np.repeat(frame, N_SLOTS), "slot": np.tile(np.arange(1, N_SLOTS + 1), len(frame)), "x": out[:, 0], "y": out[:, 1]})[names].astype(object).where(lambda d: d.notna(), None)
-
-    schema = ", ".join(f"{n} {kinds[n]}" for n in names)
-    return positions.select(*names).groupBy(*keys).applyInPandas(fold, schema)
-
-
-class SlotKeeper:
-    """Slots of track ids in one video: known ids keep theirs, new ids take over a near slot that lost its own."""
-
-    def __init__(self, max_gap: int = 15, per_frame: float = 60.0, cap: float = 250.0, n_slots: int = N_SLOTS) -> None:
-        self.max_gap, self.per_frame, self.cap, self.n_slots = max_gap, per_frame, cap, n_slots
-        self.slot_of: dict[int, int] = {}
-        self.last: dict[int, tuple[float, float]] = {}
-        self.gone: dict[int, int] = {}
-
-    def step(self, feet: dict[int, tuple[float, float]]) -> dict[int, int]:
-        """Slot of each id of one frame that has one."""
-        seen = {t: p for t, p in feet.items() if np.isfinite(p).all()}
-        live = {s: t for t, s in self.slot_of.items() if t in seen}
-        for s in list(self.last):
-            self.gone[s] = 0 if s in live else self.gone.get(s, 0) + 1
-            if self.gone[s] > self.max_gap:
-                del self.last[s], self.gone[s]
-                self.slot_of = {t: k for t, k in self.slot_of.items() if k != s}
-        new = sorted(t for t in seen if t not in self.slot_of)
-        pairs = []
-        for t in new:
-            for s in self.last:
-                if s not in live:
-                    d = float(np.hypot(seen[t][0] - self.last[s][0], seen[t][1] - self.last[s][1]))
-                    if d <= min(self.per_frame * max(1, self.gone.get(s, 1)), self.cap):
-                        pairs.append((d, t, s))
-        placed: set[int] = set()
-        for _, t, s in sorted(pairs):
-            if t not in placed and s not in live:
-                self.slot_of = {k: v for k, v in self.slot_of.items() if v != s} | {t: s}
-                live[s] = t
-                placed.add(t)
-        for t in new:
-            if t not in placed:
-                free = [s for s in range(self.n_slots) if s not in live and s not in self.last]
-                if free:
-                    self.slot_of[t] = free[0]
-                    live[free[0]] = t
-        for s, t in live.items():
-            self.last[s], self.gone[s] = seen[t], 0
-        return {t: s for s, t in live.items()}
+    names = [*keys, "frame_id", "slot", "x", "y"]
+    rows = positions.select(*keys, "frame_id", F.col("slot").cast("int").alias("slot"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
+            if not table.num_rows:
+                continue
+            cut = int(np.flatnonzero(_clip_starts(table, len(keys)))[-1])
+            if cut:
+                yield from _linked(table.slice(0, cut), len(keys), gate).combine_chunks().to_batches()
+            held = table.slice(cut)
+        if held is not None and held.num_rows:
+            yield from _linked(held, len(keys), gate).combine_chunks().to_batches()
+
+    schema = ", ".join(f"{n} {k}" for n, k in zip(names, [*(kinds[k] for k in keys), kinds["frame_id"], "int", "double", "double"], strict=True))
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "frame_id", "slot").mapInArrow(run, schema)
+
+
+def stretch_slots(frame: np.ndarray, track: np.ndarray, x: np.ndarray, y: np.ndarray, max_gap: int = 15, per_frame: float = 60.0, cap: float = 250.0, n_slots: int = N_SLOTS) -> np.ndarray:
+    """Slot of each row (1..n_slots, 0: none); a track's row per frame at most, rows without a finite place count as unseen.
+
+    A track that is back within ``max_gap`` unseen frames has its slot again. Other tracks first take
+    over slots whose own was unseen for that long at most, the nearest pair first, up to ``per_frame``
+    a frame and ``cap`` in all; then, by id, the lowest slot that nobody holds; else they wait.
+    """
+    out = np.zeros(len(frame), np.int32)
+    rows = np.flatnonzero(np.isfinite(x) & np.isfinite(y))
+    rows = rows[np.lexsort((frame[rows], track[rows]))]
+    if not len(rows):
+        return out
+    f, k = frame[rows], track[rows]
+    first = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (f[1:] != f[:-1] + 1)])  # stretches: a track seen without a gap
+    last = np.r_[first[1:], len(rows)] - 1
+    start, end, name = f[first].tolist(), f[last].tolist(), k[first].tolist()
+    coming = np.lexsort((k[first], f[first])).tolist()[::-1]
+    holder, waiting, now = [-1] * n_slots, [], 0
+    while coming or waiting:
+        now = now + 1 if waiting and not (coming and start[coming[-1]] <= now) else start[coming[-1]]
+        fresh = [s for s in waiting if end[s] >= now]
+        back: dict[int, int] = {name[h]: s for s, h in enumerate(holder) if h >= 0 and now - end[h] - 1 <= max_gap}
+        taken: dict[int, int] = {}
+        while coming and start[coming[-1]] == now:
+            s = coming.pop()
+            if name[s] in back:
+                taken[back[name[s]]] = s
+            else:
+                fresh.append(s)
+        gone = {slot: now - end[h] for slot, h in enumerate(holder) if h >= 0 and end[h] < now and slot not in taken}
+        near = []
+        for s in fresh:
+            at = rows[first[s] + now - start[s]]
+            for slot, age in gone.items():
+                there = rows[last[holder[slot]]]
+                d = float(np.hypot(x[at] - x[there], y[at] - y[there]))
+                if age <= max_gap and d <= min(per_frame * age, cap):
+                    near.append((d, name[s], slot, s))
+        settled: set[int] = set()
+        for _, _, slot, s in sorted(near):
+            if s not in settled and slot not in taken:
+                taken[slot] = s
+                settled.add(s)
+        open_ = [slot for slot, h in enumerate(holder) if slot not in taken and (h < 0 or now - end[h] > max_gap)]
+        waiting = sorted((s for s in fresh if s not in settled), key=name.__getitem__)
+        for slot, s in zip(open_, list(waiting), strict=False):
+            taken[slot] = s
+            waiting.remove(s)
+        for slot, s in taken.items():
+            holder[slot] = s
+            out[rows[first[s] + now - start[s] : last[s] + 1]] = slot + 1
+    return out
 
 
 def manage_slots(tracks: DataFrame, max_gap: int = 15) -> DataFrame:
-    """Adds slot (1..6) to tracks (video_id, frame, track_id, x, y); a seventh player has none and is left out."""
-    kinds = dict(tracks.dtypes)
+    """Adds slot (1..6) to tracks (video_id, frame, track_id, x, y); a seventh player has none and is left out.
+
+    A video is cut where nobody was seen for so long that no slot is held, so a task has one such part.
+    """
+    rows = tracks.select("video_id", F.col("frame").cast("long").alias("frame"), F.col("track_id").cast("long").alias("track_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    w = W.partitionBy("video_id").orderBy("frame")
+    cut = F.coalesce(F.col("frame") - F.lag("frame").over(w) > max_gap + 1, F.lit(False))
+    rows = rows.withColumn("__cut", cut.cast("int")).withColumn("__part", F.sum("__cut").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__cut")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        keeper, out = SlotKeeper(max_gap), []
-        for frame, rows in pdf.sort_values(["frame", "track_id"]).groupby("frame", sort=True):
-            feet = {int(r.track_id): (r.x, r.y) for r in rows.itertuples()}
-            out += [(rows["video_id"].iloc[0], frame, t, *feet[t], s + 1) for t, s in sorted(keeper.step(feet).items())]
-        return pd.DataFrame(out, columns=["video_id", "frame", "track_id", "x", "y", "slot"])
-
-    schema = f"video_id {kinds['video_id']}, frame {kinds['frame']}, track_id long, x double, y double, slot int"
-    return tracks.select("video_id", "frame", "track_id", "x", "y").groupBy("video_id").applyInPandas(fold, schema)
-
-
-class BallKeeper:
-    """Ball position through gaps: smoothed velocity carries it on for a few frames."""
-
-    def __init__(self, most: int = 12, alpha: float = 0.55) -> None:
-        self.most, self.alpha = most, alpha
-        self.pos: tuple[float, float] | None = None
-        self.vel, self.missed = (0.0, 0.0), 0
-
-    def step(self, seen: tuple[float, float] | None) -> tuple[float | None, float | None, bool]:
-        """(x, y, predicted) of one frame; x and y are None once the ball is lost."""
-        if seen is not None:
-            if self.pos is not None:
-                self.vel = tuple(self.alpha * (n - o) + (1 - self.alpha) * v for n, o, v in zip(seen, self.pos, self.vel, strict=True))
-            self.pos, self.missed = seen, 0
-            return (*seen, False)
-        self.missed += 1
-        if self.missed > self.most or self.pos is None:
-            return None, None, False
-        self.pos = (self.pos[0] + self.vel[0], self.pos[1] + self.vel[1])
-        return (*self.pos, True)
+        slot = stretch_slots(*(pdf[c].to_numpy() for c in ("frame", "track_id", "x", "y")), max_gap=max_gap)
+        return pdf.drop(columns="__part").assign(slot=slot)[slot > 0]
+
+    kinds = dict(tracks.dtypes)
+    out = rows.groupBy("video_id", "__part").applyInPandas(fold, f"video_id {kinds['video_id']}, frame long, track_id long, x double, y double, slot int")
+    return out.withColumn("frame", F.col("frame").cast(kinds["frame"]))
+
+
+def ball_velocity(frame: np.ndarray, x: np.ndarray, y: np.ndarray, most: int, alpha: float, start: tuple[float, float] = (0.0, 0.0)) -> np.ndarray:
+    """Velocity at each sighting: v' = alpha * (step - v * m) + (1 - alpha) * v, where the ball was carried on for m frames before; ``start`` is the first one's."""
+    carried = np.minimum(np.diff(frame) - 1, most).tolist()
+    out = [start]
+    for m, dx, dy in zip(carried, np.diff(x).tolist(), np.diff(y).tolist(), strict=True):
+        (vx, vy), keep = out[-1], 1 - alpha - alpha * m
+        out.append((alpha * dx + keep * vx, alpha * dy + keep * vy))
+    return np.array(out)
 
 
 def track_ball(frames: DataFrame, most: int = 12, alpha: float = 0.55) -> DataFrame:
-    """Ball of every frame (video_id, frame, ball_x, ball_y; null where not detected) with predictions in short gaps."""
+    """Ball of every frame (video_id, frame, ball_x, ball_y; null where not detected) with predictions in short gaps.
+
+    Up to ``most`` frames after a sighting the ball goes on with its smoothed velocity. Only
+    sightings are folded; frames between them are filled by a window.
+    """
     kinds = dict(frames.dtypes)
+    rows = frames.select("video_id", "frame", F.col("ball_x").cast("double").alias("ball_x"), F.col("ball_y").cast("double").alias("ball_y"))
+    seen = F.col("ball_x").isNotNull() & F.col("ball_y").isNotNull()
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        keeper, out = BallKeeper(most, alpha), []
-        for r in pdf.sort_values("frame").itertuples():
-            here = None if pd.isna(r.ball_x) or pd.isna(r.ball_y) else (r.ball_x, r.ball_y)
-            out.append((r.video_id, r.frame, *keeper.step(here)))
-        return pd.DataFrame(out, columns=["video_id", "frame", "ball_x", "ball_y", "predicted"]).astype(object).where(lambda d: d.notna(), None)
-
-    return frames.select("video_id", "frame", "ball_x", "ball_y").groupBy("video_id").applyInPandas(fold, f"video_id {kinds['video_id']}, frame {kinds['frame']}, ball_x double, ball_y double, predicted boolean")
+        pdf = pdf.sort_values("frame")
+        v = ball_velocity(*(pdf[c].to_numpy() for c in ("frame", "ball_x", "ball_y")), most, alpha)
+        return pd.DataFrame({"video_id": pdf["video_id"], "frame": pdf["frame"], "vx": v[:, 0], "vy": v[:, 1]})
+
+    moving = rows.where(seen).groupBy("video_id").applyInPandas(fold, f"video_id {kinds['video_id']}, frame {kinds['frame']}, vx double, vy double")
+    sighting = F.when(seen, F.struct(F.col("frame").alias("at"), F.col("ball_x").alias("x"), F.col("ball_y").alias("y"), "vx", "vy"))
+    before = F.last(sighting, ignorenulls=True).over(W.partitionBy("video_id").orderBy("frame").rowsBetween(W.unboundedPreceding, 0))
+    both = rows.join(moving, ["video_id", "frame"], "left").withColumn("b", before).withColumn("m", F.col("frame") - F.col("b.at"))
+    known = F.col("m") <= most
+    return both.select("video_id", "frame", *(F.when(known, F.col(f"b.{a}") + F.col(f"b.v{a}") * F.col("m")).alias(f"ball_{a}") for a in "xy"), F.coalesce(known & (F.col("m") > 0), F.lit(False)).alias("predicted"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import log
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -16,17 +17,23 @@ def team_votes(rows: DataFrame, decay: float = 0.98, least: float = 0.0, ratio:
     """Adds near, far (decayed votes) and voted to rows (video_id, frame, track_id, team NEAR, FAR or UNKNOWN).
 
     A track that misses a frame begins anew unless ``forget`` is off; votes fade by ``decay`` a
-    frame. Sums are taken relative to the start of each run of frames, in plain windows.
+    frame. Sums are taken relative to blocks of frames in which votes fade to a billionth, and of
+    the blocks before two are added (older votes are below a double's precision).
     """
-    w = W.partitionBy("video_id", "track_id").orderBy("frame")
-    gap = F.col("frame") - F.lag("frame").over(w)
-    rows = rows.withColumn("__new", F.when(gap.isNull() | (F.lit(forget) & (gap > 1)), 1).otherwise(0)).withColumn("__run", F.sum("__new").over(w))
-    run = W.partitionBy("video_id", "track_id", "__run").orderBy("frame")
-    rows = rows.withColumn("__k", F.col("frame") - F.first("frame").over(run))
-    vote = lambda t: F.sum(F.when(F.col("team") == t, F.pow(F.lit(decay), -F.col("__k"))).otherwise(0.0)).over(run.rowsBetween(W.unboundedPreceding, 0)) * F.pow(F.lit(decay), F.col("__k"))
-    rows = rows.withColumn("near", vote("NEAR")).withColumn("far", vote("FAR"))
+    track = W.partitionBy("video_id", "track_id").orderBy("frame")
+    gap = F.col("frame") - F.lag("frame").over(track)
+    rows = rows.withColumn("__new", F.when(gap.isNull() | (F.lit(forget) & (gap > 1)), 1).otherwise(0)).withColumn("__run", F.sum("__new").over(track))
+    run = W.partitionBy("video_id", "track_id", "__run")
+    size = int(log(1e9) / -log(decay)) if decay < 1 else 1 << 40
+    k = F.col("frame") - F.first("frame").over(run.orderBy("frame"))
+    rows = rows.withColumn("__k", F.pmod(k, F.lit(size))).withColumn("__block", F.floor(k / size).cast("long"))
+    own = W.partitionBy("video_id", "track_id", "__run", "__block").orderBy("frame").rowsBetween(W.unboundedPreceding, 0)
+    for team in ("NEAR", "FAR"):
+        weight = F.sum(F.when(F.col("team") == team, F.pow(F.lit(decay), -F.col("__k"))).otherwise(0.0))
+        before = (F.coalesce(weight.over(run.orderBy("__block").rangeBetween(-i, -i)), F.lit(0.0)) * decay ** (i * size) for i in (1, 2))
+        rows = rows.withColumn(team.lower(), sum(before, weight.over(own)) * F.pow(F.lit(decay), F.col("__k")))
     voted = F.when(F.greatest("near", "far") < least, "UNKNOWN").when(F.col("near") > F.col("far") * ratio, "NEAR").when(F.col("far") > F.col("near") * ratio, "FAR").otherwise("UNKNOWN")
-    return rows.withColumn("voted", voted).drop("__new", "__run", "__k")
+    return rows.withColumn("voted", voted).drop("__new", "__run", "__k", "__block")
 
 
 def team_vote_filter(voted: DataFrame, want: str = "NEAR", margin: float = 0.0, most: int = 6) -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..constants import FPS, WINDOW
-from ..operators.identity import BallKeeper
+from ..operators.identity import ball_velocity
 
 #: How late a frame may come.
 LATENESS = "2 seconds"
@@ -43,27 +44,33 @@ def label_counts(windows: DataFrame) -> DataFrame:
 def live_ball(frames: DataFrame, most: int = 12, alpha: float = 0.55) -> DataFrame:
     """Ball of every frame of a stream (video_id, frame, ball_x, ball_y) with predictions in short gaps.
 
-    State per video is the last position, velocity and number of misses. Frames of a batch are
-    taken in order; a frame at or before the last one seen comes too late and is marked so.
+    State per video is the last frame, the last sighting and the velocity there. Frames of a batch
+    are taken in order; a frame at or before the last one seen comes too late and is marked so.
     """
     schema = "video_id long, frame long, ball_x double, ball_y double, predicted boolean, late boolean"
-    state = "frame long, x double, y double, vx double, vy double, missed long"
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        keeper, last = BallKeeper(most, alpha), -1
-        if kept.exists:
-            last, x, y, vx, vy, missed = kept.get
-            keeper.pos, keeper.vel, keeper.missed = (None if x is None else (x, y)), (vx, vy), missed
-        rows = []
-        for r in pd.concat(list(parts)).sort_values("frame").itertuples():
-            here = None if pd.isna(r.ball_x) or pd.isna(r.ball_y) else (float(r.ball_x), float(r.ball_y))
-            if r.frame <= last:
-                rows.append((key[0], r.frame, *(here or (None, None)), False, True))
-                continue
-            last = int(r.frame)
-            rows.append((key[0], r.frame, *keeper.step(here), False))
-        pos = keeper.pos or (None, None)
-        kept.update((last, *pos, *keeper.vel, keeper.missed))
-        yield pd.DataFrame(rows, columns=["video_id", "frame", "ball_x", "ball_y", "predicted", "late"])
-
+        last, *before = kept.get if kept.exists else (-1, None, None, None, None, None)
+        rows = pd.concat(list(parts)).sort_values("frame")
+        frame, x, y = (rows[c].to_numpy(float) for c in ("frame", "ball_x", "ball_y"))
+        late = frame <= last
+        late[1:] |= frame[1:] == frame[:-1]
+        seen = ~late & ~np.isnan(x) & ~np.isnan(y)
+        at, sx, sy = frame[seen], x[seen], y[seen]
+        if before[0] is not None:  # the last sighting of the batches before stands first
+            at, sx, sy = (np.r_[b, v] for b, v in zip(before[:3], (at, sx, sy), strict=True))
+        if len(at):
+            v = ball_velocity(at, sx, sy, most, alpha, (before[3], before[4]) if before[0] is not None else (0.0, 0.0))
+            place = np.searchsorted(at, frame, side="right") - 1
+            m = np.where(place >= 0, frame - at[place], np.inf)
+            on = ~late & ~seen & (m <= most)
+            x, y = (np.where(on, p[place] + v[place, a] * np.where(on, m, 0), c) for a, (p, c) in enumerate(((sx, x), (sy, y))))
+            before = [int(at[-1]), float(sx[-1]), float(sy[-1]), float(v[-1, 0]), float(v[-1, 1])]
+        else:
+            on = np.zeros(len(frame), bool)
+        gone = ~late & ~seen & ~on
+        kept.update((int(max(last, frame.max())), *before))
+        yield pd.DataFrame({"video_id": key[0], "frame": rows["frame"].to_numpy(), "ball_x": np.where(gone, np.nan, x), "ball_y": np.where(gone, np.nan, y), "predicted": on, "late": late})
+
+    state = "last long, frame long, x double, y double, vx double, vy double"
     return frames.select(F.col("video_id").cast("long"), F.col("frame").cast("long"), "ball_x", "ball_y").groupBy("video_id").applyInPandasWithState(fold, schema, state, "append", GroupStateTimeout.NoTimeout)

@@ -83,38 +83,114 @@ def test_identity_swap(spark):
     assert len(steps) == 18 and max(steps) < 50
 
 
-def test_assignment_is_least():
+def test_links_are_least():
     from itertools import permutations
 
     rng = np.random.default_rng(3)
-    for p, c in ((2, 3), (4, 4), (5, 3), (1, 6)):
-        cost = rng.random((p, c))
-        got = sum(cost[i, j] for i, j in identity.assign(cost))
-        small, big = min(p, c), max(p, c)
-        m = cost if p <= c else cost.T
-        assert got == pytest.approx(min(sum(m[i, k[i]] for i in range(small)) for k in permutations(range(big), small)))
+    for _ in range(40):
+        had, has = rng.random(6) < 0.7, rng.random(6) < 0.7
+        cost = np.where(had[:, None] & has[None], rng.random((6, 6)), np.inf)
+        pairs = [(r, c) for r, c in enumerate(identity.least_links(cost[None])[0]) if np.isfinite(cost[r, c])]
+        rows, columns = np.flatnonzero(had), np.flatnonzero(has)
+        small, big, m = (rows, columns, cost) if len(rows) <= len(columns) else (columns, rows, cost.T)
+        assert len(pairs) == len(small)
+        assert sum(cost[r, c] for r, c in pairs) == pytest.approx(min(sum(m[i, j] for i, j in zip(small, k)) for k in permutations(big, len(small))))
+
+
+def test_identity_of_many_clips(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for clip in range(40):
+        at = rng.random((6, 2)) * 800
+        for t in range(1, 8 + clip % 3):
+            at = at + rng.normal(0, 60, (6, 2))
+            for slot, p in enumerate(rng.permutation(at), 1):
+                rows.append((clip, t, slot, *(map(float, p) if rng.random() < 0.8 else (None, None))))
+    df = spark.createDataFrame(rows, "clip int, frame_id long, slot int, x double, y double")
+    got = {(r.clip, r.frame_id, r.slot): (r.x, r.y) for r in identity.recover_identity(df, 150.0, ("clip",)).collect()}
+    assert len(got) == len(rows)
+    for clip in range(40):
+        before = None
+        for t in range(1, 8 + clip % 3):
+            now = [r[3:] for r in rows if r[:2] == (clip, t) and r[3] is not None]
+            after = [got[clip, t, s] for s in range(1, 7)]
+            assert sorted(p for p in after if p[0] is not None) == sorted(now)
+            if before:
+                d = np.array([[np.hypot(p[0] - q[0], p[1] - q[1]) if p[0] is not None else np.inf for q in now] + [np.inf] * (6 - len(now)) for p in before])
+                left, free = set(range(len(now))), []
+                for s, c in enumerate(identity.least_links(d[None])[0]):
+                    if d[s, c] <= 150:
+                        assert after[s] == now[c]
+                        left.discard(c)
+                    else:
+                        free.append(s)
+                assert [after[s] for s in free] == [now[c] for c in sorted(left)] + [(None, None)] * (len(free) - len(left))
+            before = after
+
+
+def _slots_frame_by_frame(rows, max_gap=15, n_slots=6):
+    """Slots from the rules, with everything looked at in every frame: rows (frame, id, x, y) to {(frame, id): slot}."""
+    out, held = {}, {}  # slot -> (id, last frame, x, y)
+    for frame in range(min(r[0] for r in rows), max(r[0] for r in rows) + 1):
+        here = {r[1]: r[2:] for r in rows if r[0] == frame and np.isfinite(r[2:]).all()}
+        got = {i: s for s, (i, *_) in held.items() if i in here}
+        held = {s: h for s, h in held.items() if h[0] in here or frame - h[1] <= max_gap}
+        new = [i for i in here if i not in got]
+        pairs = sorted((float(np.hypot(here[i][0] - x, here[i][1] - y)), i, s, frame - f) for i in new for s, (o, f, x, y) in held.items() if o not in here)
+        for d, i, s, age in pairs:
+            if i not in got and s not in got.values() and d <= min(60 * age, 250):
+                got[i] = s
+        for i in sorted(new):
+            free = [s for s in range(n_slots) if s not in held and s not in got.values()]
+            if i not in got and free:
+                got[i] = free[0]
+        for i, s in got.items():
+            held[s] = (i, frame, *here[i])
+            out[frame, i] = s + 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_slots_against_every_frame(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(9):
+        at = rng.random(2) * 500
+        for f in range(120 + 60 * (seed % 2)):
+            at = at + rng.normal(0, 20, 2)
+            if rng.random() < 0.9 and (f // 12 + i) % 3 and not 60 < f < 60 + 8 * seed:
+                rows.append((f, i + 100 * (f // 50), *(float(v) for v in at)))
+    rows.append((3, 77, float("nan"), 1.0))
+    want = _slots_frame_by_frame(rows, 5)
+    got = identity.manage_slots(spark.createDataFrame([(1, *r) for r in rows], "video_id int, frame int, track_id long, x double, y double"), 5)
+    assert {(r.frame, r.track_id): r.slot for r in got.collect()} == want and len(want) < len(rows)
 
 
 def test_slots_bridge_gaps():
-    keeper = identity.SlotKeeper()
-    assert keeper.step({7: (100.0, 100.0), 8: (900.0, 100.0)}) == {7: 0, 8: 1}
-    for _ in range(5):
-        keeper.step({8: (900.0, 100.0)})
-    assert keeper.step({9: (132.0, 100.0), 8: (900.0, 100.0)})[9] == 0
-    other = identity.SlotKeeper()
-    other.step({1: (0.0, 0.0)})
-    assert other.step({2: (1000.0, 0.0)}) == {2: 1}
-    full = identity.SlotKeeper()
-    assert len(full.step({i: (100.0 * i, 0.0) for i in range(7)})) == 6
-
-
-def test_ball_prediction():
-    keeper = identity.BallKeeper(most=2)
-    assert keeper.step(None) == (None, None, False)
-    keeper.step((0.0, 0.0))
-    keeper.step((10.0, 0.0))
-    assert keeper.step(None) == (pytest.approx(15.5), 0.0, True)
-    assert keeper.step(None)[2] and keeper.step(None) == (None, None, False)
+    frame, track = np.array([0, 0, *range(1, 6), 6, 6]), np.array([7, 8, *[8] * 5, 9, 8])
+    x = np.where(track == 8, 900.0, np.where(track == 7, 100.0, 132.0))
+    assert identity.stretch_slots(frame, track, x, np.full(9, 100.0)).tolist() == [1, 2, 2, 2, 2, 2, 2, 1, 2]
+    assert identity.stretch_slots(np.array([0, 1]), np.array([1, 2]), np.array([0.0, 1000.0]), np.zeros(2)).tolist() == [1, 2]
+    assert sorted(identity.stretch_slots(np.zeros(7, int), np.arange(7), 100.0 * np.arange(7), np.zeros(7)).tolist()) == [0, 1, 2, 3, 4, 5, 6]
+
+
+def test_ball_prediction(spark):
+    rng = np.random.default_rng(2)
+    seen = [None, 0.0, 10.0, *[None] * 14, 40.0, *[float(v) if rng.random() < 0.6 else None for v in rng.random(60) * 100]]
+    rows = [(1, t, v, None if v is None else 2 * v) for t, v in enumerate(seen)]
+    got = {r.frame: r for r in identity.track_ball(spark.createDataFrame(rows, "video_id int, frame int, ball_x double, ball_y double")).collect()}
+    at, velocity, missed = None, 0.0, 0
+    for t, v in enumerate(seen):  # step by step
+        if v is not None:
+            velocity = 0.55 * (v - at) + 0.45 * velocity if at is not None else 0.0
+            at, missed = v, 0
+        else:
+            missed += 1
+            at = at + velocity if at is not None and missed <= 12 else at
+        lost = at is None or missed > 12
+        assert got[t].predicted == (missed > 0 and not lost)
+        assert got[t].ball_x is None if lost else got[t].ball_x == pytest.approx(at)
+        assert got[t].ball_y is None if lost else got[t].ball_y == pytest.approx(2 * at)
 
 
 def test_rules(spark):
@@ -248,3 +324,17 @@ def test_padding(spark):
     short = spark.createDataFrame([(1, 0, t, 5.0) for t in range(10, 27)], "match_id long, sequence long, frame_id long, v double")
     got = clips.pad_windows(short).orderBy("t").collect()
     assert len(got) == 29 and [r.v for r in got] == [5.0] * 17 + [0.0] * 12
+
+
+@pytest.mark.parametrize("forget", [True, False])
+def test_votes_of_long_tracks(spark, forget):
+    rng = np.random.default_rng(0)
+    frame = np.sort(rng.choice(120_000, 100_000, replace=False)) if not forget else np.arange(100_000)
+    team = rng.choice(["NEAR", "FAR", "UNKNOWN"], 100_000)
+    got = teams.team_votes(spark.createDataFrame([(1, int(f), 4, str(t)) for f, t in zip(frame, team)], "video_id int, frame long, track_id int, team string"), forget=forget).toPandas().sort_values("frame")
+    near, before, want = 0.0, 0, []
+    for f, t in zip(frame.tolist(), team):
+        near = near * 0.98 ** (f - before) + (t == "NEAR")
+        before = f
+        want.append(near)
+    assert np.allclose(got["near"], want, rtol=1e-9) and np.isfinite(got["far"]).all()

@@ -57,10 +57,8 @@ def test_live_ball_equals_batch(spark, tmp_path):
     got = spark.table("ball")
     batch = identity.track_ball(spark.createDataFrame(rows, schema))
     key = lambda r: (r.video_id, r.frame, None if r.ball_x is None else round(r.ball_x, 9), r.predicted)
-    late = {(r.video_id, r.frame) for r in got.collect() if r.late}
-    if not late:
-        assert sorted(map(str, map(key, got.collect()))) == sorted(map(str, map(key, batch.collect())))
-    assert got.count() == len(rows)
+    assert got.where("late").isEmpty() and got.where("predicted").count() > 10
+    assert sorted(map(str, map(key, got.collect()))) == sorted(map(str, map(key, batch.collect())))
 
 
 def test_live_windows(spark, tmp_path):
