@@ -1,10 +1,10 @@
 """URL filter: rules first, then a ratio of character language models, in DataFrame operations.
 
 URLs that a rule decides are the accepted and rejected examples. Two Markov models of variable
-order (contexts of 0 to ``ORDER`` characters, Witten-Bell interpolation) are counted from them;
-a URL's score is the difference of its log-likelihoods divided by its length. The threshold is
-the score that separates the examples with the least sum of both error rates. Counts are kept
-per distinct gram and URLs are scored once per distinct URL, so copies cost nothing.
+order (contexts of 0 to ``ORDER`` characters, Witten-Bell interpolation) are counted from four
+fifths of them; a URL's score is the difference of its log-likelihoods divided by its length. The
+threshold is the score that separates the other fifth with the least sum of both error rates.
+Counts are kept per distinct gram and URLs are scored once per distinct URL, so copies cost nothing.
 """
 
 from __future__ import annotations
@@ -15,9 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .saved import attach, saved
+
 ORDER = 3
-#: Beyond this many distinct grams their weights are joined by a shuffle instead of a broadcast.
+#: Beyond this many distinct grams their weights are joined by a shuffle, hot grams dealt apart, instead of a broadcast.
 BROADCAST_GRAMS = 200_000
+#: One in so many examples, by CRC-32 of its URL, is held out of the counts for the threshold.
+HELD_OUT = 5
 #: Fixed values: (rule, verdict).
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -56,7 +60,7 @@ def gram_weights(grams: DataFrame) -> DataFrame:
     level = grams.select("gram", "allow", "block")
     levels = [level]
     for k in range(ORDER, 0, -1):
-        level = level.groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
+        level = saved(level.groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")), "grams")
         levels.append(level)
     out: DataFrame | None = None
     for level in reversed(levels):
@@ -69,7 +73,7 @@ def gram_weights(grams: DataFrame) -> DataFrame:
         else:
             level = level.withColumn("lower", F.expr("substring(gram, 2, length(gram))")).join(out, "lower")
         better = lambda c: F.when(F.col(f"{c}_n") > 0, (F.col(c) + F.col(f"{c}_t") * F.col(f"{c}_p")) / (F.col(f"{c}_n") + F.col(f"{c}_t"))).otherwise(F.col(f"{c}_p"))
-        out = level.select(F.col("gram").alias("lower"), better("allow").alias("allow_p"), better("block").alias("block_p"))
+        out = saved(level.select(F.col("gram").alias("lower"), better("allow").alias("allow_p"), better("block").alias("block_p")), "model")
     return out.select(F.col("lower").alias("gram"), (F.log("allow_p") - F.log("block_p")).alias("weight"))
 
 
@@ -81,25 +85,33 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) ->
     'allow' if the score reaches the calibrated threshold, else 'block'.
 
     Null URLs and those without '://' have an empty host and path and fit no rule; a null URL
-    scores 0. Without examples of both classes the threshold is 0. Repeated rows are judged
+    scores 0. Without held-out examples of both classes the counted ones calibrate the threshold,
+    and without those it is 0. URLs of any length are read whole. Repeated rows are judged
     alike. No rows give no rows. Other columns are not looked at.
     """
     verdicts = dict(rules)
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", F.col("url").cast("string").alias("url")).withColumn("host", host).withColumn("path", path).withColumn("rule", rule_for(F.col("host"), F.col("path"), rules))
     said = reduce(lambda out, r: F.when(F.col("rule") == r[0], F.lit(r[1])).otherwise(out), rules, F.lit(None).cast("string"))
-    urls = rows.where("url is not null").withColumn("said", said).groupBy("url", "said").agg(F.count("*").alias("n"))
-    places = _grams(urls)
-    count = lambda c: F.sum(F.when(F.col("said") == c, F.col("n")).otherwise(0)).alias(c)
-    grams = places.groupBy("gram").agg(count("allow"), count("block")).persist()
+    held = F.col("said").isNotNull() & (F.crc32(F.col("url").cast("binary")) % HELD_OUT == 0)
+    urls = saved(rows.where("url is not null").withColumn("said", said).groupBy("url", "said").agg(F.count("*").alias("n")).withColumn("held", held), "urls")
+    places = _grams(urls.select("url", "said", "n", "held"))
+    count = lambda c, which=F.lit(True): F.sum(F.when((F.col("said") == c) & which, F.col("n")).otherwise(0)).alias(c)
+    grams = saved(places.groupBy("gram").agg(count("allow", ~F.col("held")), count("block", ~F.col("held")), F.count("*").alias("places")), "grams")
     weights = gram_weights(grams)
-    weights = F.broadcast(weights) if grams.count() <= BROADCAST_GRAMS else weights
-    scored = places.join(weights, "gram").groupBy("url", "said", "n").agg(F.round(F.sum("weight") / F.count("*"), 9).alias("score"))
-    bins = scored.where("said is not null").groupBy(F.floor(F.col("score") * 100).alias("bin")).agg(count("allow"), count("block"))
-    below, all_ = W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
-    wrong = F.coalesce(F.sum("allow").over(below), F.lit(0)) / F.sum("allow").over(all_) + 1 - F.coalesce(F.sum("block").over(below), F.lit(0)) / F.sum("block").over(all_)
-    best = bins.withColumn("wrong", wrong).agg(F.min_by("bin", F.struct("wrong", "bin")), F.sum("allow"), F.sum("block")).first()
-    threshold = best[0] / 100 if best[1] and best[2] and best[0] is not None else 0.0
-    out = rows.join(scored.select("url", "score"), "url", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    n_grams, n_places = grams.agg(F.count("*"), F.sum("places")).first()
+    if n_grams <= BROADCAST_GRAMS:
+        both = places.join(F.broadcast(weights), "gram")
+    else:
+        both = attach(places.select("gram", "url"), weights, ["gram"], grams.select("gram", F.col("places").alias("n")), n_places)
+    scored = both.groupBy("url").agg(F.round(F.sum("weight") / F.count("*"), 9).alias("score"))
+    scored = saved(urls.join(scored, "url"), "scored")
+    bins = scored.where("said is not null").groupBy("held", F.floor(F.col("score") * 100).alias("bin")).agg(count("allow"), count("block"))
+    below, all_ = W.partitionBy("held").orderBy("bin").rowsBetween(W.unboundedPreceding, -1), W.partitionBy("held")
+    share = lambda c: F.try_divide(F.coalesce(F.sum(c).over(below), F.lit(0)), F.sum(c).over(all_))
+    wrong = share("allow") + 1 - share("block")
+    best = bins.withColumn("wrong", wrong).groupBy("held").agg(F.min_by("bin", F.struct("wrong", "bin")).alias("bin"), F.sum("allow").alias("allow"), F.sum("block").alias("block")).where("allow > 0 and block > 0").orderBy(F.desc("held")).first()
+    threshold = best["bin"] / 100 if best else 0.0
+    out = attach(rows, scored.select("url", "score"), ["url"], urls.select("url", "n"), urls.agg(F.sum("n")).first()[0] or 0, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     by_rule = F.create_map(*(F.lit(x) for r in verdicts.items() for x in r))[F.col("rule")] if verdicts else F.lit(None)
     return out.select("page_id", "host", "path", "rule", "score", F.coalesce(by_rule, F.when(F.col("score") >= threshold, "allow").otherwise("block")).alias("verdict"))

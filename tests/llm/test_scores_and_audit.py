@@ -47,7 +47,7 @@ def _url_oracle(urls):
         padded = "\x02" * 3 + url + "\x03"
         for i in range(3, len(padded)):
             letters.add(padded[i])
-            if said:
+            if said and crc32(url.encode()) % 5:
                 for k in range(4):
                     counts[said == "block"][padded[i - k : i]][padded[i]] += n
 
@@ -63,7 +63,7 @@ def _url_oracle(urls):
     return out
 
 
-def test_url_filter(spark):
+def test_url_filter(spark, monkeypatch):
     rng = random.Random(4)
     urls = [f"http://{rng.choice(['', 'www.', 'Blog.'])}{rng.choice(['alpha', 'beta', 'spam'])}.{rng.choice(['example.net', 'example.com', 'example.org', 'x.net'])}/{rng.choice(['en', 'de', 'fr', 'es'])}/{rng.randint(1, 99)}{rng.choice(['', '?a=b', '#t'])}" for _ in range(150)]
     urls += [None, "", "no scheme/en/", "http://", "http://net", "http://a.net?x=/", "https://B.ORG/fr/ö", "http://examplexnet/en/", "http://notexample.net/en/1", "x://y://z.net/de/", urls[0], urls[0]]
@@ -94,7 +94,18 @@ def test_url_filter(spark):
     assert {r.verdict for r in free} <= {"allow", "block"}
     least = min((r.score for r in free if r.verdict == "allow"), default=9)
     assert all(r.score < least for r in free if r.verdict == "block")
+    # the threshold: of the held-out examples' scores in hundredths the one with the least sum of error rates
+    out = [(math.floor(round(want[u], 9) * 100), said, n) for u, (said, n) in known.items() if said and crc32(u.encode()) % 5 == 0]
+    many = {c: sum(n for _, said, n in out if said == c) for c in ("allow", "block")}
+    assert min(many.values()) > 0
+    error = {t: sum(n for b, said, n in out if said == "allow" and b < t) / many["allow"] + sum(n for b, said, n in out if said == "block" and b >= t) / many["block"] for t in {b for b, *_ in out}}
+    threshold = min(error, key=lambda t: (round(error[t], 12), t)) / 100
+    assert all((r.verdict == "allow") == (r.score >= threshold) for r in free)
+    monkeypatch.setattr(urlmodel, "BROADCAST_GRAMS", 0)
+    assert {r.page_id: (r.score, r.verdict) for r in urlmodel.filter_urls(pages).collect()} == {i: (r.score, r.verdict) for i, r in got.items()}
     assert urlmodel.filter_urls(pages.where("false")).count() == 0
+    one_class = pages.where("url like '%net/%' or url is null")
+    assert {r.verdict for r in urlmodel.filter_urls(one_class).where("rule = 'net/'").collect()} == {"block"}
 
 
 def _records(spark, rows):
