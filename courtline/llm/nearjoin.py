@@ -243,7 +243,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found, dense_edges, n_rows = None, None, 0
     while True:
         counts = saved(level.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"), "counts")
-        met = saved(attach(level, counts, ["key"], counts.withColumnRenamed("many", "n"), level.count()), "buckets")
+        met = saved(attach(level, counts, "key", counts.withColumnRenamed("many", "n")), "buckets")
         small, large = met.where(F.col("many") <= SMALL), met.where(F.col("many") > SMALL)
         dense = F.coalesce(F.col("many") >= DENSE * F.col("above"), F.lit(False))
         found = small.select("key", "rep") if found is None else found.unionByName(small.select("key", "rep"))
@@ -252,7 +252,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if n_dense:
             groups = large.where(dense)
             least = groups.groupBy("key").agg(F.min("rep").alias("b"))
-            stars = attach(groups.select("key", "rep"), least, ["key"], groups.groupBy("key").agg(F.first("many").alias("n")), n_dense).select(F.col("rep").alias("a"), "b")
+            stars = attach(groups.select("key", "rep"), least, "key", groups.groupBy("key").agg(F.first("many").alias("n"))).select(F.col("rep").alias("a"), "b")
             dense_edges = stars if dense_edges is None else dense_edges.unionByName(stars)
         if not n_large:
             break
@@ -261,7 +261,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if dense_edges is not None:
         groups = components(dense_edges).toDF("rep", "key")
         counts = groups.groupBy("key").agg(F.count("*").alias("many"))
-        groups = saved(attach(groups, counts, ["key"], counts.withColumnRenamed("many", "n"), groups.count()), "groups")
+        groups = saved(attach(groups, counts, "key", counts.withColumnRenamed("many", "n")), "groups")
         n_rows += groups.agg(F.sum(F.ceil(F.col("many") / TILE))).first()[0] or 0
         tiles = _tiled(groups, "key", "many", "rep").select("key", "part", "rep", F.when(F.col("many") > TILE, F.xxhash64("key", "part")).otherwise(F.xxhash64("key")).alias("bundle"))
         compared = compared.unionByName(tiles)
@@ -270,7 +270,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     grouped = saved(components(edges).join(reps.select(F.col("rep").alias("node"), "copies", "k1", F.col("n").alias("n_hashes")), "node"), "grouped")
     sizes = grouped.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.col("n_hashes") * 8).alias("bytes"))
     size = sizes.select("component", F.greatest("n", F.ceil(F.col("bytes") / MEMBER_BYTES)).alias("size"))
-    wanted = attach(grouped, size, ["component"], sizes, grouped.count())
+    wanted = attach(grouped, size, "component", sizes)
     n_bytes = wanted.agg(F.sum(F.col("n_hashes") * 8 * F.ceil(F.col("size") / TILE))).first()[0] or 0
     sets = rows.join(wanted.hint("merge"), rows["doc_id"] == wanted["node"]).select("component", "size", F.col("node").alias("rep"), "copies", "k1", "text").mapInArrow(_sets, "component long, size long, rep long, copies long, hashes binary")
     tiles = _tiled(sets, "component", "size", "rep")
@@ -280,6 +280,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = components(decided.select(F.col("rep").alias("a"), F.col("root").alias("b"))).toDF("rep", "class_id")
     facts = reps.select("k1", "k2", "rep", "copies", "n").join(links, "rep", "left").join(classes, "rep", "left")
     facts = facts.select("k1", "k2", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("rep").alias("copy_of"), F.col("n").alias("n_shingles"))
-    known = attach(one.select("doc_id", "k1", "k2"), facts, ["k1", "k2"], reps.select("k1", "k2", F.col("copies").alias("n")), one.count()).drop("k1", "k2")
+    known = attach(one.select("doc_id", "k1", "k2"), facts, "k1", reps.select("k1", F.col("copies").alias("n")), also="k2").drop("k1", "k2")
     ids = rows.select("doc_id").distinct()
     return ids.join(known, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("n_shingles", F.lit(0)).alias("n_shingles"))

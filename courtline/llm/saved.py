@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key with more than one in ``SHARES`` of all rows (and than ``FEW``) is hot; its rows go to ``SALTS`` places.
-SHARES, FEW, SALTS = 1000, 1000, 64
+#: The ``MOST`` most frequent keys with more than ``FEW`` rows each are hot; their rows go to ``SALTS`` places.
+MOST, FEW, SALTS = 1000, 1000, 64
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,16 +31,21 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def attach(rows: DataFrame, facts: DataFrame, key: list[str], many: DataFrame, total: int, how: str = "inner") -> DataFrame:
+def attach(rows: DataFrame, facts: DataFrame, key: str, many: DataFrame, how: str = "inner", also: str | None = None) -> DataFrame:
     """Join of ``rows`` with ``facts`` (one row per key) in which no task gets all rows of a hot key.
 
-    many: (key, n), the rows per key, of ``total``. Keys with more than a thousandth of all rows,
-    a thousand at most, are hot: their rows are dealt to ``SALTS`` places, and their facts to each.
+    many: (key, n), the rows per key; ``also`` names a second key column that is not looked at for
+    heat. Of keys with more than ``FEW`` rows the ``MOST`` most frequent ones, which alone reach the
+    driver, are hot: any other has less than a thousandth of all rows. The rows of hot keys are dealt
+    to ``SALTS`` places, and their facts to each.
     """
-    hot = F.broadcast(many.where(F.col("n") > max(FEW, total // SHARES)).select(*key, F.lit(True).alias("__hot")))
-    left = rows.join(hot, key, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(0).cast("int")).drop("__hot")
-    right = facts.join(hot, key, "left").withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
-    return left.join(right, [*key, "__salt"], how).drop("__salt")
+    keys = [key, also] if also else [key]
+    hot = [r[0] for r in many.where(F.col("n") > FEW).orderBy(F.desc("n"), key).select(key).limit(MOST).collect()]
+    if not hot:
+        return rows.join(facts, keys, how)
+    left = rows.withColumn("__salt", F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(0).cast("int"))
+    right = facts.withColumn("__salt", F.explode(F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -56,11 +61,11 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # a node's larger neighbours go to the least of its smaller ones, or to itself
         least = now.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "b")
-        large = attach(now, least, ["b"], now.groupBy("b").agg(F.count("*").alias("n")), now.count(), "left").select("a", F.coalesce("m", "b").alias("b"))
+        large = attach(now, least, "b", now.groupBy("b").agg(F.count("*").alias("n")), "left").select("a", F.coalesce("m", "b").alias("b"))
         large = saved(large.distinct(), "edges")
         # and its smaller neighbours, like itself, to the least of them
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = attach(large, least.select("a", "m"), ["a"], least, large.count()).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = attach(large, least.select("a", "m"), "a", least).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = saved(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
         ends = now.groupBy("a").agg(F.count("*").alias("n"))
         if ends.where("n > 1").isEmpty() and now.select("b").distinct().join(ends.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():  # stars around least nodes

@@ -99,11 +99,10 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) ->
     count = lambda c, which=F.lit(True): F.sum(F.when((F.col("said") == c) & which, F.col("n")).otherwise(0)).alias(c)
     grams = saved(places.groupBy("gram").agg(count("allow", ~F.col("held")), count("block", ~F.col("held")), F.count("*").alias("places")), "grams")
     weights = gram_weights(grams)
-    n_grams, n_places = grams.agg(F.count("*"), F.sum("places")).first()
-    if n_grams <= BROADCAST_GRAMS:
+    if grams.count() <= BROADCAST_GRAMS:
         both = places.join(F.broadcast(weights), "gram")
     else:
-        both = attach(places.select("gram", "url"), weights, ["gram"], grams.select("gram", F.col("places").alias("n")), n_places)
+        both = attach(places.select("gram", "url"), weights, "gram", grams.select("gram", F.col("places").alias("n")))
     scored = both.groupBy("url").agg(F.round(F.sum("weight") / F.count("*"), 9).alias("score"))
     scored = saved(urls.join(scored, "url"), "scored")
     bins = scored.where("said is not null").groupBy("held", F.floor(F.col("score") * 100).alias("bin")).agg(count("allow"), count("block"))
@@ -112,6 +111,6 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) ->
     wrong = share("allow") + 1 - share("block")
     best = bins.withColumn("wrong", wrong).groupBy("held").agg(F.min_by("bin", F.struct("wrong", "bin")).alias("bin"), F.sum("allow").alias("allow"), F.sum("block").alias("block")).where("allow > 0 and block > 0").orderBy(F.desc("held")).first()
     threshold = best["bin"] / 100 if best else 0.0
-    out = attach(rows, scored.select("url", "score"), ["url"], urls.select("url", "n"), urls.agg(F.sum("n")).first()[0] or 0, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    out = attach(rows, scored.select("url", "score"), "url", urls.select("url", "n"), "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     by_rule = F.create_map(*(F.lit(x) for r in verdicts.items() for x in r))[F.col("rule")] if verdicts else F.lit(None)
     return out.select("page_id", "host", "path", "rule", "score", F.coalesce(by_rule, F.when(F.col("score") >= threshold, "allow").otherwise("block")).alias("verdict"))

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from courtline.llm import decontaminate, nearjoin, packing, wordpieces
+from courtline.llm import decontaminate, nearjoin, packing, saved, wordpieces
 
 from .common import alnum, documents, frame, spaced
 
@@ -21,6 +21,7 @@ def _shingles(text):
 def test_near_duplicates(spark, monkeypatch, tile):
     monkeypatch.setattr(nearjoin, "TILE", tile)
     monkeypatch.setattr(nearjoin, "SMALL", tile)
+    monkeypatch.setattr(saved, "FEW", tile)
     rows = documents(5)
     sets = {r[0]: _shingles(r[1]) for r in rows}
     links = {a: {b for b in sets if b != a and sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])} for a in sets}
