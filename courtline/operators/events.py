@@ -77,8 +77,8 @@ def density_grid(points: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return grid.join(counts, [*keys, "bx", "b2"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def _reflect(i: Column, n: int) -> Column:
-    return F.when(i < 0, -i - 1).when(i >= n, 2 * n - 1 - i).otherwise(i)
+def _reflect(i: int, n: int) -> int:
+    return -i - 1 if i < 0 else 2 * n - 1 - i if i >= n else i
 
 
 def kernel_weights() -> list[float]:
@@ -90,12 +90,12 @@ def kernel_weights() -> list[float]:
 
 def density_smooth(grid: DataFrame, keys: tuple[str, ...] = (), least: float = 0.03) -> DataFrame:
     """Gaussian smoothing of a dense grid, one axis after the other with reflected edges, over the highest cell; cells under ``least`` are dropped."""
-    taps = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in zip(range(-RADIUS, RADIUS + 1), kernel_weights(), strict=True)))
     rows = grid.select(*keys, "bx", "b2", F.col("n").cast("double").alias("v"))
     for axis, size in (("bx", GRID_X), ("b2", GRID_Y)):
-        # what a cell gives to the cells whose reflected taps reach it
-        spread = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda to: F.transform(F.filter(taps, lambda t: _reflect(to + t["k"], size) == F.col(axis)), lambda t: F.struct(to.alias("to"), t["w"].alias("w")))))
+        # what a cell gives to the cells whose reflected taps reach it: a fixed table of a few hundred rows
+        taps = [(_reflect(to + k, size), to, w) for to in range(size) for k, w in zip(range(-RADIUS, RADIUS + 1), kernel_weights(), strict=True)]
+        spread = F.broadcast(grid.sparkSession.createDataFrame(taps, f"{axis} int, to int, w double"))
         other = "b2" if axis == "bx" else "bx"
-        rows = rows.where("v <> 0").select(*keys, other, "v", F.explode(spread).alias("s")).groupBy(*keys, other, F.col("s.to").alias(axis)).agg(F.sum(F.col("v") * F.col("s.w")).alias("v"))
+        rows = rows.where("v <> 0").join(spread, axis).groupBy(*keys, other, F.col("to").alias(axis)).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
     top = F.max("v").over(W.partitionBy(*keys)) if keys else F.max("v").over(W.partitionBy())
     return rows.withColumn("density", F.col("v") / top).where(F.col("density") >= least).select(*keys, "bx", "b2", "density")
