@@ -1,10 +1,10 @@
 """Quality classifier: supervised subword embeddings.
 
 A document is the average of learned vectors of its hashed words and byte n-grams (with
-word borders), and a softmax layer reads that average. Vectors and layer are trained on the
-driver by stochastic gradient descent in numpy, over at most ``2 * SAMPLE`` labelled
-documents (half of each class, by the hash of their ids), whose features executors count
-over whole texts. Both layers are linear, so the trained model is one number per hash slot:
+word borders), and a softmax layer reads that average. Vectors and layer are trained in one
+task by stochastic gradient descent in numpy, over at most ``2 * SAMPLE`` labelled
+documents (half of each class, by the hash of their ids), whose features other tasks count
+over whole texts; the driver gets the finished weights alone. Both layers are linear, so the trained model is one number per hash slot:
 scoring a text is a mean of table look-ups inside each task.
 """
 
@@ -22,7 +22,7 @@ from . import textarrays as X
 #: Most labelled documents of each class that a model is fitted on.
 SAMPLE = 1500
 SLOTS, DIM, GRAMS, EPOCHS, RATE, SEED = 1 << 17, 8, (3, 4), 5, 1.0, 17
-_FEATURES = "doc_id long, slots array<int>, counts array<int>"
+_FEATURES = "doc_id long, quality int, slots array<int>, counts array<int>"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -61,7 +61,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             slots, rows = [np.concatenate(x) for x in zip(*_features(data, offs), strict=True)]
             key, count = np.unique(rows.astype(np.int64) * (SLOTS + 1) + slots, return_counts=True)
             edge = pa.array(np.searchsorted(key // (SLOTS + 1), np.arange(b - a + 1)), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(edge, pa.array((key % (SLOTS + 1)).astype(np.int32))), pa.ListArray.from_arrays(edge, pa.array(count.astype(np.int32)))], names=["doc_id", "slots", "counts"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in (0, 2)), pa.ListArray.from_arrays(edge, pa.array((key % (SLOTS + 1)).astype(np.int32))), pa.ListArray.from_arrays(edge, pa.array(count.astype(np.int32)))], names=["doc_id", "quality", "slots", "counts"])
 
 
 def train(samples: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, float]:
@@ -89,6 +89,14 @@ def train(samples: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray
     return (vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float64), float(bias[1] - bias[0])
 
 
+def _trained(table: pa.Table) -> pa.Table:
+    """The one model of all sampled documents, which come in the order of their ids."""
+    table = table.sort_by([("doc_id", "ascending")])
+    slots, counts = (table.column(c).combine_chunks() for c in ("slots", "counts"))
+    weights, bias = train([(s.values.to_numpy(), c.values.to_numpy(), q.as_py()) for s, c, q in zip(slots, counts, table.column("quality"), strict=True)])
+    return pa.table({"weights": pa.array([weights], pa.list_(pa.float64())), "bias": [bias]})
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """Train on labelled documents outside the held-out part; with one class or none every score is that class's or 0.5."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
@@ -96,13 +104,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     for label in (0, 1):
         part = known.where(F.col("quality") == label).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
         pick = part if pick is None else pick.unionByName(part)
-    chosen = {r[0]: r[1] for r in pick.collect()}
-    ids = docs.sparkSession.createDataFrame(sorted(chosen.items()), "doc_id long, quality int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids.select("doc_id")), "doc_id")
-    got = texts.mapInArrow(_counted, _FEATURES).toArrow().sort_by([("doc_id", "ascending")])
-    slots, counts = (got.column(c).combine_chunks() for c in ("slots", "counts"))
-    samples = [(s.values.to_numpy(), c.values.to_numpy(), chosen[d.as_py()]) for d, s, c in zip(got.column("doc_id"), slots, counts, strict=True)]
-    return train(samples)
+    pick = pick.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(pick), "doc_id")
+    features = texts.select("doc_id", "text", "quality").mapInArrow(_counted, _FEATURES)
+    got = features.groupBy(F.lit("all")).applyInArrow(_trained, "weights array<double>, bias double").toArrow()
+    if not len(got):
+        return train([])
+    return got.column("weights").combine_chunks().values.to_numpy(), got.column("bias")[0].as_py()
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
