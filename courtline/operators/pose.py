@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.geometry import box_iou
 from ..functions.scalars import wrap_angle
 from .measures import onset, smoothed
 
@@ -56,3 +57,20 @@ def pose_events(motion: DataFrame) -> DataFrame:
     """Take-offs and arm swings as rows."""
     kinds = F.array(F.when(F.col("takeoff"), F.struct(F.lit("jump_takeoff").alias("event"), F.col("vy_ms").alias("value"))), F.when(F.col("impact"), F.struct(F.lit("arm_swing_impact").alias("event"), F.col("arm_omega_rad_s").alias("value"))))
     return motion.select("video_id", "frame", "track_id", F.inline(F.filter(kinds, lambda e: e.isNotNull())))
+
+
+def match_skeletons(tracks: DataFrame, skeletons: DataFrame, least: float = 0.3) -> DataFrame:
+    """One-to-one pairs of tracks (track_id) and skeletons (skeleton_id) of a frame: video_id, frame, track_id, skeleton_id, iou.
+
+    Both have video_id, frame and a box. Pairs overlapping by ``least`` or more are taken best first, of
+    equal ones that of the larger ids; a track or skeleton that is taken is out. A frame's candidates are
+    one short array.
+    """
+    box = F.struct("x1", "y1", "x2", "y2")
+    a = tracks.select("video_id", "frame", "track_id", box.alias("a"))
+    b = skeletons.select("video_id", "frame", "skeleton_id", box.alias("b"))
+    near = a.join(b, ["video_id", "frame"]).select("video_id", "frame", "track_id", "skeleton_id", box_iou(F.col("a"), F.col("b")).alias("iou")).where(F.col("iou") >= least)
+    ranked = near.groupBy("video_id", "frame").agg(F.sort_array(F.collect_list(F.struct("iou", "track_id", "skeleton_id")), asc=False).alias("all"))
+    free = lambda got, c: ~F.exists(got, lambda g: (g["track_id"] == c["track_id"]) | (g["skeleton_id"] == c["skeleton_id"]))
+    taken = F.aggregate("all", F.filter("all", lambda _: F.lit(False)), lambda got, c: F.when(free(got, c), F.concat(got, F.array(c))).otherwise(got))
+    return ranked.select("video_id", "frame", F.inline(taken)).select("video_id", "frame", "track_id", "skeleton_id", "iou")

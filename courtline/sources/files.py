@@ -95,3 +95,36 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
 def summary_json(metrics: DataFrame) -> DataFrame:
     """One JSON text per row."""
     return metrics.select(F.to_json(F.struct(*metrics.columns)).alias("value"))
+
+
+def verify_labels(lines: DataFrame, images: DataFrame, n_classes: int) -> DataFrame:
+    """What is wrong with detector labels: split, stem, line (0: the file itself) and problem.
+
+    lines: split, stem, line and value; images: split and stem. Of a line the first fault counts: a
+    token that is no number, a class outside 0..n_classes - 1, neither four coordinates nor an even
+    number from six on, one outside [0, 1], a box or polygon without width or height. Blank lines are
+    passed over. Pictures are not decoded.
+    """
+    token = F.split(F.trim("value"), r"\s+")
+    rows = lines.where(F.trim("value") != "").withColumn("__v", F.transform(token, lambda t: t.try_cast("double")))
+    rows = rows.withColumn("__class", F.col("__v")[0].cast("int")).withColumn("__c", F.slice("__v", 2, 1 << 20)).withColumn("__n", F.size("__c"))
+    c, n = F.col("__c"), F.col("__n")
+    along = lambda k: F.when(n == 4, F.array(F.get(c, k) - F.get(c, k + 2) / 2, F.get(c, k) + F.get(c, k + 2) / 2)).otherwise(F.filter(c, lambda _, i: i % 2 == k))
+    flat = lambda v: F.array_max(v) - F.array_min(v) <= 0
+    problem = (
+        F.when(F.exists("__v", lambda v: v.isNull() | F.isnan(v)), "not a number")
+        .when(~F.col("__class").between(0, n_classes - 1), "class out of range")
+        .when((n != 4) & ((n < 6) | (n % 2 == 1)), "number of coordinates")
+        .when(F.exists(c, lambda v: ~v.between(0, 1)), "coordinate out of range")
+        .when(flat(along(0)) | flat(along(1)), "no width or height")
+    )
+    faults = rows.select("split", "stem", F.col("line").cast("long").alias("line"), problem.alias("problem")).where("problem is not null")
+    pairs = image_label_pairing(images, lines).select("split", "stem", F.lit(0).cast("long").alias("line"), "problem")
+    return faults.unionByName(pairs)
+
+
+def label_verdict(faults: DataFrame, images: DataFrame) -> DataFrame:
+    """PASS or FAIL and the number of faults for each split of images or faults."""
+    n = faults.groupBy("split").agg(F.count("*").alias("n_faults"))
+    both = images.select("split").distinct().join(n, "split", "full_outer").na.fill(0, ["n_faults"])
+    return both.withColumn("verdict", F.when(F.col("n_faults") == 0, "PASS").otherwise("FAIL"))
