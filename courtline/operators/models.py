@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import warnings
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any, NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 from ..functions.scalars import entropy_bits, entropy_norm
 from .learning import grouped_predictions, model_pipeline
 from .scores import balanced_weights, classification_scores, kfold
+from .stored import stored
+
+#: Models that are fitted at the same time: the jobs of one are too short to fill a cluster.
+PARALLEL = 8
 
 
 class Bundle(NamedTuple):
@@ -72,12 +77,12 @@ def batch_score(rows: DataFrame, bundle: Bundle, least: float = 0.5) -> DataFram
     )
 
 
-def _left_out(rows: DataFrame, names: Sequence[str], fold: str, model: str) -> Iterator[tuple[Any, Bundle]]:
-    """Each value of ``fold`` with a model of all other rows, where these have two labels."""
-    for value in [r[0] for r in rows.select(fold).distinct().orderBy(fold).collect()]:
-        bundle = fit_bundle(rows.where(F.col(fold) != value), names, model)
-        if len(bundle.labels) > 1:
-            yield value, bundle
+def _left_out(rows: DataFrame, names: Sequence[str], fold: str, model: str) -> list[tuple[Any, Bundle]]:
+    """Each value of ``fold`` with a model of all other rows, where these have two labels; ``PARALLEL`` are fitted at a time."""
+    values = [r[0] for r in rows.select(fold).distinct().orderBy(fold).collect()]
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        fitted = pool.map(lambda value: (value, fit_bundle(rows.where(F.col(fold) != value), names, model)), values)
+        return [(value, bundle) for value, bundle in fitted if len(bundle.labels) > 1]
 
 
 def channel_importance(rows: DataFrame, channels: Mapping[str, Sequence[str]], fold: str, model: str = "tree", repeats: int = 5, seed: int = 0, top: int = 20) -> DataFrame:
@@ -88,24 +93,25 @@ def channel_importance(rows: DataFrame, channels: Mapping[str, Sequence[str]], f
     ``top`` channels are returned, the largest drop first.
     """
     names = [c for columns in channels.values() for c in columns]
-    rows = rows.select("clip", "label", F.col(fold).alias("fold"), *names).where("label is not null").persist()  # every fold reads all features again
+    rows = rows.select("clip", "label", F.col(fold).alias("fold"), *names).where("label is not null")
     trials = F.array(F.struct(F.lit("").alias("channel"), F.lit(0).alias("trial")), *(F.struct(F.lit(c).alias("channel"), F.lit(k).alias("trial")) for c in channels for k in range(repeats)))
     w = W.partitionBy("fold", "channel", "trial")
     drawn = rows.select("clip", "label", "fold", F.struct(*names).alias("own"), F.explode(trials).alias("t")).select("*", "t.*").drop("t")
     drawn = drawn.withColumn("place", F.row_number().over(w.orderBy("clip"))).withColumn("other", F.row_number().over(w.orderBy(F.xxhash64("clip", "channel", "trial", F.lit(seed)), "clip")))
     given = drawn.select("fold", "channel", "trial", F.col("other").alias("place"), F.col("own").alias("theirs"))
     mixed = drawn.drop("other").join(given, ["fold", "channel", "trial", "place"])
-    mixed = mixed.select("clip", "fold", "channel", "trial", F.col("label").alias("y_true"), *(F.when(F.col("channel") == c, F.col(f"theirs.{n}")).otherwise(F.col(f"own.{n}")).alias(n) for c, columns in channels.items() for n in columns)).persist()
+    mixed = mixed.select("clip", "fold", "channel", "trial", F.col("label").alias("y_true"), *(F.when(F.col("channel") == c, F.col(f"theirs.{n}")).otherwise(F.col(f"own.{n}")).alias(n) for c, columns in channels.items() for n in columns))
+    mixed = stored(mixed, "permuted")  # every fold reads its part
     parts = [batch_score(mixed.where(F.col("fold") == value), bundle) for value, bundle in _left_out(rows, names, "fold", model)]
     scored = parts[0]
     for p in parts[1:]:
         scored = scored.unionByName(p)
     keys = ["fold", "channel", "trial"]
     f1 = classification_scores(scored.select(*keys, "y_true", F.col("label").alias("y_pred")), keys).select(*keys, "macro_f1")
-    base = f1.where("channel = ''").select("fold", F.col("macro_f1").alias("base"))
+    base = F.max(F.when(F.col("channel") == "", F.col("macro_f1"))).over(W.partitionBy("fold"))
     drop = F.col("base") - F.col("macro_f1")
     sizes = F.create_map(*(F.lit(x) for c, columns in channels.items() for x in (c, len(columns))))
-    out = f1.where("channel <> ''").join(base, "fold").groupBy("channel").agg(F.avg(drop).alias("importance_mean"), F.stddev_pop(drop).alias("importance_std"))
+    out = f1.withColumn("base", base).where("channel <> ''").groupBy("channel").agg(F.avg(drop).alias("importance_mean"), F.stddev_pop(drop).alias("importance_std"))
     return out.select("channel", sizes[F.col("channel")].alias("n_columns"), "importance_mean", "importance_std").orderBy(F.desc("importance_mean"), "channel").limit(top)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as X
 from ..operators import frames, learning, rules, scores
+from ..operators.stored import stored
 from ..sources import files
 from .base import BOTH, POS, Query, R, descriptors, moves, positions, rounded
 from .formation import _LONG, _METRICS, _channels
@@ -53,7 +54,7 @@ def _clips(s, d):
     m = frames.window_metrics(descriptors(s, d), frames.kinematics(moves(s, d)))
     lab = rules.label_clips(X.raw_positions(s, d)).select("match_id", "sequence", "label")
     clip = F.concat_ws("_", F.col("match_id").cast("string"), F.col("sequence").cast("string"))
-    return m.join(lab, ["match_id", "sequence"]).withColumn("clip", clip).withColumn("video", F.col("match_id"))
+    return stored(m.join(lab, ["match_id", "sequence"]).withColumn("clip", clip).withColumn("video", F.col("match_id")), "clips")
 
 
 _OUT = ("y_true", "y_pred")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from ..operators import models
+from ..operators.stored import shared_folder
 from .base import Query, rounded
 from .formation import _METRICS
 from .learning import _clips
@@ -19,10 +19,7 @@ _CHANNELS = {m: (m,) for m in _METRICS}
 
 def _score(s, d):
     """A model fitted on all clips, saved, loaded and applied to the same clips."""
-    shared = s.conf.get("spark.checkpoint.dir", None) or (tempfile.mkdtemp(prefix="spark-") if s.sparkContext.master.startswith("local[") else None)
-    if not shared:
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    clips, path = _clips(s, d).persist(), f"{shared}/bundle-{uuid.uuid4().hex}"
+    clips, path = _clips(s, d), f"{shared_folder(s)}/bundle-{uuid.uuid4().hex}"
     models.save_bundle(s, models.fit_bundle(clips, _METRICS, "tree"), path)
     return models.batch_score(clips, models.load_bundle(s, path, "1")).select("clip", "label", "confidence", "entropy", "entropy_norm", "is_anomaly")
 
