@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as X
@@ -69,29 +69,36 @@ def _masks(width: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in out]
 
 
+def _kept(pos: Column, level: int) -> Column:
+    """The bits that a signature keeps: of each segment that was cut, all but the bit left out (pos has these in base 64)."""
+    out = F.lit(0).cast("long")
+    for k in range(level + 1):
+        masks = F.array(*(F.lit(m).cast("long") for m in _masks(WIDTHS[k])))
+        out = out.bitwiseOR(F.get(masks, F.pmod(F.shiftright(pos, 6 * (level - k)), F.lit(64))))
+    return out
+
+
 def _signatures(rows: DataFrame, level: int) -> DataFrame:
-    """Rows with fp, and below the first level pos and kept, to one row per variant: fp, pos (bits that were left out), kept (mask), val.
+    """Rows with fp, and below the first level pos, to one row per variant: fp, pos (bits that were left out), key (hash of the signature).
 
-    The bit to leave out is any outside the segments that are kept or cut already.
+    The bit to leave out is any outside the segments that are cut already. Two signatures with one
+    hash only share a bucket.
     """
-    width, masks = WIDTHS[level], F.array(*(F.lit(m).cast("long") for m in _masks(WIDTHS[level])))
     if level == 0:
-        out = rows.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p"))
-        pos, kept = F.col("p").cast("long"), F.get(masks, F.col("p"))
+        out = rows.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("pos"))
     else:
         # the last bit left out lies in a segment of twice the width; that segment's sibling is still free
-        last, twice = F.pmod(F.col("pos"), F.lit(64)), 2 * width
-        free = (F.floor(last / twice).cast("int").bitwiseXOR(F.lit(1)) * twice).cast("int")
-        out = rows.select("fp", "pos", "kept", F.explode(F.sequence(free, free + (twice - 1))).alias("p"))
-        pos, kept = F.col("pos") * 64 + F.col("p"), F.col("kept").bitwiseOR(F.get(masks, F.col("p")))
-    return out.select("fp", pos.alias("pos"), kept.cast("long").alias("kept")).withColumn("val", F.col("fp").bitwiseAND(F.col("kept")))
+        twice = 2 * WIDTHS[level]
+        free = (F.floor(F.pmod(F.col("pos"), F.lit(64)) / twice).cast("int").bitwiseXOR(F.lit(1)) * twice).cast("int")
+        out = rows.select("fp", F.explode(F.transform(F.sequence(free, free + (twice - 1)), lambda p: F.col("pos") * 64 + p)).alias("pos"))
+    return out.withColumn("key", F.xxhash64(F.lit(level), F.col("pos"), F.col("fp").bitwiseAND(_kept(F.col("pos"), level))))
 
 
 def _compare(table: pa.Table) -> pa.Table:
     """Every pair inside each bucket of a bundle is verified: an edge from each fingerprint to the least one it reaches."""
-    table = table.sort_by([("level", "ascending"), ("pos", "ascending"), ("val", "ascending"), ("fp", "ascending")]).combine_chunks()
-    level, pos, val, fp = (table.column(c).to_numpy() for c in ("level", "pos", "val", "fp"))
-    head = np.flatnonzero(np.r_[True, (pos[1:] != pos[:-1]) | (val[1:] != val[:-1]) | (level[1:] != level[:-1])])
+    table = table.sort_by([("key", "ascending"), ("fp", "ascending")]).combine_chunks()
+    key, fp = table.column("key").to_numpy(), table.column("fp").to_numpy()
+    head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[head, len(fp)])
     left, right = [], []
     for m in np.unique(size[size > 1]):
@@ -118,17 +125,17 @@ def links(fingerprints: DataFrame) -> DataFrame:
     """(a, b) stars over distinct fingerprints (fp): two are connected by stars if and only if they are by links."""
     level, buckets = _signatures(fingerprints.select("fp"), 0), None
     for k in range(len(WIDTHS)):
-        counts = saved(level.groupBy("pos", "val").agg(F.count("*").alias("many")).where("many > 1"), "counts")
-        met = saved(attach(level, counts, "val", counts.groupBy("val").agg(F.sum("many").alias("n")), also="pos"), "buckets")
-        ready = met if k == len(WIDTHS) - 1 else met.where(F.col("many") <= SMALL)
-        ready = ready.select(F.lit(k).alias("level"), "pos", "val", "fp")
+        counts = saved(level.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"), "counts")
+        # shared signatures grow with the data: never broadcast
+        met = saved(attach(level, counts.hint("merge"), "key", counts.withColumnRenamed("many", "n")), "buckets")
+        large = F.col("many") > SMALL if k < len(WIDTHS) - 1 else F.lit(False)
+        ready = met.where(~large).select("key", "fp")
         buckets = ready if buckets is None else buckets.unionByName(ready)
-        large = met.where(F.col("many") > SMALL)
-        if k == len(WIDTHS) - 1 or large.isEmpty():
+        if met.where(large).isEmpty():
             break
-        level = _signatures(large, k + 1)
+        level = _signatures(met.where(large).select("fp", "pos"), k + 1)
     bundles = max(16, buckets.count() // BUNDLE_ROWS)
-    return buckets.withColumn("bundle", F.pmod(F.xxhash64("level", "pos", "val"), F.lit(bundles))).groupBy("bundle").applyInArrow(_compare, "a long, b long")
+    return buckets.withColumn("bundle", F.pmod("key", F.lit(bundles))).groupBy("bundle").applyInArrow(_compare, "a long, b long")
 
 
 def simhash_groups(docs: DataFrame) -> DataFrame:
