@@ -31,6 +31,8 @@ KEPT, TOP = 3, 200
 SHARD, TILE = 8192, 128
 #: Bytes of perfect hashes that are broadcast at a time, and of dense slots that a task holds before it hands them on.
 BROADCAST, DENSE = 48 << 20, 64 << 20
+#: Rows of terms that a task holds before it adds them up.
+HELD = 1_000_000
 #: Displacements tried for a bucket before another seed is taken.
 TRIES = 1 << 16
 #: Fixed value: bytes of a term (A-Z, a-z and everything past ASCII).
@@ -59,17 +61,45 @@ def _coded(column: pa.Array) -> tuple[np.ndarray, list[str]]:
     return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
 
 
+def _tally(key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys (under ``size``), ascending, and how often each occurs."""
+    if size > 8 * len(key):
+        return np.unique(key, return_counts=True)
+    n = np.bincount(key)
+    at = np.flatnonzero(n)
+    return at, n[at]
+
+
+def _distinct(key: np.ndarray, size: int) -> np.ndarray:
+    """Distinct keys (under ``size``), ascending."""
+    if size > 64 * len(key):
+        return np.unique(key)
+    seen = np.zeros(size, bool)
+    seen[key] = True
+    return np.flatnonzero(seen)
+
+
+def _summed(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if parts:
+        yield from pa.Table.from_batches(parts).group_by(["lang", "term"], use_threads=False).aggregate([("docs", "sum")]).select(["lang", "term", "docs_sum"]).rename_columns(["lang", "term", "docs"]).combine_chunks().to_batches()
+
+
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) to lang, term and the documents of a block in which it occurs."""
+    """(lang, text) to lang, term and a number of documents in which it occurs; several rows for a term are to be added up."""
+    parts: list[pa.RecordBatch] = []
     for batch in batches:
         for a, b, data, offs in X.blocks(batch.column(1)):
             row, code, terms = _terms(data, offs)
             if not len(row):
                 continue
             lang, langs = _coded(batch.column(0).slice(a, b - a))
-            once = np.unique(row * len(terms) + code)
-            key, docs = np.unique(lang[once // len(terms)] * len(terms) + once % len(terms), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(langs).take(pa.array(key // len(terms))), terms.take(pa.array(key % len(terms))).cast(pa.string()), pa.array(docs)], names=["lang", "term", "docs"])
+            once = _distinct(row * len(terms) + code, (b - a) * len(terms))
+            key, docs = _tally(lang[once // len(terms)] * len(terms) + once % len(terms), len(langs) * len(terms))
+            parts.append(pa.RecordBatch.from_arrays([pa.array(langs).take(pa.array(key // len(terms))), terms.take(pa.array(key % len(terms))).cast(pa.string()), pa.array(docs)], names=["lang", "term", "docs"]))
+            if sum(p.num_rows for p in parts) > HELD:
+                yield from _summed(parts)
+                parts = []
+    yield from _summed(parts)
 
 
 # ---- perfect hashes ----------------------------------------------------------------------------
@@ -211,7 +241,7 @@ def _grouped(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np
             continue
         (lang, langs), (source, sources) = (_coded(batch.column(c).slice(a, b - a)) for c in (0, 1))
         group, of = np.unique(lang * len(sources) + source, return_inverse=True)
-        key, n = np.unique(of[row] * len(terms) + code, return_counts=True)
+        key, n = _tally(of[row] * len(terms) + code, len(group) * len(terms))
         yield key // len(terms), key % len(terms), n, [(langs[g // len(sources)], sources[g % len(sources)]) for g in group.tolist()], terms
 
 
