@@ -104,13 +104,15 @@ def _pack(capacity: int):
     return pack
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, near: bool = True) -> DataFrame:
     """Pack whole documents into bins of ``capacity`` words; one row per piece.
 
     Words are runs of bytes other than ASCII white space. A document longer than a bin fills
     whole bins, and what is left of it is a piece to be packed; nothing is cut off. No bin has
     two pieces of one source, or of one duplicate cluster: texts that ``near_duplicates`` connects
     by links (Jaccard similarity of 0.8 or more), or whose words are equal but for A-Z and a-z.
+    ``near`` is False for documents from which near copies are removed already: no links are
+    sought then, and a cluster is texts with equal words.
     Returns doc_id, part, start_word, n_words, bin_id and bin_offset.
 
     Null, empty and blank texts take no room: one row with no words and no bin. Null sources are
@@ -121,9 +123,13 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     n_shards = max(1, ceil(rows.count() / SHARD))
     keyed = rows.withColumn("key", F.xxhash64("doc_id", "text"))  # one for each text of a doc_id
-    named = keyed.where("doc_id is not null").unionByName(keyed.where("doc_id is null").dropDuplicates(["key"]))
-    classes = near_duplicates(named.select(F.col("key").alias("doc_id"), "text")).where("n_links > 0").select(F.col("doc_id").alias("key"), "class_id")
     items = keyed.select("doc_id", "source", "text", "key").mapInArrow(_described, "doc_id long, source string, n_words long, words long, key long")
-    items = items.join(classes, "key", "left").select("doc_id", "source", "n_words", "words", F.coalesce("class_id", "words").alias("cluster"))
+    if near:
+        named = keyed.where("doc_id is not null").unionByName(keyed.where("doc_id is null").dropDuplicates(["key"]))
+        classes = near_duplicates(named.select(F.col("key").alias("doc_id"), "text")).where("n_links > 0").select(F.col("doc_id").alias("key"), "class_id")
+        items = items.join(classes, "key", "left")
+    else:
+        items = items.withColumn("class_id", F.lit(None).cast("long"))
+    items = items.select("doc_id", "source", "n_words", "words", F.coalesce("class_id", "words").alias("cluster"))
     shard = F.pmod(F.coalesce(F.xxhash64("doc_id"), F.lit(0)) + F.when(F.col("doc_id").isNull(), F.col("words")).otherwise(F.lit(0)), F.lit(n_shards))
     return items.withColumn("shard", shard.cast("long")).groupBy("shard").applyInArrow(_pack(capacity), OUT)
