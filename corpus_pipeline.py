@@ -69,10 +69,12 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents that are left, packed into bins.
 
-    Rows that repeat a doc_id or have none are packed each on their own; null, empty and blank texts
-    have a row without a bin. No rows give no rows.
+    Near copies left two stages ago and strings of 50 bytes that texts share one stage later, so clusters
+    are texts with equal words and aren't sought by links again. Rows that repeat a doc_id or have
+    none are packed each on their own; null, empty and blank texts have a row without a bin. No rows
+    give no rows.
     """
-    return pack_documents(docs)
+    return pack_documents(docs, near=False)
 
 
 STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicate), ("suffix-array dedup", repeated_strings), ("benchmark decontamination", benchmark_free), ("best-fit packing", packed)]
