@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import COURT_H, COURT_W, FRAME_CHANNELS, KINEMATIC_CHANNELS, NET_Y, WINDOW
 from ..functions import geometry as G
-from . import clean, clips, frames, identity, rules
+from . import clean, clips, frames, identity, rules, scan
 
 CLIP = ("match_id", "sequence")
 
@@ -70,25 +70,19 @@ def positions_from_tracks(tracks: DataFrame, calibrations: DataFrame, max_gap: i
     return identity.manage_slots(placed.dropDuplicates(["video_id", "frame", "track_id"]), max_gap).drop("track_id")
 
 
-def camera_chain(frames_: DataFrame) -> DataFrame:
+def camera_chain(frames_: DataFrame, chunk: int = scan.CHUNK) -> DataFrame:
     """Corners of every frame: those detected, else the last ones moved by the frame's affine map, else unchanged.
 
-    frames_: video_id, frame, corners (eight numbers or null), affine (six numbers or null).
+    frames_: video_id, frame, corners (eight numbers or null), affine (six numbers or null); one row a
+    frame. The chain is a prefix scan of maps that fix or move the corners; frames before the
+    first detection have none.
     """
-    kinds = dict(frames_.dtypes)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        now, out = None, []
-        for r in pdf.sort_values("frame").itertuples():
-            if r.corners is not None:
-                now = np.asarray(r.corners, float).reshape(4, 2)
-            elif now is not None and r.affine is not None:
-                m = np.asarray(r.affine, float).reshape(2, 3)
-                now = now @ m[:, :2].T + m[:, 2]
-            out.append((r.video_id, r.frame, None if now is None else now.reshape(-1).tolist()))
-        return pd.DataFrame(out, columns=["video_id", "frame", "corners"])
-
-    return frames_.select("video_id", "frame", "corners", "affine").groupBy("video_id").applyInPandas(fold, f"video_id {kinds['video_id']}, frame {kinds['frame']}, corners array<double>")
+    number = lambda *v: F.array(*(F.lit(float(x)) for x in v))
+    fixed = F.col("corners").isNotNull()
+    step = F.concat(F.coalesce(F.col("corners").cast("array<double>"), F.array_repeat(F.lit(0.0), 8)), F.coalesce(F.col("affine").cast("array<double>"), number(1, 0, 0, 0, 1, 0)), F.array(fixed.cast("double")))
+    kind = dict(frames_.dtypes)["frame"]
+    out = scan.prefix_scan(frames_.select(F.col("video_id").alias("key"), F.col("frame").alias("at"), step.alias("map")), scan.moved, chunk)
+    return out.select(F.col("key").alias("video_id"), F.col("at").cast(kind).alias("frame"), F.when(F.get("map", F.lit(14)) > 0, F.slice("map", 1, 8)).alias("corners"))
 
 
 def model_sequence(positions: DataFrame, keys: tuple[str, ...] = CLIP, size: int = WINDOW) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import N_SLOTS
+from . import scan
 
 _ORDERS = np.array(list(permutations(range(N_SLOTS))))
 _FAR, _CLIPS = 1e7, 256
@@ -195,24 +196,19 @@ def ball_velocity(frame: np.ndarray, x: np.ndarray, y: np.ndarray, most: int, al
     return np.array(out)
 
 
-def track_ball(frames: DataFrame, most: int = 12, alpha: float = 0.55) -> DataFrame:
+def track_ball(frames: DataFrame, most: int = 12, alpha: float = 0.55, chunk: int = scan.CHUNK) -> DataFrame:
     """Ball of every frame (video_id, frame, ball_x, ball_y; null where not detected) with predictions in short gaps.
 
-    Up to ``most`` frames after a sighting the ball goes on with its smoothed velocity. Only
-    sightings are folded; frames between them are filled by a window.
+    Up to ``most`` frames after a sighting the ball goes on with its smoothed velocity. The
+    velocity is a prefix scan over stretches of sightings, which carries the last sighting along; one
+    row a frame.
     """
-    kinds = dict(frames.dtypes)
-    rows = frames.select("video_id", "frame", F.col("ball_x").cast("double").alias("ball_x"), F.col("ball_y").cast("double").alias("ball_y"))
-    seen = F.col("ball_x").isNotNull() & F.col("ball_y").isNotNull()
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        v = ball_velocity(*(pdf[c].to_numpy() for c in ("frame", "ball_x", "ball_y")), most, alpha)
-        return pd.DataFrame({"video_id": pdf["video_id"], "frame": pdf["frame"], "vx": v[:, 0], "vy": v[:, 1]})
-
-    moving = rows.where(seen).groupBy("video_id").applyInPandas(fold, f"video_id {kinds['video_id']}, frame {kinds['frame']}, vx double, vy double")
-    sighting = F.when(seen, F.struct(F.col("frame").alias("at"), F.col("ball_x").alias("x"), F.col("ball_y").alias("y"), "vx", "vy"))
-    before = F.last(sighting, ignorenulls=True).over(W.partitionBy("video_id").orderBy("frame").rowsBetween(W.unboundedPreceding, 0))
-    both = rows.join(moving, ["video_id", "frame"], "left").withColumn("b", before).withColumn("m", F.col("frame") - F.col("b.at"))
-    known = F.col("m") <= most
-    return both.select("video_id", "frame", *(F.when(known, F.col(f"b.{a}") + F.col(f"b.v{a}") * F.col("m")).alias(f"ball_{a}") for a in "xy"), F.coalesce(known & (F.col("m") > 0), F.lit(False)).alias("predicted"))
+    kind = dict(frames.dtypes)["frame"]
+    x, y, at = F.col("ball_x").cast("double"), F.col("ball_y").cast("double"), F.col("frame").cast("double")
+    seen, nothing = x.isNotNull() & y.isNotNull(), F.array_repeat(F.lit(float("nan")), 9)
+    stretch = F.when(seen, F.array(at, x, y, at, x, y, F.lit(1.0), F.lit(0.0), F.lit(0.0))).otherwise(nothing)
+    out = scan.prefix_scan(frames.select(F.col("video_id").alias("key"), F.col("frame").alias("at"), stretch.alias("map")), scan.sightings(most, alpha), chunk)
+    m = F.col("at") - F.get("map", F.lit(3))
+    known = ~F.isnan(F.get("map", F.lit(0))) & (m <= most)
+    place = lambda a: F.when(known, F.get("map", F.lit(4 + a)) + F.get("map", F.lit(7 + a)) * m)
+    return out.select(F.col("key").alias("video_id"), F.col("at").cast(kind).alias("frame"), place(0).alias("ball_x"), place(1).alias("ball_y"), F.coalesce(known & (m > 0), F.lit(False)).alias("predicted"))

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import scan
+
 #: Most query vectors that are sent to the tasks at once.
 QUERY_BLOCK = 4096
 
@@ -91,15 +93,21 @@ def diverse_thin(rows: DataFrame, key: str, order: str, signature: str, threshol
     return rows.select(key, order, signature).groupBy(key).applyInPandas(thin, f"{key} {kinds[key]}, {order} {kinds[order]}")
 
 
-def calibration_asof(frames: DataFrame, calibrations: DataFrame, values: Sequence[str], key: str = "video_id", frame: str = "frame") -> DataFrame:
+def calibration_asof(frames: DataFrame, calibrations: DataFrame, values: Sequence[str], key: str = "video_id", frame: str = "frame", chunk: int = scan.CHUNK) -> DataFrame:
     """Each frame with the latest calibration at or before it; one that failed (null) keeps the one before.
 
-    calibrations: key, frame and the values, all null where detection failed.
+    calibrations: key, frame (one row each) and the values, which are numbers, all null where detection
+    failed. The frame of the last calibration comes by a prefix scan, so no window holds a
+    video, and its values by a join.
     """
-    both = frames.select(key, frame, F.lit(1).alias("__f")).join(calibrations.select(key, frame, F.struct(*values).alias("__c"), F.col(values[0]).isNotNull().alias("__ok")), [key, frame], "full_outer")
-    w = W.partitionBy(key).orderBy(frame).rowsBetween(W.unboundedPreceding, 0)
-    last = F.last(F.when(F.coalesce("__ok", F.lit(False)), F.col("__c")), ignorenulls=True).over(w)
-    return both.withColumn("__c", last).where("__f = 1").select(key, frame, *(F.col(f"__c.{v}").alias(v) for v in values))
+    kinds = dict(frames.dtypes)
+    good = calibrations.where(F.col(values[0]).isNotNull()).select(key, frame, F.col(frame).cast("double").alias("__own"))
+    ticks = frames.select(key, frame).distinct().join(good, [key, frame], "full_outer")
+    step = F.array(F.coalesce("__own", F.lit(0.0)), F.col("__own").isNotNull().cast("double"))
+    out = scan.prefix_scan(ticks.select(F.col(key).alias("key"), F.col(frame).alias("at"), step.alias("map")), scan.last_known, chunk)
+    out = out.select(F.col("key").alias(key), F.col("at").cast(kinds[frame]).alias(frame), F.when(F.get("map", F.lit(1)) > 0, F.get("map", F.lit(0))).cast(kinds[frame]).alias("__at"))
+    known = calibrations.where(F.col(values[0]).isNotNull()).select(key, F.col(frame).alias("__at"), *values)
+    return frames.select(key, frame).join(out, [key, frame], "left").join(known, [key, "__at"], "left").select(key, frame, *values)
 
 
 def model_pipeline(names: Sequence[str], model: str = "logistic"):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as X
 from ..operators import court
-from .base import Query, positions, rounded
+from .base import RAW, Query, R, positions, rounded
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -34,6 +34,12 @@ def _chain(s, d):
 QUERIES["geo7_homography_fit"] = lambda s, d: rounded(court.homography_fit(_calibrations(s, d)).select("video_id", "half", F.posexplode("h").alias("i", "h")))
 QUERIES["flt3_court_mask"] = lambda s, d: court.court_mask(_people(s, d), _calibrations(s, d)).select("video_id", "frame", "det_id")
 QUERIES["prj4_positions_from_tracks"] = lambda s, d: rounded(court.positions_from_tracks(_people(s, d), court.homography_fit(_calibrations(s, d))))
-QUERIES["stf7_camera_chain"] = lambda s, d: court.camera_chain(_chain(s, d)).select("video_id", "frame", F.col("corners")[0].alias("x0"), F.col("corners")[1].alias("y0"))
+_CORNERS = ("x0", "y0", "x1", "y1", "x2", "y2", "x3", "y3")
+QUERIES["stf7_camera_chain"] = lambda s, d: rounded(court.camera_chain(_chain(s, d)).select("video_id", "frame", *(F.get("corners", F.lit(k)).alias(c) for k, c in enumerate(_CORNERS))))
+ORACLE_SQL["stf7_camera_chain"] = f"""WITH RECURSIVE {RAW}, fr AS (SELECT DISTINCT match_id AS video_id, frame_id AS frame FROM raw),
+st AS (SELECT video_id, frame, CASE WHEN frame % 50 = 3 THEN CAST([0, 0, 10, 0, 10, 5, 0, 5] AS DOUBLE[]) END AS c FROM fr WHERE frame = 1
+  UNION ALL SELECT f.video_id, f.frame, CASE WHEN f.frame % 50 = 3 THEN CAST([0, 0, 10, 0, 10, 5, 0, 5] AS DOUBLE[]) WHEN f.frame % 3 > 0 THEN [c[1] + 0.5, c[2] - 0.25, c[3] + 0.5, c[4] - 0.25, c[5] + 0.5, c[6] - 0.25, c[7] + 0.5, c[8] - 0.25] ELSE c END
+  FROM st JOIN fr f ON f.video_id = st.video_id AND f.frame = st.frame + 1)
+SELECT video_id, frame, {", ".join(f"CASE WHEN c[{k + 1}] IS NOT NULL THEN {R(f'c[{k + 1}]')} END AS {name}" for k, name in enumerate(_CORNERS))} FROM st"""
 QUERIES["ana13_model_sequence"] = lambda s, d: rounded(court.model_sequence(positions(s, d)))
 QUERIES["ana14_window_verdict"] = lambda s, d: court.window_verdicts(X.raw_positions(s, d))

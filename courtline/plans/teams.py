@@ -56,7 +56,15 @@ def _feet(s, d):
 
 
 _add("stf2_slot_manager", lambda s, d: rounded(identity.manage_slots(_feet(s, d))))
-_add("stf3_ball_tracker", lambda s, d: rounded(identity.track_ball(positions(s, d).groupBy(F.col("match_id").alias("video_id"), F.col("frame_id").alias("frame")).agg(F.max("ball_x").alias("ball_x"), F.max("ball_y").alias("ball_y")))))
+_balls = lambda s, d: positions(s, d).groupBy(F.col("match_id").alias("video_id"), F.col("frame_id").alias("frame")).agg(F.max("ball_x").alias("ball_x"), F.max("ball_y").alias("ball_y"))
+_BALL = f"""WITH RECURSIVE {POS}, fr AS (SELECT match_id AS video_id, frame_id AS frame, max(ball_x) AS x, max(ball_y) AS y FROM pos GROUP BY 1, 2),
+seen AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame) AS k, least(frame - lag(frame) OVER w - 1, 12) AS m, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM fr WHERE x IS NOT NULL AND y IS NOT NULL WINDOW w AS (PARTITION BY video_id ORDER BY frame)),
+vel AS (SELECT video_id, k, CAST(0 AS DOUBLE) AS vx, CAST(0 AS DOUBLE) AS vy FROM seen WHERE k = 1
+  UNION ALL SELECT s.video_id, s.k, 0.55 * (s.dx - vx * s.m) + 0.45 * vx, 0.55 * (s.dy - vy * s.m) + 0.45 * vy FROM vel v JOIN seen s ON s.video_id = v.video_id AND s.k = v.k + 1),
+sight AS (SELECT s.video_id, s.frame AS since, s.x, s.y, vx, vy FROM seen s JOIN vel v ON v.video_id = s.video_id AND v.k = s.k)
+SELECT f.video_id, f.frame, CASE WHEN f.frame - since <= 12 THEN {R('a.x + vx * (f.frame - since)')} END AS ball_x, CASE WHEN f.frame - since <= 12 THEN {R('a.y + vy * (f.frame - since)')} END AS ball_y, coalesce(f.frame - since BETWEEN 1 AND 12, false) AS predicted
+FROM fr f ASOF LEFT JOIN sight a ON a.video_id = f.video_id AND a.since <= f.frame"""
+_add("stf3_ball_tracker", lambda s, d: rounded(identity.track_ball(_balls(s, d))), _BALL)
 _team = lambda s, d: _feet(s, d).withColumn("team", G.geometric_team(F.col("y") - 200 * (F.col("frame") % 3), 0.0))
 _VOTE = f"""{DET}, ft AS (SELECT video_id, frame, det_id, track_id, y2 / 0.6 AS y, CASE WHEN y2 / 0.6 - 200 * (frame % 3) >= 450 THEN 1 ELSE 0 END AS nr, CASE WHEN y2 / 0.6 - 200 * (frame % 3) >= 450 THEN 0 WHEN y2 / 0.6 - 200 * (frame % 3) <= 450 THEN 1 ELSE 0 END AS fr FROM per),
 gp AS (SELECT *, CASE WHEN frame - lag(frame) OVER w = 1 THEN 0 ELSE 1 END AS nw FROM ft WINDOW w AS (PARTITION BY video_id, track_id ORDER BY frame)),
