@@ -8,14 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..constants import WINDOW
+from ..constants import FRAME_CHANNELS, KINEMATIC_CHANNELS, WINDOW
 from ..functions.scalars import quantile, ratio_clip, slope
 
 CLIP = ("match_id", "sequence")
+MODEL_CHANNELS = FRAME_CHANNELS + KINEMATIC_CHANNELS
 #: Scale-free ratios of channels, and channels that have no scale.
 RATIOS = {"compactness": ("nn_dist_mean", "max_pair_dist"), "tightest_pair": ("nn_dist_min", "nn_dist_mean"), "loosest_pair": ("nn_dist_max", "nn_dist_mean"), "spread_aspect": ("spread_x", "spread_y"), "ball_offset": ("ball_to_centroid", "max_pair_dist"), "speed_ratio": ("speed_top2", "speed_bot4"), "speed_diff_share": ("speed_diff", "speed_top2")}
-DIMENSIONLESS = ("ball_present", "n_present", "sync_inst")
+DIMENSIONLESS = ("n_present", "sync_inst", "ball_present")
 STATS = ("mean", "std", "min", "max", "slope", "iqr")
+#: Statistics of z-scored channels; their mean and spread are 0 and 1 always.
+SHAPES = ("min", "max", "slope", "iqr")
+MODES = ("absolute", "invariant", "both")
 
 
 def speed_ranks(moves: DataFrame, keys: tuple[str, ...] = (*CLIP, "frame_id")) -> DataFrame:
@@ -59,25 +63,42 @@ def invariant_features(chan: DataFrame, keys: tuple[str, ...] = CLIP) -> DataFra
 
     A z-score is linear in its channel, so its statistics follow from the channel's own in one pass.
     """
-    six = absolute_features(ratio_channels(chan, keys), keys)
-    named = lambda p, c: F.concat(F.col("channel"), F.lit(f"__{p}{c}"))
-    plain = six.select(*keys, F.inline(F.array(*(F.struct(named("", c).alias("feature"), F.col(c).alias("value")) for c in STATS))))
-    own = absolute_features(chan, keys)
-    flat = F.col("std") < 1e-6
-    z = {"min": (F.col("min") - F.col("mean")) / F.col("std"), "max": (F.col("max") - F.col("mean")) / F.col("std"), "slope": F.col("slope") / F.col("std"), "iqr": F.col("iqr") / F.col("std")}
-    shape = own.select(*keys, F.inline(F.array(*(F.struct(named("z_", c).alias("feature"), F.when(flat, 0.0).otherwise(v).alias("value")) for c, v in z.items()))))
-    return plain.unionByName(shape)
+    return feature_rows(chan, keys).where("mode = 'invariant'").drop("mode")
+
+
+def feature_names(mode: str = "both") -> list[str]:
+    """Names of a clip's features in their fixed order: 108 absolute ones, 132 invariant ones, or both in this order."""
+    if mode not in MODES:
+        raise ValueError(f"unknown feature mode {mode!r}: one of {', '.join(MODES)}")
+    absolute = [f"{c}__{a}" for c in MODEL_CHANNELS for a in STATS]
+    invariant = [f"{c}__{a}" for c in (*RATIOS, *DIMENSIONLESS) for a in STATS] + [f"{c}__z_{a}" for c in MODEL_CHANNELS for a in SHAPES]
+    return {"absolute": absolute, "invariant": invariant, "both": absolute + invariant}[mode]
+
 
+def feature_rows(chan: DataFrame, keys: tuple[str, ...] = CLIP) -> DataFrame:
+    """(keys, mode, feature, value) of the absolute and the invariant features.
 
-def feature_vector(chan: DataFrame, keys: tuple[str, ...] = CLIP) -> DataFrame:
-    """(keys, feature, value) of the absolute and the invariant features together."""
+    The statistics of the channels are taken once and serve the absolute features as well as the shapes.
+    """
     own = absolute_features(chan, keys)
-    absolute = own.select(*keys, F.inline(F.array(*(F.struct(F.concat(F.col("channel"), F.lit(f"__{c}")).alias("feature"), F.col(c).alias("value")) for c in STATS))))
-    return absolute.unionByName(invariant_features(chan, keys))
+    flat = F.col("std") < 1e-6
+    shape = {"min": F.col("min") - F.col("mean"), "max": F.col("max") - F.col("mean"), "slope": F.col("slope"), "iqr": F.col("iqr")}
+    cell = lambda mode, name, value: F.struct(F.lit(mode).alias("mode"), F.concat(F.col("channel"), F.lit(f"__{name}")).alias("feature"), value.alias("value"))
+    both = own.select(*keys, F.inline(F.array(*(cell("absolute", c, F.col(c)) for c in STATS), *(cell("invariant", f"z_{c}", F.when(flat, 0.0).otherwise(shape[c] / F.col("std"))) for c in SHAPES))))
+    ratios = absolute_features(ratio_channels(chan, keys), keys)
+    return both.unionByName(ratios.select(*keys, F.inline(F.array(*(cell("invariant", c, F.col(c)) for c in STATS)))))
 
 
-def feature_counts(chan: DataFrame, keys: tuple[str, ...] = CLIP) -> DataFrame:
-    return feature_vector(chan, keys).groupBy(*keys).agg(F.count("*").alias("n_features"))
+def feature_vector(chan: DataFrame, mode: str = "both", keys: tuple[str, ...] = CLIP) -> DataFrame:
+    """(keys, features): each clip's values in the order of feature_names(mode), null where a value is missing.
+
+    Training and scoring both take their vectors from here, so their order can't differ.
+    """
+    kinds = [k for k in MODES[:2] if feature_names(mode) and mode in (k, "both")]
+    names = [f"{kind}.{n}" for kind in kinds for n in feature_names(kind)]  # three channels have the same names in both kinds
+    rows = feature_rows(chan, keys).where(F.col("mode").isin(*kinds))
+    cells = rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(".", "mode", "feature"), "value"))).alias("all"))
+    return cells.select(*keys, F.transform(F.array(*map(F.lit, names)), lambda n: F.element_at("all", n)).alias("features"))
 
 
 def pad_windows(frames: DataFrame, size: int = WINDOW, keys: tuple[str, ...] = CLIP) -> DataFrame:

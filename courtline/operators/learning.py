@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -77,22 +76,6 @@ def label_centres(rows: DataFrame) -> DataFrame:
     return cells.groupBy(F.col("label").alias("team")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("centre"))
 
 
-def diverse_thin(rows: DataFrame, key: str, order: str, signature: str, threshold: float) -> DataFrame:
-    """Rows whose mean absolute difference to the last kept one of their key reaches ``threshold``; the first is kept."""
-    kinds = dict(rows.dtypes)
-
-    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, kept, last = pdf.sort_values(order), [], None
-        for i, v in enumerate(pdf[signature]):
-            v = np.asarray(v, float)
-            if last is None or np.abs(v - last).mean() >= threshold:
-                kept.append(i)
-                last = v
-        return pdf.iloc[kept][[key, order]]
-
-    return rows.select(key, order, signature).groupBy(key).applyInPandas(thin, f"{key} {kinds[key]}, {order} {kinds[order]}")
-
-
 def calibration_asof(frames: DataFrame, calibrations: DataFrame, values: Sequence[str], key: str = "video_id", frame: str = "frame", chunk: int = scan.CHUNK) -> DataFrame:
     """Each frame with the latest calibration at or before it; one that failed (null) keeps the one before.
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from math import pi
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -57,11 +59,27 @@ def clip_metrics(positions: DataFrame, keys: tuple[str, ...] = CLIP, gate: float
     return out.select(*keys, "n_frames", "ball_present_frac", F.bround("top2", 1).alias("top2_speed_cms"), F.bround("rest", 1).alias("rest_speed_cms"), F.bround(ratio, 2).alias("speed_ratio"), F.bround("spacing", 1).alias("mean_spacing_cm"), F.bround("centroid", 1).alias("centroid_vel_cms"), F.bround("sync_score", 3).alias("sync_score"), F.bround("hull").alias("mean_hull_area"), "reaction_lag_frames")
 
 
+def uniform(key: Column, part: int = 0) -> Column:
+    """A number in [0, 1) that depends on the key's text alone: 32 bits of its MD5 (parts 0 to 3)."""
+    return F.conv(F.substring(F.md5(key), 8 * part + 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def gaussian_pair(key: Column) -> tuple[Column, Column]:
+    """Two independent standard normal numbers of a key (Box and Muller)."""
+    far, turn = F.sqrt(-2 * F.log(1 - uniform(key, 0))), 2 * pi * uniform(key, 1)
+    return far * F.cos(turn), far * F.sin(turn)
+
+
 def augment(positions: DataFrame, keys: tuple[str, ...] = CLIP, jitter: float = 15.0, mirror: float = 0.5, seed: int = 7) -> DataFrame:
-    """Present points moved by Gaussian noise, and whole clips mirrored left to right by a coin of their key."""
-    coin = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1_000_000)) / 1_000_000 < mirror
-    noise = lambda k, c: F.when(F.col(c).isNotNull(), F.col(c) + F.randn(seed + k) * jitter)
-    out = positions.withColumn("mirrored", coin).withColumns({"x": noise(1, "x"), "y": noise(2, "y"), "ball_x": noise(3, "ball_x"), "ball_y": noise(4, "ball_y")})
+    """Present points moved by Gaussian noise of ``jitter`` cm, and whole clips mirrored left to right by a coin of their key.
+
+    Noise comes from hashes of clip, frame and slot (the ball's of clip and frame), so it is the same however rows
+    are dealt or sorted, and when a task runs again.
+    """
+    text = lambda *more: F.concat_ws(":", F.lit(seed), *(F.col(k).cast("string") for k in keys), *more)
+    own, ball = gaussian_pair(text(F.col("frame_id"), F.col("slot"))), gaussian_pair(text(F.col("frame_id"), F.lit("ball")))
+    out = positions.withColumn("mirrored", uniform(text()) < mirror)
+    out = out.withColumns({c: F.col(c) + jitter * noise for c, noise in zip(("x", "y", "ball_x", "ball_y"), (*own, *ball), strict=True)})
     return out.withColumns({c: F.when(F.col("mirrored"), COURT_W - F.col(c)).otherwise(F.col(c)) for c in ("x", "ball_x")})
 
 
@@ -74,14 +92,14 @@ def class_filter(clips: DataFrame, known: Sequence[str], remap: Mapping[str, str
 
 
 #: Names of person classes.
-PERSON_NAMES = ("person", "player", "players", "human", "people")
+PERSON_NAMES = ("person", "player", "players", "people", "human", "athlete")
 
 
 def resolve_classes(classes: DataFrame, person: int | None = None, ball: int | None = None) -> DataFrame:
-    """person_id and ball_id of each model (model, id, name): given, else by name, else the only class is the person."""
+    """person_id and ball_id of each model (model, id, name): given, else by name (the least id), else the only class is the person, whatever it is called."""
     name = F.lower(F.trim("name"))
-    own = classes.groupBy("model").agg(F.min(F.when(name.isin(*PERSON_NAMES), F.col("id"))).alias("p"), F.min(F.when(name.contains("ball") & ~name.contains("player"), F.col("id"))).alias("b"), F.count("*").alias("n"), F.min("id").alias("first"))
-    only = F.when((F.col("n") == 1) & F.col("b").isNull(), F.col("first"))
+    own = classes.groupBy("model").agg(F.min(F.when(name.isin(*PERSON_NAMES), F.col("id"))).alias("p"), F.min(F.when(name.contains("ball"), F.col("id"))).alias("b"), F.count("*").alias("n"), F.min("id").alias("first"))
+    only = F.when(F.col("n") == 1, F.col("first"))
     return own.select("model", F.coalesce(F.lit(person).cast("long"), F.col("p"), only).alias("person_id"), F.coalesce(F.lit(ball).cast("long"), F.col("b")).alias("ball_id"))
 
 

@@ -31,10 +31,16 @@ pk AS (SELECT match_id, sequence, slot, i AS peak, row_number() OVER (PARTITION
 lg AS (SELECT n.match_id, n.sequence, CAST(peak - impact AS DOUBLE) AS lag_ FROM nr n JOIN pk ON pk.match_id = n.match_id AND pk.sequence = n.sequence AND pk.slot = n.slot AND pk.k = 1 WHERE n.k = 1)"""
 _add("ana7_reaction_lag", lambda s, d: measures.reaction_lag(positions(s, d)), f"WITH {_LAG} SELECT DISTINCT p.match_id, p.sequence, lag_ AS reaction_lag_frames FROM pos p LEFT JOIN lg ON lg.match_id = p.match_id AND lg.sequence = p.sequence")
 _add("ana6_clip_metrics", lambda s, d: measures.clip_metrics(positions(s, d)))
-_add("prj3_augment", lambda s, d: measures.augment(positions(s, d)).groupBy("match_id", "sequence").agg(F.max("mirrored").alias("mirrored"), F.count("x").alias("n_points")))
+_U = lambda key, part: f"(CAST('0x' || substr(md5({key}), {8 * part + 1}, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE))"
+_G = lambda key, turn: f"sqrt(-2 * ln(1 - {_U(key, 0)})) * {turn}(2 * pi() * {_U(key, 1)})"
+_CLIP_KEY = "'7:' || match_id || ':' || sequence"
+_SLOT_KEY, _BALL_KEY = f"{_CLIP_KEY} || ':' || frame_id || ':' || slot", f"{_CLIP_KEY} || ':' || frame_id || ':ball'"
+_MOVED = ", ".join(f"{c} + 15 * {_G(key, turn)} AS {c}" for c, key, turn in (("x", _SLOT_KEY, "cos"), ("y", _SLOT_KEY, "sin"), ("ball_x", _BALL_KEY, "cos"), ("ball_y", _BALL_KEY, "sin")))
+_AUG = f"WITH {POS}, au AS (SELECT match_id, sequence, frame_id, slot, {_U(_CLIP_KEY, 0)} < 0.5 AS mirrored, {_MOVED} FROM pos) SELECT match_id, sequence, frame_id, slot, mirrored, {R('CASE WHEN mirrored THEN 1800 - x ELSE x END')} AS x, {R('y')} AS y, {R('CASE WHEN mirrored THEN 1800 - ball_x ELSE ball_x END')} AS ball_x, {R('ball_y')} AS ball_y FROM au"
+_add("prj3_augment", lambda s, d: rounded(measures.augment(positions(s, d)).select(*CLIP_FRAME, "slot", "mirrored", "x", "y", "ball_x", "ball_y")), _AUG)
 _add("flt7_class_filter", lambda s, d: measures.class_filter(predictions(s, d).select("clip", F.col("y_true").alias("label")), ("Coordinated Attack", "Defense"), {"Coordinated Defense": "Defense"}), f"WITH {SQL} SELECT clip, CASE WHEN y_true = 'Coordinated Defense' THEN 'Defense' ELSE y_true END AS label FROM p WHERE y_true IN ('Coordinated Attack', 'Coordinated Defense')")
-_CLS = "SELECT c_custkey % 40 AS model, c_custkey AS id, CASE c_custkey % 7 WHEN 0 THEN 'Player' WHEN 1 THEN 'volleyball' WHEN 2 THEN 'person ' ELSE 'net' END AS name FROM {customer}"
-_add("scl7_class_id_resolve", lambda s, d: measures.resolve_classes(s.sql(_CLS, **X.tables(s, d, "customer"))), f"WITH c AS ({_CLS.replace('{', '').replace('}', '')}) SELECT model, min(CASE WHEN name IN ('Player', 'person ') THEN id END) AS person_id, min(CASE WHEN name = 'volleyball' THEN id END) AS ball_id FROM c GROUP BY 1")
+_CLS = "SELECT CASE WHEN c_custkey % 11 = 0 THEN 1000 + c_custkey ELSE c_custkey % 40 END AS model, c_custkey AS id, CASE c_custkey % 9 WHEN 0 THEN 'Player' WHEN 1 THEN 'volleyball' WHEN 2 THEN 'person ' WHEN 3 THEN 'Athlete' WHEN 4 THEN 'ball player' WHEN 5 THEN 'referee' ELSE 'net' END AS name FROM {customer}"
+_add("scl7_class_id_resolve", lambda s, d: measures.resolve_classes(s.sql(_CLS, **X.tables(s, d, "customer"))), f"WITH c AS (SELECT model, id, lower(trim(name)) AS name FROM ({_CLS.replace('{', '').replace('}', '')})) SELECT model, coalesce(min(CASE WHEN name IN ('person', 'player', 'players', 'people', 'human', 'athlete') THEN id END), CASE WHEN count(*) = 1 THEN min(id) END) AS person_id, min(CASE WHEN name LIKE '%ball%' THEN id END) AS ball_id FROM c GROUP BY 1")
 
 
 def _ema(s, d):

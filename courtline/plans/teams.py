@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from .. import fixtures as X
 from ..functions import geometry as G
 from ..operators import clean, frames, identity, roles, rules, teams
+from ..streaming import ordered
+from ..streaming.replay import replayed
 from .base import MOVES, POS, RAW, Query, R, descriptors, moves, positions, rounded
 from .geometry import DET
 
@@ -74,6 +76,19 @@ vt AS (SELECT *, sum(nr * power(0.98, -k)) OVER w * power(0.98, k) AS near, sum(
 vv AS (SELECT *, CASE WHEN near > far * 1.5 THEN 'NEAR' WHEN far > near * 1.5 THEN 'FAR' ELSE 'UNKNOWN' END AS voted FROM vt)"""
 _voted = lambda s, d: teams.team_votes(_team(s, d), ratio=1.5)
 _add("stf4_team_vote", lambda s, d: rounded(_voted(s, d).select("video_id", "frame", "det_id", "near", "far", "voted")), f"WITH {_VOTE} SELECT video_id, frame, det_id, {R('near')} AS near, {R('far')} AS far, voted FROM vv")
+
+
+def _live_votes(s, d):
+    """The detections as a stream of files whose frames come out of order, folded live; a last frame moves the watermark on."""
+    rows = _team(s, d).where("track_id is not null").select("video_id", "frame", "det_id", "track_id", "team")
+    end = s.range(1).select(F.lit(-1).cast("long").alias("video_id"), F.lit(1 << 30).cast("long").alias("frame"), F.lit(1).alias("det_id"), F.lit(1).cast("long").alias("track_id"), F.lit("NEAR").alias("team"))
+    source = [rows.where(F.pmod(F.xxhash64("video_id", "frame"), F.lit(4)) == k) for k in range(4)]
+    out = replayed([*source, end, end.withColumn("frame", F.col("frame") + 1)], lambda x: ordered.live_votes(x, ratio=1.5, lateness_ms=1 << 33))
+    own = dict(rows.dtypes)
+    return rounded(out.where("video_id >= 0").select(*(F.col(c).cast(own[c]).alias(c) for c in ("video_id", "frame", "det_id")), "near", "far", "voted", "late"))
+
+
+_add("stf4_live_team_vote", _live_votes, f"WITH {_VOTE} SELECT video_id, frame, det_id, {R('near')} AS near, {R('far')} AS far, voted, false AS late FROM vv")
 _add("win14_vote_decay", lambda s, d: rounded(teams.team_votes(_team(s, d)).select("video_id", "frame", "det_id", "near")), f"WITH {_VOTE} SELECT video_id, frame, det_id, {R('near')} AS near FROM vv")
 _add("flt5_team_vote_filter", lambda s, d: teams.team_vote_filter(_voted(s, d), "NEAR", 0.0, 2).select("video_id", "frame", "det_id"), f"WITH {_VOTE}, q AS (SELECT video_id, frame, det_id, row_number() OVER (PARTITION BY video_id, frame ORDER BY y - 450 DESC, det_id) AS k FROM vv WHERE voted = 'NEAR' AND y - 450 >= 0) SELECT video_id, frame, det_id FROM q WHERE k <= 2")
 

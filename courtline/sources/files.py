@@ -52,7 +52,7 @@ def scan_label_files(spark: SparkSession, path: str) -> DataFrame:
 def parse_label_lines(lines: DataFrame) -> DataFrame:
     """Adds class, coords and kind (box, polygon or bad) to lines (value): 'class c1 c2 ...' with numbers in [0, 1]."""
     token = F.split(F.trim("value"), r"\s+")
-    rows = lines.withColumn("token", token).withColumn("class", F.col("token")[0].try_cast("int")).withColumn("coords", F.transform(F.slice("token", 2, 1000), lambda c: c.try_cast("double")))
+    rows = lines.withColumn("token", token).withColumn("class", F.col("token")[0].try_cast("int")).withColumn("coords", F.transform(F.slice("token", F.lit(2), F.size("token")), lambda c: c.try_cast("double")))
     ok = F.col("class").isNotNull() & F.forall("coords", lambda c: c.isNotNull() & c.between(-0.001, 1.001))
     n = F.size("coords")
     return rows.withColumn("kind", F.when(ok & (n == 4), "box").when(ok & (n >= 6) & (n % 2 == 0), "polygon").otherwise("bad")).drop("token")
