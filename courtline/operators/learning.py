@@ -1,74 +1,15 @@
-"""Nearest neighbours, thinning, as-of calibration and model evaluation over clip features."""
+"""Label centres, as-of calibration and model evaluation over clip features."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import scan
 
-#: Most query vectors that are sent to the tasks at once.
-QUERY_BLOCK = 4096
-
-
-def knn(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
-    """The k nearest rows of each query by squared distance: query_id, vec_id, label, d2, rank.
-
-    queries and rows have vec_id, embedding and rows label. Queries go out in blocks of at most
-    ``QUERY_BLOCK``; each task keeps the best k of its batch for each, so what is shuffled is
-    k rows per query and task. A query is no neighbour of itself.
-    """
-    spark, parts = rows.sparkSession, []
-    ids = queries.select("vec_id", "embedding").where("embedding is not null")
-    n_blocks = max(1, -(-ids.count() // QUERY_BLOCK))
-    for b in range(n_blocks):
-        got = ids.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == b).orderBy("vec_id").toArrow()
-        matrix = np.array(got.column("embedding").to_pylist(), float)
-        sent = spark.sparkContext.broadcast((got.column("vec_id").to_numpy(), matrix.reshape(len(got), -1)))
-
-        def near(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            names, q = sent.value
-            for batch in batches:
-                if not batch.num_rows or not len(names):
-                    continue
-                own, v = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), float)
-                for a in range(0, len(names), 256):
-                    d2 = ((q[a : a + 256, None, :] - v[None, :, :]) ** 2).sum(axis=2) if q.shape[1] * len(v) < 1 << 21 else np.stack([((v - x) ** 2).sum(axis=1) for x in q[a : a + 256]])
-                    d2[names[a : a + 256, None] == own[None, :]] = np.inf
-                    best = np.argsort(d2, axis=1, kind="stable")[:, :k]
-                    i = np.repeat(np.arange(len(d2)), best.shape[1])
-                    j = best.reshape(-1)
-                    ok = np.isfinite(d2[i, j])
-                    i, j = i[ok], j[ok]
-                    yield pa.RecordBatch.from_arrays([pa.array(names[a + i]), pa.array(own[j]), batch.column(2).take(pa.array(j)), pa.array(d2[i, j])], names=["query_id", "vec_id", "label", "d2"])
-
-        parts.append(rows.where("embedding is not null").select(F.col("vec_id").cast("long"), "embedding", F.col("label").cast("int")).mapInArrow(near, "query_id long, vec_id long, label int, d2 double"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    first = W.partitionBy("query_id").orderBy("d2", "vec_id")
-    return out.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
-
-
-def knn_vote(neighbours: DataFrame) -> DataFrame:
-    """Label of each query by a vote weighted with 1 / distance."""
-    weight = 1 / F.greatest(F.sqrt("d2"), F.lit(1e-12))
-    votes = neighbours.groupBy("query_id", "label").agg(F.sum(weight).alias("w"))
-    return votes.groupBy("query_id").agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("label"))
-
-
-def nearest_centre(rows: DataFrame, centres: DataFrame) -> DataFrame:
-    """Nearest centre (team, centre array) of each row's embedding; the lowest name on ties. Centres are a small table."""
-    d2 = F.aggregate(F.zip_with("embedding", "centre", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, v: s + v)
-    one = centres.agg(F.collect_list(F.struct("team", "centre")).alias("all"))
-    both = rows.join(F.broadcast(one)).select("vec_id", "embedding", F.explode("all").alias("c")).select("vec_id", "embedding", "c.team", "c.centre")
-    return both.withColumn("d2", d2).groupBy("vec_id").agg(F.min_by("team", F.struct("d2", "team")).alias("team"), F.min("d2").alias("d2"))
-
 
 def label_centres(rows: DataFrame) -> DataFrame:
     """Mean embedding of each label."""

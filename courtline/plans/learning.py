@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as X
-from ..operators import frames, learning, rules, scores, thinning
+from ..operators import frames, learning, neighbours, rules, scores, thinning
 from ..operators.stored import stored
 from ..sources import files
 from .base import BOTH, POS, Query, R, descriptors, moves, positions, rounded
@@ -25,10 +25,10 @@ def _add(name: str, query: Query, sql: str | None = None) -> None:
 _emb = lambda s, d: s.read.parquet(f"{d}/embeddings.parquet")
 _D2 = "list_sum(list_transform(list_zip(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
 _KNN = f"q AS (SELECT vec_id AS query_id, embedding AS qe FROM embeddings WHERE vec_id % 20 = 0), dd AS (SELECT query_id, vec_id, label, {_D2.format(a='qe', b='embedding')} AS d2 FROM q JOIN embeddings e ON e.vec_id <> query_id), nb AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, vec_id) AS rank FROM dd)"
-_near = lambda s, d: learning.knn(_emb(s, d).where("vec_id % 20 = 0"), _emb(s, d))
+_near = lambda s, d: neighbours.knn(_emb(s, d).where("vec_id % 20 = 0"), _emb(s, d))
 _add("jn14_knn_join", lambda s, d: rounded(_near(s, d).withColumn("rank", F.col("rank").cast("long"))), f"WITH {_KNN} SELECT query_id, vec_id, label, {R('d2')} AS d2, rank FROM nb WHERE rank <= 5")
-_add("jn14_knn_vote", lambda s, d: learning.knn_vote(_near(s, d)), f"WITH {_KNN}, vo AS (SELECT query_id, label, sum(1 / greatest(sqrt(d2), 1e-12)) AS w FROM nb WHERE rank <= 5 GROUP BY 1, 2), rv AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY w DESC, label) AS k FROM vo) SELECT query_id, label FROM rv WHERE k = 1")
-_add("jn5_cluster_nearest", lambda s, d: rounded(learning.nearest_centre(_emb(s, d), learning.label_centres(_emb(s, d)))), f"WITH u AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding) AS v FROM embeddings), c0 AS (SELECT label, i, avg(CAST(v AS DOUBLE)) AS m FROM u GROUP BY 1, 2), c AS (SELECT label AS team, list(m ORDER BY i) AS centre FROM c0 GROUP BY 1), d AS (SELECT vec_id, team, {_D2.format(a='embedding', b='centre')} AS d2 FROM embeddings CROSS JOIN c), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d2, team) AS r FROM d) SELECT vec_id, team, {R('d2')} AS d2 FROM k WHERE r = 1")
+_add("jn14_knn_vote", lambda s, d: neighbours.knn_vote(_near(s, d)), f"WITH {_KNN}, vo AS (SELECT query_id, label, sum(1 / greatest(sqrt(d2), 1e-12)) AS w FROM nb WHERE rank <= 5 GROUP BY 1, 2), rv AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY w DESC, label) AS k FROM vo) SELECT query_id, label FROM rv WHERE k = 1")
+_add("jn5_cluster_nearest", lambda s, d: rounded(neighbours.nearest_centre(_emb(s, d), learning.label_centres(_emb(s, d)))), f"WITH u AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding) AS v FROM embeddings), c0 AS (SELECT label, i, avg(CAST(v AS DOUBLE)) AS m FROM u GROUP BY 1, 2), c AS (SELECT label AS team, list(m ORDER BY i) AS centre FROM c0 GROUP BY 1), d AS (SELECT vec_id, team, {_D2.format(a='embedding', b='centre')} AS d2 FROM embeddings CROSS JOIN c), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d2, team) AS r FROM d) SELECT vec_id, team, {R('d2')} AS d2 FROM k WHERE r = 1")
 _THIN = """WITH RECURSIVE n AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings),
 t AS (SELECT label, vec_id, k, e AS last, true AS keep FROM n WHERE k = 1
   UNION ALL SELECT label, vec_id, k, CASE WHEN far THEN e ELSE last END, far FROM (SELECT n.label, n.vec_id, n.k, n.e, t.last, list_avg(list_transform(list_zip(n.e, t.last), lambda z: abs(z[1] - z[2]))) >= 0.15 AS far FROM t JOIN n ON n.label = t.label AND n.k = t.k + 1))

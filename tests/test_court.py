@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from courtline.functions import geometry as G
 from courtline.functions import scalars as S
-from courtline.operators import clean, events, frames, identity, learning, roles, rules, scores, teams
+from courtline.operators import clean, events, frames, identity, learning, neighbours, roles, rules, scores, teams, thinning
 
 POS = "match_id long, sequence long, frame_id long, slot int, x double, y double, ball_x double, ball_y double"
 
@@ -269,14 +269,14 @@ def test_knn_and_thinning(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(v) for v in rng.random(4)], i % 3) for i in range(50)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    got = {(r.query_id, r["rank"]): r.vec_id for r in learning.knn(df.where("vec_id < 5"), df, 3).collect()}
+    got = {(r.query_id, r["rank"]): r.vec_id for r in neighbours.knn(df.where("vec_id < 5"), df, 3).collect()}
     m = np.array([r[1] for r in rows], np.float32).astype(float)
     for q in range(5):
         d = ((m - m[q]) ** 2).sum(axis=1)
         d[q] = np.inf
         assert [got[q, k + 1] for k in range(3)] == np.argsort(d)[:3].tolist()
     line = spark.createDataFrame([(0, t, [0.1 * t]) for t in range(10)], "k long, t long, s array<double>")
-    assert [r.t for r in learning.diverse_thin(line, "k", "t", "s", 0.25).orderBy("t").collect()] == [0, 3, 6, 9]
+    assert [r.t for r in thinning.diverse_thin(line, "k", "t", "s", 0.25).orderBy("t").collect()] == [0, 3, 6, 9]
 
 
 def test_pose(spark):
