@@ -1,4 +1,4 @@
-"""Features of clips: statistics of frame channels, in long form (clip, frame, channel, v)."""
+"""Features of clips: statistics of frame channels."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import FRAME_CHANNELS, KINEMATIC_CHANNELS, WINDOW
-from ..functions.scalars import quantile, ratio_clip, slope
+from ..functions.scalars import ratio_clip, slope
 
 CLIP = ("match_id", "sequence")
 MODEL_CHANNELS = FRAME_CHANNELS + KINEMATIC_CHANNELS
@@ -33,13 +33,21 @@ def channels(frames: DataFrame, names: Sequence[str], keys: tuple[str, ...] = CL
     return frames.select(*keys, "frame_id", F.inline(cells))
 
 
-def _stats(v: str = "v", t: str = "frame_id") -> list[Column]:
-    return [F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), slope(F.col(v), F.col(t)).alias("slope"), (quantile(F.col(v), 0.75) - quantile(F.col(v), 0.25)).alias("iqr")]
+def _statistics(frames: DataFrame, names: Sequence[str], keys: tuple[str, ...]) -> DataFrame:
+    """keys and stats, an array of (channel, mean, std, min, max, slope, iqr) of frame columns, by one pass over a clip's frames."""
 
+    def one(name: str) -> Column:
+        v = F.col(name).cast("double")
+        q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.75)))
+        values = (F.avg(v), F.stddev_pop(v), F.min(v), F.max(v), slope(v, F.col("frame_id")), q[1] - q[0])
+        return F.struct(F.lit(name).alias("channel"), *(x.alias(c) for c, x in zip(STATS, values, strict=True)))
 
-def absolute_features(chan: DataFrame, keys: tuple[str, ...] = CLIP) -> DataFrame:
-    """Six statistics of each channel over a clip."""
-    return chan.groupBy(*keys, "channel").agg(*_stats())
+    return frames.groupBy(*keys).agg(F.array(*map(one, names)).alias("stats"))
+
+
+def absolute_features(frames: DataFrame, names: Sequence[str] = MODEL_CHANNELS, keys: tuple[str, ...] = CLIP) -> DataFrame:
+    """Six statistics of each channel over a clip, a row for each channel."""
+    return _statistics(frames, names, keys).select(*keys, F.inline("stats"))
 
 
 def zscore(chan: DataFrame, keys: tuple[str, ...] = CLIP) -> DataFrame:
@@ -50,20 +58,17 @@ def zscore(chan: DataFrame, keys: tuple[str, ...] = CLIP) -> DataFrame:
     return chan.withColumn("z", F.when(flat, 0.0).otherwise((F.col("v") - F.avg("v").over(w)) / sd))
 
 
-def ratio_channels(chan: DataFrame, keys: tuple[str, ...] = CLIP) -> DataFrame:
-    """The scale-free ratios and channels, in long form."""
-    need = sorted({c for pair in RATIOS.values() for c in pair} | set(DIMENSIONLESS))
-    wide = chan.where(F.col("channel").isin(need)).groupBy(*keys, "frame_id").agg(*(F.max(F.when(F.col("channel") == c, F.col("v"))).alias(c) for c in need))
-    made = wide.select(*keys, "frame_id", *(ratio_clip(F.col(a), F.col(b)).alias(n) for n, (a, b) in RATIOS.items()), *DIMENSIONLESS)
-    return channels(made, (*RATIOS, *DIMENSIONLESS), keys)
+def with_ratios(frames: DataFrame) -> DataFrame:
+    """Adds the scale-free ratios to frame rows."""
+    return frames.withColumns({n: ratio_clip(F.col(a), F.col(b)) for n, (a, b) in RATIOS.items()})
 
 
-def invariant_features(chan: DataFrame, keys: tuple[str, ...] = CLIP) -> DataFrame:
+def invariant_features(frames: DataFrame, keys: tuple[str, ...] = CLIP) -> DataFrame:
     """(keys, feature, value): statistics of ratios, and shape statistics of z-scored channels.
 
     A z-score is linear in its channel, so its statistics follow from the channel's own in one pass.
     """
-    return feature_rows(chan, keys).where("mode = 'invariant'").drop("mode")
+    return feature_rows(frames, keys).where("mode = 'invariant'").drop("mode")
 
 
 def feature_names(mode: str = "both") -> list[str]:
@@ -75,28 +80,30 @@ def feature_names(mode: str = "both") -> list[str]:
     return {"absolute": absolute, "invariant": invariant, "both": absolute + invariant}[mode]
 
 
-def feature_rows(chan: DataFrame, keys: tuple[str, ...] = CLIP) -> DataFrame:
-    """(keys, mode, feature, value) of the absolute and the invariant features.
+def feature_rows(frames: DataFrame, keys: tuple[str, ...] = CLIP) -> DataFrame:
+    """(keys, mode, feature, value) of the absolute and the invariant features, from frame_channels().
 
-    The statistics of the channels are taken once and serve the absolute features as well as the shapes.
+    Statistics of channels and ratios are taken in one pass; those of the channels serve the absolute features
+    as well as the shapes and the channels without a scale.
     """
-    own = absolute_features(chan, keys)
+    own = absolute_features(with_ratios(frames), (*MODEL_CHANNELS, *RATIOS), keys)
     flat = F.col("std") < 1e-6
     shape = {"min": F.col("min") - F.col("mean"), "max": F.col("max") - F.col("mean"), "slope": F.col("slope"), "iqr": F.col("iqr")}
     cell = lambda mode, name, value: F.struct(F.lit(mode).alias("mode"), F.concat(F.col("channel"), F.lit(f"__{name}")).alias("feature"), value.alias("value"))
-    both = own.select(*keys, F.inline(F.array(*(cell("absolute", c, F.col(c)) for c in STATS), *(cell("invariant", f"z_{c}", F.when(flat, 0.0).otherwise(shape[c] / F.col("std"))) for c in SHAPES))))
-    ratios = absolute_features(ratio_channels(chan, keys), keys)
-    return both.unionByName(ratios.select(*keys, F.inline(F.array(*(cell("invariant", c, F.col(c)) for c in STATS)))))
+    absolute, plain = (F.array(*(cell(mode, c, F.col(c)) for c in STATS)) for mode in MODES[:2])
+    shapes = F.array(*(cell("invariant", f"z_{c}", F.when(flat, 0.0).otherwise(shape[c] / F.col("std"))) for c in SHAPES))
+    cells = F.when(F.col("channel").isin(*RATIOS), plain).when(F.col("channel").isin(*DIMENSIONLESS), F.concat(absolute, plain, shapes)).otherwise(F.concat(absolute, shapes))
+    return own.select(*keys, F.inline(cells))
 
 
-def feature_vector(chan: DataFrame, mode: str = "both", keys: tuple[str, ...] = CLIP) -> DataFrame:
+def feature_vector(frames: DataFrame, mode: str = "both", keys: tuple[str, ...] = CLIP) -> DataFrame:
     """(keys, features): each clip's values in the order of feature_names(mode), null where a value is missing.
 
     Training and scoring both take their vectors from here, so their order can't differ.
     """
     kinds = [k for k in MODES[:2] if feature_names(mode) and mode in (k, "both")]
     names = [f"{kind}.{n}" for kind in kinds for n in feature_names(kind)]  # three channels have the same names in both kinds
-    rows = feature_rows(chan, keys).where(F.col("mode").isin(*kinds))
+    rows = feature_rows(frames, keys).where(F.col("mode").isin(*kinds))
     cells = rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(".", "mode", "feature"), "value"))).alias("all"))
     return cells.select(*keys, F.transform(F.array(*map(F.lit, names)), lambda n: F.element_at("all", n)).alias("features"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -67,18 +69,20 @@ def temporal_split(frames: DataFrame, keys: tuple[str, ...], n: int = 12, share:
     return quarantine(rows.withColumn("is_val", F.col("block").isin(spread_blocks(n, share))), keys, gap)
 
 
-def density_grid(points: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Counts of points in a dense grid of 72 x 36 cells; the last cells include their far edge, points outside are dropped."""
+def cell_counts(points: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Counts of points per cell of a grid of 72 x 36; the last cells include their far edge, points outside and empty cells are left out."""
     cell = lambda c, high, n: F.least(F.floor((F.col(c) - LOW) / ((high - LOW) / n)), F.lit(n - 1)).cast("int")
     inside = F.col("x").between(LOW, HIGH_X) & F.col("y").between(LOW, HIGH_Y)
-    counts = points.where(inside).groupBy(*keys, cell("x", HIGH_X, GRID_X).alias("bx"), cell("y", HIGH_Y, GRID_Y).alias("b2")).agg(F.count("*").alias("n"))
-    grid = points.select(*keys).distinct() if keys else points.sparkSession.range(1).select()
-    grid = grid.select("*", F.explode(F.sequence(F.lit(0), F.lit(GRID_X - 1))).alias("bx")).select("*", F.explode(F.sequence(F.lit(0), F.lit(GRID_Y - 1))).alias("b2"))
-    return grid.join(counts, [*keys, "bx", "b2"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    # generated rows, not a filter: a condition would be pushed down and x and y, if they are computed, with it many times over
+    cells = F.inline(F.when(inside, F.array(F.struct(cell("x", HIGH_X, GRID_X).alias("bx"), cell("y", HIGH_Y, GRID_Y).alias("b2")))))
+    return points.select(*keys, cells).groupBy(*keys, "bx", "b2").agg(F.count("*").alias("n"))
 
 
-def _reflect(i: int, n: int) -> int:
-    return -i - 1 if i < 0 else 2 * n - 1 - i if i >= n else i
+def density_grid(points: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """cell_counts() with all cells of the grid."""
+    grid = points.select(*keys).distinct() if keys else points.sparkSession.range(1).select()
+    grid = grid.select("*", F.explode(F.sequence(F.lit(0), F.lit(GRID_X - 1))).alias("bx")).select("*", F.explode(F.sequence(F.lit(0), F.lit(GRID_Y - 1))).alias("b2"))
+    return grid.join(cell_counts(points, keys), [*keys, "bx", "b2"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def kernel_weights() -> list[float]:
@@ -89,13 +93,23 @@ def kernel_weights() -> list[float]:
 
 
 def density_smooth(grid: DataFrame, keys: tuple[str, ...] = (), least: float = 0.03) -> DataFrame:
-    """Gaussian smoothing of a dense grid, one axis after the other with reflected edges, over the highest cell; cells under ``least`` are dropped."""
-    rows = grid.select(*keys, "bx", "b2", F.col("n").cast("double").alias("v"))
-    for axis, size in (("bx", GRID_X), ("b2", GRID_Y)):
-        # what a cell gives to the cells whose reflected taps reach it: a fixed table of a few hundred rows
-        taps = [(_reflect(to + k, size), to, w) for to in range(size) for k, w in zip(range(-RADIUS, RADIUS + 1), kernel_weights(), strict=True)]
-        spread = F.broadcast(grid.sparkSession.createDataFrame(taps, f"{axis} int, to int, w double"))
-        other = "b2" if axis == "bx" else "bx"
-        rows = rows.where("v <> 0").join(spread, axis).groupBy(*keys, other, F.col("to").alias(axis)).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
-    top = F.max("v").over(W.partitionBy(*keys)) if keys else F.max("v").over(W.partitionBy())
-    return rows.withColumn("density", F.col("v") / top).where(F.col("density") >= least).select(*keys, "bx", "b2", "density")
+    """Gaussian smoothing of counts per cell, one axis after the other with reflected edges, over the highest cell; cells under ``least`` are dropped.
+
+    grid: keys, bx, b2, n; cells without a row are empty. A group is the cells of one key, 2,592 at most.
+    """
+    kinds = dict(grid.dtypes)
+    weights = kernel_weights()
+
+    def smooth(table: pa.Table) -> pa.Table:
+        v = np.zeros((GRID_X, GRID_Y))
+        v[table.column("bx").to_numpy(), table.column("b2").to_numpy()] = table.column("n").to_numpy()
+        for axis, size in ((0, GRID_X), (1, GRID_Y)):
+            padded = np.pad(v, [(RADIUS, RADIUS) if a == axis else (0, 0) for a in (0, 1)], mode="symmetric")
+            v = sum(w * np.take(padded, range(k, k + size), axis) for k, w in enumerate(weights))
+        v = v / v.max() if v.max() > 0 else v
+        x, y = np.nonzero((v >= least) & (v > 0))
+        own = {k: pa.array([table.column(k)[0].as_py()] * len(x), table.column(k).type) for k in keys}
+        return pa.table({**own, "bx": pa.array(x.astype(np.int32)), "b2": pa.array(y.astype(np.int32)), "density": pa.array(v[x, y])})
+
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "bx int, b2 int, density double"])
+    return grid.select(*keys, F.col("bx").cast("int").alias("bx"), F.col("b2").cast("int").alias("b2"), F.col("n").cast("double").alias("n")).groupBy(*keys).applyInArrow(smooth, schema)

@@ -62,17 +62,36 @@ def _unit_pairs(movers: Column) -> Column:
     return F.flatten(F.transform(movers, lambda a: F.transform(F.filter(movers, lambda b: b["slot"] > a["slot"]), lambda b: cosine(a, b))))
 
 
-def kinematics(moves: DataFrame, keys: tuple[str, ...] = (*CLIP, "frame_id")) -> DataFrame:
-    """speed_top2, speed_bot4, speed_diff and sync_inst per frame, from slot_velocity(); 0 where nothing moves."""
-    mover = F.when(F.col("speed").isNotNull(), F.struct("speed", "slot", "vx", "vy"))
-    out = moves.groupBy(*keys).agg(F.reverse(F.array_sort(F.collect_list(mover))).alias("m"))
+def _movers() -> Column:
+    """Moving slots of a frame, the fastest first (an aggregate of rows with velocities)."""
+    return F.reverse(F.array_sort(F.collect_list(F.when(F.col("speed").isNotNull(), F.struct("speed", "slot", "vx", "vy")))))
+
+
+def _movement(rows: DataFrame) -> DataFrame:
+    """Replaces m (movers) by speed_top2, speed_bot4, sync_inst, n_pairs, sum_cos and speed_diff."""
     speeds = F.transform("m", lambda q: q["speed"])
     cosines = _unit_pairs(F.filter("m", lambda q: q["speed"] >= 1e-6))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    out = out.select(*keys, zero(G.mean_of(F.slice(speeds, 1, 2))).alias("speed_top2"), zero(G.mean_of(F.slice(speeds, 3, 4))).alias("speed_bot4"), zero(G.mean_of(cosines)).alias("sync_inst"), F.size(cosines).alias("n_pairs"), F.aggregate(cosines, F.lit(0.0), lambda s, v: s + v).alias("sum_cos"))
+    out = rows.select(*(c for c in rows.columns if c != "m"), zero(G.mean_of(F.slice(speeds, 1, 2))).alias("speed_top2"), zero(G.mean_of(F.slice(speeds, 3, 4))).alias("speed_bot4"), zero(G.mean_of(cosines)).alias("sync_inst"), F.size(cosines).alias("n_pairs"), F.aggregate(cosines, F.lit(0.0), lambda s, v: s + v).alias("sum_cos"))
     return out.withColumn("speed_diff", F.col("speed_top2") - F.col("speed_bot4"))
 
 
+def kinematics(moves: DataFrame, keys: tuple[str, ...] = (*CLIP, "frame_id")) -> DataFrame:
+    """speed_top2, speed_bot4, speed_diff and sync_inst per frame, from slot_velocity(); 0 where nothing moves."""
+    return _movement(moves.groupBy(*keys).agg(_movers().alias("m")))
+
+
+def frame_channels(positions: DataFrame, keys: tuple[str, ...] = CLIP) -> DataFrame:
+    """All channels of each frame: team_descriptor() and kinematics() in one pass over clean positions.
+
+    Rows are dealt by clip once; steps, frames and whatever is taken per clip afterwards need no other shuffle.
+    """
+    player = F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.struct("slot", "x", "y"))
+    moved = slot_velocity(positions.repartition(*keys), keys)
+    rows = moved.groupBy(*keys, "frame_id").agg(F.max("ball_x").alias("ball_x"), F.max("ball_y").alias("ball_y"), F.array_sort(F.collect_list(player)).alias("players"), _movers().alias("m"))
+    return _movement(team_descriptor(rows))
+
+
 def sync_score(kin: DataFrame, keys: tuple[str, ...] = CLIP) -> DataFrame:
     """One mean over all pairs of all frames of a clip; 0 without pairs."""
     return kin.groupBy(*keys).agg(F.coalesce(F.sum("sum_cos") / F.sum("n_pairs"), F.lit(0.0)).alias("sync_score"))
@@ -86,9 +105,9 @@ def centroid_steps(descriptors: DataFrame, keys: tuple[str, ...] = CLIP) -> Data
     return descriptors.withColumn("centroid_step", F.when(there, step))
 
 
-def window_metrics(descriptors: DataFrame, kin: DataFrame, keys: tuple[str, ...] = CLIP) -> DataFrame:
-    """Per window: synchrony, spacing, centroid speed, spatial variance and speeds of the fast and the rest."""
-    rows = centroid_steps(descriptors, keys).join(kin, [*keys, "frame_id"])
+def window_metrics(channels: DataFrame, keys: tuple[str, ...] = CLIP) -> DataFrame:
+    """Per window, from frame_channels(): synchrony, spacing, centroid speed, spatial variance and speeds of the fast and the rest."""
+    rows = centroid_steps(channels, keys)
     first = F.col("frame_id") > F.min("frame_id").over(W.partitionBy(*keys))
     rows = rows.withColumn("later", first).withColumn("variance", F.when(F.col("n_present") >= 2, F.col("spread_x") * F.col("spread_x") + F.col("spread_y") * F.col("spread_y"))).withColumn("spaced", F.when(F.col("n_present") >= 2, F.col("n_present")))
     mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))

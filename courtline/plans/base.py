@@ -45,6 +45,10 @@ def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.slot_velocity(positions(spark, sf_dir))
 
 
+def frame_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.frame_channels(positions(spark, sf_dir))
+
+
 RAW = f"raw AS ({X.positions_sql()})"
 _OK = "NOT ({x} = 0 AND {y} = 0) AND {x} BETWEEN -900 AND 2700 AND {y} BETWEEN -1800 AND 1800"
 _P, _B = _OK.format(x="x", y="y"), _OK.format(x="ball_x", y="ball_y")

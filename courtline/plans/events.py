@@ -57,18 +57,17 @@ _add("set5_split_revert", lambda s, d: _split(s, d).where("split = 'val'").union
 _points = lambda s, d: positions(s, d).where("x is not null").select("match_id", "x", "y")
 _add("set1_pool_points", lambda s, d: _points(s, d).select("x", "y").unionByName(positions(s, d).where("slot = 1 and ball_x is not null").select(F.col("ball_x").alias("x"), F.col("ball_y").alias("y"))).groupBy(F.floor(F.col("x") / 100).alias("col")).agg(F.count("*").alias("n")), f"WITH {POS}, u AS (SELECT x FROM pres UNION ALL SELECT ball_x FROM pos WHERE slot = 1 AND ball_x IS NOT NULL) SELECT CAST(floor(x / 100) AS BIGINT) AS col, count(*) AS n FROM u GROUP BY 1")
 _GRID = f"{POS}, ct AS (SELECT CAST(least(floor((x + 40) / (CAST(1880 AS DOUBLE) / 72)), 71) AS INTEGER) AS bx, CAST(least(floor((y + 40) / (CAST(980 AS DOUBLE) / 36)), 35) AS INTEGER) AS b2, count(*) AS n FROM pres WHERE x BETWEEN -40 AND 1840 AND y BETWEEN -40 AND 940 GROUP BY 1, 2), gr AS (SELECT CAST(a.i AS INTEGER) AS bx, CAST(b.i AS INTEGER) AS b2 FROM (SELECT unnest(range(0, 72)) AS i) a CROSS JOIN (SELECT unnest(range(0, 36)) AS i) b), dg AS (SELECT gr.bx, gr.b2, coalesce(n, 0) AS n FROM gr LEFT JOIN ct ON ct.bx = gr.bx AND ct.b2 = gr.b2)"
-_add("agg25_density_grid", lambda s, d: E.density_grid(_points(s, d)), f"WITH {_GRID} SELECT bx, b2, n FROM dg")
+_places = lambda s, d: positions(s, d).select("match_id", "x", "y")  # noqa: E731 - missing ones are in no cell
+_add("agg25_density_grid", lambda s, d: E.density_grid(_places(s, d)), f"WITH {_GRID} SELECT bx, b2, n FROM dg")
 _TAPS = "tp AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, CAST({w!r} AS DOUBLE))" for k, w in zip(range(-5, 6), E.kernel_weights(), strict=True)) + ") v(k, w))"
 _refl = lambda c, n: f"CASE WHEN {c} + k < 0 THEN -({c} + k) - 1 WHEN {c} + k >= {n} THEN {2 * n - 1} - ({c} + k) ELSE {c} + k END"
 _SM = f"{_GRID}, {_TAPS}, s1 AS (SELECT o.bx, o.b2, sum(g.n * w) AS v FROM gr o CROSS JOIN tp JOIN dg g ON g.b2 = o.b2 AND g.bx = {_refl('o.bx', 72)} GROUP BY 1, 2), s2 AS (SELECT o.bx, o.b2, sum(g.v * w) AS v FROM gr o CROSS JOIN tp JOIN s1 g ON g.bx = o.bx AND g.b2 = {_refl('o.b2', 36)} GROUP BY 1, 2), s3 AS (SELECT bx, b2, v / (SELECT max(v) FROM s2) AS density FROM s2)"
-_add("agg26_density_smooth", lambda s, d: rounded(E.density_smooth(E.density_grid(_points(s, d)))), f"WITH {_SM} SELECT bx, b2, {R('density')} AS density FROM s3 WHERE density >= 0.03")
+_add("agg26_density_smooth", lambda s, d: rounded(E.density_smooth(E.cell_counts(_places(s, d)))), f"WITH {_SM} SELECT bx, b2, {R('density')} AS density FROM s3 WHERE density >= 0.03")
 
 
 def _heatmap(s, d):
-    parts = []
-    for name, cond in (("near", "y >= 600"), ("far", "y < 600")):
-        parts.append(rounded(E.density_smooth(E.density_grid(_points(s, d).where(cond)), (), 0.05)).withColumn("layer", F.lit(name)))
-    return parts[0].unionByName(parts[1])
+    layered = _places(s, d).withColumn("layer", F.when(F.col("y") >= 600, "near").otherwise("far"))
+    return rounded(E.density_smooth(E.cell_counts(layered, ("layer",)), ("layer",), 0.05))
 
 
 _add("ana24_position_heatmap", _heatmap, " UNION ALL ".join(f"SELECT bx, b2, {R('density')} AS density, '{n}' AS layer FROM (WITH {_SM.replace('FROM pres WHERE', f'FROM pres WHERE {c} AND')} SELECT * FROM s3) q WHERE density >= 0.05" for n, c in (("near", "y >= 600"), ("far", "y < 600"))))

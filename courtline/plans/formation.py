@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..constants import FRAME_CHANNELS, KINEMATIC_CHANNELS
 from ..operators import clean, clips, frames
-from .base import BOTH, CLIP_FRAME, MOVES, PAIRS, POS, Query, R, descriptors, moves, positions, r, rounded
+from .base import BOTH, CLIP_FRAME, MOVES, PAIRS, POS, Query, R, descriptors, frame_channels, moves, positions, r, rounded
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -34,7 +34,7 @@ w4 AS (SELECT k.match_id, k.sequence, avg(speed_top2) AS t2, avg(speed_bot4) AS
 wm AS (SELECT w1.match_id, w1.sequence, n_frames, coalesce(sync_score, 0) AS sync_score, coalesce(mean_spacing_cm, 0) AS mean_spacing_cm, centroid_vel_cm_per_frame, var_spatial_cm2, coalesce(t2, 0) AS speed_top2_cm_frame, coalesce(b4, 0) AS speed_bot4_cm_frame, coalesce(t2, 0) - coalesce(b4, 0) AS speed_diff_cm_frame
   FROM w1 LEFT JOIN w2 ON w2.match_id = w1.match_id AND w2.sequence = w1.sequence LEFT JOIN w3 ON w3.match_id = w1.match_id AND w3.sequence = w1.sequence LEFT JOIN w4 ON w4.match_id = w1.match_id AND w4.sequence = w1.sequence)"""
 _METRICS = ("sync_score", "mean_spacing_cm", "centroid_vel_cm_per_frame", "var_spatial_cm2", "speed_top2_cm_frame", "speed_bot4_cm_frame", "speed_diff_cm_frame")
-_add("agg4_window_metrics", lambda s, d: rounded(frames.window_metrics(descriptors(s, d), frames.kinematics(moves(s, d)))), f"WITH {_WINDOW} SELECT match_id, sequence, n_frames, {_cols(_METRICS)} FROM wm")
+_add("agg4_window_metrics", lambda s, d: rounded(frames.window_metrics(frame_channels(s, d))), f"WITH {_WINDOW} SELECT match_id, sequence, n_frames, {_cols(_METRICS)} FROM wm")
 _add("agg6_per_player_speed", lambda s, d: rounded(frames.per_player_speed(moves(s, d))), f"WITH {MOVES} SELECT match_id, sequence, slot, {R('avg(CASE WHEN speed <= 50 THEN speed END) * 30')} AS speed_cm_s FROM mov GROUP BY 1, 2, 3")
 _add("flt11_speed_caps", lambda s, d: rounded(moves(s, d).withColumn("capped", clean.cap_steps(F.col("speed"))), *CLIP_FRAME, "slot", "capped"), f"WITH {MOVES} SELECT match_id, sequence, frame_id, slot, {R('CASE WHEN speed <= 50 THEN speed END')} AS capped FROM mov")
 _FILL = f"""{POS},
@@ -53,27 +53,27 @@ _SIX = ("mean", "std", "min", "max", "slope", "iqr")
 
 
 def _channels(s, d):
-    return clips.channels(descriptors(s, d).join(frames.kinematics(moves(s, d)).select(*CLIP_FRAME, *KINEMATIC_CHANNELS), list(CLIP_FRAME)), _CH)
+    return clips.channels(frame_channels(s, d), _CH)
 
 
-_add("agg7_absolute_features", lambda s, d: rounded(clips.absolute_features(_channels(s, d)), digits=5), f"WITH {BOTH}, {_LONG}, {_ABS} SELECT match_id, sequence, channel, " + ", ".join(f"(round({c}, 5) + CAST(0 AS DOUBLE)) AS {c}" for c in _SIX) + " FROM stats")
+_add("agg7_absolute_features", lambda s, d: rounded(clips.absolute_features(frame_channels(s, d)), digits=5), f"WITH {BOTH}, {_LONG}, {_ABS} SELECT match_id, sequence, channel, " + ", ".join(f"(round({c}, 5) + CAST(0 AS DOUBLE)) AS {c}" for c in _SIX) + " FROM stats")
 _add("win8_zscore_clip", lambda s, d: rounded(clips.zscore(_channels(s, d)), digits=5), f"WITH {BOTH}, {_LONG}, z AS (SELECT *, avg(v) OVER w AS mu, stddev_pop(v) OVER w AS sd, count(*) OVER w AS n FROM chan WINDOW w AS (PARTITION BY match_id, sequence, channel)) SELECT match_id, sequence, frame_id, channel, (round(v, 5) + CAST(0 AS DOUBLE)) AS v, (round(CASE WHEN n < 2 OR sd < 1e-6 THEN 0 ELSE (v - mu) / sd END, 5) + CAST(0 AS DOUBLE)) AS z FROM z")
 _RATIO = "ratio AS (" + " UNION ALL ".join(f"SELECT d.match_id, d.sequence, d.frame_id, '{n}' AS channel, greatest(-50, least(50, {a} / (abs({b}) + 1e-6))) AS v FROM descr d JOIN kin k ON k.match_id = d.match_id AND k.frame_id = d.frame_id" for n, (a, b) in clips.RATIOS.items()) + " UNION ALL " + " UNION ALL ".join(f"SELECT match_id, sequence, frame_id, channel, v FROM chan WHERE channel = '{c}'" for c in clips.DIMENSIONLESS) + ")"
 _INV = f"""{BOTH}, {_LONG}, {_ABS}, {_RATIO},
 rs AS (SELECT match_id, sequence, channel, avg(v) AS mean, stddev_pop(v) AS std, min(v) AS min, max(v) AS max, coalesce(regr_slope(v, frame_id), 0) AS slope, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr FROM ratio GROUP BY 1, 2, 3),
 zs AS (SELECT match_id, sequence, channel, CASE WHEN std < 1e-6 THEN 0 ELSE (min - mean) / std END AS zmin, CASE WHEN std < 1e-6 THEN 0 ELSE (max - mean) / std END AS zmax, CASE WHEN std < 1e-6 THEN 0 ELSE slope / std END AS zslope, CASE WHEN std < 1e-6 THEN 0 ELSE iqr / std END AS ziqr FROM stats),
 inv AS (""" + " UNION ALL ".join([f"SELECT match_id, sequence, channel || '__{c}' AS feature, {c} AS value FROM rs" for c in _SIX] + [f"SELECT match_id, sequence, channel || '__z_{c}' AS feature, z{c} AS value FROM zs" for c in ("min", "max", "slope", "iqr")]) + ")"
-_add("agg8_invariant_features", lambda s, d: rounded(clips.invariant_features(_channels(s, d)), digits=4), f"WITH {_INV} SELECT match_id, sequence, feature, (round(value, 4) + CAST(0 AS DOUBLE)) AS value FROM inv")
+_add("agg8_invariant_features", lambda s, d: rounded(clips.invariant_features(frame_channels(s, d)), digits=4), f"WITH {_INV} SELECT match_id, sequence, feature, (round(value, 4) + CAST(0 AS DOUBLE)) AS value FROM inv")
 _NAMES = "names AS (SELECT unnest(range(0, 240)) AS place, unnest(range(0, 240)) < 108 AS plain, unnest([" + ", ".join(f"'{n}'" for n in clips.feature_names()) + "]) AS feature)"
 _ALL = f"{_INV}, {_NAMES}, u AS (" + " UNION ALL ".join(f"SELECT match_id, sequence, channel || '__{c}' AS feature, {c} AS value, true AS plain FROM stats" for c in _SIX) + " UNION ALL SELECT match_id, sequence, feature, value, false FROM inv)"
 
 
 def _features(s, d):
     """All 240 values of each clip with their places; rounded as in agg7 and agg8."""
-    rows = clips.feature_vector(_channels(s, d)).select("match_id", "sequence", F.posexplode("features").alias("place", "value"))
+    rows = clips.feature_vector(frame_channels(s, d)).select("match_id", "sequence", F.posexplode("features").alias("place", "value"))
     return rows.withColumn("value", F.when(F.col("place") < 108, r("value", 5)).otherwise(r("value", 4)))
 
 
 _add("agg9_feature_mode_union", _features, f"WITH {_ALL} SELECT match_id, sequence, CAST(place AS INTEGER) AS place, (CASE WHEN plain THEN round(value, 5) ELSE round(value, 4) END + CAST(0 AS DOUBLE)) AS value FROM u JOIN names USING (feature, plain)")
-_padded = lambda s, d: clips.pad_windows(descriptors(s, d).join(frames.kinematics(moves(s, d)).select(*CLIP_FRAME, *KINEMATIC_CHANNELS), list(CLIP_FRAME)).select(*CLIP_FRAME, *_CH))
+_padded = lambda s, d: clips.pad_windows(frame_channels(s, d).select(*CLIP_FRAME, *_CH))
 _add("arr2_pad_truncate", lambda s, d: rounded(_padded(s, d), digits=5), f"WITH {BOTH}, w AS (SELECT match_id, sequence, min(frame_id) AS f0 FROM descr GROUP BY 1, 2), g AS (SELECT match_id, sequence, f0, CAST(unnest(range(0, 29)) AS BIGINT) AS t FROM w) SELECT g.match_id, g.sequence, g.t, " + ", ".join(f"(round(coalesce({'d' if c in FRAME_CHANNELS else 'k'}.{c}, 0), 5) + CAST(0 AS DOUBLE)) AS {c}" for c in _CH) + " FROM g LEFT JOIN descr d ON d.match_id = g.match_id AND d.sequence = g.sequence AND d.frame_id = f0 + t LEFT JOIN kin k ON k.match_id = g.match_id AND k.sequence = g.sequence AND k.frame_id = f0 + t")

@@ -8,7 +8,7 @@ from .. import fixtures as X
 from ..operators import frames, learning, neighbours, rules, scores, thinning
 from ..operators.stored import stored
 from ..sources import files
-from .base import BOTH, POS, Query, R, descriptors, moves, positions, rounded
+from .base import BOTH, POS, Query, R, frame_channels, moves, positions, rounded
 from .formation import _LONG, _METRICS, _channels
 from .geometry import DET
 
@@ -56,7 +56,7 @@ _add("set3_orphan_labels", lambda s, d: _lines(s, d).where("frame % 7 <> 0").sel
 
 
 def _clips(s, d):
-    m = frames.window_metrics(descriptors(s, d), frames.kinematics(moves(s, d)))
+    m = frames.window_metrics(frame_channels(s, d))
     lab = rules.label_clips(X.raw_positions(s, d)).select("match_id", "sequence", "label")
     clip = F.concat_ws("_", F.col("match_id").cast("string"), F.col("sequence").cast("string"))
     return stored(m.join(lab, ["match_id", "sequence"]).withColumn("clip", clip).withColumn("video", F.col("match_id")), "clips")

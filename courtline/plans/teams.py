@@ -9,7 +9,7 @@ from ..functions import geometry as G
 from ..operators import clean, frames, identity, roles, rules, teams
 from ..streaming import ordered
 from ..streaming.replay import replayed
-from .base import MOVES, POS, RAW, Query, R, descriptors, moves, positions, rounded
+from .base import MOVES, POS, RAW, Query, R, frame_channels, moves, positions, rounded
 from .geometry import DET
 
 QUERIES: dict[str, Query] = {}
@@ -104,7 +104,7 @@ _PRE = f"{DET}, pf AS (SELECT video_id, frame, count(CASE WHEN kind = 'person' T
 _PC = ("raw_person_median", "masked_person_median", "team_person_median", "ball_recall")
 _add("agg22_preflight_stats", lambda s, d: rounded(_preflight(s, d)), f"WITH {_PRE} SELECT video_id, {_list(_PC)}, n_frames FROM ps")
 _add("ana17_preflight_verdict", lambda s, d: teams.preflight_verdict(_preflight(s, d).drop("n_frames")).select("video_id", "level", "stage"), f"WITH {_PRE} SELECT video_id, 'FATAL' AS level, 'detection' AS stage FROM ps WHERE raw_person_median < 4 UNION ALL SELECT video_id, CASE WHEN team_person_median < 3 THEN 'FATAL' ELSE 'WARN' END, 'team split' FROM ps WHERE raw_person_median >= 4 AND masked_person_median > 0 AND (team_person_median < 3 OR team_person_median > 9 OR abs(team_person_median - 6) > 2) UNION ALL SELECT video_id, 'FATAL', 'court mask' FROM ps WHERE raw_person_median >= 4 AND masked_person_median <= 0 UNION ALL SELECT video_id, 'WARN', 'ball' FROM ps WHERE raw_person_median >= 4 AND masked_person_median > 0 AND ball_recall < 0.2")
-_metrics = lambda s, d: frames.window_metrics(descriptors(s, d), frames.kinematics(moves(s, d)))
+_metrics = lambda s, d: frames.window_metrics(frame_channels(s, d))
 _RANGES = (("mean_spacing_cm", 200.0, 350.0, "cm"), ("speed_top2_cm_frame", 5.0, 12.0, "cm"), ("centroid_vel_cm_per_frame", 1.0, 8.0, "cm"))
 _add("ana9_literature_table", lambda s, d: rounded(teams.reference_table(_metrics(s, d), _RANGES).select("metric", "median", "n", "place")))
 _add("ana8_tactical_deviation", lambda s, d: rounded(teams.tactical_deviation(_metrics(s, d).join(rules.label_clips(X.raw_positions(s, d)).select("match_id", "sequence", "label"), ["match_id", "sequence"]), ("sync_score", "mean_spacing_cm", "centroid_vel_cm_per_frame", "speed_top2_cm_frame")).select("match_id", "sequence", "label", "deviation"), digits=4))

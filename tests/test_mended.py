@@ -67,12 +67,13 @@ def test_features_are_in_order(spark):
     with pytest.raises(ValueError, match="unknown feature mode"):
         clips.feature_names("nonsense")
     rng = random.Random(2)
-    rows = [(1, c, t, ch, rng.uniform(1, 9)) for c in (1, 2) for t in range(29) for ch in clips.MODEL_CHANNELS]
-    chan = spark.createDataFrame(rows, "match_id long, sequence long, frame_id long, channel string, v double")
-    got = {m: {r.sequence: r.features for r in clips.feature_vector(chan, m).collect()} for m in clips.MODES}
+    names = clips.MODEL_CHANNELS
+    rows = [(1, c, t, *(rng.uniform(1, 9) for _ in names)) for c in (1, 2) for t in range(29)]
+    table = spark.createDataFrame(rows, "match_id long, sequence long, frame_id long, " + ", ".join(f"{n} double" for n in names))
+    got = {m: {r.sequence: r.features for r in clips.feature_vector(table, m).collect()} for m in clips.MODES}
     for c in (1, 2):
         assert got["both"][c] == got["absolute"][c] + got["invariant"][c] and len(got["both"][c]) == 240
-        v = {ch: np.array([r[4] for r in rows if r[1] == c and r[3] == ch]) for ch in clips.MODEL_CHANNELS}
+        v = {ch: np.array([r[3 + i] for r in rows if r[1] == c]) for i, ch in enumerate(names)}
         value = dict(zip(clips.feature_names("absolute"), got["absolute"][c], strict=True))
         assert all(np.isclose(value[f"{ch}__{name}"], f(x)) for ch, x in v.items() for name, f in (("mean", np.mean), ("std", np.std), ("min", np.min), ("max", np.max)))
         z = dict(zip(clips.feature_names("invariant"), got["invariant"][c], strict=True))
