@@ -16,6 +16,7 @@ taken from dense counts: shard by shard, in tiles of ``TILE`` by ``TILE`` source
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,9 @@ LETTER[0x41:0x5B] = LETTER[0x61:0x7B] = LETTER[0x80:] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 SHARDS = "lang string, shard int, n int, seed int, moves binary, ends binary, keys binary"
 COUNTS = "lang string, source string, shard int, slot int, n long"
+#: Counts of one group and shard as two blocks of numbers, and how many tasks' blocks are added up at a time.
+PACKED = "lang string, source string, shard int, slots binary, n binary"
+MERGE = 256
 
 
 # ---- terms -------------------------------------------------------------------------------------
@@ -110,8 +114,9 @@ def _hashes(terms: pa.Array, seed: int) -> np.ndarray:
     return X.segment_hashes(X.byte_codes(50 + seed)[data], offs[:-1], offs[1:])
 
 
-def _shard_of(terms: pa.Array, shards: np.ndarray | int) -> np.ndarray:
-    return (X.mix(_hashes(terms, 0), 9) % np.asarray(shards).astype(np.uint64)).astype(np.int32)
+def _shards(h: np.ndarray, shards: np.ndarray | int) -> np.ndarray:
+    """Shard of each term from its hash of seed 0."""
+    return (X.mix(h, 9) % np.asarray(shards).astype(np.uint64)).astype(np.int32)
 
 
 def _spot(h: np.ndarray, move: np.ndarray | int, n: np.ndarray | int) -> np.ndarray:
@@ -193,11 +198,16 @@ class Lookup:
         self.bucket_base, self.base = np.cumsum(self.many) - self.many, np.cumsum(self.n) - self.n
         self.keys = pa.chunked_array([_stored(r.ends, r.keys) for r in rows]).cast(pa.large_string()).combine_chunks()
 
-    def places(self, terms: pa.Array) -> np.ndarray:
-        out, which = np.full(len(terms), -1, np.int64), self.of[_shard_of(terms, self.shards)]
-        for seed in np.unique(self.seed):
+    def places(self, terms: pa.Array, known: dict[int, np.ndarray] | None = None) -> np.ndarray:
+        """known: hashes of the terms by seed, where they are at hand; it is filled."""
+        known = {} if known is None else known
+        for seed in (0, *np.unique(self.seed).tolist()):
+            if seed not in known:
+                known[seed] = _hashes(terms, seed)
+        out, which = np.full(len(terms), -1, np.int64), self.of[_shards(known[0], self.shards)]
+        for seed in np.unique(self.seed).tolist():
             at = np.flatnonzero((which >= 0) & (self.seed[which] == seed))
-            k, h = which[at], _hashes(terms, int(seed))[at]
+            k, h = which[at], known[seed][at]
             move = self.moves[self.bucket_base[k] + ((h >> np.uint64(32)) % self.many[k].astype(np.uint64)).astype(np.int64)].astype(np.int64)
             slot = np.where(move < 0, -1 - move, _spot(h, np.maximum(move, 0), self.n[k]))
             out[at] = self.base[k] + slot
@@ -225,14 +235,53 @@ class _Slots:
     def hand_on(self, least: int) -> Iterator[pa.RecordBatch]:
         if self.bytes < max(1, least):
             return
+        rows: list[tuple] = []
         for (lang, source), dense in self.open.items():
             table, at = self.tables[lang], np.flatnonzero(dense)
-            k = np.searchsorted(table.base, at, side="right") - 1
-            name = lambda x: pa.array([x]).take(pa.array(np.zeros(len(at), np.int64)))  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([name(lang), name(source), pa.array(table.ids[k]), pa.array((at - table.base[k]).astype(np.int32)), pa.array(dense[at])], names=["lang", "source", "shard", "slot", "n"])
+            cuts = np.searchsorted(at, np.r_[table.base, len(dense)])
+            for k in np.flatnonzero(np.diff(cuts)).tolist():
+                of = at[cuts[k] : cuts[k + 1]]
+                rows.append((lang, source, int(table.ids[k]), (of - table.base[k]).astype(np.int32).tobytes(), dense[of].tobytes()))
+        yield _blocks(rows)
         self.open, self.bytes = {}, 0
 
 
+def _blocks(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names=["lang", "source", "shard", "slots", "n"])
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """Blocks of one group and shard as one: a slot's counts are added up."""
+    slots = [np.frombuffer(x, np.int32) for x in table.column("slots").to_pylist()]
+    dense = np.zeros(max(int(x.max()) for x in slots) + 1, np.int64)
+    for at, n in zip(slots, table.column("n").to_pylist(), strict=True):
+        dense[at] += np.frombuffer(n, np.int64)
+    at = np.flatnonzero(dense)
+    first = [table.column(c)[0].as_py() for c in ("lang", "source", "shard")]
+    return pa.Table.from_batches([_blocks([(*first, at.astype(np.int32).tobytes(), dense[at].tobytes())])]).append_column("task", table.column("task").slice(0, 1))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        slots, n = ([np.frombuffer(x, kind) for x in batch.column(c).to_pylist()] for c, kind in ((3, np.int32), (4, np.int64)))
+        if slots:
+            of = pa.array(np.repeat(np.arange(len(slots)), [len(x) for x in slots]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in range(3)), pa.array(np.concatenate(slots)), pa.array(np.concatenate(n))], names=["lang", "source", "shard", "slot", "n"])
+
+
+def _summed_counts(blocks: DataFrame) -> DataFrame:
+    """Blocks of all tasks to counts. ``MERGE`` tasks' blocks of a group and shard are added up at a time, so a hot group is no large task either."""
+    blocks = saved(blocks.withColumn("task", F.spark_partition_id()), "blocks")
+    tasks = (blocks.agg(F.max("task")).first()[0] or 0) + 1
+    while True:
+        blocks = blocks.withColumn("task", F.floor(F.col("task") / MERGE).cast("int")).groupBy("lang", "source", "shard", "task").applyInArrow(_added, f"{PACKED}, task int")
+        tasks = ceil(tasks / MERGE)
+        if tasks == 1:
+            return saved(blocks.drop("task").mapInArrow(_unpacked, COUNTS), "counts")
+        blocks = saved(blocks, "blocks")
+
+
 def _grouped(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[str, str]], pa.Array]]:
     """(lang, source, text): for each block the group, code and number of its terms, the groups and the terms."""
     for a, b, data, offs in X.blocks(batch.column(2)):
@@ -252,11 +301,14 @@ def _recount(tables) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
         slots = _Slots(tables.value)
         for batch in batches:
             for group, code, n, groups, terms in _grouped(batch):
-                known = {}
+                known, hashes = {}, {}
                 for lang in {g[0] for g in groups} & set(slots.tables):
                     of = np.unique(code[np.isin(group, [k for k, g in enumerate(groups) if g[0] == lang])])
+                    for seed in (0, *np.unique(slots.tables[lang].seed).tolist()):
+                        if seed not in hashes:
+                            hashes[seed] = _hashes(terms, seed)
                     known[lang] = np.full(len(terms), -1, np.int64)
-                    known[lang][of] = slots.tables[lang].places(terms.take(pa.array(of)))
+                    known[lang][of] = slots.tables[lang].places(terms.take(pa.array(of)), {seed: h[of] for seed, h in hashes.items()})
                 for k, (lang, source) in enumerate(groups):
                     if lang in known:
                         lo, hi = np.searchsorted(group, [k, k + 1])
@@ -279,7 +331,7 @@ def _group_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with term and, last, the number of shards, which becomes the term's shard."""
     for batch in batches:
-        shard = _shard_of(batch.column(batch.schema.get_field_index("term")), batch.column(batch.num_columns - 1).to_numpy())
+        shard = _shards(_hashes(batch.column(batch.schema.get_field_index("term")), 0), batch.column(batch.num_columns - 1).to_numpy())
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(shard)], names=[*batch.schema.names[:-1], "shard"])
 
 
@@ -333,7 +385,7 @@ def recount(rows: DataFrame, hashes: DataFrame, cut: DataFrame) -> DataFrame:
     if len(rounds) <= 1:
         took = hashes.collect()
         tables = spark.sparkContext.broadcast(_tables(took, {r.lang: sum(1 for x in took if x.lang == r.lang) for r in took}))
-        return saved(rows.mapInArrow(_recount(tables), COUNTS).groupBy("lang", "source", "shard", "slot").agg(F.sum("n").alias("n")), "counts")
+        return _summed_counts(rows.mapInArrow(_recount(tables), PACKED))
     words = rows.mapInArrow(_group_words, "lang string, source string, term string, n long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
     names = spark.createDataFrame([(lang, shard, k) for k, of in enumerate(rounds) for lang, shard in of], "lang string, shard int, round int")
     words = words.join(cut, "lang").mapInArrow(_sharded, "lang string, source string, term string, n long, shard int").join(names, ["lang", "shard"]).select("lang", "source", "term", "n", "round")
@@ -342,7 +394,7 @@ def recount(rows: DataFrame, hashes: DataFrame, cut: DataFrame) -> DataFrame:
     for k, of in enumerate(rounds):
         took = hashes.join(names.where(F.col("round") == k).select("lang", "shard"), ["lang", "shard"]).select(*hashes.columns).collect()
         tables = spark.sparkContext.broadcast(_tables(took, {lang: total[lang] for lang, _ in of}))
-        part = saved(words.where(F.col("round") == k).drop("round").mapInArrow(_recount_words(tables), COUNTS).groupBy("lang", "source", "shard", "slot").agg(F.sum("n").alias("n")), "counts")
+        part = _summed_counts(words.where(F.col("round") == k).drop("round").mapInArrow(_recount_words(tables), PACKED))
         tables.unpersist()
         counts = part if counts is None else counts.unionByName(part)
     return counts

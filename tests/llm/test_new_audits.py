@@ -57,6 +57,7 @@ def test_divergence(spark, monkeypatch, small):
         monkeypatch.setattr(divergence, "SHARD", 60)
         monkeypatch.setattr(divergence, "BROADCAST", 2500)
         monkeypatch.setattr(divergence, "TILE", 2)
+        monkeypatch.setattr(divergence, "MERGE", 2)
     rng = random.Random(8)
     rows = documents() + EDGES + [(2000 + i, prose(rng, 30), "xx", f"s{i}", 1, "c", 1, "p", "r") for i in range(7)] + [(3000, "alone", "one", "s", 1, "c", 1, "p", "r"), (3001, "12", "one", "t", 1, "c", 1, "p", "r")]
     rows.append((4000, " ".join(prose(rng, 9) for _ in range(30_000)), "en", "src1", 1, "c", 1, "p", "r"))  # over one block
