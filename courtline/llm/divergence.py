@@ -31,9 +31,9 @@ from .saved import saved
 KEPT, TOP = 3, 200
 SHARD, TILE = 8192, 128
 #: Bytes of perfect hashes that are broadcast at a time, and of dense slots that a task holds before it hands them on.
-BROADCAST, DENSE = 48 << 20, 64 << 20
+BROADCAST, DENSE = 48 << 20, 32 << 20
 #: Rows of terms that a task holds before it adds them up.
-HELD = 1_000_000
+HELD = 100_000
 #: Displacements tried for a bucket before another seed is taken.
 TRIES = 1 << 16
 #: Fixed value: bytes of a term (A-Z, a-z and everything past ASCII).
