@@ -221,8 +221,9 @@ class _Slots:
             for k in np.flatnonzero(np.diff(cuts)).tolist():
                 of = at[cuts[k] : cuts[k + 1]]
                 rows.append((lang, source, int(table.ids[k]), (of - table.base[k]).astype(np.int32).tobytes(), dense[of].tobytes()))
-        yield _blocks(rows)
         self.open, self.bytes = {}, 0
+        for a in range(0, len(rows), 64):
+            yield _blocks(rows[a : a + 64])
 
 
 def _blocks(rows: list[tuple]) -> pa.RecordBatch:
@@ -242,11 +243,12 @@ def _added(table: pa.Table) -> pa.Table:
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks to counts, one block at a time."""
     for batch in batches:
-        slots, n = ([np.frombuffer(x, kind) for x in batch.column(c).to_pylist()] for c, kind in ((3, np.int32), (4, np.int64)))
-        if slots:
-            of = pa.array(np.repeat(np.arange(len(slots)), [len(x) for x in slots]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in range(3)), pa.array(np.concatenate(slots)), pa.array(np.concatenate(n))], names=["lang", "source", "shard", "slot", "n"])
+        for row in range(batch.num_rows):
+            slots, n = (np.frombuffer(batch.column(c)[row].as_py(), kind) for c, kind in ((3, np.int32), (4, np.int64)))
+            of = pa.array(np.full(len(slots), row))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in range(3)), pa.array(slots), pa.array(n)], names=["lang", "source", "shard", "slot", "n"])
 
 
 def _summed_counts(blocks: DataFrame) -> DataFrame:
