@@ -15,9 +15,7 @@ def test_folds_are_matches_and_fifths(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(plans.learning, "grouped_predictions", lambda rows, names, fold, model="logistic": seen.append((fold, model)) or rows.withColumn("y_true", F.col("label")).withColumn("y_pred", F.col("label")))
     monkeypatch.setattr(plans.frames, "window_metrics", lambda *a: _clips(spark, sf_dir).drop("label"))
     monkeypatch.setattr(plans.rules, "label_clips", lambda *a: _clips(spark, sf_dir))
-    for name in ("descriptors", "moves"):
-        monkeypatch.setattr(plans, name, lambda *a: None)
-    monkeypatch.setattr(plans.frames, "kinematics", lambda *a: None)
+    monkeypatch.setattr(plans, "frame_channels", lambda *a: None)
     monkeypatch.setattr(plans.X, "raw_positions", lambda *a: None)
     lovo = plans.QUERIES["ml5_lovo_predict"](spark, sf_dir)
     assert sorted(r.video for r in lovo.select("video").distinct().collect()) == list(range(6))
