@@ -9,7 +9,7 @@ from .base import Query
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _name in ("geometry", "scan_clean", "formation", "tactics", "scoring", "events", "teams", "learning", "measures", "court", "colours", "models"):
+for _name in ("geometry", "scan_clean", "formation", "tactics", "scoring", "events", "teams", "learning", "measures", "court", "colours", "models", "files"):
     try:
         _module = import_module(f"courtline.plans.{_name}")
     except ModuleNotFoundError as _error:

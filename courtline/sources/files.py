@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,23 +14,57 @@ COORDINATES = ("ball_x", "ball_y", *(f"p{k}_{a}" for k in range(1, 7) for a in "
 CLIP_SCHEMA = T.StructType([T.StructField("frame_id", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in COORDINATES), T.StructField("target_label", T.StringType())])
 
 
+def write_text_files(lines: DataFrame, path: str, parts: Sequence[str], order: Sequence[str]) -> None:
+    """One text file for each value of ``parts``, its lines (value) in order; folders are named after the values.
+
+    A file's lines are one row, so this is for files of a clip or a picture. Nothing is written over.
+    """
+    line = F.struct(*order, "value")
+    whole = lines.groupBy(*parts).agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["value"]), "\n").alias("value"))
+    whole.write.partitionBy(*parts).mode("errorifexists").text(path)
+
+
+def csv_lines(rows: DataFrame, columns: Sequence[str], key: str = "clip_id", order: str = "frame_id") -> DataFrame:
+    """key, place and value: a header (place null, so it sorts first) and a line for each row; null is an empty cell."""
+    cells = F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
+    head = rows.select(key).distinct().select(key, F.lit(None).cast("long").alias("place"), F.lit(",".join(columns)).alias("value"))
+    return head.unionByName(rows.select(key, F.col(order).cast("long").alias("place"), cells.alias("value")))
+
+
+def _clip_lines(spark: SparkSession, path: str) -> DataFrame:
+    lines = spark.read.text(path)
+    return lines if "clip_id" in lines.columns else lines.select("value", F.col("_metadata.file_name").alias("clip_id"))
+
+
+def missing_columns(spark: SparkSession, path: str) -> DataFrame:
+    """clip_id, header and the required columns that each clip CSV lacks; files without a header have no row."""
+    return _headers(_clip_lines(spark, path))
+
+
+def _is_header() -> Column:
+    return F.col("value").startswith("frame_id") | F.col("value").contains("ball_x")
+
+
+def _headers(lines: DataFrame) -> DataFrame:
+    need = F.array(*(F.lit(c) for c in CLIP_SCHEMA.names))
+    return lines.where(_is_header()).select("clip_id", F.split("value", ",").alias("header")).withColumn("missing", F.array_except(need, "header"))
+
+
 def scan_clips(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(frames, skipped) of a directory of clip CSVs; the columns of each file are found by name.
 
-    frames: clip_id, video_key, folder, frame_id, coordinates and the clip's label (that of its
-    first frame). A file without all columns, or with fewer than two rows, is skipped with a reason.
+    A clip's name is its file's, or that of its folder ``clip_id=...``. frames: clip_id, video_key, folder,
+    frame_id, coordinates and the clip's label (that of its first frame). A file without all columns, or with
+    fewer than two rows, is skipped with a reason.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("clip_id"))
-    names = lines.where(F.col("value").startswith("frame_id") | F.col("value").contains("ball_x")).select("clip_id", F.split("value", ",").alias("header"))
-    need = F.array(*(F.lit(c) for c in CLIP_SCHEMA.names))
-    missing = names.select("clip_id", "header", F.array_except(need, "header").alias("missing"))
-    good = missing.where(F.size("missing") == 0).select("clip_id", "header")
-    cells = F.map_from_arrays("header", "cell")
-    rows = lines.where(~(F.col("value").startswith("frame_id") | F.col("value").contains("ball_x"))).withColumn("cell", F.split("value", ",")).join(good, "clip_id").where(F.size("cell") == F.size("header")).withColumn("m", cells)
+    lines = _clip_lines(spark, path)
+    heads = _headers(lines)
+    good = heads.where(F.size("missing") == 0).select("clip_id", "header")
+    rows = lines.where(~_is_header()).withColumn("cell", F.split("value", ",")).join(good, "clip_id").where(F.size("cell") == F.size("header")).withColumn("m", F.map_from_arrays("header", "cell"))
     typed = rows.select("clip_id", *(F.col("m")[f.name].try_cast(f.dataType).alias(f.name) for f in CLIP_SCHEMA.fields))
     stats = typed.groupBy("clip_id").agg(F.count("*").alias("n_rows"), F.min_by("target_label", "frame_id").alias("label"))
     frames = typed.drop("target_label").join(stats.where("n_rows >= 2"), "clip_id").withColumn("video_key", S.video_key(F.col("clip_id"))).withColumn("folder", F.regexp_extract("clip_id", r"^(.*?)__", 1))
-    files = lines.select("clip_id").distinct().join(missing.select("clip_id", "missing"), "clip_id", "left").join(stats, "clip_id", "left")
+    files = lines.select("clip_id").distinct().join(heads.select("clip_id", "missing"), "clip_id", "left").join(stats, "clip_id", "left")
     reason = F.when(F.col("missing").isNull(), "no header").when(F.size("missing") > 0, F.concat(F.lit("missing: "), F.array_join("missing", ","))).when(F.coalesce("n_rows", F.lit(0)) < 2, "under two rows")
     return frames, files.select("clip_id", reason.alias("reason")).where("reason is not null")
 
@@ -44,15 +78,24 @@ def scan_gold(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_label_files(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of detector label files: stem, split (folder above) and the parsed line."""
-    lines = spark.read.text(path).select("value", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.\w+$", 1).alias("stem"), F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("split"))
-    return parse_label_lines(lines.where(F.trim("value") != ""))
+    """Lines of detector label files: stem, split and the parsed line.
+
+    stem is the file's name without its ending and split the folder above, or what folders
+    ``split=...`` and ``stem=...`` say.
+    """
+    lines = spark.read.text(path)
+    of = lambda name, pattern: F.col(name) if name in lines.columns else F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
+    rows = lines.select("value", of("stem", r"([^/]+)\.\w+$").alias("stem"), of("split", r"([^/]+)/[^/]+$").alias("split"))
+    return parse_label_lines(rows.where(F.trim("value") != ""))
 
 
 def parse_label_lines(lines: DataFrame) -> DataFrame:
-    """Adds class, coords and kind (box, polygon or bad) to lines (value): 'class c1 c2 ...' with numbers in [0, 1]."""
+    """Adds class, coords and kind (box, polygon or bad) to lines (value): 'class c1 c2 ...' with numbers in [0, 1].
+
+    A class may be written as a decimal number; it is cut to its whole part.
+    """
     token = F.split(F.trim("value"), r"\s+")
-    rows = lines.withColumn("token", token).withColumn("class", F.col("token")[0].try_cast("int")).withColumn("coords", F.transform(F.slice("token", F.lit(2), F.size("token")), lambda c: c.try_cast("double")))
+    rows = lines.withColumn("token", token).withColumn("class", F.nullif(F.col("token")[0].try_cast("double"), F.lit(float("nan"))).try_cast("int")).withColumn("coords", F.transform(F.slice("token", F.lit(2), F.size("token")), lambda c: c.try_cast("double")))
     ok = F.col("class").isNotNull() & F.forall("coords", lambda c: c.isNotNull() & c.between(-0.001, 1.001))
     n = F.size("coords")
     return rows.withColumn("kind", F.when(ok & (n == 4), "box").when(ok & (n >= 6) & (n % 2 == 0), "polygon").otherwise("bad")).drop("token")
@@ -70,10 +113,16 @@ def image_label_pairing(images: DataFrame, labels: DataFrame) -> DataFrame:
     return both.select("split", "stem", F.when(F.col("labels").isNull(), "no label").when(F.col("image").isNull(), "no image").alias("problem")).where("problem is not null")
 
 
-def file_manifest(spark: SparkSession, path: str, expected: Sequence[str]) -> DataFrame:
-    """First 12 hex digits of SHA-256 and size of each expected file; null where it is missing."""
-    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.substring(F.sha2("content", 256), 1, 12).alias("sha"), F.col("length").alias("size"))
-    return spark.createDataFrame([(x,) for x in expected], "name string").join(files, "name", "left")
+def file_manifest(spark: SparkSession, path: str, expected: Sequence[str] | DataFrame, by: str | None = None) -> DataFrame:
+    """First 12 hex digits of SHA-256 and size of each expected file; null where it is missing.
+
+    expected: names, or a table with a column name. by: the folder level (``by=...``) that names a file
+    instead of its own name.
+    """
+    name = F.col(by).cast("string") if by else F.regexp_extract("path", r"([^/]+)$", 1)
+    files = spark.read.format("binaryFile").load(path).select(name.alias("name"), F.substring(F.sha2("content", 256), 1, 12).alias("sha"), F.col("length").alias("size"))
+    names = expected if isinstance(expected, DataFrame) else spark.createDataFrame([(x,) for x in expected], "name string")
+    return names.join(files, "name", "left")
 
 
 def write_clips(frames: DataFrame, path: str) -> None:
@@ -97,6 +146,18 @@ def summary_json(metrics: DataFrame) -> DataFrame:
     return metrics.select(F.to_json(F.struct(*metrics.columns)).alias("value"))
 
 
+def clip_summaries(clips: DataFrame, key: str, label: str) -> DataFrame:
+    """One JSON text for each value of ``key``: number of clips, counts by label, the majority label and its share.
+
+    Of labels with equal counts the first by name is the majority.
+    """
+    n = clips.groupBy(key, label).agg(F.count("*").alias("n"))
+    most = F.min_by(F.struct(F.col(label).alias("label"), F.col("n").alias("n")), F.struct(-F.col("n"), F.col(label)))
+    per = n.groupBy(key).agg(F.sum("n").alias("n_clips"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(label, "n")))).alias("class_counts"), most.alias("most"))
+    majority = F.struct(F.col("most.label").alias("label"), F.round(F.col("most.n") / F.col("n_clips"), 4).alias("accuracy"))
+    return summary_json(per.select(key, "n_clips", "class_counts", majority.alias("majority_baseline")))
+
+
 def verify_labels(lines: DataFrame, images: DataFrame, n_classes: int) -> DataFrame:
     """What is wrong with detector labels: split, stem, line (0: the file itself) and problem.
 

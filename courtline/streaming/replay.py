@@ -32,3 +32,15 @@ def replayed(batches: Sequence[DataFrame], build: Callable[[DataFrame], DataFram
     finally:
         spark.conf.set(PROVIDER, before)
     return spark.read.parquet(f"{top}/out")
+
+
+def played(rows: DataFrame, build: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], mode: str = "append", files: int = 8) -> None:
+    """``build`` over a stream of the table's files, ``files`` of them a micro-batch, into a sink for foreachBatch.
+
+    For streams whose end result doesn't depend on the order of rows.
+    """
+    spark = rows.sparkSession
+    top = f"{shared_folder(spark)}/played-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{top}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{top}/in")
+    build(stream).writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start().awaitTermination()
