@@ -5,7 +5,7 @@ positions: clip or match keys, frame_id, slot, x, y, ball_x, ball_y; missing is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -53,6 +53,22 @@ def wide_to_long(df: DataFrame, keys: tuple[str, ...] = ("match_id", "frame_id")
     return df.select(*keys, "ball_x", "ball_y", F.inline(slots))
 
 
+def register_explode_slots(spark: SparkSession, name: str = "explode_slots") -> None:
+    """Registers a table function: (p1_x, p1_y, .. p6_x, p6_y) to rows slot, x, y, for LATERAL in SQL.
+
+    A slot with a missing number comes out with nulls; all six slots come out always.
+    """
+
+    @F.udtf(returnType="slot int, x double, y double", useArrow=True)
+    class ExplodeSlots:
+        def eval(self, *cells: float | None):
+            for k in range(0, len(cells), 2):
+                x, y = cells[k], cells[k + 1]
+                yield (k // 2 + 1, *((x, y) if x is not None and y is not None else (None, None)))
+
+    spark.udtf.register(name, ExplodeSlots)
+
+
 def team_side_filter(dets: DataFrame, y: Column, side: str = "bottom", margin: float = 0.0, most: int = 6) -> DataFrame:
     """Detections whose foot is on one side of the net; of more than ``most`` in a frame the deepest stay."""
     if side == "all":

@@ -97,10 +97,24 @@ def model_sequence(positions: DataFrame, keys: tuple[str, ...] = CLIP, size: int
     return clips.pad_windows(shape.join(move, k).select(*k, *FRAME_CHANNELS, *KINEMATIC_CHANNELS), size, keys)
 
 
-def window_verdicts(raw: DataFrame, keys: tuple[str, ...] = CLIP, size: int = WINDOW) -> DataFrame:
-    """Label of each whole window: unclassified while the ball is dead, else by the rules."""
+def window_verdicts(raw: DataFrame, keys: tuple[str, ...] = CLIP, size: int = WINDOW, scored: DataFrame | None = None) -> DataFrame:
+    """Label of each whole window: unclassified while the ball is dead, else by the model, else by the rules.
+
+    scored: keys, label, confidence, entropy, entropy_norm, is_anomaly and probs of a model, one row a window; a window
+    without a row (or all, without ``scored``) goes by the rules. by tells who decided: gate, model or rules. Gate and
+    rules are sure (confidence 1, entropy 0, no anomaly, no probs).
+    """
     rows = frames.whole_windows(raw, size, keys)
     gate = frames.activity_gate(frames.slot_velocity(clean.clean_positions(rows), keys), keys)
     labels = rules.label_clips(rows, keys).select(*keys, F.col("label").alias("by_rules"))
     out = gate.join(labels, list(keys))
-    return out.select(*keys, "dead_ball", F.when(F.col("dead_ball"), "Unclassified").otherwise(F.col("by_rules")).alias("label"))
+    if scored is None:
+        return out.select(*keys, "dead_ball", F.when(F.col("dead_ball"), "Unclassified").otherwise(F.col("by_rules")).alias("label"))
+    told = ("confidence", "entropy", "entropy_norm", "is_anomaly", "probs")
+    out = out.join(scored.select(*keys, F.col("label").alias("by_model"), *told), list(keys), "left")
+    by = F.when(F.col("dead_ball"), "gate").when(F.col("by_model").isNotNull(), "model").otherwise("rules")
+    sure = {"confidence": F.lit(1.0), "entropy": F.lit(0.0), "entropy_norm": F.lit(0.0), "is_anomaly": F.lit(False)}
+    label = F.when(F.col("by") == "gate", "Unclassified").when(F.col("by") == "model", F.col("by_model")).otherwise(F.col("by_rules"))
+    own = F.col("by") == "model"
+    out = out.withColumn("by", by)
+    return out.select(*keys, "dead_ball", "by", label.alias("label"), *(F.when(own, F.col(c)).otherwise(v).alias(c) for c, v in sure.items()), F.when(own, F.col("probs")).alias("probs"))
