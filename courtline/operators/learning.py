@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import scan
+from .stored import stored
+
+#: Models that are fitted at the same time: the jobs of one are too short to fill a cluster.
+PARALLEL = 8
 
 
 def label_centres(rows: DataFrame) -> DataFrame:
@@ -57,20 +61,23 @@ def grouped_predictions(rows: DataFrame, names: Sequence[str], fold: str, model:
     """
     from pyspark.ml.functions import vector_to_array
 
-    rows = rows.select("clip", "label", fold, *names).persist()  # every fold reads all features again
+    rows = stored(rows.select("clip", "label", fold, *names), "grouped")  # every fold reads all features again
     labels = [r[0] for r in rows.select("label").distinct().orderBy("label").collect()]
     ids = F.create_map(*(F.lit(x) for k, v in enumerate(labels) for x in (v, float(k))))
     rows = rows.withColumn("label_id", ids[F.col("label")])
-    parts = []
-    for value in [r[0] for r in rows.select(fold).distinct().orderBy(fold).collect()]:
-        train = rows.where(F.col(fold) != value)
-        counts = train.groupBy("label_id").agg(F.count("*").alias("n_k"))
-        if counts.count() < 2:
-            continue
-        weights = counts.withColumn("weight", F.sum("n_k").over(W.partitionBy()) / (F.count("*").over(W.partitionBy()) * F.col("n_k"))).drop("n_k")
-        fitted = model_pipeline(names, model).fit(train.join(F.broadcast(weights), "label_id"))
-        scored = fitted.transform(rows.where(F.col(fold) == value).withColumn("weight", F.lit(1.0)))
-        parts.append(scored.select("clip", fold, F.col("label").alias("y_true"), F.get(F.array(*(F.lit(x) for x in labels)), F.col("prediction").cast("int")).alias("y_pred"), vector_to_array("probability").alias("probs")))
+
+    def scored(value) -> DataFrame | None:
+        train = rows.where((F.col(fold) != value) & F.col("label_id").isNotNull())
+        counts = {r[0]: r[1] for r in train.groupBy("label_id").count().collect()}
+        if len(counts) < 2:
+            return None
+        weights = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, sum(counts.values()) / (len(counts) * n))))
+        fitted = model_pipeline(names, model).fit(train.withColumn("weight", weights[F.col("label_id")]))
+        got = fitted.transform(rows.where(F.col(fold) == value).withColumn("weight", F.lit(1.0)))
+        return got.select("clip", fold, F.col("label").alias("y_true"), F.get(F.array(*(F.lit(x) for x in labels)), F.col("prediction").cast("int")).alias("y_pred"), vector_to_array("probability").alias("probs"))
+
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        parts = [p for p in pool.map(scored, [r[0] for r in rows.select(fold).distinct().orderBy(fold).collect()]) if p is not None]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -13,13 +13,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import entropy_bits, entropy_norm
-from .learning import grouped_predictions, model_pipeline
+from .learning import PARALLEL, grouped_predictions, model_pipeline
 from .scores import balanced_weights, classification_scores, kfold
 from .stored import stored
 
-#: Models that are fitted at the same time: the jobs of one are too short to fill a cluster.
-PARALLEL = 8
-
 
 class Bundle(NamedTuple):
     """A fitted pipeline with what its scores mean."""
@@ -129,7 +126,7 @@ def calibrate(rows: DataFrame, names: Sequence[str], model: str = "tree", most:
     sizes = {r[0]: r[1] for r in rows.groupBy("label").count().orderBy("label").collect()}
     smallest = min(sizes.values(), default=0)
     folds = max(2, min(most, smallest))
-    scored = grouped_predictions(kfold(rows, folds, seed), names, "fold", model).select("clip", "y_true", "probs", "y_pred").persist()
+    scored = stored(grouped_predictions(kfold(rows, folds, seed), names, "fold", model).select("clip", "y_true", "probs", "y_pred"), "scored")
     if smallest < 2:
         return scored.select("clip", "y_true", "probs", F.col("probs").alias("calibrated"), "y_pred", F.lit(0).alias("folds"))
     out = scored

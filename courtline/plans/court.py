@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as X
 from ..operators import court
-from .base import RAW, Query, R, positions, rounded
+from .base import POS, RAW, Query, R, positions, rounded
+from .tactics import ORACLE_SQL as _TACTICS
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -43,3 +44,8 @@ st AS (SELECT video_id, frame, CASE WHEN frame % 50 = 3 THEN CAST([0, 0, 10, 0,
 SELECT video_id, frame, {", ".join(f"CASE WHEN c[{k + 1}] IS NOT NULL THEN {R(f'c[{k + 1}]')} END AS {name}" for k, name in enumerate(_CORNERS))} FROM st"""
 QUERIES["ana13_model_sequence"] = lambda s, d: rounded(court.model_sequence(positions(s, d)))
 QUERIES["ana14_window_verdict"] = lambda s, d: court.window_verdicts(X.raw_positions(s, d))
+#: Rules over all 29 frames of a window instead of its last 12.
+_WHOLE = _TACTICS["ana5_label_clip"].replace(" WHERE (r.frame_id - 1) % 29 >= 17", "").replace("(r.frame_id - 1) % 29 - 17 AS i", "(r.frame_id - 1) % 29 AS i")
+ORACLE_SQL["ana14_window_verdict"] = f"""WITH {POS}, v AS (SELECT *, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) AS sp FROM pos WINDOW w AS (PARTITION BY match_id, sequence, slot ORDER BY frame_id)),
+g AS (SELECT match_id, sequence, coalesce(avg(sp), 0) < 2.0 OR count(x) / CAST(count(DISTINCT frame_id) AS DOUBLE) < 3.0 AS dead_ball FROM v GROUP BY 1, 2)
+SELECT a.match_id, a.sequence, dead_ball, CASE WHEN dead_ball THEN 'Unclassified' ELSE label END AS label FROM ({_WHOLE}) a JOIN g ON g.match_id = a.match_id AND g.sequence = a.sequence"""
