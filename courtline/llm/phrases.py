@@ -3,9 +3,10 @@
 Runs of one symbol become one symbol. Then deterministic coin tossing gives each symbol a
 label of a few values, from the lowest bit in which it differs from its left neighbour, three
 times over; a phrase begins where the label is a local maximum. Phrases are named by their
-contents and parsed again, level by level. A phrase's borders depend on a few symbols around
-it only, so equal substrings are cut alike inside, wherever they stand. The fingerprint keeps,
-of the names of the levels ``KEPT``, the least in each of ``BINS`` hash ranges.
+contents and parsed again, level by level, until a text is one phrase, so the number of levels
+follows its length. A phrase's borders depend on a few symbols around it only, so equal
+substrings are cut alike inside, wherever they stand. The fingerprint keeps, of the names of
+all levels, the least in each of ``BINS`` hash ranges.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Window as W
 from . import blocked as B
 from . import textarrays as X
 
-LEVELS, KEPT, BINS = 3, (1, 2, 3), 64
+BINS = 64
 #: More blocks than this and their borders are joined by a shuffle instead of a broadcast.
 BROADCAST_BLOCKS = 1 << 16
 
@@ -71,13 +72,16 @@ def fingerprints(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """(rows, BINS) of 16 bits; 0 where a range has no name."""
     n_rows = len(offs) - 1
     least = np.full(n_rows * BINS, np.iinfo(np.uint64).max, np.uint64)
-    names, first = X.byte_codes(21)[data], offs
-    for level in range(1, LEVELS + 1):
+    names, first, rows, level = X.byte_codes(21)[data], offs, np.arange(n_rows), 0
+    while len(names):
+        level += 1
         names, first = parse(names, first)
-        if level in KEPT and len(names):
-            h = X.mix(names, level)
-            row = np.repeat(np.arange(n_rows), np.diff(first))
-            np.minimum.at(least, row * BINS + (h >> np.uint64(58)).astype(np.int64), h)
+        count = np.diff(first)
+        h = X.mix(names, level)
+        np.minimum.at(least, np.repeat(rows, count) * BINS + (h >> np.uint64(58)).astype(np.int64), h)
+        further = count > 1  # a text goes on while it is several phrases, whatever texts are beside it
+        names = names[np.repeat(further, count)]
+        rows, first = rows[further], np.r_[0, np.cumsum(count[further])]
     kept = ((least >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.uint16)
     kept = np.where(least == np.iinfo(np.uint64).max, 0, np.maximum(kept, 1))
     return kept.astype(np.uint16).reshape(n_rows, BINS)

@@ -220,9 +220,11 @@ def test_fingerprints_against_a_plain_parser():
     kept = []
     for t in texts:
         names, least = [code[b] for b in t.encode()], {}
-        for level in (1, 2, 3):
-            names = _plain_parse(names) if names else []
-            for h in X.mix(np.array(names, np.uint64), level).tolist() if names else []:
+        level = 0
+        while names and (level == 0 or len(names) > 1):
+            level += 1
+            names = _plain_parse(names)
+            for h in X.mix(np.array(names, np.uint64), level).tolist():
                 least[h >> 58] = min(h, least.get(h >> 58, h))
         kept.append([max(1, least[k] >> 8 & 0xFFFF) if k in least else 0 for k in range(64)])
     assert got.tolist() == kept
@@ -233,6 +235,35 @@ def test_fingerprints_against_a_plain_parser():
             assert phrases.likeness(got[i : i + 1], got[j : j + 1])[0] == pytest.approx(want)
 
 
+def test_levels_follow_the_length():
+    import numpy as np
+    import pyarrow as pa
+
+    from courtline.llm import textarrays as X
+
+    rng = random.Random(5)
+    texts = ["", "a", "aaaa", "ab", prose(rng, 5), prose(rng, 500), prose(rng, 300_000)]  # the last is over one block of bytes
+    together = phrases.fingerprint_columns(pa.array(texts))
+    alone = np.concatenate([phrases.fingerprint_columns(pa.array([t])) for t in texts])
+    assert together.tolist() == alone.tolist() and not together[0].any() and together[1:].any(axis=1).all()
+    levels = []
+    for t in texts[1:]:
+        names, n = X.byte_codes(21)[np.frombuffer(t.encode(), np.uint8)], 0
+        while n == 0 or len(names) > 1:
+            before, (names, _), n = len(names), phrases.parse(names, np.array([0, len(names)])), n + 1
+            assert len(names) < before or before == 1
+        levels.append(n)
+    assert levels[:3] == [1, 1, 1] and levels[3] < levels[4] < levels[5] and levels[5] > 8
+
+
+def test_repeated_ids_follow_each_other(spark):
+    rest = documents()[0][2:]
+    rows = [(4, "ccdd", *rest), (4, "aabb", *rest), (2, "xy" * 1_500_000, *rest), (1, None, *rest)]
+    got = sorted((r.doc_id, r.n_chars, r.edited_sha256) for r in phrases.fingerprint_edits(frame(spark, rows)).collect())
+    edit = lambda i, n, t: (i, n, hashlib.sha256(t.encode()).hexdigest())
+    assert got == sorted([edit(4, 4, "aacc"), edit(4, 4, "ccxy"), edit(2, 3_000_000, "xy" * 750_000), edit(1, 0, "")])
+
+
 def test_training_against_plain_gradient_descent(monkeypatch):
     import numpy as np
 
