@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import entropy_bits, entropy_norm
-from .learning import PARALLEL, grouped_predictions, model_pipeline
+from .learning import PARALLEL, against_rest, class_probabilities, grouped_predictions, model_pipeline
 from .scores import balanced_weights, classification_scores, kfold
 from .stored import stored
 
@@ -33,7 +33,8 @@ def fit_bundle(rows: DataFrame, names: Sequence[str], model: str = "logistic", m
     labels = [r[0] for r in rows.select("label").where("label is not null").distinct().orderBy("label").collect()]
     ids = F.create_map(*(F.lit(x) for k, v in enumerate(labels) for x in (v, float(k))))
     weighted = rows.select("label", *names).join(F.broadcast(balanced_weights(rows).select("label", "weight")), "label")
-    return Bundle(model_pipeline(names, model).fit(weighted.withColumn("label_id", ids[F.col("label")])), labels, list(names), mode, version)
+    weighted = against_rest(weighted.withColumn("label_id", ids[F.col("label")]), len(labels))
+    return Bundle(model_pipeline(names, model, len(labels)).fit(weighted), labels, list(names), mode, version)
 
 
 def save_bundle(spark: SparkSession, bundle: Bundle, path: str) -> None:
@@ -55,12 +56,11 @@ def load_bundle(spark: SparkSession, path: str, version: str | None = None) -> B
 
 def batch_score(rows: DataFrame, bundle: Bundle, least: float = 0.5) -> DataFrame:
     """Adds label, confidence, entropy, entropy_norm, is_anomaly (confidence under ``least``) and probs (label to probability)."""
-    from pyspark.ml.functions import vector_to_array
-
     if missing := set(bundle.names) - set(rows.columns):
         raise ValueError(f"no column {', '.join(sorted(missing))}")
     own = [c for c in rows.columns if c not in ("label", "weight", "label_id")]
-    got = bundle.model.transform(rows.select(*own)).select(*own, vector_to_array("probability").alias("__p"))
+    got = bundle.model.transform(rows.select(*own))
+    got = got.select(*own, class_probabilities(got, len(bundle.labels)).alias("__p"))
     names = F.array(*(F.lit(x) for x in bundle.labels))
     top = F.array_max("__p")
     return got.select(

@@ -68,3 +68,5 @@ for _model, _end in (("tree", ""), ("logistic", "_logistic"), ("forest", "_fores
     _add(f"ml5_lovo_predict{_end}", lambda s, d, m=_model: learning.grouped_predictions(_clips(s, d), _METRICS, "video", m).select("clip", "video", *_OUT))
     _add(f"ml4_kfold_predict{_end}", lambda s, d, m=_model: _folds(s, d, m).select("clip", "fold", *_OUT))
 _add("ml4_kfold_report", lambda s, d: scores.classification_scores(_folds(s, d, "tree")))
+for _model in ("gbt", "mlp", "knn"):
+    _add(f"ml2_kfold_{_model}", lambda s, d, m=_model: rounded(_folds(s, d, m).select("clip", "fold", *_OUT, F.array_max("probs").alias("confidence"))))

@@ -21,10 +21,13 @@ _CHANNELS = {m: (m,) for m in _METRICS}
 
 
 def _score(s, d):
-    """A model fitted on all clips, saved, loaded and applied to the same clips."""
-    clips, path = _clips(s, d), f"{shared_folder(s)}/bundle-{uuid.uuid4().hex}"
-    models.save_bundle(s, models.fit_bundle(clips, _METRICS, "tree"), path)
-    return models.batch_score(clips, models.load_bundle(s, path, "1")).select("clip", "label", "confidence", "entropy", "entropy_norm", "is_anomaly")
+    """Matches in two halves: a model of each is saved, loaded and applied to the clips of the other one."""
+    clips, parts = _clips(s, d).withColumn("half", F.col("match_id") % 2), []
+    for half in (0, 1):
+        path = f"{shared_folder(s)}/bundle-{uuid.uuid4().hex}"
+        models.save_bundle(s, models.fit_bundle(clips.where(F.col("half") != half), _METRICS, "tree"), path)
+        parts.append(models.batch_score(clips.where(F.col("half") == half), models.load_bundle(s, path, "1")))
+    return parts[0].unionByName(parts[1]).select("clip", "label", "confidence", "entropy", "entropy_norm", "is_anomaly")
 
 
 QUERIES["ml7_permutation_importance"] = lambda s, d: rounded(models.channel_importance(_clips(s, d), _CHANNELS, "video"))
