@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import NET_Y, TACTICS
+from .stored import stored
 
 
 def team_votes(rows: DataFrame, decay: float = 0.98, least: float = 0.0, ratio: float = 1.0, forget: bool = True) -> DataFrame:
@@ -79,6 +80,7 @@ def tactical_deviation(metrics: DataFrame, columns: Sequence[str], label: str =
     (one row of means and covariances of len(columns) columns) reach the driver. With fewer than
     ``least`` reference clips the deviation is null.
     """
+    metrics = stored(metrics, "metrics")  # read for medians, scales, covariances and the result
     ref = F.col(label).isin(*TACTICS[:2])
     medians = metrics.agg(*(F.percentile(c, F.lit(0.5)).alias(c) for c in columns)).first()
     filled = metrics.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(medians[c]) if medians[c] is not None else 0.0)) for c in columns})

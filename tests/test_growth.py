@@ -1,8 +1,9 @@
-"""What larger tables showed: many small files."""
+"""What larger tables showed: many small files, frames in which nobody moves."""
 
 import os
 
 
+from courtline.operators import frames
 from courtline.plans import files as plans
 from courtline.sources import files
 
@@ -30,3 +31,11 @@ def test_queries_pack_their_files(spark, sf_dir):
         plans.QUERIES[name](spark, sf_dir)
         (new,) = (x for x in set(os.listdir(top)) - before)
         assert not [x for x in os.listdir(f"{top}/{new}") if "=" in x], name
+
+
+def test_nobody_moves(spark):
+    rows = [(1, 0, t, k, 300.0 * k, 500.0, 900.0, 300.0) for t in (1, 2, 3) for k in range(1, 4)] + [(1, 1, 30, k, None, None, None, None) for k in range(1, 7)]
+    p = spark.createDataFrame(rows, "match_id long, sequence long, frame_id long, slot int, x double, y double, ball_x double, ball_y double")
+    assert [r.sync_score for r in frames.sync_score(frames.kinematics(frames.slot_velocity(p))).collect()] == [0.0, 0.0]
+    got = {r.sequence: (r.n_frames, r.sync_score, r.mean_spacing_cm) for r in frames.window_metrics(frames.frame_channels(p)).collect()}
+    assert got == {0: (3, 0.0, 300.0), 1: (1, 0.0, 0.0)}
