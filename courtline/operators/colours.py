@@ -10,13 +10,14 @@ from collections.abc import Sequence
 from math import pi
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import NET_Y
 from ..functions.geometry import geometric_team
+from .identity import run_starts, whole_runs
 from .teams import team_votes
 
 #: The torso's share of a box, clusters, warm-up frames and samples, samples a clip needs.
@@ -70,27 +71,80 @@ def cluster(x: np.ndarray, k: int, rounds: int = 40) -> tuple[np.ndarray, np.nda
     return centres, labels
 
 
+def clusters_of(group: np.ndarray, x: np.ndarray, k: int, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
+    """``cluster`` of many groups at once: centres (groups, k, columns), infinite where a group has fewer, and labels.
+
+    group: each row's, ascending from 0 without gaps. Sums run in the order of rows, so each group's result is that of ``cluster``.
+    """
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    n, place = len(starts), np.arange(len(x))
+    centres = np.full((n, k, x.shape[1]), np.inf)
+    centres[:, 0] = x[starts]
+    least, growing = ((x - centres[group, 0]) ** 2).sum(-1), np.ones(n, bool)
+    for j in range(1, k):
+        far = np.maximum.reduceat(least, starts)
+        growing &= far > 0  # not so for NaN either
+        first = np.minimum.reduceat(np.where(least == far[group], place, len(x)), starts)
+        centres[growing, j] = x[first[growing]]
+        least = np.where(growing[group], np.minimum(least, ((x - centres[group, j]) ** 2).sum(-1)), least)
+    labels, rows = np.full(len(x), -1), place
+    for _ in range(rounds):
+        own = group[rows]
+        now = ((x[rows, None] - centres[own]) ** 2).sum(-1).argmin(1)
+        moving = np.bincount(own, now != labels[rows], n) > 0
+        if not moving.any():
+            break
+        labels[rows] = now
+        rows, now = rows[moving[own]], now[moving[own]]
+        at = group[rows] * k + now
+        size = np.bincount(at, minlength=n * k)
+        used = np.flatnonzero(size)
+        for a in range(x.shape[1]):
+            centres.reshape(n * k, -1)[used, a] = np.bincount(at, x[rows, a], n * k)[used] / size[used]
+    return centres, labels
+
+
+def _medians(group: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """Median of each group's values; NaN with a NaN and without rows."""
+    v = v[np.lexsort((v, group))]
+    size = np.bincount(group, minlength=n)
+    start = np.cumsum(size) - size
+    low, high = (np.minimum(start + np.maximum(size - 1, 0) // 2, len(v) - 1), np.minimum(start + size // 2, len(v) - 1))
+    bad = (size == 0) | np.isnan(v[np.clip(start + size - 1, 0, len(v) - 1)])
+    return np.where(bad, np.nan, (v[low] + v[high]) / 2)
+
+
+def _fitted(table: pa.Table, n_keys: int, least: int, clusters: int) -> pa.Table:
+    """Whole groups, sorted by keys, frame and detection, to their clusters."""
+    keys = [table.column(c).combine_chunks() for c in range(n_keys)]
+    starts = run_starts(table, n_keys)
+    group, at = np.cumsum(starts) - 1, np.flatnonzero(starts)
+    keep = np.bincount(group)[group] >= least
+    names = [*table.column_names[:n_keys], "cluster", "cx", "cy", "cv", "n", "median_y"]
+    if not keep.any():
+        return pa.table([*(c.slice(0, 0) for c in keys), pa.array([], pa.int32()), *([pa.array([], pa.float64())] * 3), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
+    known, group = np.unique(group[keep], return_inverse=True)
+    y, *colour = (table.column(c).to_numpy(zero_copy_only=False).astype(float)[keep] for c in ("y", "cx", "cy", "cv"))
+    centres, labels = clusters_of(group, np.stack(colour, axis=1), clusters)
+    cell, n = group * clusters + labels, len(known) * clusters
+    size = np.bincount(cell, minlength=n)
+    used = np.flatnonzero(size)
+    of, flat = pa.array(at[known][used // clusters]), centres.reshape(n, -1)[used]
+    return pa.table([*(c.take(of) for c in keys), pa.array((used % clusters).astype(np.int32)), *(pa.array(flat[:, a]) for a in range(3)), pa.array(size[used].astype(np.int64)), pa.array(_medians(cell, y, n)[used])], names=names)
+
+
 def fit_teams(samples: DataFrame, keys: Sequence[str] = ("video_id",), least: int = 1, clusters: int = CLUSTERS, net_y: float = NET_Y) -> DataFrame:
     """Clusters of each key's colours: keys, cluster, cx, cy, cv, n, median_y, team, degenerate.
 
     A cluster is NEAR if its median foot is at the net or before it, else FAR; a fit with one team only is
     degenerate. samples: a warm-up or a clip, so a group is a few hundred rows; keys with fewer than
-    ``least`` have no clusters.
+    ``least`` have no clusters. Groups are sorted inside their partitions and fitted many at once, batch by batch.
     """
     kinds = dict(samples.dtypes)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame", "det_id"])
-        names = [*keys, "cluster", "cx", "cy", "cv", "n", "median_y"]
-        if len(pdf) < least:
-            return pd.DataFrame(columns=names)
-        centres, labels = cluster(pdf[["cx", "cy", "cv"]].to_numpy(float), clusters)
-        rows = [(*(pdf[c].iloc[0] for c in keys), j, *centres[j], int((labels == j).sum()), float(np.median(pdf["y"].to_numpy()[labels == j]))) for j in np.unique(labels).tolist()]
-        return pd.DataFrame(rows, columns=names)
-
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in keys), "cluster int, cx double, cy double, cv double, n long, median_y double"])
-    own = list(dict.fromkeys([*keys, "frame", "det_id", "y", "cx", "cy", "cv"]))
-    out = samples.where("y is not null").select(*own).groupBy(*keys).applyInPandas(fit, schema)
+    own = [*keys, *(c for c in ("frame", "det_id", "y", "cx", "cy", "cv") if c not in keys)]
+    rows = samples.where("y is not null").select(*own).repartition(*keys).sortWithinPartitions(*keys, "frame", "det_id")
+    out = rows.mapInArrow(whole_runs(len(keys), lambda table: _fitted(table, len(keys), least, clusters)), schema)
     out = out.withColumn("team", F.when(F.col("median_y") >= net_y, "NEAR").otherwise("FAR"))
     return out.withColumn("degenerate", F.min("team").over(W.partitionBy(*keys)) == F.max("team").over(W.partitionBy(*keys)))
 

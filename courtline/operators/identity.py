@@ -8,7 +8,7 @@ Ties are broken by slot and id, so no result depends on how rows are dealt.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import permutations
 
 import numpy as np
@@ -54,8 +54,8 @@ def link_clips(grid: np.ndarray, gate: float) -> np.ndarray:
     return out
 
 
-def _clip_starts(table: pa.Table, n_keys: int) -> np.ndarray:
-    """Is a row the first of its clip?"""
+def run_starts(table: pa.Table, n_keys: int) -> np.ndarray:
+    """Is a row the first of those with its keys (the first ``n_keys`` columns)?"""
     out = np.zeros(table.num_rows, bool)
     out[:1] = True
     for c in range(n_keys):
@@ -64,12 +64,31 @@ def _clip_starts(table: pa.Table, n_keys: int) -> np.ndarray:
     return out
 
 
+def whole_runs(n_keys: int, of: Callable[[pa.Table], pa.Table]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``of`` over tables of whole runs of equal keys, for mapInArrow on sorted rows; one batch and the run that it cuts are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
+            if not table.num_rows:
+                continue
+            cut = int(np.flatnonzero(run_starts(table, n_keys))[-1])
+            if cut:
+                yield from of(table.slice(0, cut)).combine_chunks().to_batches()
+            held = table.slice(cut)
+        if held is not None and held.num_rows:
+            yield from of(held).combine_chunks().to_batches()
+
+    return run
+
+
 def _linked(table: pa.Table, n_keys: int, gate: float) -> pa.Table:
     """Whole clips, sorted by clip, frame and slot, to all their slots."""
     keys = [table.column(c).combine_chunks() for c in range(n_keys)]
     frame, slot = (table.column(n_keys + c).to_numpy() for c in (0, 1))
     xy = np.stack([table.column(n_keys + c).to_numpy(zero_copy_only=False).astype(float) for c in (2, 3)], axis=1)
-    clip_starts = _clip_starts(table, n_keys)
+    clip_starts = run_starts(table, n_keys)
     frame_starts = clip_starts | np.r_[True, frame[1:] != frame[:-1]]
     clip, at = np.cumsum(clip_starts) - 1, np.flatnonzero(frame_starts)
     t = np.cumsum(frame_starts) - 1
@@ -96,21 +115,8 @@ def recover_identity(positions: DataFrame, gate: float = 250.0, keys: tuple[str,
     names = [*keys, "frame_id", "slot", "x", "y"]
     rows = positions.select(*keys, "frame_id", F.col("slot").cast("int").alias("slot"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
-            if not table.num_rows:
-                continue
-            cut = int(np.flatnonzero(_clip_starts(table, len(keys)))[-1])
-            if cut:
-                yield from _linked(table.slice(0, cut), len(keys), gate).combine_chunks().to_batches()
-            held = table.slice(cut)
-        if held is not None and held.num_rows:
-            yield from _linked(held, len(keys), gate).combine_chunks().to_batches()
-
     schema = ", ".join(f"{n} {k}" for n, k in zip(names, [*(kinds[k] for k in keys), kinds["frame_id"], "int", "double", "double"], strict=True))
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "frame_id", "slot").mapInArrow(run, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "frame_id", "slot").mapInArrow(whole_runs(len(keys), lambda table: _linked(table, len(keys), gate)), schema)
 
 
 def stretch_slots(frame: np.ndarray, track: np.ndarray, x: np.ndarray, y: np.ndarray, max_gap: int = 15, per_frame: float = 60.0, cap: float = 250.0, n_slots: int = N_SLOTS) -> np.ndarray:

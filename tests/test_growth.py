@@ -2,8 +2,10 @@
 
 import os
 
+import numpy as np
+import pytest
 
-from courtline.operators import frames
+from courtline.operators import colours, frames
 from courtline.plans import files as plans
 from courtline.sources import files
 
@@ -39,3 +41,31 @@ def test_nobody_moves(spark):
     assert [r.sync_score for r in frames.sync_score(frames.kinematics(frames.slot_velocity(p))).collect()] == [0.0, 0.0]
     got = {r.sequence: (r.n_frames, r.sync_score, r.mean_spacing_cm) for r in frames.window_metrics(frames.frame_channels(p)).collect()}
     assert got == {0: (3, 0.0, 300.0), 1: (1, 0.0, 0.0)}
+
+
+@pytest.mark.parametrize("k", [1, 2, 4])
+def test_clusters_of_many_groups(k):
+    rng = np.random.default_rng(k)
+    sizes = [1, 2, 3, 170, 5, 1, 60, 12, 90]
+    parts = [rng.integers(0, 4, (n, 3)) / 7 if m % 2 else rng.random((n, 3)) for m, n in enumerate(sizes)] + [np.full((9, 3), 0.1), np.array([[np.nan, 1, 1], [0, 1, 1.0]])]
+    group = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    centres, labels = colours.clusters_of(group, np.concatenate(parts), k)
+    for g, p in enumerate(parts):
+        want, own = colours.cluster(p, k)
+        assert (labels[group == g] == own).all()
+        assert np.array_equal(centres[g, : len(want)], want, equal_nan=True) and np.isinf(centres[g, len(want) :]).all()
+
+
+def test_teams_of_many_clips(spark):
+    rng = np.random.default_rng(3)
+    rows = [(v, c, f, d, float(rng.integers(0, 900)) if rng.random() < 0.95 else None, *(float(x) for x in rng.random(3).round(2))) for v in (1, 2) for c in range(40) for f in range(1 + c % 7) for d in range(4)]
+    df = spark.createDataFrame(rows, "video_id long, clip long, frame long, det_id int, y double, cx double, cy double, cv double").repartition(5)
+    got = {(r.video_id, r.clip, r.cluster): (r.cx, r.cy, r.cv, r.n, r.median_y) for r in colours.fit_teams(df, ("video_id", "clip"), 12).collect()}
+    want = {}
+    for key in {r[:2] for r in rows}:
+        own = sorted(r for r in rows if r[:2] == key and r[4] is not None)
+        if len(own) >= 12:
+            centres, labels = colours.cluster(np.array([r[5:] for r in own]), 4)
+            y = np.array([r[4] for r in own])
+            want |= {(*key, int(j)): (*centres[j].tolist(), int((labels == j).sum()), float(np.median(y[labels == j]))) for j in np.unique(labels)}
+    assert got == want and len(got) > 100
