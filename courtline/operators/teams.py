@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from math import log
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,27 +15,52 @@ from ..constants import NET_Y, TACTICS
 from .stored import stored
 
 
-def team_votes(rows: DataFrame, decay: float = 0.98, least: float = 0.0, ratio: float = 1.0, forget: bool = True) -> DataFrame:
+def _same(left: Sequence[str], right: Sequence[str]) -> Column:
+    """Equal keys; null is equal to null."""
+    return reduce(lambda x, y: x & y, (F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right, strict=True)))
+
+
+def _with_runs(rows: DataFrame, forget: bool, chunk: int) -> DataFrame:
+    """Adds __start, the first frame of the track's run. A track is cut into chunks of frames; a row for each chunk tells the next ones how it ended."""
+    keys = ["video_id", "track_id", "__chunk"]
+    rows = rows.withColumn("__chunk", F.floor(F.col("frame") / chunk).cast("long"))
+    inside = W.partitionBy(*keys).orderBy("frame")
+    gap = F.col("frame") - F.lag("frame").over(inside)
+    rows = rows.withColumn("__begun", F.when(F.lit(forget) & (gap > 1), F.col("frame")))
+    ends = rows.groupBy(*keys).agg(F.min("frame").alias("__first"), F.max("frame").alias("__last"), F.max("__begun").alias("__own"))
+    order = W.partitionBy("video_id", "track_id").orderBy("__chunk")
+    away = F.col("__first") - F.lag("__last").over(order)
+    ends = ends.withColumn("__anew", F.when(away.isNull() | (F.lit(forget) & (away > 1)), F.col("__first")))
+    carried = F.coalesce("__anew", F.last(F.coalesce("__own", "__anew"), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)))
+    ends = ends.select(*(F.col(k).alias(f"{k}_of") for k in keys), carried.alias("__carried"))
+    start = F.coalesce(F.last("__begun", ignorenulls=True).over(inside), F.col("__carried"))
+    return rows.join(ends, _same(keys, [f"{k}_of" for k in keys]), "left").withColumn("__start", start).drop("__chunk", "__begun", "__carried", *(f"{k}_of" for k in keys))
+
+
+def team_votes(rows: DataFrame, decay: float = 0.98, least: float = 0.0, ratio: float = 1.0, forget: bool = True, chunk: int = 4096) -> DataFrame:
     """Adds near, far (decayed votes) and voted to rows (video_id, frame, track_id, team NEAR, FAR or UNKNOWN).
 
     A track that misses a frame begins anew unless ``forget`` is off; votes fade by ``decay`` a
     frame. Sums are taken relative to blocks of frames in which votes fade to a billionth, and of
-    the blocks before two are added (older votes are below a double's precision).
+    the blocks before two are added (older votes are below a double's precision). No window holds
+    more of a track than ``chunk`` frames or a block.
     """
-    track = W.partitionBy("video_id", "track_id").orderBy("frame")
-    gap = F.col("frame") - F.lag("frame").over(track)
-    rows = rows.withColumn("__new", F.when(gap.isNull() | (F.lit(forget) & (gap > 1)), 1).otherwise(0)).withColumn("__run", F.sum("__new").over(track))
-    run = W.partitionBy("video_id", "track_id", "__run")
+    rows = _with_runs(stored(rows, "votes"), forget, chunk)
     size = int(log(1e9) / -log(decay)) if decay < 1 else 1 << 40
-    k = F.col("frame") - F.first("frame").over(run.orderBy("frame"))
+    k = F.col("frame") - F.col("__start")
     rows = rows.withColumn("__k", F.pmod(k, F.lit(size))).withColumn("__block", F.floor(k / size).cast("long"))
-    own = W.partitionBy("video_id", "track_id", "__run", "__block").orderBy("frame").rowsBetween(W.unboundedPreceding, 0)
+    block = ["video_id", "track_id", "__start", "__block"]
+    own = W.partitionBy(*block).orderBy("frame").rowsBetween(W.unboundedPreceding, 0)
     for team in ("NEAR", "FAR"):
-        weight = F.sum(F.when(F.col("team") == team, F.pow(F.lit(decay), -F.col("__k"))).otherwise(0.0))
-        before = (F.coalesce(weight.over(run.orderBy("__block").rangeBetween(-i, -i)), F.lit(0.0)) * decay ** (i * size) for i in (1, 2))
-        rows = rows.withColumn(team.lower(), sum(before, weight.over(own)) * F.pow(F.lit(decay), F.col("__k")))
+        rows = rows.withColumn(team.lower(), F.sum(F.when(F.col("team") == team, F.pow(F.lit(decay), -F.col("__k"))).otherwise(0.0)).over(own))
+    totals = rows.groupBy(*block).agg(*(F.max(c).alias(c) for c in ("near", "far")))  # sums of what isn't negative end at their largest
+    run = W.partitionBy(*block[:-1]).orderBy("__block")
+    before = lambda c: sum(F.coalesce(F.max(c).over(run.rangeBetween(-i, -i)), F.lit(0.0)) * decay ** (i * size) for i in (1, 2))
+    totals = totals.select(*(F.col(c).alias(f"{c}_of") for c in block), *(before(c).alias(f"__{c}") for c in ("near", "far"))).where("__near > 0 or __far > 0")
+    rows = rows.join(totals, _same(block, [f"{c}_of" for c in block]), "left")
+    rows = rows.withColumns({c: (F.coalesce(f"__{c}", F.lit(0.0)) + F.col(c)) * F.pow(F.lit(decay), F.col("__k")) for c in ("near", "far")})
     voted = F.when(F.greatest("near", "far") < least, "UNKNOWN").when(F.col("near") > F.col("far") * ratio, "NEAR").when(F.col("far") > F.col("near") * ratio, "FAR").otherwise("UNKNOWN")
-    return rows.withColumn("voted", voted).drop("__new", "__run", "__k", "__block")
+    return rows.withColumn("voted", voted).drop("__start", "__k", "__near", "__far", *(f"{c}_of" for c in block), "__block")
 
 
 def team_vote_filter(voted: DataFrame, want: str = "NEAR", margin: float = 0.0, most: int = 6) -> DataFrame:

@@ -5,7 +5,7 @@ import os
 import numpy as np
 import pytest
 
-from courtline.operators import colours, frames
+from courtline.operators import colours, frames, teams
 from courtline.plans import files as plans
 from courtline.sources import files
 
@@ -69,3 +69,18 @@ def test_teams_of_many_clips(spark):
             y = np.array([r[4] for r in own])
             want |= {(*key, int(j)): (*centres[j].tolist(), int((labels == j).sum()), float(np.median(y[labels == j]))) for j in np.unique(labels)}
     assert got == want and len(got) > 100
+
+
+@pytest.mark.parametrize(("chunk", "forget"), [(5, True), (64, True), (7, False)])
+def test_votes_in_chunks(spark, chunk, forget):
+    rng = np.random.default_rng(chunk)
+    rows = [(v, f, f"t{k}" if k else None, d, str(rng.choice(["NEAR", "FAR", "UNKNOWN"]))) for v in (1, 2) for k in range(3) for f in range(90) for d in range(1) if rng.random() < (0.9, 0.97, 0.5)[k]]
+    df = spark.createDataFrame(rows, "video_id long, frame long, track_id string, det_id int, team string").repartition(3)
+    want, last = {}, {}
+    for v, f, t, _, team in sorted(rows, key=lambda r: (r[0], str(r[2]), r[1])):
+        near, far, at = last.get((v, t), (0.0, 0.0, f))
+        fade = 0.0 if forget and f - at > 1 else 0.3 ** (f - at)
+        last[v, t] = near, far, at = near * fade + (team == "NEAR"), far * fade + (team == "FAR"), f
+        want[v, t, f] = near, far
+    got = {(r.video_id, r.track_id, r.frame): (r.near, r.far) for r in teams.team_votes(df, 0.3, forget=forget, chunk=chunk).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=1e-6) for k in want)
