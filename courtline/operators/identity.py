@@ -12,7 +12,6 @@ from collections.abc import Callable, Iterator
 from itertools import permutations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -24,6 +23,8 @@ from . import scan
 
 _ORDERS = np.array(list(permutations(range(N_SLOTS))))
 _FAR, _CLIPS = 1e7, 256
+#: Slot from 0, and its track's id, last frame and place then.
+Held = tuple[int, int, int, float, float]
 
 
 def least_links(cost: np.ndarray) -> np.ndarray:
@@ -119,12 +120,13 @@ def recover_identity(positions: DataFrame, gate: float = 250.0, keys: tuple[str,
     return rows.repartition(*keys).sortWithinPartitions(*keys, "frame_id", "slot").mapInArrow(whole_runs(len(keys), lambda table: _linked(table, len(keys), gate)), schema)
 
 
-def stretch_slots(frame: np.ndarray, track: np.ndarray, x: np.ndarray, y: np.ndarray, max_gap: int = 15, per_frame: float = 60.0, cap: float = 250.0, n_slots: int = N_SLOTS) -> np.ndarray:
+def stretch_slots(frame: np.ndarray, track: np.ndarray, x: np.ndarray, y: np.ndarray, max_gap: int = 15, per_frame: float = 60.0, cap: float = 250.0, n_slots: int = N_SLOTS, held: list[Held] | None = None) -> np.ndarray:
     """Slot of each row (1..n_slots, 0: none); a track's row per frame at most, rows without a finite place count as unseen.
 
     A track that is back within ``max_gap`` unseen frames has its slot again. Other tracks first take
     over slots whose own was unseen for that long at most, the nearest pair first, up to ``per_frame``
     a frame and ``cap`` in all; then, by id, the lowest slot that nobody holds; else they wait.
+    held: who held which slot when the frames before these ended, brought up to date.
     """
     out = np.zeros(len(frame), np.int32)
     rows = np.flatnonzero(np.isfinite(x) & np.isfinite(y))
@@ -137,6 +139,12 @@ def stretch_slots(frame: np.ndarray, track: np.ndarray, x: np.ndarray, y: np.nda
     start, end, name = f[first].tolist(), f[last].tolist(), k[first].tolist()
     coming = np.lexsort((k[first], f[first])).tolist()[::-1]
     holder, waiting, now = [-1] * n_slots, [], 0
+    for slot, name_, end_, x_, y_ in held or ():  # stretches that are over, behind all others
+        holder[slot] = len(name)
+        name.append(name_)
+        end.append(end_)
+        last, rows = np.append(last, len(rows)), np.append(rows, len(x))
+        x, y = np.append(x, x_), np.append(y, y_)
     while coming or waiting:
         now = now + 1 if waiting and not (coming and start[coming[-1]] <= now) else start[coming[-1]]
         fresh = [s for s in waiting if end[s] >= now]
@@ -170,25 +178,43 @@ def stretch_slots(frame: np.ndarray, track: np.ndarray, x: np.ndarray, y: np.nda
         for slot, s in taken.items():
             holder[slot] = s
             out[rows[first[s] + now - start[s] : last[s] + 1]] = slot + 1
+    if held is not None:
+        held[:] = [(slot, name[h], end[h], float(x[rows[last[h]]]), float(y[rows[last[h]]])) for slot, h in enumerate(holder) if h >= 0]
     return out
 
 
 def manage_slots(tracks: DataFrame, max_gap: int = 15) -> DataFrame:
     """Adds slot (1..6) to tracks (video_id, frame, track_id, x, y); a seventh player has none and is left out.
 
-    A video is cut where nobody was seen for so long that no slot is held, so a task has one such part.
+    A video is cut where nobody was seen for so long that no slot is held. Such parts are sorted and read batch by
+    batch: a task holds one batch and who had the slots before it, however long a part is.
     """
+    kinds = dict(tracks.dtypes)
     rows = tracks.select("video_id", F.col("frame").cast("long").alias("frame"), F.col("track_id").cast("long").alias("track_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     w = W.partitionBy("video_id").orderBy("frame")
     cut = F.coalesce(F.col("frame") - F.lag("frame").over(w) > max_gap + 1, F.lit(False))
-    rows = rows.withColumn("__cut", cut.cast("int")).withColumn("__part", F.sum("__cut").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__cut")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        slot = stretch_slots(*(pdf[c].to_numpy() for c in ("frame", "track_id", "x", "y")), max_gap=max_gap)
-        return pdf.drop(columns="__part").assign(slot=slot)[slot > 0]
+    rows = rows.withColumn("__cut", cut.cast("int")).withColumn("__part", F.sum("__cut").over(w.rowsBetween(W.unboundedPreceding, 0)))
 
-    kinds = dict(tracks.dtypes)
-    out = rows.groupBy("video_id", "__part").applyInPandas(fold, f"video_id {kinds['video_id']}, frame long, track_id long, x double, y double, slot int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list[Held]] = {}
+
+        def slotted(table: pa.Table) -> pa.Table:
+            at = [*np.flatnonzero(run_starts(table, 2)).tolist(), table.num_rows]
+            slots = []
+            for lo, hi in zip(at[:-1], at[1:], strict=True):
+                part = table.slice(lo, hi - lo)
+                key = (part.column(0)[0].as_py(), part.column(1)[0].as_py())
+                own = held.get(key, [])
+                held.clear()  # parts come one after the other
+                held[key] = own
+                slots.append(stretch_slots(*(part.column(c).to_numpy(zero_copy_only=False) for c in ("frame", "track_id", "x", "y")), max_gap=max_gap, held=own))
+            slot = np.concatenate(slots)
+            return table.drop_columns(["__part"]).append_column("slot", pa.array(slot)).filter(pa.array(slot > 0)).select(["video_id", "frame", "track_id", "x", "y", "slot"])
+
+        yield from whole_runs(3, slotted)(batches)
+
+    rows = rows.select("video_id", "__part", "frame", "track_id", "x", "y").repartition("video_id", "__part").sortWithinPartitions("video_id", "__part", "frame", "track_id")
+    out = rows.mapInArrow(run, f"video_id {kinds['video_id']}, frame long, track_id long, x double, y double, slot int")
     return out.withColumn("frame", F.col("frame").cast(kinds["frame"]))
 
 

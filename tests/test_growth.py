@@ -5,7 +5,7 @@ import os
 import numpy as np
 import pytest
 
-from courtline.operators import colours, frames, teams
+from courtline.operators import colours, frames, identity, teams
 from courtline.plans import files as plans
 from courtline.sources import files
 
@@ -84,3 +84,15 @@ def test_votes_in_chunks(spark, chunk, forget):
         want[v, t, f] = near, far
     got = {(r.video_id, r.track_id, r.frame): (r.near, r.far) for r in teams.team_votes(df, 0.3, forget=forget, chunk=chunk).collect()}
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=1e-6) for k in want)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_slots_frame_by_frame_of_pieces(seed):
+    rng = np.random.default_rng(seed)
+    rows = sorted((f, k, float(rng.integers(0, 500)), float(rng.integers(0, 200)) if rng.random() < 0.95 else np.nan) for k in range(9) for f in range(300) if (f // (7 + k)) % 3 != k % 2)
+    frame, track, x, y = (np.array(c) for c in zip(*rows, strict=True))
+    whole, held, parts = identity.stretch_slots(frame, track, x, y), [], []
+    for lo, hi in zip([0, 3, 4, 60, 61, 200], [3, 4, 60, 61, 200, 300], strict=True):
+        at = (frame >= lo) & (frame < hi)
+        parts.append(identity.stretch_slots(frame[at], track[at], x[at], y[at], held=held))
+    assert (np.concatenate(parts) == whole).all() and set(whole.tolist()) == set(range(7))
