@@ -6,8 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import fixtures as X
-from ..operators import measures, pose, rules, scores
-from .base import CLIP_FRAME, POS, Query, R, descriptors, moves, positions, rounded
+from ..operators import clean, frames, measures, pose, rules, scores
+from ..operators.stored import stored
+from .base import CLIP_FRAME, POS, Query, R, moves, positions, rounded
 from .scoring import SQL, predictions
 
 QUERIES: dict[str, Query] = {}
@@ -60,7 +61,9 @@ _add("win15_onset_flag", _onsets, f"WITH {POS}, v AS (SELECT *, coalesce(sqrt((x
 
 
 def _checks(s, d):
-    return measures.checks([("descriptor without nulls", descriptors(s, d), "hull_area is not null and n_present between 0 and 6"), ("speeds are not negative", moves(s, d), "speed is null or speed >= 0"), ("every clip is labelled", rules.label_clips(X.raw_positions(s, d)), "label is not null"), ("accuracy is a share", scores.classification_scores(predictions(s, d)), "accuracy between 0 and 1")])
+    raw = stored(X.raw_positions(s, d), "raw")  # read by three checks
+    at = clean.clean_positions(raw)
+    return measures.checks([("descriptor without nulls", frames.team_descriptor(clean.with_players(at)), "hull_area is not null and n_present between 0 and 6"), ("speeds are not negative", frames.slot_velocity(at), "speed is null or speed >= 0"), ("every clip is labelled", rules.label_clips(raw), "label is not null"), ("accuracy is a share", scores.classification_scores(predictions(s, d)), "accuracy between 0 and 1")])
 
 
 _add("ana18_expectation_checks", _checks)
