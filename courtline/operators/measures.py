@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..constants import COURT_W, FPS, STEP_CAP
 from ..functions import geometry as G
 from . import clean, frames, identity
+from .stored import stored
 
 CLIP = ("match_id", "sequence")
 
@@ -23,27 +24,27 @@ def reaction_lag(positions: DataFrame, keys: tuple[str, ...] = CLIP) -> DataFram
     Null without a ball, with fewer than three ball frames, without a turn, with no ball or player
     at the turn, or if that player never moves between two frames.
     """
-    k = list(keys)
-    wb = W.partitionBy(*keys).orderBy("frame_id")
-    ball = positions.groupBy(*keys, "frame_id").agg(F.max("ball_x").alias("bx"), F.max("ball_y").alias("by")).withColumn("i", F.row_number().over(wb) - 1)
-    ball = ball.withColumn("dy", F.col("by") - F.lag("by").over(wb)).withColumn("before", F.lag("dy").over(wb))
-    turn = ball.groupBy(*keys).agg(F.count("by").alias("n"), F.min(F.when(F.col("before") * F.col("dy") <= 0, F.col("i") - 1)).alias("impact"))
-    at = ball.join(turn.where("n >= 3 and impact is not null"), k).where("i = impact and bx is not null").select(*keys, "frame_id", "impact", "bx", "by")
-    d = G.distance(F.col("x"), F.col("y"), F.col("bx"), F.col("by"))
-    near = positions.join(at, [*k, "frame_id"]).withColumn("d", d).where("d is not null").groupBy(*keys, "impact").agg(F.min_by("slot", F.struct("d", "slot")).alias("slot"))
-    w = W.partitionBy(*keys, "slot").orderBy("frame_id")
+    w, slot, clip = W.partitionBy(*keys, "slot").orderBy("frame_id"), W.partitionBy(*keys, "slot"), W.partitionBy(*keys)
     step = G.distance(F.col("x"), F.col("y"), F.lag("x").over(w), F.lag("y").over(w))
-    steps = positions.withColumn("i", F.row_number().over(w) - 2).withColumn("step", step).where("step is not null")
-    peak = steps.groupBy(*keys, "slot").agg(F.min_by("i", F.struct(-F.col("step"), "i")).alias("peak"))
-    lag = near.join(peak, [*k, "slot"]).select(*keys, (F.col("peak") - F.col("impact")).cast("double").alias("reaction_lag_frames"))
-    return positions.select(*keys).distinct().join(lag, k, "left")
+    rows = positions.select(*keys, "frame_id", "slot", "x", "y", "ball_x", "ball_y").repartition(*keys)  # dealt by clip once
+    rows = rows.withColumn("k", F.row_number().over(w)).withColumn("step", step)
+    rows = rows.withColumn("peak", F.min_by(F.col("k") - 2, F.when(F.col("step").isNotNull(), F.struct(-F.col("step"), "k"))).over(slot))
+    player = F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.struct("slot", "x", "y", "peak"))
+    ball = rows.groupBy(*keys, "frame_id").agg(F.max("ball_x").alias("bx"), F.max("ball_y").alias("by"), F.collect_list(player).alias("players"))
+    t = clip.orderBy("frame_id")
+    ball = ball.withColumn("i", F.row_number().over(t) - 1).withColumn("dy", F.col("by") - F.lag("by").over(t)).withColumn("before", F.lag("dy").over(t))
+    ball = ball.withColumn("n", F.count("by").over(clip)).withColumn("impact", F.min(F.when(F.col("before") * F.col("dy") <= 0, F.col("i") - 1)).over(clip))
+    near = F.array_min(F.transform("players", lambda p: F.struct(G.distance(p["x"], p["y"], F.col("bx"), F.col("by")).alias("d"), p["slot"].alias("slot"), p["peak"].alias("peak"))))
+    there = (F.col("i") == F.col("impact")) & (F.col("n") >= 3) & F.col("bx").isNotNull() & F.col("by").isNotNull()
+    return ball.groupBy(*keys).agg(F.max(F.when(there, near["peak"] - F.col("impact"))).cast("double").alias("reaction_lag_frames"))
 
 
 def clip_metrics(positions: DataFrame, keys: tuple[str, ...] = CLIP, gate: float = 120.0) -> DataFrame:
     """Ten measures of each clip on identity-repaired positions; gaps are not filled."""
     k = list(keys)
+    positions = stored(positions, "positions")
     ball = positions.groupBy(*keys, "frame_id").agg(F.max("ball_x").alias("ball_x"), F.max("ball_y").alias("ball_y"))
-    rows = identity.recover_identity(positions, gate, keys).join(ball, [*k, "frame_id"])
+    rows = stored(identity.recover_identity(positions, gate, keys).join(ball, [*k, "frame_id"]), "linked")  # read by every measure
     moved = frames.slot_velocity(rows, keys)
     speeds = frames.per_player_speed(moved, STEP_CAP, keys).groupBy(*keys).agg(F.reverse(F.array_sort(F.collect_list("speed_cm_s"))).alias("v"))
     top2 = G.mean_of(F.slice("v", 1, 2))

@@ -49,3 +49,29 @@ def test_whole_windows_in_one_pass(spark, tmp_path):
     assert _scans(got) == 1
     full = raw.groupBy(*KEYS).agg(F.count_distinct("frame_id").alias("n")).where("n = 29")
     assert got.columns == raw.columns and _plain(got) == _plain(raw.join(full, KEYS, "left_semi").select(raw.columns))
+
+
+def test_reaction_lag_in_one_pass(spark, tmp_path):
+    from courtline.operators import clean
+
+    at = clean.clean_positions(_court(spark, tmp_path))
+    got = measures.reaction_lag(at)
+    assert _scans(got) == 1
+    rows, want = {}, {}
+    for r in at.collect():
+        rows.setdefault((r.match_id, r.sequence), {}).setdefault(r.frame_id, []).append(r)
+    for key, of in rows.items():
+        want[key] = None
+        order = sorted(of)
+        ball = [(max((r.ball_x for r in of[f] if r.ball_x is not None), default=None), max((r.ball_y for r in of[f] if r.ball_y is not None), default=None)) for f in order]
+        dy = [None if k == 0 or ball[k][1] is None or ball[k - 1][1] is None else ball[k][1] - ball[k - 1][1] for k in range(len(order))]
+        turns = [k - 1 for k in range(1, len(order)) if dy[k] is not None and dy[k - 1] is not None and dy[k] * dy[k - 1] <= 0]
+        if not turns or sum(b[1] is not None for b in ball) < 3 or ball[turns[0]][0] is None:
+            continue
+        near = min(((np.hypot(r.x - ball[turns[0]][0], r.y - ball[turns[0]][1]), r.slot) for r in of[order[turns[0]]] if r.x is not None), default=None)
+        if near is None:
+            continue
+        path = [next(r for r in of[f] if r.slot == near[1]) for f in order]
+        steps = [(-np.sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2), k) for k, (a, b) in enumerate(zip(path, path[1:], strict=False)) if a.x is not None and b.x is not None]
+        want[key] = float(min(steps)[1] - turns[0]) if steps else None
+    assert {(r.match_id, r.sequence): r.reaction_lag_frames for r in got.collect()} == want and len(set(want.values())) > 5
