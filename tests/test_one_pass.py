@@ -75,3 +75,10 @@ def test_reaction_lag_in_one_pass(spark, tmp_path):
         steps = [(-np.sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2), k) for k, (a, b) in enumerate(zip(path, path[1:], strict=False)) if a.x is not None and b.x is not None]
         want[key] = float(min(steps)[1] - turns[0]) if steps else None
     assert {(r.match_id, r.sequence): r.reaction_lag_frames for r in got.collect()} == want and len(set(want.values())) > 5
+
+
+def test_zscores_in_one_pass(spark, tmp_path):
+    rows = _court(spark, tmp_path).where("slot = 1").select(*KEYS, "frame_id", "x", "y", F.lit(3.0).alias("flat"))
+    names = ("x", "y", "flat")
+    got, want = (sorted(map(tuple, df.select(*KEYS, "frame_id", "channel", "v", F.round("z", 9)).collect())) for df in (clips.zscored_channels(rows, names), clips.zscore(clips.channels(rows, names))))
+    assert got == want and {r[5] for r in got if r[3] == "flat"} == {0.0}
