@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import COURT_H, COURT_W, FRAME_CHANNELS, KINEMATIC_CHANNELS, NET_Y, WINDOW
 from ..functions import geometry as G
 from . import clean, clips, frames, identity, rules, scan
+from .stored import stored
 
 CLIP = ("match_id", "sequence")
 
@@ -88,13 +89,12 @@ def camera_chain(frames_: DataFrame, chunk: int = scan.CHUNK) -> DataFrame:
 def model_sequence(positions: DataFrame, keys: tuple[str, ...] = CLIP, size: int = WINDOW) -> DataFrame:
     """Eighteen channels for each of ``size`` frames of a clip: identity, gaps of players and ball filled, descriptor, padding."""
     k = [*keys, "frame_id"]
+    positions = stored(positions, "positions")  # read for players and ball
     ball = positions.groupBy(*k).agg(F.max("ball_x").alias("x"), F.max("ball_y").alias("y")).withColumn("slot", F.lit(0))
     ball = frames.interpolate_gaps(ball, keys=keys).select(*k, F.col("x").alias("ball_x"), F.col("y").alias("ball_y"))
     players = frames.interpolate_gaps(identity.recover_identity(positions, keys=keys), keys=keys).drop("filled")
     rows = players.join(ball, k)
-    shape = frames.team_descriptor(clean.with_players(rows, tuple(k)))
-    move = frames.kinematics(frames.slot_velocity(rows, keys), tuple(k)).select(*k, *KINEMATIC_CHANNELS)
-    return clips.pad_windows(shape.join(move, k).select(*k, *FRAME_CHANNELS, *KINEMATIC_CHANNELS), size, keys)
+    return clips.pad_windows(frames.frame_channels(rows, keys).select(*k, *FRAME_CHANNELS, *KINEMATIC_CHANNELS), size, keys)
 
 
 def window_verdicts(raw: DataFrame, keys: tuple[str, ...] = CLIP, size: int = WINDOW, scored: DataFrame | None = None) -> DataFrame:
@@ -104,7 +104,7 @@ def window_verdicts(raw: DataFrame, keys: tuple[str, ...] = CLIP, size: int = WI
     without a row (or all, without ``scored``) goes by the rules. by tells who decided: gate, model or rules. Gate and
     rules are sure (confidence 1, entropy 0, no anomaly, no probs).
     """
-    rows = frames.whole_windows(raw, size, keys)
+    rows = stored(frames.whole_windows(raw, size, keys), "windows")  # read by gate and rules
     gate = frames.activity_gate(frames.slot_velocity(clean.clean_positions(rows), keys), keys)
     labels = rules.label_clips(rows, keys).select(*keys, F.col("label").alias("by_rules"))
     out = gate.join(labels, list(keys))

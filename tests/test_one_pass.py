@@ -82,3 +82,20 @@ def test_zscores_in_one_pass(spark, tmp_path):
     names = ("x", "y", "flat")
     got, want = (sorted(map(tuple, df.select(*KEYS, "frame_id", "channel", "v", F.round("z", 9)).collect())) for df in (clips.zscored_channels(rows, names), clips.zscore(clips.channels(rows, names))))
     assert got == want and {r[5] for r in got if r[3] == "flat"} == {0.0}
+
+
+def test_padding_in_one_pass(spark, tmp_path):
+    rows = _court(spark, tmp_path).where("slot = 1").select(*KEYS, "frame_id", F.when(F.col("frame_id") % 7 > 0, F.col("x")).alias("x"), "y").where("frame_id % 5 <> 3")
+    got = clips.pad_windows(rows, 20)
+    assert _scans(got) == 1
+    first, want = {}, {}
+    own = {(r.match_id, r.sequence, r.frame_id): (r.x or 0.0, r.y) for r in rows.collect()}
+    for m, s, f in own:
+        first[m, s] = min(f, first.get((m, s), f))
+    want = sorted((m, s, t, *own.get((m, s, f + t), (0.0, 0.0))) for (m, s), f in first.items() for t in range(20))
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_model_sequence_links_once(spark, tmp_path):
+    got = court.model_sequence(_court(spark, tmp_path))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1 and got.count() == 40 * 29
