@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..constants import NET_Y
 from ..functions.geometry import geometric_team
 from .identity import run_starts, whole_runs
+from .stored import stored
 from .teams import team_votes
 
 #: The torso's share of a box, clusters, warm-up frames and samples, samples a clip needs.
@@ -164,7 +165,8 @@ def colour_teams(colours: DataFrame, fitted: DataFrame, keys: Sequence[str] = ("
 
 def video_teams(colours: DataFrame, net_y: float = NET_Y) -> DataFrame:
     """``colour_teams`` by one fit on each video's warm-up; up to its last frame the half of the court decides."""
-    warm = warmup_samples(colours)
+    colours = stored(colours, "colours")  # medians of pixels are taken once
+    warm = stored(warmup_samples(colours), "warmup")
     ends = warm.groupBy("video_id").agg(F.max("fit_frame").alias("fit_frame"))
     named = colour_teams(colours, fit_teams(warm, net_y=net_y), net_y=net_y).join(ends, "video_id", "left")
     late = F.col("by_colour") & (F.col("frame") > F.col("fit_frame"))
@@ -176,6 +178,7 @@ def clip_team_select(colours: DataFrame, want: str = "NEAR", net_y: float = NET_
 
     colours: video_id, clip, frame, det_id, track_id, y, cx, cy, cv. Votes begin anew with each clip.
     """
+    colours = stored(colours, "colours")
     fitted = fit_teams(colours, ("video_id", "clip"), CLIP_SAMPLES, net_y=net_y)
     named = colour_teams(colours, fitted, ("video_id", "clip"), net_y)
     voted = team_votes(named.withColumn("__video", F.col("video_id")).withColumn("video_id", F.struct("video_id", "clip")))

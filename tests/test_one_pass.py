@@ -96,6 +96,21 @@ def test_padding_in_one_pass(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == want
 
 
+def test_colours_are_taken_once(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(v, f, d, float(rng.integers(0, 900)), *(float(x) for x in rng.random(3).round(2))) for v in (1, 2) for f in range(80) for d in range(3)]
+    taken = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            taken.add(b.num_rows)
+            yield b
+
+    schema = "video_id long, frame long, det_id int, y double, cx double, cy double, cv double"
+    got = colours.video_teams(spark.createDataFrame(rows, schema).mapInArrow(count, schema)).collect()
+    assert len(got) == taken.value == len(rows)
+
+
 def test_model_sequence_links_once(spark, tmp_path):
     got = court.model_sequence(_court(spark, tmp_path))
     assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1 and got.count() == 40 * 29
