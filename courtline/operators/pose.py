@@ -5,13 +5,16 @@ keypoints: video_id, frame, track_id, box (x1, y1, x2, y2) and kp, an array of s
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box_iou
 from ..functions.scalars import wrap_angle
-from .measures import onset, smoothed
+from .measures import smoothed
+from .stored import stored
 
 #: Places of shoulders, wrists and hips among the keypoints, and thresholds.
 SHOULDERS, WRISTS, HIPS = (5, 6), (9, 10), (11, 12)
@@ -31,21 +34,45 @@ def arm_angle(kp: Column) -> Column:
     return F.when((left >= SURE) & (left >= right), angle(0)).when(right >= SURE, angle(1))
 
 
-def pose_motion(keypoints: DataFrame, fps: float = 30.0, alpha: float = 0.5) -> DataFrame:
+def pose_motion(keypoints: DataFrame, fps: float = 30.0, alpha: float = 0.5, chunk: int = 4096) -> DataFrame:
     """vy_ms, arm_omega_rad_s, airborne, takeoff and impact of each skeleton, against the track's row before.
 
     The vertical speed is smoothed from zero over the rows in which both hips are known, and is 0
-    in the others.
+    in the others. A track is cut into chunks of frames, and a row for each chunk tells the next ones how it
+    ended, so no window over rows holds more of a track than a chunk.
     """
-    w = W.partitionBy("video_id", "track_id").orderBy("frame")
-    rows = keypoints.select("video_id", "frame", "track_id", F.greatest(F.col("box.y2") - F.col("box.y1"), F.lit(1.0)).alias("h"), hip_height(F.col("kp")).alias("hip"), arm_angle(F.col("kp")).alias("angle"))
-    raw = -(F.col("hip") - F.lag("hip").over(w)) * (HEIGHT_M / F.col("h")) * fps
-    rows = rows.withColumn("raw", raw).withColumn("known", F.col("raw").isNotNull())
-    steps = W.partitionBy("video_id", "track_id", "known").orderBy("frame")
-    rows = rows.withColumn("vy_ms", F.when(F.col("known"), smoothed(F.col("raw"), 1 - alpha, steps, first_whole=False, taps=60)).otherwise(0.0))
-    omega = F.abs(wrap_angle(F.col("angle") - F.lag("angle").over(w))) * fps
-    rows = rows.withColumn("arm_omega_rad_s", F.coalesce(omega, F.lit(0.0))).withColumn("airborne", F.col("vy_ms") > JUMP)
-    return rows.select("video_id", "frame", "track_id", "vy_ms", "arm_omega_rad_s", "airborne", onset(F.col("airborne"), w).alias("takeoff"), (F.col("arm_omega_rad_s") > SWING).alias("impact"))
+    keys = ["video_id", "track_id"]
+    own = [*keys, "__chunk"]
+    at = F.floor(F.col("frame") / chunk).cast("long").alias("__chunk")
+    rows = keypoints.select("video_id", "frame", "track_id", at, F.greatest(F.col("box.y2") - F.col("box.y1"), F.lit(1.0)).alias("h"), hip_height(F.col("kp")).alias("hip"), arm_angle(F.col("kp")).alias("angle"))
+    rows = stored(rows, "poses")
+    w, chunks = W.partitionBy(*own).orderBy("frame"), W.partitionBy(*keys).orderBy("__chunk")
+
+    def joined(rows: DataFrame, ends: DataFrame) -> DataFrame:
+        ends = ends.withColumnsRenamed({c: f"{c}_of" for c in own})
+        return rows.join(ends, reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in own)), "left").drop(*(f"{c}_of" for c in own))
+
+    # the row before, which may be the last one of a chunk before
+    ends = rows.groupBy(*own).agg(F.max_by(F.struct("hip", "angle"), "frame").alias("end"))
+    rows = joined(rows, ends.select(*own, F.lag("end").over(chunks).alias("__end")))
+    first = F.row_number().over(w) == 1
+    before = lambda c: F.when(first, F.col("__end")[c]).otherwise(F.lag(c).over(w))
+    raw = -(F.col("hip") - before("hip")) * (HEIGHT_M / F.col("h")) * fps
+    omega = F.abs(wrap_angle(F.col("angle") - before("angle"))) * fps
+    rows = rows.withColumn("raw", raw).withColumn("arm_omega_rad_s", F.coalesce(omega, F.lit(0.0))).withColumn("known", F.col("raw").isNotNull())
+    # the average within a chunk, from zero, and what is left of that of the chunks before
+    steps = W.partitionBy(*own, "known").orderBy("frame")
+    rows = rows.withColumn("ema", F.when(F.col("known"), smoothed(F.col("raw"), 1 - alpha, steps, first_whole=False, taps=60)))
+    rows = stored(rows.withColumn("n", F.count("raw").over(w)).drop("__end", "hip", "angle", "h"), "motion")
+    fade = lambda n: F.pow(F.lit(1 - alpha), n.cast("double"))
+    ends = rows.groupBy(*own).agg(F.max("n").alias("n"), F.max_by("ema", F.when(F.col("known"), F.col("frame"))).alias("ema"), F.max_by("known", "frame").alias("known"))
+    past = F.collect_list(F.when(F.col("n") > 0, F.struct("ema", "n"))).over(chunks.rowsBetween(-60, -1))
+    ends = ends.withColumn("__before", F.aggregate(past, F.lit(0.0), lambda s, c: c["ema"] + s * fade(c["n"])))
+    flying = F.col("known") & (F.col("ema") + F.col("__before") * fade(F.col("n")) > JUMP)
+    rows = joined(rows, ends.select(*own, "__before", F.coalesce(F.lag(flying).over(chunks), F.lit(False)).alias("__flying")))
+    rows = rows.withColumn("vy_ms", F.when(F.col("known"), F.col("ema") + F.col("__before") * fade(F.col("n"))).otherwise(0.0)).withColumn("airborne", F.col("vy_ms") > JUMP)
+    flew = F.when(F.row_number().over(w) == 1, F.col("__flying")).otherwise(F.lag("airborne").over(w))
+    return rows.select("video_id", "frame", "track_id", "vy_ms", "arm_omega_rad_s", "airborne", (F.col("airborne") & ~flew).alias("takeoff"), (F.col("arm_omega_rad_s") > SWING).alias("impact"))
 
 
 def pose_frames(motion: DataFrame) -> DataFrame:

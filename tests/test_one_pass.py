@@ -114,3 +114,28 @@ def test_colours_are_taken_once(spark, tmp_path):
 def test_model_sequence_links_once(spark, tmp_path):
     got = court.model_sequence(_court(spark, tmp_path))
     assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1 and got.count() == 40 * 29
+
+
+@pytest.mark.parametrize("chunk", [4, 9, 4096])
+def test_pose_in_chunks(spark, chunk):
+    rng = np.random.default_rng(chunk)
+    point = lambda x, y, c: (float(x), float(y), float(c))
+    rows, want = [], {}
+    for v, k in ((1, 1), (1, 2), (2, 1)):
+        hip = angle = None
+        ema, flew = 0.0, False
+        for t in sorted(rng.choice(120, 70, replace=False).tolist()):
+            y, a, sure, arm = float(rng.integers(0, 60)), float(rng.uniform(-3, 3)), rng.random() < 0.8, rng.random() < 0.8
+            kp = [point(0, 0, 0)] * 17
+            kp[5], kp[9], kp[11] = point(100, 100, arm), point(100 + 50 * np.cos(a), 100 + 50 * np.sin(a), arm), point(100, y, sure)
+            rows.append((v, t, k, (0.0, 0.0, 50.0, 185.0), kp))
+            vy = 0.0
+            if sure and hip is not None:
+                ema = vy = 0.5 * -(y - hip) * (1.85 / 185) * 30 + 0.5 * ema
+            turn = abs((a - angle + np.pi) % (2 * np.pi) - np.pi) * 30 if arm and angle is not None else 0.0
+            want[v, k, t] = vy, turn, vy > 1.8 and not flew
+            hip, angle, flew = y if sure else None, a if arm else None, vy > 1.8
+    df = spark.createDataFrame(rows, "video_id long, frame long, track_id long, box struct<x1:double,y1:double,x2:double,y2:double>, kp array<struct<x:double,y:double,conf:double>>").repartition(3)
+    got = {(r.video_id, r.track_id, r.frame): (r.vy_ms, r.arm_omega_rad_s, r.takeoff) for r in pose.pose_motion(df, chunk=chunk).collect()}
+    assert got.keys() == want.keys() and sum(x[2] for x in want.values()) > 5
+    assert all(np.allclose(got[k][:2], want[k][:2], atol=1e-9) and got[k][2] == want[k][2] for k in want)
