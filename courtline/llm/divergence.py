@@ -72,9 +72,22 @@ def _tally(key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return at, n[at]
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(keys, text) in batches of about a block, rows with equal keys beside each other: a block has few groups, and these repeat their terms."""
+    for batch in batches:
+        code, text = np.zeros(batch.num_rows, np.int64), batch.column(batch.num_columns - 1)
+        for column in batch.columns[:-1]:
+            one, names = _coded(column)
+            code = code * len(names) + one
+        order = np.argsort(code, kind="stable")
+        ends = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)[order].astype(np.int64))
+        for rows in np.split(order, np.flatnonzero(np.diff(ends // X.BLOCK_BYTES)) + 1):
+            yield batch.take(pa.array(rows))
+
+
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) to lang, term and the documents of a block in which it occurs."""
-    for batch in batches:
+    for batch in _together(batches):
         for a, b, data, offs in X.blocks(batch.column(1)):
             row, code, terms = _terms(data, offs)
             if not len(row):
@@ -200,20 +213,22 @@ class Lookup:
 
 
 class _Slots:
-    """Dense counts per group of one task; handed on when they take ``DENSE`` bytes."""
+    """Dense counts per group of one task; handed on before they take more than ``DENSE`` bytes (or one group's)."""
 
     def __init__(self, tables: dict[str, Lookup]):
         self.tables, self.open, self.bytes = tables, {}, 0
 
-    def add(self, lang: str, source: str, places: np.ndarray, n: np.ndarray) -> None:
+    def add(self, lang: str, source: str, places: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Counts; yields what had to be handed on for a new group's slots."""
         if (lang, source) not in self.open:
+            more = 8 * len(self.tables[lang].keys)
+            if self.open and self.bytes + more > DENSE:
+                yield from self.hand_on()
             self.open[lang, source] = np.zeros(len(self.tables[lang].keys), np.int64)
-            self.bytes += self.open[lang, source].nbytes
+            self.bytes += more
         self.open[lang, source][places] += n
 
-    def hand_on(self, least: int) -> Iterator[pa.RecordBatch]:
-        if self.bytes < max(1, least):
-            return
+    def hand_on(self) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for (lang, source), dense in self.open.items():
             table, at = self.tables[lang], np.flatnonzero(dense)
@@ -280,7 +295,7 @@ def _recount(tables) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = _Slots(tables.value)
-        for batch in batches:
+        for batch in _together(batches):
             for group, code, n, groups, terms in _grouped(batch):
                 known, hashes = {}, {}
                 for lang in {g[0] for g in groups} & set(slots.tables):
@@ -294,16 +309,15 @@ def _recount(tables) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                     if lang in known:
                         lo, hi = np.searchsorted(group, [k, k + 1])
                         at = known[lang][code[lo:hi]]
-                        slots.add(lang, source, at[at >= 0], n[lo:hi][at >= 0])
-                yield from slots.hand_on(DENSE)
-        yield from slots.hand_on(1)
+                        yield from slots.add(lang, source, at[at >= 0], n[lo:hi][at >= 0])
+        yield from slots.hand_on()
 
     return run
 
 
 def _group_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, text) to lang, source, term, n of each block."""
-    for batch in batches:
+    for batch in _together(batches):
         for group, code, n, groups, terms in _grouped(batch):
             lang, source = (pa.array([g[c] for g in groups]).take(pa.array(group)) for c in (0, 1))
             yield pa.RecordBatch.from_arrays([lang, source, terms.take(pa.array(code)).cast(pa.string()), pa.array(n)], names=["lang", "source", "term", "n"])
@@ -331,9 +345,8 @@ def _recount_words(tables) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                     of, at = of[at >= 0], at[at >= 0]
                     for s in np.unique(source[of]).tolist():
                         mine = source[of] == s
-                        slots.add(name, sources[s], at[mine], n[of[mine]])
-            yield from slots.hand_on(DENSE)
-        yield from slots.hand_on(1)
+                        yield from slots.add(name, sources[s], at[mine], n[of[mine]])
+        yield from slots.hand_on()
 
     return run
 

@@ -4,9 +4,11 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -67,6 +69,32 @@ def test_divergence(spark, monkeypatch, small):
     assert len(got) == len(set(got)) and set(got) == _divergence_oracle(rows, 3, 12)
 
 
+def test_dense_slots_are_bounded(monkeypatch):
+    langs, sources = ("en", "de"), [f"s{k}" for k in range(30)]
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)]
+    rows = [(lang, source, " ".join(words[(7 * k + i) % 300] for i in range(40))) for k in range(4) for source in sources for lang in langs]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["lang", "source", "text"])
+    built = [divergence._build(pa.table({"lang": [lang] * 300, "term": words, "shard": pa.array([0] * 300, pa.int32())})) for lang in langs]
+    tables = divergence._tables([SimpleNamespace(**t.to_pylist()[0]) for t in built], dict.fromkeys(langs, 1))
+    most, add = [0], divergence._Slots.add
+    monkeypatch.setattr(divergence, "DENSE", 5 * 8 * 300)
+
+    def told(self, *args):
+        out = list(add(self, *args) or ())
+        most.append(self.bytes)
+        return out
+
+    monkeypatch.setattr(divergence._Slots, "add", told)
+    got, handed = Counter(), 0
+    for out in divergence._recount(SimpleNamespace(value=tables))(iter([batch])):
+        for r in out.to_pylist():
+            handed += 1
+            for slot, n in zip(np.frombuffer(r["slots"], np.int32), np.frombuffer(r["n"], np.int64), strict=True):
+                got[r["lang"], r["source"], tables[r["lang"]].keys[int(slot)].as_py()] += int(n)
+    assert got == Counter((lang, source, w) for lang, source, text in rows for w in text.split())
+    assert max(most) <= 5 * 8 * 300 and handed == 60  # each group once
+
+
 def test_divergence_of_nothing(spark):
     assert divergence.divergences(frame(spark).where("false")).count() == 0
     nulls = [(i, None, None, s, None, "c", 1, "p", "r") for i, s in enumerate(("a", "b", None))]
