@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as X
+from ..constants import FPS
 from ..functions import geometry as G
 from ..operators import clean, frames, identity, roles, rules, teams
 from ..streaming import ordered
-from ..streaming.replay import replayed
+from ..streaming.replay import cut, replayed
 from .base import MOVES, POS, RAW, Query, R, frame_channels, moves, positions, rounded
 from .geometry import DET
 
@@ -78,12 +79,18 @@ _voted = lambda s, d: teams.team_votes(_team(s, d), ratio=1.5)
 _add("stf4_team_vote", lambda s, d: rounded(_voted(s, d).select("video_id", "frame", "det_id", "near", "far", "voted")), f"WITH {_VOTE} SELECT video_id, frame, det_id, {R('near')} AS near, {R('far')} AS far, voted FROM vv")
 
 
+#: Frames of a video that come out of order, two files of them: a micro-batch has no more of a video, however long it is.
+STRETCH = 1 << 16
+
+
 def _live_votes(s, d):
     """The detections as a stream of files whose frames come out of order, folded live; a last frame moves the watermark on."""
     rows = _team(s, d).where("track_id is not null").select("video_id", "frame", "det_id", "track_id", "team")
     end = s.range(1).select(F.lit(-1).cast("long").alias("video_id"), F.lit(1 << 30).cast("long").alias("frame"), F.lit(1).alias("det_id"), F.lit(1).cast("long").alias("track_id"), F.lit("NEAR").alias("team"))
-    source = [rows.where(F.pmod(F.xxhash64("video_id", "frame"), F.lit(4)) == k) for k in range(4)]
-    out = replayed([*source, end, end.withColumn("frame", F.col("frame") + 1)], lambda x: ordered.live_votes(x, ratio=1.5, lateness_ms=1 << 33))
+    file = 2 * F.floor(F.col("frame") / STRETCH) + F.pmod(F.xxhash64("video_id", "frame"), F.lit(2))
+    source = cut(rows.withColumn("file", file), "file")
+    lateness = int(STRETCH * 1000 / FPS) + 1
+    out = replayed([*source, end, end.withColumn("frame", F.col("frame") + 1)], lambda x: ordered.live_votes(x, ratio=1.5, lateness_ms=lateness))
     own = dict(rows.dtypes)
     return rounded(out.where("video_id >= 0").select(*(F.col(c).cast(own[c]).alias(c) for c in ("video_id", "frame", "det_id")), "near", "far", "voted", "late"))
 

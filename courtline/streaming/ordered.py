@@ -1,8 +1,9 @@
 """Folds over frames of a stream that come in any order.
 
-A fold over frames needs them in order. Rows are kept in list state until the watermark has passed their
-time; an event-time timer then hands all that are due to the fold, in order of time, so any order of
-arrival within the lateness gives the rows of the batch operator. State is all in the state store: a query
+A fold over frames needs them in order. Rows are kept in list state, those of a micro-batch packed as one
+entry, until the watermark has passed their time; an event-time timer then hands all that are due to the
+fold, in order of time, so any order of arrival within the lateness gives the rows of the batch operator.
+A key's rows of a micro-batch and of the lateness are all that a task's Python holds at a time. State is all in the state store: a query
 that starts again from its checkpoint goes on where it was. A row whose frame was folded
 already is not dropped but comes out at once, marked late and otherwise untouched.
 
@@ -16,6 +17,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -27,6 +29,20 @@ from ..operators.identity import link_clips
 LATENESS_MS, IDLE_MS = 2_000, 60_000
 #: Kept for each key besides the fold's own state: the time up to which frames are folded.
 DONE = "done long"
+#: Rows of a key that wait: their first and last time, and the rows as an Arrow stream.
+HELD = "first long, last long, rows binary"
+
+
+def packed(rows: pd.DataFrame) -> tuple[int, int, bytes]:
+    """One entry of held rows (with t)."""
+    batch, sink = pa.RecordBatch.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return int(rows["t"].min()), int(rows["t"].max()), sink.getvalue().to_pybytes()
+
+
+def unpacked(rows: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(rows)).read_pandas()
 
 
 class OrderedFold(StatefulProcessor):
@@ -41,7 +57,7 @@ class OrderedFold(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._held = handle.getListState("held", f"t long, {self.columns}")
+        self._held = handle.getListState("held", HELD)
         self._done = handle.getValueState("done", DONE)
         self.open(handle)
 
@@ -73,30 +89,34 @@ class OrderedFold(StatefulProcessor):
             if not self._done.exists():
                 self._done.update((int(done),))
             names = ["t", *(c.split()[0] for c in self.columns.split(", "))]
-            self._held.appendList([tuple(None if pd.isna(v) else v for v in r) for r in fresh[names].astype(object).itertuples(index=False)])
+            self._held.appendValue(packed(fresh[names]))
             self._handle.registerTimer(int(fresh["t"].min()))
         if late.any():
             yield self.late(key, got[late])
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now = timerValues.getCurrentWatermarkInMs()
-        held = pd.DataFrame(list(self._held.get()) if self._held.exists() else [], columns=["t", *(c.split()[0] for c in self.columns.split(", "))])
-        due = held["t"].to_numpy(dtype=np.int64) <= now
-        if due.any():
-            rest = held[~due]
-            if len(rest):
-                self._held.put([tuple(None if pd.isna(v) else v for v in r) for r in rest.astype(object).itertuples(index=False)])
-                self._handle.registerTimer(int(rest["t"].min()))
+        if self._done.exists() and expiredTimerInfo.getExpiryTimeInMs() <= self._done.get()[0]:
+            return  # another timer's fold took these rows
+        held = [tuple(r) for r in self._held.get()] if self._held.exists() else []
+        if any(r[0] <= now for r in held):
+            rows = pd.concat([unpacked(r[2]) for r in held if r[0] <= now], ignore_index=True)
+            late = rows["t"].to_numpy() > now
+            rest = [*([packed(rows[late])] if late.any() else []), *(r for r in held if r[0] > now)]
+            if rest:
+                self._held.put(rest)
+                self._handle.registerTimer(min(r[0] for r in rest))
             else:
                 self._held.clear()
-            last = int(held["t"][due].max())
+            due = rows[~late].sort_values("t", kind="stable")
+            last = int(due["t"].max())
             self._done.update((last,))
             self._handle.registerTimer(last + IDLE_MS)
-            carried, out = self.fold(key, self.load(), held[due].sort_values("t", kind="stable"))
+            carried, out = self.fold(key, self.load(), due)
             self.save(carried)
             if len(out):
                 yield out
-        elif not len(held) and self._done.exists() and now >= self._done.get()[0] + IDLE_MS:
+        elif not held and self._done.exists() and now >= self._done.get()[0] + IDLE_MS:
             self._done.clear()
             self.forget()
 
@@ -212,57 +232,48 @@ def live_slots(tracks: DataFrame, max_gap: int = 15, fps: float = FPS, lateness_
 # ---- team votes --------------------------------------------------------------------------------
 
 
-class _Votes(OrderedFold):
-    columns = "frame long, det_id long, track_id long, team string"
-
-    def __init__(self, decay: float, ratio: float):
-        self.decay, self.ratio = decay, ratio
+def faded_sums(votes: np.ndarray, start: np.ndarray, decay: float) -> np.ndarray:
+    """Running sums from the place ``start`` of each row's run on; a vote fades by ``decay`` a row. Each round doubles how far back a sum reaches."""
+    out, at, reach = votes.astype(float), np.arange(len(votes)), 1
+    while (more := np.flatnonzero(at - reach >= start)).size:
+        out[more] += decay**reach * out[more - reach]
+        reach *= 2
+    return out
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self._votes = handle.getMapState("votes", "track_id long", "near double, far double, frame long")
 
-    def load(self) -> None:
-        return None
+class _Votes(OrderedFold):
+    """Votes of one track."""
 
-    def save(self, carried: tuple) -> None:
-        pass
+    columns = "frame long, det_id long, team string"
+    state = "near double, far double, frame long"
 
-    def forget(self) -> None:
-        self._votes.clear()
+    def __init__(self, decay: float, ratio: float):
+        self.decay, self.ratio = decay, ratio
 
-    def fold(self, key: tuple, carried: None, due: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-        known = {int(k[0]): (float(v[0]), float(v[1]), int(v[2])) for k, v in self._votes.iterator()} if self._votes.exists() else {}
-        now, rows = dict(known), []
+    def fold(self, key: tuple, carried: tuple | None, due: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
         due = due.sort_values(["frame", "det_id"], kind="stable")
-        for r in due.itertuples(index=False):
-            frame, track = int(r.frame), int(r.track_id)
-            near, far, last = now.get(track, (0.0, 0.0, -2))
-            if last != frame - 1:  # a track that missed a frame begins anew
-                near = far = 0.0
-            near, far = near * self.decay + (r.team == "NEAR"), far * self.decay + (r.team == "FAR")
-            now[track] = (near, far, frame)
-            voted = "NEAR" if near > far * self.ratio else "FAR" if far > near * self.ratio else "UNKNOWN"
-            rows.append((key[0], frame, int(r.det_id), track, near, far, voted, False))
-        last = int(due["frame"].max())
-        for track in known.keys() | now.keys():
-            if now[track][2] < last - 1:  # whatever comes next is a new beginning
-                if track in known:
-                    self._votes.removeKey((track,))
-            elif now[track] != known.get(track):
-                self._votes.updateValue((track,), now[track])
-        return (), pd.DataFrame(rows, columns=["video_id", "frame", "det_id", "track_id", "near", "far", "voted", "late"])
+        frame, team = due["frame"].to_numpy(dtype=np.int64), due["team"].to_numpy(dtype=object)
+        near, far = (team == "NEAR").astype(float), (team == "FAR").astype(float)
+        if carried is not None and carried[2] == frame[0] - 1:
+            near[0], far[0] = near[0] + self.decay * carried[0], far[0] + self.decay * carried[1]
+        anew = np.diff(frame, prepend=frame[0]) != 1  # a track that missed a frame begins anew
+        start = np.maximum.accumulate(np.where(anew, np.arange(len(frame)), 0))
+        near, far = (faded_sums(v, start, self.decay) for v in (near, far))
+        voted = np.where(near > far * self.ratio, "NEAR", np.where(far > near * self.ratio, "FAR", "UNKNOWN"))
+        rows = pd.DataFrame({"video_id": key[0], "frame": frame, "det_id": due["det_id"].to_numpy(dtype=np.int64), "track_id": key[1], "near": near, "far": far, "voted": voted.astype(object), "late": False})
+        return (float(near[-1]), float(far[-1]), int(frame[-1])), rows
 
     def late(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.assign(video_id=key[0], near=np.nan, far=np.nan, voted=None, late=True)[["video_id", "frame", "det_id", "track_id", "near", "far", "voted", "late"]]
+        return rows.assign(video_id=key[0], track_id=key[1], near=np.nan, far=np.nan, voted=None, late=True)[["video_id", "frame", "det_id", "track_id", "near", "far", "voted", "late"]]
 
 
 def live_votes(dets: DataFrame, decay: float = 0.98, ratio: float = 1.0, fps: float = FPS, lateness_ms: int = LATENESS_MS) -> DataFrame:
     """team_votes() of a stream of detections (video_id, frame, det_id, track_id, team), with late (boolean).
 
-    Votes are map state: one entry for each track that was there in one of the last two frames.
+    Each track is a key, so those of a video are folded side by side.
     """
     rows = dets.where("track_id is not null").select(*(F.col(c).cast("long").alias(c) for c in ("video_id", "frame", "det_id", "track_id")), F.col("team").cast("string").alias("team"))
-    return in_order(rows, ["video_id"], _Votes(decay, ratio), "video_id long, frame long, det_id long, track_id long, near double, far double, voted string, late boolean", "frame", fps, lateness_ms)
+    return in_order(rows, ["video_id", "track_id"], _Votes(decay, ratio), "video_id long, frame long, det_id long, track_id long, near double, far double, voted string, late boolean", "frame", fps, lateness_ms)
 
 
 # ---- teams by shirt colour ---------------------------------------------------------------------
