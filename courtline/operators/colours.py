@@ -19,7 +19,7 @@ from ..constants import NET_Y
 from ..functions.geometry import geometric_team
 from .identity import run_starts, whole_runs
 from .stored import stored
-from .teams import team_votes
+from .teams import track_votes
 
 #: The torso's share of a box, clusters, warm-up frames and samples, samples a clip needs.
 TORSO = {"x": (0.25, 0.75), "y": (0.15, 0.50)}
@@ -27,18 +27,28 @@ CLUSTERS, WARMUP_FRAMES, WARMUP_SAMPLES, CLIP_SAMPLES = 4, 45, 60, 12
 KEYS = ("video_id", "frame", "det_id")
 
 
-def torso_colours(boxes: DataFrame, pixels: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def torso_colours(boxes: DataFrame, pixels: DataFrame | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
     """Adds cx, cy, cv to boxes: median saturation along the median hue, and median value, of the torso's pixels.
 
-    Boxes of at most a pixel's width or height, and those without pixels in the torso, have 0, 0, 0.
+    Boxes of at most a pixel's width or height, and those without pixels in the torso, have 0, 0, 0. Without a table of
+    pixels each box holds its own, an array ``pixels`` of (px, py, h, s, v), which is left out of what comes back.
     """
     edge = lambda a, share: F.bround(F.col(f"{a}1") + share * (F.col(f"{a}2") - F.col(f"{a}1")), 0)
-    torso = boxes.where("x2 - x1 > 1 and y2 - y1 > 1").select(*keys, *(edge(a, TORSO[a][k]).alias(f"__{a}{k}") for a in "xy" for k in (0, 1)))
+    wide = "x2 - x1 > 1 and y2 - y1 > 1"
+    hue, sat = F.col("h") * (pi / 90), F.col("s") / 255
+    colour = ((sat * F.cos(hue)).alias("cx"), (sat * F.sin(hue)).alias("cy"), (F.col("v") / 255).alias("cv"))
+    if pixels is None:
+        rows = boxes.withColumns({f"__{a}{k}": edge(a, TORSO[a][k]) for a in "xy" for k in (0, 1)})
+        inside = lambda p: (p["px"] >= F.col("__x0")) & (p["px"] < F.col("__x1")) & (p["py"] >= F.col("__y0")) & (p["py"] < F.col("__y1"))
+        rows = rows.withColumn("__in", F.when(F.expr(wide), F.filter("pixels", inside)))
+        rows = rows.withColumns({c: F.array_sort(F.filter(F.col(f"__in.{c}"), F.isnotnull)) for c in "hsv"})
+        middle = lambda c: (F.get(c, F.floor((F.size(c) - 1) / 2).cast("int")) + F.get(c, F.floor(F.size(c) / 2).cast("int"))) / 2
+        rows = rows.withColumns({c: F.when(F.size(c) > 0, middle(c)) for c in "hsv"})
+        return rows.select(*(c for c in boxes.columns if c != "pixels"), *colour).na.fill(0.0, ["cx", "cy", "cv"])
+    torso = boxes.where(wide).select(*keys, *(edge(a, TORSO[a][k]).alias(f"__{a}{k}") for a in "xy" for k in (0, 1)))
     inside = pixels.join(torso, list(keys)).where("px >= __x0 and px < __x1 and py >= __y0 and py < __y1")
     middle = inside.groupBy(*keys).agg(*(F.percentile(c, F.lit(0.5)).alias(c) for c in "hsv"))
-    hue, sat = F.col("h") * (pi / 90), F.col("s") / 255
-    colour = middle.select(*keys, (sat * F.cos(hue)).alias("cx"), (sat * F.sin(hue)).alias("cy"), (F.col("v") / 255).alias("cv"))
-    return boxes.join(colour, list(keys), "left").na.fill(0.0, ["cx", "cy", "cv"])
+    return boxes.join(middle.select(*keys, *colour), list(keys), "left").na.fill(0.0, ["cx", "cy", "cv"])
 
 
 def warmup_samples(colours: DataFrame, frames: int = WARMUP_FRAMES, samples: int = WARMUP_SAMPLES) -> DataFrame:
@@ -50,7 +60,7 @@ def warmup_samples(colours: DataFrame, frames: int = WARMUP_FRAMES, samples: int
     w = W.partitionBy("video_id").orderBy("frame")
     seen = per.select("video_id", "frame", F.row_number().over(w).alias("k"), F.sum("n").over(w).alias("total"))
     end = seen.where((F.col("k") >= frames) & (F.col("total") >= samples)).groupBy("video_id").agg(F.min("frame").alias("fit_frame"))
-    return colours.join(end, "video_id").where("frame <= fit_frame and y is not null")
+    return colours.join(F.broadcast(end), "video_id").where("frame <= fit_frame and y is not null")  # a row a video
 
 
 def cluster(x: np.ndarray, k: int, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
@@ -117,6 +127,7 @@ def _medians(group: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
 
 def _fitted(table: pa.Table, n_keys: int, least: int, clusters: int) -> pa.Table:
     """Whole groups, sorted by keys, frame and detection, to their clusters."""
+    table = table.filter(table.column("y").is_valid()).combine_chunks()
     keys = [table.column(c).combine_chunks() for c in range(n_keys)]
     starts = run_starts(table, n_keys)
     group, at = np.cumsum(starts) - 1, np.flatnonzero(starts)
@@ -134,17 +145,18 @@ def _fitted(table: pa.Table, n_keys: int, least: int, clusters: int) -> pa.Table
     return pa.table([*(c.take(of) for c in keys), pa.array((used % clusters).astype(np.int32)), *(pa.array(flat[:, a]) for a in range(3)), pa.array(size[used].astype(np.int64)), pa.array(_medians(cell, y, n)[used])], names=names)
 
 
-def fit_teams(samples: DataFrame, keys: Sequence[str] = ("video_id",), least: int = 1, clusters: int = CLUSTERS, net_y: float = NET_Y) -> DataFrame:
+def fit_teams(samples: DataFrame, keys: Sequence[str] = ("video_id",), least: int = 1, clusters: int = CLUSTERS, net_y: float = NET_Y, dealt: bool = False) -> DataFrame:
     """Clusters of each key's colours: keys, cluster, cx, cy, cv, n, median_y, team, degenerate.
 
     A cluster is NEAR if its median foot is at the net or before it, else FAR; a fit with one team only is
     degenerate. samples: a warm-up or a clip, so a group is a few hundred rows; keys with fewer than
     ``least`` have no clusters. Groups are sorted inside their partitions and fitted many at once, batch by batch.
+    dealt: samples begin with keys and are dealt by them; they are read with all their columns, so that others can share the exchange.
     """
     kinds = dict(samples.dtypes)
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in keys), "cluster int, cx double, cy double, cv double, n long, median_y double"])
     own = [*keys, *(c for c in ("frame", "det_id", "y", "cx", "cy", "cv") if c not in keys)]
-    rows = samples.where("y is not null").select(*own).repartition(*keys).sortWithinPartitions(*keys, "frame", "det_id")
+    rows = (samples if dealt else samples.where("y is not null").select(*own).repartition(*keys)).sortWithinPartitions(*keys, "frame", "det_id")
     out = rows.mapInArrow(whole_runs(len(keys), lambda table: _fitted(table, len(keys), least, clusters)), schema)
     out = out.withColumn("team", F.when(F.col("median_y") >= net_y, "NEAR").otherwise("FAR"))
     return out.withColumn("degenerate", F.min("team").over(W.partitionBy(*keys)) == F.max("team").over(W.partitionBy(*keys)))
@@ -154,12 +166,15 @@ def _half(net_y: float) -> Column:
     return geometric_team(F.col("y") - net_y + NET_Y)
 
 
-def colour_teams(colours: DataFrame, fitted: DataFrame, keys: Sequence[str] = ("video_id",), net_y: float = NET_Y) -> DataFrame:
-    """Adds team and by_colour: the team of the nearest centre, or the half of the court where there is no fit, or a degenerate one."""
+def colour_teams(colours: DataFrame, fitted: DataFrame, keys: Sequence[str] = ("video_id",), net_y: float = NET_Y, few: bool = False) -> DataFrame:
+    """Adds team and by_colour: the team of the nearest centre, or the half of the court where there is no fit, or a degenerate one.
+
+    few: fits are broadcast.
+    """
     sets = fitted.where("not degenerate").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cluster", "cx", "cy", "cv", "team"))).alias("__all"))
     square = lambda a, b: (a - b) * (a - b)
     away = F.transform("__all", lambda c: F.struct(sum(square(F.col(a), c[a]) for a in ("cx", "cy", "cv")).alias("d2"), c["cluster"].alias("cluster"), c["team"].alias("team")))
-    both = colours.join(sets, list(keys), "left")
+    both = colours.join(F.broadcast(sets) if few else sets, list(keys), "left")
     return both.withColumn("by_colour", F.col("__all").isNotNull()).withColumn("team", F.coalesce(F.array_min(away)["team"], _half(net_y))).drop("__all")
 
 
@@ -167,8 +182,8 @@ def video_teams(colours: DataFrame, net_y: float = NET_Y) -> DataFrame:
     """``colour_teams`` by one fit on each video's warm-up; up to its last frame the half of the court decides."""
     colours = stored(colours, "colours")  # medians of pixels are taken once
     warm = stored(warmup_samples(colours), "warmup")
-    ends = warm.groupBy("video_id").agg(F.max("fit_frame").alias("fit_frame"))
-    named = colour_teams(colours, fit_teams(warm, net_y=net_y), net_y=net_y).join(ends, "video_id", "left")
+    ends = F.broadcast(warm.groupBy("video_id").agg(F.max("fit_frame").alias("fit_frame")))  # a row a video, as the fits are
+    named = colour_teams(colours, fit_teams(warm, net_y=net_y), net_y=net_y, few=True).join(ends, "video_id", "left")
     late = F.col("by_colour") & (F.col("frame") > F.col("fit_frame"))
     return named.withColumn("team", F.when(late, F.col("team")).otherwise(_half(net_y))).withColumn("by_colour", late)
 
@@ -176,10 +191,10 @@ def video_teams(colours: DataFrame, net_y: float = NET_Y) -> DataFrame:
 def clip_team_select(colours: DataFrame, want: str = "NEAR", net_y: float = NET_Y) -> DataFrame:
     """Detections of the wanted team: one fit for each clip with enough samples, then votes over each track.
 
-    colours: video_id, clip, frame, det_id, track_id, y, cx, cy, cv. Votes begin anew with each clip.
+    colours: video_id, clip, frame, det_id, track_id, y, cx, cy, cv. Votes begin anew with each clip. Rows are dealt by clip once;
+    fit, teams and votes are taken there.
     """
-    colours = stored(colours, "colours")
-    fitted = fit_teams(colours, ("video_id", "clip"), CLIP_SAMPLES, net_y=net_y)
-    named = colour_teams(colours, fitted, ("video_id", "clip"), net_y)
-    voted = team_votes(named.withColumn("__video", F.col("video_id")).withColumn("video_id", F.struct("video_id", "clip")))
-    return voted.withColumn("video_id", F.col("__video")).drop("__video").where(F.col("voted") == want)
+    clip = ("video_id", "clip")
+    rows = colours.select(*clip, *(c for c in colours.columns if c not in clip)).repartition(*clip)
+    named = colour_teams(rows, fit_teams(rows, clip, CLIP_SAMPLES, net_y=net_y, dealt=True), clip, net_y)
+    return track_votes(named, clip).where(F.col("voted") == want)

@@ -45,22 +45,43 @@ def team_votes(rows: DataFrame, decay: float = 0.98, least: float = 0.0, ratio:
     the blocks before two are added (older votes are below a double's precision). No window holds
     more of a track than ``chunk`` frames or a block.
     """
-    rows = _with_runs(stored(rows, "votes"), forget, chunk)
+    rows, block, size = _sums_of_blocks(_with_runs(stored(rows, "votes"), forget, chunk), decay)
+    totals = rows.groupBy(*block).agg(*(F.max(c).alias(c) for c in ("near", "far")))  # sums of what isn't negative end at their largest
+    run = W.partitionBy(*block[:-1]).orderBy("__block")
+    before = lambda c: sum(F.coalesce(F.max(c).over(run.rangeBetween(-i, -i)), F.lit(0.0)) * decay ** (i * size) for i in (1, 2))
+    totals = totals.select(*(F.col(c).alias(f"{c}_of") for c in block), *(before(c).alias(f"__{c}") for c in ("near", "far"))).where("__near > 0 or __far > 0")
+    rows = rows.join(totals, _same(block, [f"{c}_of" for c in block]), "left")
+    return _voted(rows, decay, least, ratio).drop(*(f"{c}_of" for c in block))
+
+
+def track_votes(rows: DataFrame, keys: Sequence[str] = ("video_id",), decay: float = 0.98, least: float = 0.0, ratio: float = 1.0, forget: bool = True) -> DataFrame:
+    """``team_votes`` of keys that a task can hold (clips): windows over tracks alone, so rows dealt by ``keys`` need no exchange."""
+    track = W.partitionBy(*keys, "track_id").orderBy("frame")
+    gap = F.col("frame") - F.lag("frame").over(track)
+    start = F.last(F.when(gap.isNull() | (F.lit(forget) & (gap > 1)), F.col("frame")), ignorenulls=True).over(track)
+    rows, block, size = _sums_of_blocks(rows.withColumn("__start", start), decay, keys)
+    run = W.partitionBy(*block[:-1]).orderBy("__block")
+    before = lambda c: sum(F.coalesce(F.max(c).over(run.rangeBetween(-i, -i)), F.lit(0.0)) * decay ** (i * size) for i in (1, 2))
+    return _voted(rows.withColumns({f"__{c}": before(c) for c in ("near", "far")}), decay, least, ratio)
+
+
+def _sums_of_blocks(rows: DataFrame, decay: float, keys: Sequence[str] = ("video_id",)) -> tuple[DataFrame, list[str], int]:
+    """Adds __k, __block and the sums near and far of a block so far to rows with __start; the keys of a block; its frames."""
     size = int(log(1e9) / -log(decay)) if decay < 1 else 1 << 40
     k = F.col("frame") - F.col("__start")
     rows = rows.withColumn("__k", F.pmod(k, F.lit(size))).withColumn("__block", F.floor(k / size).cast("long"))
-    block = ["video_id", "track_id", "__start", "__block"]
+    block = [*keys, "track_id", "__start", "__block"]
     own = W.partitionBy(*block).orderBy("frame").rowsBetween(W.unboundedPreceding, 0)
     for team in ("NEAR", "FAR"):
         rows = rows.withColumn(team.lower(), F.sum(F.when(F.col("team") == team, F.pow(F.lit(decay), -F.col("__k"))).otherwise(0.0)).over(own))
-    totals = rows.groupBy(*block).agg(*(F.max(c).alias(c) for c in ("near", "far")))  # sums of what isn't negative end at their largest
-    run = W.partitionBy(*block[:-1]).orderBy("__block")
-    before = lambda c: sum(F.coalesce(F.max(c).over(run.rangeBetween(-i, -i)), F.lit(0.0)) * decay ** (i * size) for i in (1, 2))
-    totals = totals.select(*(F.col(c).alias(f"{c}_of") for c in block), *(before(c).alias(f"__{c}") for c in ("near", "far"))).where("__near > 0 or __far > 0")
-    rows = rows.join(totals, _same(block, [f"{c}_of" for c in block]), "left")
+    return rows, block, size
+
+
+def _voted(rows: DataFrame, decay: float, least: float, ratio: float) -> DataFrame:
+    """near, far and voted from the sums of a block and of those before it."""
     rows = rows.withColumns({c: (F.coalesce(f"__{c}", F.lit(0.0)) + F.col(c)) * F.pow(F.lit(decay), F.col("__k")) for c in ("near", "far")})
     voted = F.when(F.greatest("near", "far") < least, "UNKNOWN").when(F.col("near") > F.col("far") * ratio, "NEAR").when(F.col("far") > F.col("near") * ratio, "FAR").otherwise("UNKNOWN")
-    return rows.withColumn("voted", voted).drop("__start", "__k", "__near", "__far", *(f"{c}_of" for c in block), "__block")
+    return rows.withColumn("voted", voted).drop("__start", "__k", "__near", "__far", "__block")
 
 
 def team_vote_filter(voted: DataFrame, want: str = "NEAR", margin: float = 0.0, most: int = 6) -> DataFrame:
