@@ -5,12 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import COURT_H, COURT_W, FRAME_CHANNELS, KINEMATIC_CHANNELS, NET_Y, WINDOW
 from ..functions import geometry as G
 from . import clean, clips, frames, identity, rules, scan
-from .stored import stored
 
 CLIP = ("match_id", "sequence")
 
@@ -86,25 +86,30 @@ def camera_chain(frames_: DataFrame, chunk: int = scan.CHUNK) -> DataFrame:
     return out.select(F.col("key").alias("video_id"), F.col("at").cast(kind).alias("frame"), F.when(F.get("map", F.lit(14)) > 0, F.slice("map", 1, 8)).alias("corners"))
 
 
-def model_sequence(positions: DataFrame, keys: tuple[str, ...] = CLIP, size: int = WINDOW) -> DataFrame:
-    """Eighteen channels for each of ``size`` frames of a clip: identity, gaps of players and ball filled, descriptor, padding."""
+def model_sequence(positions: DataFrame, keys: tuple[str, ...] = CLIP, size: int = WINDOW, dealt: bool = False) -> DataFrame:
+    """Eighteen channels for each of ``size`` frames of a clip: identity, gaps of players and ball filled, descriptor, padding.
+
+    The ball goes along with the players, so positions (dealt: by clip already) are read once and nothing is joined.
+    """
     k = [*keys, "frame_id"]
-    positions = stored(positions, "positions")  # read for players and ball
-    ball = positions.groupBy(*k).agg(F.max("ball_x").alias("x"), F.max("ball_y").alias("y")).withColumn("slot", F.lit(0))
-    ball = frames.interpolate_gaps(ball, keys=keys).select(*k, F.col("x").alias("ball_x"), F.col("y").alias("ball_y"))
-    players = frames.interpolate_gaps(identity.recover_identity(positions, keys=keys), keys=keys).drop("filled")
-    rows = players.join(ball, k)
-    return clips.pad_windows(frames.frame_channels(rows, keys).select(*k, *FRAME_CHANNELS, *KINEMATIC_CHANNELS), size, keys)
+    positions = positions.na.drop(subset=k)
+    ball = {c: F.max(c).over(W.partitionBy(*k)) for c in ("ball_x", "ball_y")}
+    rows = identity.recover_identity((positions if dealt else positions.repartition(*keys)).withColumns(ball), keys=keys, carried=("ball_x", "ball_y"), dealt=True).repartition(*keys)
+    rows = frames.interpolate_gaps(rows, keys=keys).drop("filled")
+    # every slot has every frame, so the ball's gaps are those of each slot
+    turn = lambda df: df.select(*k, "slot", F.col("ball_x").alias("x"), F.col("ball_y").alias("y"), F.col("x").alias("ball_x"), F.col("y").alias("ball_y"))
+    rows = turn(frames.interpolate_gaps(turn(rows), keys=keys))
+    return clips.pad_windows(frames.frame_channels(rows, keys, dealt=True).select(*k, *FRAME_CHANNELS, *KINEMATIC_CHANNELS), size, keys)
 
 
-def window_verdicts(raw: DataFrame, keys: tuple[str, ...] = CLIP, size: int = WINDOW, scored: DataFrame | None = None) -> DataFrame:
+def window_verdicts(raw: DataFrame, keys: tuple[str, ...] = CLIP, size: int = WINDOW, scored: DataFrame | None = None, dealt: bool = False) -> DataFrame:
     """Label of each whole window: unclassified while the ball is dead, else by the model, else by the rules.
 
     scored: keys, label, confidence, entropy, entropy_norm, is_anomaly and probs of a model, one row a window; a window
     without a row (or all, without ``scored``) goes by the rules. by tells who decided: gate, model or rules. Gate and
-    rules are sure (confidence 1, entropy 0, no anomaly, no probs).
+    rules are sure (confidence 1, entropy 0, no anomaly, no probs). dealt: raw is dealt by keys already; gate and rules then share that.
     """
-    rows = stored(frames.whole_windows(raw, size, keys), "windows")  # read by gate and rules
+    rows = frames.whole_windows(raw if dealt else raw.repartition(*keys), size, keys)
     gate = frames.activity_gate(frames.slot_velocity(clean.clean_positions(rows), keys), keys)
     labels = rules.label_clips(rows, keys).select(*keys, F.col("label").alias("by_rules"))
     out = gate.join(labels, list(keys))

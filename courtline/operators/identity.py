@@ -102,22 +102,24 @@ def _linked(table: pa.Table, n_keys: int, gate: float) -> pa.Table:
         here = slice(*np.searchsorted(at, [lo, hi]))
         out[here] = link_clips(grid, gate)[clip[at[here]] - a, t[at[here]]]
     rows = pa.array(np.repeat(at, N_SLOTS))
-    return pa.table([*(k.take(rows) for k in keys), table.column(n_keys).take(rows), pa.array(np.tile(np.arange(1, N_SLOTS + 1, dtype=np.int32), len(at))), *(pa.array(out[:, :, a].reshape(-1), from_pandas=True) for a in (0, 1))], names=table.column_names)
+    return pa.table([*(k.take(rows) for k in keys), table.column(n_keys).take(rows), pa.array(np.tile(np.arange(1, N_SLOTS + 1, dtype=np.int32), len(at))), *(pa.array(out[:, :, a].reshape(-1), from_pandas=True) for a in (0, 1)), *(c.take(rows) for c in table.columns[n_keys + 4 :])], names=table.column_names)
 
 
-def recover_identity(positions: DataFrame, gate: float = 250.0, keys: tuple[str, ...] = ("match_id", "sequence")) -> DataFrame:
+def recover_identity(positions: DataFrame, gate: float = 250.0, keys: tuple[str, ...] = ("match_id", "sequence"), carried: tuple[str, ...] = (), dealt: bool = False) -> DataFrame:
     """Positions of each clip (keys, frame_id, slot, x, y) in slots that follow a player from frame to frame.
 
     A link is the assignment of least total distance to the slots of the frame before; links over
     ``gate`` cm are not kept, and what is left takes the lowest free slots. Clips are sorted inside
     their partitions and read batch by batch; a task holds one batch and the clip that it cuts.
+    carried: columns that all rows of a frame share, which come out with it. dealt: rows are dealt by clip already.
     """
     kinds = dict(positions.dtypes)
-    names = [*keys, "frame_id", "slot", "x", "y"]
-    rows = positions.select(*keys, "frame_id", F.col("slot").cast("int").alias("slot"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    names = [*keys, "frame_id", "slot", "x", "y", *carried]
+    rows = positions.select(*keys, "frame_id", F.col("slot").cast("int").alias("slot"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), *carried)
+    rows = rows if dealt else rows.repartition(*keys)
 
-    schema = ", ".join(f"{n} {k}" for n, k in zip(names, [*(kinds[k] for k in keys), kinds["frame_id"], "int", "double", "double"], strict=True))
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "frame_id", "slot").mapInArrow(whole_runs(len(keys), lambda table: _linked(table, len(keys), gate)), schema)
+    schema = ", ".join(f"{n} {k}" for n, k in zip(names, [*(kinds[k] for k in keys), kinds["frame_id"], "int", "double", "double", *(kinds[c] for c in carried)], strict=True))
+    return rows.sortWithinPartitions(*keys, "frame_id", "slot").mapInArrow(whole_runs(len(keys), lambda table: _linked(table, len(keys), gate)), schema)
 
 
 def stretch_slots(frame: np.ndarray, track: np.ndarray, x: np.ndarray, y: np.ndarray, max_gap: int = 15, per_frame: float = 60.0, cap: float = 250.0, n_slots: int = N_SLOTS, held: list[Held] | None = None) -> np.ndarray:

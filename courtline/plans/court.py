@@ -42,8 +42,8 @@ st AS (SELECT video_id, frame, CASE WHEN frame % 50 = 3 THEN CAST([0, 0, 10, 0,
   UNION ALL SELECT f.video_id, f.frame, CASE WHEN f.frame % 50 = 3 THEN CAST([0, 0, 10, 0, 10, 5, 0, 5] AS DOUBLE[]) WHEN f.frame % 3 > 0 THEN [c[1] + 0.5, c[2] - 0.25, c[3] + 0.5, c[4] - 0.25, c[5] + 0.5, c[6] - 0.25, c[7] + 0.5, c[8] - 0.25] ELSE c END
   FROM st JOIN fr f ON f.video_id = st.video_id AND f.frame = st.frame + 1)
 SELECT video_id, frame, {", ".join(f"CASE WHEN c[{k + 1}] IS NOT NULL THEN {R(f'c[{k + 1}]')} END AS {name}" for k, name in enumerate(_CORNERS))} FROM st"""
-QUERIES["ana13_model_sequence"] = lambda s, d: rounded(court.model_sequence(positions(s, d)))
-QUERIES["ana14_window_verdict"] = lambda s, d: court.window_verdicts(X.raw_positions(s, d))
+QUERIES["ana13_model_sequence"] = lambda s, d: rounded(court.model_sequence(positions(s, d, dealt=True), dealt=True))
+QUERIES["ana14_window_verdict"] = lambda s, d: court.window_verdicts(X.raw_positions(s, d, dealt=True), dealt=True)
 #: Rules over all 29 frames of a window instead of its last 12.
 _WHOLE = _TACTICS["ana5_label_clip"].replace(" WHERE (r.frame_id - 1) % 29 >= 17", "").replace("(r.frame_id - 1) % 29 - 17 AS i", "(r.frame_id - 1) % 29 AS i")
 ORACLE_SQL["ana14_window_verdict"] = f"""WITH {POS}, v AS (SELECT *, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) AS sp FROM pos WINDOW w AS (PARTITION BY match_id, sequence, slot ORDER BY frame_id)),

@@ -40,7 +40,7 @@ def _verdicts(s, d):
     """Matches in two halves: the windows of each are scored by the model of the other one."""
     clips = _clips(s, d).withColumn("half", F.col("match_id") % 2)
     parts = [models.batch_score(clips.where(F.col("half") == v), models.fit_bundle(clips.where(F.col("half") != v), _METRICS, "tree")) for v in (0, 1)]
-    return court.window_verdicts(X.raw_positions(s, d), scored=parts[0].unionByName(parts[1]))
+    return court.window_verdicts(X.raw_positions(s, d, dealt=True), scored=parts[0].unionByName(parts[1]), dealt=True)
 
 
 def _history(s, d):

@@ -50,3 +50,34 @@ def test_votes_of_clips_are_those_of_videos(spark, forget):
     got, want = (sorted(((r.video_id, r.frame, r.track_id or 0, r.near, r.far, r.voted) for r in x.collect())) for x in (teams.track_votes(df, forget=forget), teams.team_votes(df, forget=forget)))
     assert [r[:3] + r[5:] for r in got] == [r[:3] + r[5:] for r in want]
     assert np.allclose([r[3:5] for r in got], [r[3:5] for r in want], rtol=1e-9)
+
+
+def test_clips_are_dealt_once(spark, sf_dir):
+    verdicts = court.window_verdicts(fixtures.raw_positions(spark, sf_dir, True), dealt=True)
+    raw = _exchanges(fixtures.raw_positions(spark, sf_dir, True))
+    assert _exchanges(verdicts) <= 2 * raw  # gate and rules; the second is the first once it runs
+    verdicts.collect()
+    assert "ReusedExchange" in verdicts._jdf.queryExecution().executedPlan().toString()
+    assert _exchanges(model_plans.QUERIES["ana14_model_verdict"](spark, sf_dir)) <= 2 * raw
+
+
+def test_model_sequence_reads_its_rows_once(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    lost = lambda p, v: v if rng.random() < p else None
+    rows = []
+    for c in range(6):
+        for t in range(29 if c else 11):
+            ball = lost(0.6, (float(rng.integers(0, 1800)), float(rng.integers(0, 900)))) or (None, None)
+            for k in range(1, 7):
+                at = lost(0.8, (300.0 * k + float(rng.integers(0, 30)), 400.0 + float(rng.integers(0, 90)))) or (None, None)
+                rows.append((1, c, 29 * c + t + 1, k, *at, *ball))
+    spark.createDataFrame(rows, "match_id long, sequence long, frame_id long, slot int, x double, y double, ball_x double, ball_y double").write.parquet(f"{tmp_path}/at")
+    table = spark.read.parquet(f"{tmp_path}/at")
+    got = court.model_sequence(table)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    k = ["match_id", "sequence", "frame_id"]
+    ball = frames.interpolate_gaps(table.groupBy(*k).agg(F.max("ball_x").alias("x"), F.max("ball_y").alias("y")).withColumn("slot", F.lit(0)))
+    players = frames.interpolate_gaps(identity.recover_identity(table)).drop("filled")
+    joined = frames.frame_channels(players.join(ball.select(*k, F.col("x").alias("ball_x"), F.col("y").alias("ball_y")), k))
+    want = clips.pad_windows(joined.select(*k, *clips.MODEL_CHANNELS))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
