@@ -61,6 +61,32 @@ def test_clips_are_dealt_once(spark, sf_dir):
     assert _exchanges(model_plans.QUERIES["ana14_model_verdict"](spark, sf_dir)) <= 2 * raw
 
 
+def test_rows_are_copied_for_their_own_queries_alone(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 50)
+    rng = np.random.default_rng(2)
+    points = rng.normal(0, 200, (30, 5))[rng.integers(0, 30, 3000)] + rng.normal(0, 1, (3000, 5))
+    table = spark.createDataFrame([(i, i % 3, p.tolist()) for i, p in enumerate(points)], "vec_id long, label int, embedding array<double>")
+    read = spark.sparkContext.accumulator(0)
+    plain = neighbours._compare
+
+    def counted(k):
+        inner = plain(k)
+
+        def compare(queries, rows):
+            read.add(rows.num_rows)
+            return inner(queries, rows)
+
+        return compare
+
+    monkeypatch.setattr(neighbours, "_compare", counted)
+    got = {(r.query_id, r.rank): r.vec_id for r in neighbours.knn(table.where("vec_id % 3 = 0"), table).collect()}
+    d = ((points[::3, None] - points[None]) ** 2).sum(-1)
+    d[np.arange(1000), np.arange(0, 3000, 3)] = np.inf
+    want = d.argsort(axis=1)[:, :5]
+    assert got == {(3 * i, k + 1): int(want[i, k]) for i in range(1000) for k in range(5)}
+    assert read.value < 8 * 3000  # 20 blocks of queries, each against all rows twice, before
+
+
 def test_model_sequence_reads_its_rows_once(spark, tmp_path):
     rng = np.random.default_rng(7)
     lost = lambda p, v: v if rng.random() < p else None
